@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linedup, mixing, rules, spm, store, supermin, warc
+from . import ann, brown, linedup, mixing, pii, rules, site_quality, spm, store, supermin, warc
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -26,6 +30,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(_docs(spark, sf_dir), MODEL)
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return site_quality.score(_docs(spark, sf_dir), labels, F.col("source"), F.col("lang"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = rules.ledger(_docs(spark, sf_dir))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~rules.passes("base-1")).alias("base_failed"), rules.passes("strict-1").alias("kept"))
@@ -50,10 +59,18 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supermin.near_duplicates(_docs(spark, sf_dir))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_docs(spark, sf_dir))
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.scores(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    own = [op2_mix_sources, op3_sentencepiece, op5_quality_rules, op6_warc, op7_line_dedup, op8_near_duplicates]
+    own = [op1_nearest_vectors, op2_mix_sources, op3_sentencepiece, op4_site_quality, op5_quality_rules, op6_warc, op7_line_dedup, op8_near_duplicates, op9_personal_data, op10_language_model]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
