@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from .store import stored
 
 
+EDGES_A_PART = 100_000
+
+
 def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the edges (u, v) of one task: (smallest vertex of its part, vertex), one row per vertex."""
     parent: dict[int, int] = {}
@@ -57,14 +60,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").mapInArrow(local_forest, "u bigint, v bigint")
     edges, before = stored(edges.distinct(), "forest"), None
     while (now := _state(edges)) != before:
-        before = now
+        before, parts = now, 1 + now[0] // EDGES_A_PART  # few tasks for few edges
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("k")).filter("v > u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
-        large = stored(large, "large-star")
+        large = stored(large.coalesce(parts), "large-star")
         # now every edge is (smaller, larger); each vertex and its smaller neighbours hang on the smallest of them
         least = large.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("k"), "m")
         small = large.join(least, F.col("v") == F.col("k"))
         small = small.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).filter("u <> v").distinct()
-        edges = stored(small, "small-star")
+        edges = stored(small.coalesce(parts), "small-star")
     return edges.select("v", F.col("u").alias("root"))

@@ -13,10 +13,13 @@ Steps, all distributed:
 3. Signatures of 128 positions are cut into 32 bands of 4.  A pair at similarity 0.8 misses all bands with
    probability (1 - 0.8^4)^32 < 5e-8.
 4. In a bucket every member is compared with the bucket's smallest id only, and what is confirmed on full sets
-   is grouped.  Members that then still lie in different groups are compared pairwise, in blocks of bounded
-   size, dropping pairs whose signatures rule a similarity of 0.8 out (fewer than 64 of 128 positions agree:
-   over eight standard deviations), and confirmed the same way.  Pairs within a group need no look: they
-   couldn't change it.  So no link between different groups is lost, and a bucket of n copies costs n.
+   is grouped.  Pairs within a group need no further look: they couldn't change it.
+5. Members of a bucket that then lie in different groups may still link.  A shingle that no other such member holds
+   can't be shared, so with m shared-able of n shingles, documents link only if 180 * min(m, m') >= 80 * (n + n').
+   This exact bound drops documents on their own (m < 0.8 n) and, in blocks of bounded size, pairs; pairs whose
+   signatures agree at fewer than 72 of 128 positions go too (a pair at 0.8 does so with probability 1e-8).  The
+   rest is confirmed on full sets.  Copies of one text with edits of their own, the usual large group, all go by
+   the bound, so their number of pairs never arises.
 
 Definitions.  Rows with one doc_id count as one document that holds both sets.  A row with a null doc_id links
 with nothing; its component is null and it is kept.  An empty table gives an empty result.  Only doc_id and text
@@ -40,7 +43,7 @@ SHINGLE = 4
 POSITIONS = 128
 ROWS = 4
 BANDS = POSITIONS // ROWS
-AGREE = 64
+AGREE = 72
 BLOCK = 512
 PERCENT = 80
 
@@ -182,40 +185,65 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (left ids, left groups, left signatures, right ...): the pairs of different groups whose signatures allow a link."""
+    """Of rows with two blocks of members: the pairs of different groups that the bound and the signatures allow to link."""
     for batch in batches:
         for r in batch.to_pylist():
-            li, ri = np.array(r["li"], np.int64), np.array(r["ri"], np.int64)
-            lg, rg = np.array(r["lg"], np.int64), np.array(r["rg"], np.int64)
-            ls = np.frombuffer(b"".join(r["ls"]), np.uint8).reshape(len(li), POSITIONS)
-            rs = np.frombuffer(b"".join(r["rs"]), np.uint8).reshape(len(ri), POSITIONS)
-            us, vs = [], []
-            for k in range(len(li)):
-                ok = (rg != lg[k]) & (ri > li[k]) if r["same"] else rg != lg[k]
+            a, b = ({k: np.array([m[k] for m in r[side]], np.int64) for k in ("rep", "grp", "n", "m")} for side in "lr")
+            sa, sb = (np.frombuffer(b"".join(m["sig"] for m in r[side]), np.uint8).reshape(-1, POSITIONS) for side in "lr")
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in range(len(sa)):
+                ok = (b["grp"] != a["grp"][k]) & ((100 + PERCENT) * np.minimum(a["m"][k], b["m"]) >= PERCENT * (a["n"][k] + b["n"]))
+                if r["same"]:
+                    ok &= b["rep"] > a["rep"][k]
                 at = np.flatnonzero(ok)
-                at = at[(rs[at] == ls[k]).sum(axis=1) >= AGREE]
-                us.append(np.minimum(li[k], ri[at]))
-                vs.append(np.maximum(li[k], ri[at]))
+                at = at[(sb[at] == sa[k]).sum(axis=1) >= AGREE]
+                us.append(np.minimum(a["rep"][k], b["rep"][at]))
+                vs.append(np.maximum(a["rep"][k], b["rep"][at]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
 
-def _open_pairs(bands: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs that share a bucket but no group, and whose signatures allow a link.
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in tb.blocks(batch.column(1)):
+            owner, h = shingles(block)
+            ids = batch.column(0).slice(block.first, block.n)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(h.view(np.int64))], names=["rep", "h"])
+
+
+def _own_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, own): how many of a member's shingles no other member holds."""
+    some = texts.join(members.select(F.col("rep").alias("id")), "id", "left_semi")
+    each = some.select("id", "text").mapInArrow(_exploded, "rep bigint, h bigint")
+    single = each.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last")
+    return single.groupBy(F.col("rep").alias("holder")).agg(F.count(F.lit(1)).alias("own"))
+
+
+def _open_pairs(bands: DataFrame, roots: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs that share a bucket but no group, and that may link by the bound and by their signatures.
 
     Buckets are cut into blocks of about ``BLOCK`` members, and blocks meet in pairs.
     """
-    named = bands.join(roots.select(F.col("v").alias("rep"), "root"), "rep", "left").withColumn("grp", F.coalesce("root", "rep"))
-    mixed = named.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    mixed = mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("cuts"))
-    members = named.join(mixed, "bucket").select("bucket", "rep", "grp", "cuts", F.pmod(F.xxhash64("rep"), F.col("cuts").cast("long")).cast("int").alias("cut"))
-    members = members.join(reps.select("rep", "sig"), "rep")
-    box = members.groupBy("bucket", "cut", "cuts").agg(F.collect_list(F.struct("rep", "grp", "sig")).alias("m"))
-    box = stored(box, "boxes")
+    def mixed(named: DataFrame) -> DataFrame:
+        some = named.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+        return named.join(some.select("bucket", "size"), "bucket")
+
+    named = bands.join(roots.select(F.col("v").alias("rep"), "root"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("grp"))
+    named = stored(mixed(named).drop("size"), "mixed-buckets")
+    members = stored(named.select("rep").distinct(), "members")
+    own = _own_shingles(members, texts)
+    known = reps.join(members, "rep", "left_semi").select("rep", "sig", F.col("n_shingles").alias("n"), "sets")
+    known = known.join(own, F.col("rep") == F.col("holder"), "left")
+    # rows of one doc_id with several sets aren't bounded
+    known = known.withColumn("m", F.when(F.col("sets") == 1, F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("n")))
+    known = stored(known.filter(f"100 * m >= {PERCENT} * n").select("rep", "sig", "n", "m"), "may-link")
+    named = mixed(named.join(known.select("rep").distinct(), "rep", "left_semi"))
+    cuts = F.ceil(F.col("size") / BLOCK).cast("int")
+    named = named.select("bucket", "rep", "grp", cuts.alias("cuts"), F.pmod(F.xxhash64("rep"), cuts.cast("long")).cast("int").alias("cut"))
+    named = named.join(known, "rep")
+    box = stored(named.groupBy("bucket", "cut", "cuts").agg(F.collect_list(F.struct("rep", "grp", "sig", "n", "m")).alias("m")), "boxes")
     left = box.select("bucket", F.col("cut").alias("a"), F.col("m").alias("l"), F.explode(F.sequence(F.col("cut"), F.col("cuts") - 1)).alias("b"))
     right = box.select("bucket", F.col("cut").alias("b"), F.col("m").alias("r"))
-    met = left.join(right, ["bucket", "b"]).select(
-        F.col("l.rep").alias("li"), F.col("l.grp").alias("lg"), F.col("l.sig").alias("ls"), F.col("r.rep").alias("ri"), F.col("r.grp").alias("rg"), F.col("r.sig").alias("rs"), (F.col("a") == F.col("b")).alias("same")
-    )
+    met = left.join(right, ["bucket", "b"]).select("l", "r", (F.col("a") == F.col("b")).alias("same"))
     return met.mapInArrow(_cross, "u bigint, v bigint").distinct()
 
 
@@ -225,7 +253,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stored(features(docs), "features")
     reps = rows.filter("f1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     classes = stored(reps, "classes")
-    known = rows.join(classes, (rows.doc_id == classes.rep) & (rows.f1 == classes.f1) & (rows.f2 == classes.f2)).select("rep", "bands", "sig").dropDuplicates(["rep", "sig"])
+    known = rows.join(classes, (rows.doc_id == classes.rep) & (rows.f1 == classes.f1) & (rows.f2 == classes.f2)).select("rep", "n_shingles", "bands", "sig").dropDuplicates(["rep", "sig", "n_shingles"])
     known = stored(known, "representatives")
     bands = known.select("rep", F.explode("bands").alias("bucket"))
     # buckets of one are dropped at once
@@ -236,9 +264,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = shared.filter("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct()
     sure = stored(confirmed(stored(stars, "stars"), texts), "links")
     roots = components(sure)
-    more = stored(_open_pairs(shared.select("bucket", "rep").distinct(), roots, known), "open-pairs")
-    links = sure.union(stored(confirmed(more, texts), "more-links")) if not more.isEmpty() else sure
-    roots = components(links) if not more.isEmpty() else roots
+    sets = known.groupBy(F.col("rep").alias("r")).agg(F.count(F.lit(1)).alias("sets"))
+    counted = known.join(sets, F.col("rep") == F.col("r")).select("rep", "n_shingles", "sig", "sets")
+    more = stored(_open_pairs(shared.select("bucket", "rep").distinct(), roots, counted, texts), "open-pairs")
+    if not more.isEmpty():
+        more = stored(confirmed(more, texts), "more-links")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("root").alias("u"), "v").union(more))
     named = classes.join(roots, classes.rep == roots.v, "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("root", "rep").alias("component"))
     return rows.join(named, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left").select(
         "doc_id",
