@@ -291,7 +291,7 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def _over_texts(docs: DataFrame, model_path: str, id_col: str, schema: str, row):
+def _over_texts(docs: DataFrame, model_path: str, id_col: str, schema: str, kinds: list[pa.DataType], row):
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))  # a vocabulary file, half a megabyte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,14 +302,14 @@ def _over_texts(docs: DataFrame, model_path: str, id_col: str, schema: str, row)
             for at in range(0, batch.num_rows, 64):
                 piece = batch.slice(at, 64)
                 cols = list(zip(*(row(model, t.as_py() or "") for t in piece.column(1))))
-                yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, cols)], names=[id_col, *(f"c{k}" for k in range(len(cols)))])
+                yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, cols, kinds)], names=[id_col, *(f"c{k}" for k in range(len(cols)))])
 
     return docs.select(id_col, F.col("text").alias("__text")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {schema}")
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, ids array<int>) of every row's whole text."""
-    return _over_texts(docs, model_path, id_col, "ids array<int>", lambda m, t: (m.encode(t),))
+    return _over_texts(docs, model_path, id_col, "ids array<int>", [pa.list_(pa.int32())], lambda m, t: (m.encode(t),))
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
@@ -335,4 +335,4 @@ def _digests(model: PieceModel, text: str) -> tuple[int, str, str]:
 
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded and decoded again, the ids never leaving the task."""
-    return _over_texts(docs, model_path, id_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digests)
+    return _over_texts(docs, model_path, id_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", [pa.int64(), pa.string(), pa.string()], _digests)
