@@ -12,14 +12,15 @@ Steps, all distributed:
 2. Equal sets collapse to one representative (smallest doc_id) by a partial aggregation.
 3. Signatures of 128 positions are cut into 32 bands of 4.  A pair at similarity 0.8 misses all bands with
    probability (1 - 0.8^4)^32 < 5e-8.
-4. In a bucket every member is compared with the bucket's smallest id only, and what is confirmed on full sets
-   is grouped.  Pairs within a group need no further look: they couldn't change it.
+4. In a bucket every member is paired with the bucket's smallest id only.  Pairs whose signatures agree at fewer than 72
+   of 128 positions go (a pair at 0.8 does so with probability 1e-8); the rest is confirmed on full sets and grouped.
+   Pairs within a group need no further look: they couldn't change it.
 5. Members of a bucket that then lie in different groups may still link.  A shingle that no other such member holds
    can't be shared, so with m shared-able of n shingles, documents link only if 180 * min(m, m') >= 80 * (n + n').
-   This exact bound drops documents on their own (m < 0.8 n) and, in blocks of bounded size, pairs; pairs whose
-   signatures agree at fewer than 72 of 128 positions go too (a pair at 0.8 does so with probability 1e-8).  The
-   rest is confirmed on full sets.  Copies of one text with edits of their own, the usual large group, all go by
-   the bound, so their number of pairs never arises.
+   This exact bound drops documents on their own (m < 0.8 n).  The others are first paired with their bucket's most
+   typical member (largest m / n), which gathers the copies of one text with edits of their own, the usual large
+   group.  What is still apart is compared in blocks of bounded size, pairs that the bound or the signatures exclude
+   are dropped, and the rest is confirmed.
 
 Definitions.  Rows with one doc_id count as one document that holds both sets.  A row with a null doc_id links
 with nothing; its component is null and it is kept.  An empty table gives an empty result.  Only doc_id and text
@@ -218,27 +219,52 @@ def _own_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
     return single.groupBy(F.col("rep").alias("holder")).agg(F.count(F.lit(1)).alias("own"))
 
 
-def _open_pairs(bands: DataFrame, roots: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs that share a bucket but no group, and that may link by the bound and by their signatures.
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, POSITIONS) for i in (2, 3))
+        keep = pa.array((a == b).sum(axis=1) >= AGREE)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+
+
+def _plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Of distinct (u, v): those whose signatures allow a link."""
+    a, b = reps.select(F.col("rep").alias("u"), F.col("sig").alias("su")), reps.select(F.col("rep").alias("v"), F.col("sig").alias("sv"))
+    return pairs.join(b, "v").join(a, "u").select("u", "v", "su", "sv").mapInArrow(_agreeing, "u bigint, v bigint").distinct()
+
+
+def _mixed(bands: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, rep, grp, size): members of the buckets that hold several groups."""
+    named = bands.join(roots.select(F.col("v").alias("rep"), "root"), "rep", "left").select(*bands.columns, F.coalesce("root", "rep").alias("grp"))
+    some = named.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+    return named.join(some.select("bucket", "size"), "bucket")
 
-    Buckets are cut into blocks of about ``BLOCK`` members, and blocks meet in pairs.
-    """
-    def mixed(named: DataFrame) -> DataFrame:
-        some = named.groupBy("bucket").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-        return named.join(some.select("bucket", "size"), "bucket")
 
-    named = bands.join(roots.select(F.col("v").alias("rep"), "root"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("grp"))
-    named = stored(mixed(named).drop("size"), "mixed-buckets")
-    members = stored(named.select("rep").distinct(), "members")
+def _may_link(mixed: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, sig, n, m) of the members that the bound doesn't exclude on their own."""
+    members = stored(mixed.select("rep").distinct(), "members")
     own = _own_shingles(members, texts)
     known = reps.join(members, "rep", "left_semi").select("rep", "sig", F.col("n_shingles").alias("n"), "sets")
     known = known.join(own, F.col("rep") == F.col("holder"), "left")
     # rows of one doc_id with several sets aren't bounded
     known = known.withColumn("m", F.when(F.col("sets") == 1, F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("n")))
-    known = stored(known.filter(f"100 * m >= {PERCENT} * n").select("rep", "sig", "n", "m"), "may-link")
-    named = mixed(named.join(known.select("rep").distinct(), "rep", "left_semi"))
+    return known.filter(f"100 * m >= {PERCENT} * n").select("rep", "sig", "n", "m")
+
+
+def _typical_stars(mixed: DataFrame, known: DataFrame) -> DataFrame:
+    """(u, v): members of a mixed bucket with its most typical member, where they are in different groups and the bound allows it."""
+    named = mixed.join(known.drop("sig"), "rep")
+    best = named.groupBy("bucket").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("rep")).alias("id"), "grp", "n", "m")).alias("h"))
+    pairs = named.join(best, "bucket").filter(f"grp <> h.grp AND {100 + PERCENT} * least(m, h.m) >= {PERCENT} * (n + h.n)")
+    return pairs.select(F.least("rep", -F.col("h.id")).alias("u"), F.greatest("rep", -F.col("h.id")).alias("v")).distinct()
+
+
+def _open_pairs(mixed: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs that share a bucket but no group, and that may link by the bound and by their signatures.
+
+    Buckets are cut into blocks of about ``BLOCK`` members, and blocks meet in pairs.
+    """
     cuts = F.ceil(F.col("size") / BLOCK).cast("int")
-    named = named.select("bucket", "rep", "grp", cuts.alias("cuts"), F.pmod(F.xxhash64("rep"), cuts.cast("long")).cast("int").alias("cut"))
+    named = mixed.select("bucket", "rep", "grp", cuts.alias("cuts"), F.pmod(F.xxhash64("rep"), cuts.cast("long")).cast("int").alias("cut"))
     named = named.join(known, "rep")
     box = stored(named.groupBy("bucket", "cut", "cuts").agg(F.collect_list(F.struct("rep", "grp", "sig", "n", "m")).alias("m")), "boxes")
     left = box.select("bucket", F.col("cut").alias("a"), F.col("m").alias("l"), F.explode(F.sequence(F.col("cut"), F.col("cuts") - 1)).alias("b"))
@@ -262,13 +288,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # rows of one doc_id with different sets are one document
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     stars = shared.filter("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct()
-    sure = stored(confirmed(stored(stars, "stars"), texts), "links")
-    roots = components(sure)
     sets = known.groupBy(F.col("rep").alias("r")).agg(F.count(F.lit(1)).alias("sets"))
     counted = known.join(sets, F.col("rep") == F.col("r")).select("rep", "n_shingles", "sig", "sets")
-    more = stored(_open_pairs(shared.select("bucket", "rep").distinct(), roots, counted, texts), "open-pairs")
-    if not more.isEmpty():
-        more = stored(confirmed(more, texts), "more-links")
+    roots = components(confirmed(stored(_plausible(stars, known), "stars"), texts))
+
+    bands = shared.select("bucket", "rep").distinct()
+    may = stored(_may_link(_mixed(bands, roots), counted, texts), "may-link")
+    bands = stored(bands.join(may.select("rep"), "rep", "left_semi"), "may-link-bands")
+    for pairs in (lambda m: _plausible(_typical_stars(m, may), may), lambda m: _open_pairs(m, may)):
+        some = stored(pairs(stored(_mixed(bands, roots), "mixed")), "open-pairs")
+        more = stored(confirmed(some, texts), "more-links")
         if not more.isEmpty():
             roots = components(roots.select(F.col("root").alias("u"), "v").union(more))
     named = classes.join(roots, classes.rep == roots.v, "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("root", "rep").alias("component"))
