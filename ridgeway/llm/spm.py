@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-KEPT_PARTS = 600_000
-KEPT_PAIRS = 1_000_000
-KEPT_PREFIXES = 500_000
+KEPT_PARTS = 250_000
+KEPT_PAIRS = 400_000
+KEPT_PREFIXES = 200_000
 
 
 class Automaton:
@@ -296,13 +296,16 @@ def _over_texts(docs: DataFrame, model_path: str, id_col: str, schema: str, kind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # no reference cycles arise here, and the tables are large
-        model = model_of(shared.value)
-        for batch in batches:
-            # a few rows at a time: ids take more room than their text
-            for at in range(0, batch.num_rows, 64):
-                piece = batch.slice(at, 64)
-                cols = list(zip(*(row(model, t.as_py() or "") for t in piece.column(1))))
-                yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, cols, kinds)], names=[id_col, *(f"c{k}" for k in range(len(cols)))])
+        try:
+            model = model_of(shared.value)
+            for batch in batches:
+                # a few rows at a time: ids take more room than their text
+                for at in range(0, batch.num_rows, 64):
+                    piece = batch.slice(at, 64)
+                    cols = list(zip(*(row(model, t.as_py() or "") for t in piece.column(1))))
+                    yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, cols, kinds)], names=[id_col, *(f"c{k}" for k in range(len(cols)))])
+        finally:
+            gc.enable()
 
     return docs.select(id_col, F.col("text").alias("__text")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {schema}")
 
