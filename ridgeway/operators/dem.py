@@ -27,8 +27,10 @@ class AnalyticSurface:
         return surface_code(full(px), full(py))
 
     def with_height(self, df: DataFrame, level: Column, x: Column, y: Column, name: str = "h") -> DataFrame:
+        # pixel columns of their own: inlined, the formula would repeat all that leads to them
         px, py = pixel(x, y, level)
-        return df.withColumn(name, geo.elevation(self.code(level, px, py)))
+        df = df.withColumns({"__px": px, "__py": py}).withColumn("__code", self.code(level, F.col("__px"), F.col("__py")))
+        return df.withColumn(name, geo.elevation(F.col("__code"))).drop("__px", "__py", "__code")
 
 
 class BlockSurface:

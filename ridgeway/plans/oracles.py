@@ -252,7 +252,7 @@ ORACLES: dict[str, str] = {
     "sky_fraction": f"WITH {FILL} SELECT view, round(1 - count(*) / 960e0, 6) AS sky FROM cells GROUP BY view",
     "profile_bins": f"WITH {PROFILE} SELECT view, col, bin, round(CAST(max_h AS DOUBLE), 3) AS max_h FROM profile",
     "profile_band_max": f"WITH {PROFILE} SELECT view, col, round(CAST(max(max_h) AS DOUBLE), 3) AS top FROM profile WHERE bin BETWEEN {bin_('250e0')} AND {bin_('1000e0')} GROUP BY view, col",
-    "peak_candidates": f"WITH {VIEWS}, {PEAKS}, {PAIRS.format('views')} SELECT view, osm_id, round(distance, 3) AS distance, round(azimuth, 3) AS azimuth FROM pairs",
+    "peak_candidates": f"WITH {VIEWS}, {PEAKS}, {PAIRS.format('views')} SELECT view, osm_id, distance, azimuth FROM pairs",
     "peak_projection": f"WITH {EYES}, {SHOWN} SELECT view, osm_id, round(ele, 3) AS ele, round(altitude, 5) AS altitude, round(x, 7) AS x, round(y, 10) AS y, coalesce(\"column\", -1) AS \"column\" FROM projected",
     "peak_bracketing": f"WITH {EYES}, {SHOWN}, {SLOTS} SELECT view, osm_id, CAST(slot AS INT) AS slot, pray AS ray, round(t, 6) AS t FROM bracketed",
     "peak_visibility": f"WITH {SEEN} SELECT view, osm_id, visible FROM decided",

@@ -332,7 +332,7 @@ def _dominant(spark, d):
 
 @query
 def peak_candidates(spark, d):
-    return march.peak_candidates(fixtures.views(spark, d), fixtures.peaks(spark, d), PEAK_LIMIT).select("view", "osm_id", F.round("distance", 3).alias("distance"), F.round("azimuth", 3).alias("azimuth"))
+    return march.peak_candidates(fixtures.views(spark, d), fixtures.peaks(spark, d), PEAK_LIMIT).select("view", "osm_id", "distance", "azimuth")
 
 
 @query
