@@ -21,6 +21,8 @@ def pixel(x: Column, y: Column, level: Column) -> tuple[Column, Column]:
 class AnalyticSurface:
     """A surface given by a formula: sampling is an expression, nothing is joined or shuffled."""
 
+    complete = True  # it has data everywhere
+
     def code(self, level: Column, px: Column, py: Column) -> Column:
         up = F.pow(geo.num(2), 13 - level)
         full = lambda p: F.when(level >= 14, p).otherwise(((2 * p + 1) * up).cast("long"))
@@ -39,6 +41,8 @@ class BlockSurface:
     Blocks are broadcast by Spark when they are small enough to be, else both sides are shuffled on the key.
     """
 
+    complete = False
+
     def __init__(self, blocks: DataFrame, grid: geo.Grid = GRID):
         self.blocks, self.px = blocks, grid.block_px
 

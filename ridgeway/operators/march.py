@@ -65,7 +65,9 @@ def sampled(steps: DataFrame, surface) -> DataFrame:
     lon, lat = geo.destination(F.col("lon"), F.col("lat"), F.col("azimuth"), F.col("d"))
     steps = steps.withColumns({"__lon": lon, "__lat": lat})
     steps = steps.withColumns({"sx": geo.merc_x(F.col("__lon")), "sy": geo.merc_y(F.col("__lat"))}).drop("__lon", "__lat")
-    found = surface.with_height(steps, F.col("level"), F.col("sx"), F.col("sy")).filter("h IS NOT NULL")
+    found = surface.with_height(steps, F.col("level"), F.col("sx"), F.col("sy"))
+    if not surface.complete:  # pushed down, the filter would repeat the whole formula
+        found = found.filter("h IS NOT NULL")
     tangent = F.round((F.col("h") - F.col("eye") - geo.curvature_drop(F.col("d"))) / F.col("d"), 12)
     return found.withColumn("tangent", tangent).withColumn("alpha", F.round(F.degrees(F.atan("tangent")), 9))
 
