@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .rules import MEASURES, measure
+from .rules import measure
 from .store import stored
 
 SAMPLE = 20_000
@@ -128,6 +128,3 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, label:
     odds = F.col("evidence") - float(np.log(rate / (1 - rate))) + F.log(held / (1 - held))
     final = 1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-30.0)), F.lit(30.0))))
     return out.select("doc_id", "evidence", "host_rate", "path_rate", final.alias("score"), (final >= 0.5).alias("kept"))
-
-
-__all__ = ["MEASURES", "SAMPLE", "features", "fit", "score"]
