@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo
-
 # fixed values: defaults and limits of the two request kinds
 PANORAMA = {"az": 0.0, "fov": 360.0, "alt_min": -18.0, "alt_max": 20.0, "step": 0.05, "eye": 1.7, "eye_search_radius": 10.0, "range": 300000.0, "ssx": 3, "ssy": 3, "ridge_strength": 1.0, "ridge_width": 1.0, "dither": 1.0, "quality": 95, "depth_step": 1}
 VIEWSHED = {"radius": 30000.0, "scale": 20.0, "eye": 1.7, "eye_search_radius": 10.0, "target_height": 0.0, "quality": 95}
@@ -67,6 +65,3 @@ def viewshed(requests: DataFrame) -> DataFrame:
 def metadata(stats: DataFrame, *columns: str) -> DataFrame:
     """(view, meta): the named statistics as one JSON document a view."""
     return stats.select("view", F.to_json(F.struct(*columns)).alias("meta"))
-
-
-__all__ = ["geo", "metadata", "panorama", "viewshed"]
