@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
+from .store import small_batches
 
 SYMBOLS = "#*$%&|<>"
 #: name -> (measure, factor, other measure, factor): it fails where measure * factor > other * factor.
@@ -96,7 +97,7 @@ def ledger(docs: DataFrame, ids: tuple[str, ...] = ("doc_id",), text: str = "tex
             m = _measured(batch.column(len(ids)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(ids)], *(pa.array(m[k], pa.int64()) for k in (*MEASURES, "failed"))], names=[*ids, *MEASURES, "failed"])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def passes(policy: str, failed: Column | str = "failed") -> Column:
@@ -112,7 +113,7 @@ def keep_passing(docs: DataFrame, policy: str, text: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_measured(batch.column(where))["failed"] & mask == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def ablations(book: DataFrame, policy: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .rules import measure
-from .store import stored
+from .store import small_batches, stored
 
 SAMPLE = 20_000
 FEATURES = 9
@@ -81,7 +81,7 @@ def _measured(docs: DataFrame, ids: list[str]) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * FEATURES, pa.int32()), pa.array(x.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(ids)], lists], names=[*ids, "x"])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _strength(groups: DataFrame, center: Column) -> float:

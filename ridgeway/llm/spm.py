@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 BLANK = "▁"
 KEPT_PARTS = 250_000
 KEPT_PAIRS = 400_000
@@ -295,19 +297,21 @@ def _over_texts(docs: DataFrame, model_path: str, id_col: str, schema: str, kind
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))  # a vocabulary file, half a megabyte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of(shared.value)
         gc.disable()  # no reference cycles arise here, and the tables are large
         try:
-            model = model_of(shared.value)
             for batch in batches:
                 # a few rows at a time: ids take more room than their text
                 for at in range(0, batch.num_rows, 64):
                     piece = batch.slice(at, 64)
                     cols = list(zip(*(row(model, t.as_py() or "") for t in piece.column(1))))
                     yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, cols, kinds)], names=[id_col, *(f"c{k}" for k in range(len(cols)))])
-        finally:
+        finally:  # a worker outlives its task: what it keeps takes memory from others
+            model.parts.clear()
+            model.last.clear()
             gc.enable()
 
-    return docs.select(id_col, F.col("text").alias("__text")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {schema}")
+    return small_batches(docs.select(id_col, F.col("text").alias("__text"))).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {schema}")
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:

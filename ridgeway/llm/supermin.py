@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textblocks as tb
 from .graph import components
-from .store import stored
+from .store import small_batches, stored
 
 SHINGLE = 4
 POSITIONS = 128
@@ -150,7 +150,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, bands, sig) per row; f1 and f2, the set's fingerprint, are null for an empty set."""
-    return docs.select("doc_id", "text").mapInArrow(_features, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sig binary")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(_features, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sig binary")
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
