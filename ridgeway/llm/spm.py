@@ -17,6 +17,7 @@ normaliser must be the identity without white-space removal, otherwise loading i
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import heapq
@@ -310,6 +311,8 @@ def _over_texts(docs: DataFrame, model_path: str, id_col: str, schema: str, kind
             model.parts.clear()
             model.last.clear()
             gc.enable()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
 
     return small_batches(docs.select(id_col, F.col("text").alias("__text"))).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {schema}")
 

@@ -123,7 +123,7 @@ def signatures(owner: np.ndarray, element: np.ndarray, n: int, positions: int =
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in tb.blocks(batch.column(1)):
+        for block in tb.blocks(batch.column(1), tb.BLOCK_BYTES // 2):
             owner, h = shingles(block)
             size = np.bincount(owner, minlength=block.n)
             sig = signatures(owner, h, block.n)
