@@ -57,7 +57,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Null ends and self-loops are ignored; repeated edges do no harm; no edges give no rows.
     """
-    edges = edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").mapInArrow(local_forest, "u bigint, v bigint")
+    # written first: edges that Python makes and Python that takes them would hold two workers for each task
+    edges = stored(edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL AND u <> v"), "edges").mapInArrow(local_forest, "u bigint, v bigint")
     edges, before = stored(edges.distinct(), "forest"), None
     while (now := _state(edges)) != before:
         before, parts = now, 1 + now[0] // EDGES_A_PART  # few tasks for few edges

@@ -185,21 +185,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(a, "v").join(b, "u").select("u", "v", "tu", "tv").mapInArrow(_confirm, "u bigint, v bigint")
 
 
+def _members(block: pa.StructArray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The numbers of a block's members by name, and their signatures, one per line."""
+    sig = np.frombuffer(b"".join(block.field("sig").to_pylist()), np.uint8)
+    return {k: block.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "grp", "n", "m")}, sig.reshape(-1, POSITIONS)
+
+
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows with two blocks of members: the pairs of different groups that the bound and the signatures allow to link."""
     for batch in batches:
-        for r in batch.to_pylist():
-            a, b = ({k: np.array([m[k] for m in r[side]], np.int64) for k in ("rep", "grp", "n", "m")} for side in "lr")
-            sa, sb = (np.frombuffer(b"".join(m["sig"] for m in r[side]), np.uint8).reshape(-1, POSITIONS) for side in "lr")
+        same = batch.column(2).to_pylist()
+        for at in range(batch.num_rows):
+            # one row of two blocks at a time, as arrays: a batch holds many
+            (a, sa), (b, sb) = (_members(batch.column(side)[at].values) for side in (0, 1))
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(len(sa)):
                 ok = (b["grp"] != a["grp"][k]) & ((100 + PERCENT) * np.minimum(a["m"][k], b["m"]) >= PERCENT * (a["n"][k] + b["n"]))
-                if r["same"]:
+                if same[at]:
                     ok &= b["rep"] > a["rep"][k]
-                at = np.flatnonzero(ok)
-                at = at[(sb[at] == sa[k]).sum(axis=1) >= AGREE]
-                us.append(np.minimum(a["rep"][k], b["rep"][at]))
-                vs.append(np.maximum(a["rep"][k], b["rep"][at]))
+                near = np.flatnonzero(ok)
+                near = near[(sb[near] == sa[k]).sum(axis=1) >= AGREE]
+                us.append(np.minimum(a["rep"][k], b["rep"][near]))
+                vs.append(np.maximum(a["rep"][k], b["rep"][near]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
 
