@@ -56,7 +56,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supermin.near_duplicates(_docs(spark, sf_dir))
+    return supermin.near_duplicates(_docs(spark, sf_dir), 4)
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 r"""Near-duplicate grouping: SuperMinHash signatures, banding, verification on full sets, union-find.
 
-A document's set is its distinct 4-word shingles (A-Z lower-cased, words outside ASCII white space); with fewer
-words the whole sequence is its one shingle; without words the set is empty and links with nothing.  Documents
+A document's set is its distinct shingles of ``size`` words, five unless told otherwise (A-Z lower-cased, words
+outside ASCII white space); with fewer words the whole sequence is its one shingle; without words the set is empty and links with nothing.  Documents
 link when 100 * |A and B| >= 80 * |A or B|; the grouping is the transitive closure of links.
 
 Steps, all distributed:
@@ -30,6 +30,7 @@ are read.  Sets hold 64-bit shingle hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from . import textblocks as tb
 from .graph import components
 from .store import small_batches, stored
 
-SHINGLE = 4
+SHINGLE = 5
 POSITIONS = 128
 ROWS = 4
 BANDS = POSITIONS // ROWS
@@ -121,10 +122,10 @@ def signatures(owner: np.ndarray, element: np.ndarray, n: int, positions: int =
     return best
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in tb.blocks(batch.column(1), tb.BLOCK_BYTES // 2):
-            owner, h = shingles(block)
+            owner, h = shingles(block, words)
             size = np.bincount(owner, minlength=block.n)
             sig = signatures(owner, h, block.n)
             sums = [np.zeros(block.n, np.uint64) for _ in range(2)]
@@ -148,12 +149,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, bands, sig) per row; f1 and f2, the set's fingerprint, are null for an empty set."""
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(_features, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sig binary")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(partial(_features, words=size), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sig binary")
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """Of (u, v, text of u, text of v), the pairs that link; a text that repeats from row to row is hashed once."""
     last: dict[str, np.ndarray] = {}
 
@@ -164,7 +165,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(last) > 64:
                     last.clear()
                 block = next(tb.blocks(pa.array([key], pa.large_string())))
-                last[key] = shingles(block)[1]
+                last[key] = shingles(block, words)[1]
             yield last[key]
 
     for batch in batches:
@@ -176,13 +177,13 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Of distinct (u, v): those that link.  ``texts``: (id, text); it is cut down to the ids in question first."""
     some = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     texts = stored(texts.join(some, "id", "left_semi"), "texts")
     a = texts.select(F.col("id").alias("v"), F.col("text").alias("tv"))
     b = texts.select(F.col("id").alias("u"), F.col("text").alias("tu"))
-    return pairs.join(a, "v").join(b, "u").select("u", "v", "tu", "tv").mapInArrow(_confirm, "u bigint, v bigint")
+    return pairs.join(a, "v").join(b, "u").select("u", "v", "tu", "tv").mapInArrow(partial(_confirm, words=size), "u bigint, v bigint")
 
 
 def _members(block: pa.StructArray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -210,18 +211,18 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _exploded(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in tb.blocks(batch.column(1)):
-            owner, h = shingles(block)
+            owner, h = shingles(block, words)
             ids = batch.column(0).slice(block.first, block.n)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(owner)), pa.array(h.view(np.int64))], names=["rep", "h"])
 
 
-def _own_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _own_shingles(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(rep, own): how many of a member's shingles no other member holds."""
     some = texts.join(members.select(F.col("rep").alias("id")), "id", "left_semi")
-    each = some.select("id", "text").mapInArrow(_exploded, "rep bigint, h bigint")
+    each = some.select("id", "text").mapInArrow(partial(_exploded, words=size), "rep bigint, h bigint")
     single = each.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last")
     return single.groupBy(F.col("rep").alias("holder")).agg(F.count(F.lit(1)).alias("own"))
 
@@ -246,10 +247,10 @@ def _mixed(bands: DataFrame, roots: DataFrame) -> DataFrame:
     return named.join(some.select("bucket", "size"), "bucket")
 
 
-def _may_link(mixed: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _may_link(mixed: DataFrame, reps: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(rep, sig, n, m) of the members that the bound doesn't exclude on their own."""
     members = stored(mixed.select("rep").distinct(), "members")
-    own = _own_shingles(members, texts)
+    own = _own_shingles(members, texts, size)
     known = reps.join(members, "rep", "left_semi").select("rep", "sig", F.col("n_shingles").alias("n"), "sets")
     known = known.join(own, F.col("rep") == F.col("holder"), "left")
     # rows of one doc_id with several sets aren't bounded
@@ -280,10 +281,10 @@ def _open_pairs(mixed: DataFrame, known: DataFrame) -> DataFrame:
     return met.mapInArrow(_cross, "u bigint, v bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id of its group), kept."""
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One row per row of ``docs``, compared by shingles of ``size`` words: doc_id, n_shingles, component_id (smallest doc_id of its group), kept."""
     docs = docs.select("doc_id", "text")
-    rows = stored(features(docs), "features")
+    rows = stored(features(docs, size), "features")
     reps = rows.filter("f1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     classes = stored(reps, "classes")
     known = rows.join(classes, (rows.doc_id == classes.rep) & (rows.f1 == classes.f1) & (rows.f2 == classes.f2)).select("rep", "n_shingles", "bands", "sig").dropDuplicates(["rep", "sig", "n_shingles"])
@@ -297,14 +298,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = shared.filter("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct()
     sets = known.groupBy(F.col("rep").alias("r")).agg(F.count(F.lit(1)).alias("sets"))
     counted = known.join(sets, F.col("rep") == F.col("r")).select("rep", "n_shingles", "sig", "sets")
-    roots = components(confirmed(stored(_plausible(stars, known), "stars"), texts))
+    roots = components(confirmed(stored(_plausible(stars, known), "stars"), texts, size))
 
     bands = shared.select("bucket", "rep").distinct()
-    may = stored(_may_link(_mixed(bands, roots), counted, texts), "may-link")
+    may = stored(_may_link(_mixed(bands, roots), counted, texts, size), "may-link")
     bands = stored(bands.join(may.select("rep"), "rep", "left_semi"), "may-link-bands")
     for pairs in (lambda m: _plausible(_typical_stars(m, may), may), lambda m: _open_pairs(m, may)):
         some = stored(pairs(stored(_mixed(bands, roots), "mixed")), "open-pairs")
-        more = stored(confirmed(some, texts), "more-links")
+        more = stored(confirmed(some, texts, size), "more-links")
         if not more.isEmpty():
             roots = components(roots.select(F.col("root").alias("u"), "v").union(more))
     named = classes.join(roots, classes.rep == roots.v, "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("root", "rep").alias("component"))
@@ -316,8 +317,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one_each(docs: DataFrame) -> DataFrame:
+def keep_one_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``docs`` without the rows whose document is not its group's smallest id; repeated rows of a kept doc_id shrink to one."""
-    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = near_duplicates(docs, size).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     out = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return out.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
