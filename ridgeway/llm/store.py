@@ -25,9 +25,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, in a session whose Arrow batches hold at most ``rows`` rows: whole texts are long, and each task holds a batch twice."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, str(rows))
+def small_batches(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most ``rows`` rows and about ``size`` bytes: texts can be very long, and each task holds a batch twice."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        have = df.sparkSession.conf.get(key)
+        if not have.rstrip("b").lstrip("-").isdigit() or not 0 < int(have.rstrip("b")) <= most:
+            df.sparkSession.conf.set(key, str(most))
     return df
