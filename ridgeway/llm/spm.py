@@ -34,6 +34,8 @@ BLANK = "▁"
 KEPT_PARTS = 250_000
 KEPT_PAIRS = 400_000
 KEPT_PREFIXES = 200_000
+#: longer parts have a prefix table of their own, by length: a prefix itself would take as much room as it has characters
+KEPT_LENGTH = 64
 
 
 class Automaton:
@@ -166,18 +168,27 @@ class PieceModel:
             return (self.ids[part],)
         if self.tie is not None and self.tie.search(part):
             return tuple(x for p in self.merge(part) for x in ([self.ids[p]] if p in self.ids else self._fallback(p)))
+        if len(part) > KEPT_LENGTH:
+            last = [(-1, 0, 0)] * (len(part) + 1)
+            self._extend(part, 0, last, range(len(part) + 1))
+            return self._recovered(part, last, range(len(part) + 1))
         last, known = self.last, len(part)
         while known and part[:known] not in last:
             known -= 1
+        if known < len(part) and len(last) > KEPT_PREFIXES:
+            last.clear()
+            known = 0
+        prefix = [part[:end] for end in range(len(part) + 1)]
         if known < len(part):
-            if len(last) > KEPT_PREFIXES:
-                last.clear()
-                known = 0
-            self._extend(part, known)
+            self._extend(part, known, last, prefix)
+        return self._recovered(part, last, prefix)
+
+    def _recovered(self, part: str, last, key) -> tuple[int, ...]:
+        """The ids of ``part``, from its last token backwards; ``last[key[end]]`` is the last token of its first ``end`` characters."""
         out: list[int] = []
         end = len(part)
         while end:
-            i, n, _ = last[part[:end]]
+            i, n, _ = last[key[end]]
             if i >= 0:
                 out.append(i)
             else:
@@ -185,18 +196,18 @@ class PieceModel:
             end -= n
         return tuple(out[::-1])
 
-    def _extend(self, part: str, known: int) -> None:
+    def _extend(self, part: str, known: int, last, key) -> None:
         """Enter the prefixes of ``part`` that are longer than ``known``, each from the automaton state of the one before."""
-        last, pairs, step, outputs = self.last, self.pairs, self.automaton.step, self.automaton.outputs
-        state = last[part[:known]][2] if known else 0
+        pairs, step, outputs = self.pairs, self.automaton.step, self.automaton.outputs
+        state = last[key[known]][2] if known else 0
         for end in range(known + 1, len(part) + 1):
             state = step(state, part[end - 1])
             for i, n in outputs[state]:
-                if end == n or (b := last[part[: end - n]][0]) < 0 or ((ok := pairs.get(b << 32 | i)) is None and self._compatible(b, i)) or ok:
-                    last[part[:end]] = (i, n, state)
+                if end == n or (b := last[key[end - n]][0]) < 0 or ((ok := pairs.get(b << 32 | i)) is None and self._compatible(b, i)) or ok:
+                    last[key[end]] = (i, n, state)
                     break
             else:
-                last[part[:end]] = (-1, 1, state)
+                last[key[end]] = (-1, 1, state)
 
     def parts_of(self, text: str) -> list[str]:
         """The parts of a text: nothing is ever merged across their ends."""
@@ -282,7 +293,7 @@ _models: dict[str, PieceModel] = {}
 
 
 def model_of(serialized: bytes) -> PieceModel:
-    """One model per worker process, with what it has learnt about parts and pairs."""
+    """The model of this worker process, with what it has learnt about parts and pairs; ``_over_texts`` drops it after its task."""
     key = hashlib.sha256(serialized).hexdigest()
     if key not in _models:
         _models[key] = PieceModel(serialized)
@@ -307,10 +318,11 @@ def _over_texts(docs: DataFrame, model_path: str, id_col: str, schema: str, kind
                     piece = batch.slice(at, 64)
                     cols = list(zip(*(row(model, t.as_py() or "") for t in piece.column(1))))
                     yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, cols, kinds)], names=[id_col, *(f"c{k}" for k in range(len(cols)))])
-        finally:  # a worker outlives its task: what it keeps takes memory from others
-            model.parts.clear()
-            model.last.clear()
+        finally:  # a worker outlives its task: what it keeps takes memory from others, and building the model takes about a second
+            _models.clear()
+            del model
             gc.enable()
+            gc.collect()
             if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
                 libc.malloc_trim(0)
 

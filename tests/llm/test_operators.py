@@ -109,12 +109,12 @@ def test_hot_lines_take_the_other_route(docs, monkeypatch):
     assert sorted(map(str, linedup.dedup_lines(docs).collect())) == a
 
 
-def shingle_set(text):
+def shingle_set(text, size):
     ws = lower(text).split()
-    return {tuple(ws[i : i + 4]) for i in range(len(ws) - 3)} if len(ws) > 3 else {tuple(ws)} if ws else set()
+    return {tuple(ws[i : i + size]) for i in range(len(ws) - size + 1)} if len(ws) >= size else {tuple(ws)} if ws else set()
 
 
-def brute_components(rows):
+def brute_components(rows, size=5):
     parent = {r["doc_id"]: r["doc_id"] for r in rows if r["doc_id"] is not None}
 
     def find(x):
@@ -122,7 +122,7 @@ def brute_components(rows):
             x = parent[x]
         return x
 
-    some = [(r["doc_id"], shingle_set(r["text"])) for r in rows if r["doc_id"] is not None]
+    some = [(r["doc_id"], shingle_set(r["text"], size)) for r in rows if r["doc_id"] is not None]
     for i, (a, x) in enumerate(some):
         for b, y in some[:i]:
             if x and y and 100 * len(x & y) >= 80 * len(x | y):
@@ -131,15 +131,16 @@ def brute_components(rows):
     return {x: find(x) for x in parent}
 
 
-def test_near_duplicates_against_brute_force(docs, empty):
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_duplicates_against_brute_force(docs, empty, size):
     rows = docs.collect()
-    want = brute_components(rows)
-    got = supermin.near_duplicates(docs).collect()
+    want = brute_components(rows, size)
+    got = supermin.near_duplicates(docs, size).collect()
     assert len(got) == len(rows) and all(r["component_id"] == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == want[r["doc_id"]]) for r in got if r["doc_id"] is not None)
     assert [r["kept"] for r in got if r["doc_id"] is None] == [True]
-    kept = supermin.keep_one_each(docs)
+    kept = supermin.keep_one_each(docs, size)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({r for r, c in want.items() if r == c})
-    assert supermin.near_duplicates(empty).count() == 0
+    assert supermin.near_duplicates(empty, size).count() == 0
 
 
 def test_chains_of_edits_stay_linked(spark):
@@ -155,8 +156,8 @@ def test_chains_of_edits_stay_linked(spark):
             own[rng.randrange(60)] = f"x{k}-{j}"
         rows.append((k, " ".join(own), "b"))
     df = table(spark, rows)
-    want = brute_components(df.collect())
-    assert {r["doc_id"]: r["component_id"] for r in supermin.near_duplicates(df).collect()} == want
+    want = brute_components(df.collect(), 4)
+    assert {r["doc_id"]: r["component_id"] for r in supermin.near_duplicates(df, 4).collect()} == want
     assert len(set(want.values())) > 2
 
 
@@ -227,6 +228,11 @@ def test_pieces_match_the_library(docs, empty):
     for t in texts:
         ids = lib.encode(t)
         assert model.encode(t) == ids and model.decode(ids) == lib.decode(ids)
+    for alphabet in ("etaoinshr", "é梦🙂1_-", "=-"):  # parts without a cut, below and beyond the kept length
+        for n in (spm.KEPT_LENGTH - 1, spm.KEPT_LENGTH, spm.KEPT_LENGTH + 1, 3000):
+            t = "".join(rng.choice(alphabet) for _ in range(n))
+            assert model.encode(t) == lib.encode(t)
+    assert max(map(len, model.last)) <= spm.KEPT_LENGTH
     got = sorted(map(str, (tuple(r) for r in spm.digests(docs, MODEL).collect())))
     hexa = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = [(r["doc_id"], len(i := lib.encode(r["text"] or "")), hexa(",".join(map(str, i))), hexa(lib.decode(i))) for r in docs.collect()]
