@@ -19,8 +19,8 @@ Steps, all distributed:
    can't be shared, so with m shared-able of n shingles, documents link only if 180 * min(m, m') >= 80 * (n + n').
    This exact bound drops documents on their own (m < 0.8 n).  The others are first paired with their bucket's most
    typical member (largest m / n), which gathers the copies of one text with edits of their own, the usual large
-   group.  What is still apart is compared in blocks of bounded size, pairs that the bound or the signatures exclude
-   are dropped, and the rest is confirmed.
+   group.  What is still apart is compared in blocks of bounded size; pairs that the bound, the signatures or bitmaps
+   of the sets exclude are dropped, and the rest is confirmed.  A bitmap only ever overstates an intersection.
 
 Definitions.  Rows with one doc_id count as one document that holds both sets.  A row with a null doc_id links
 with nothing; its component is null and it is kept.  An empty table gives an empty result.  Only doc_id and text
@@ -48,6 +48,7 @@ BANDS = POSITIONS // ROWS
 AGREE = 72
 BLOCK = 512
 PERCENT = 80
+BITS_EACH = 8
 
 _U = np.uint64
 
@@ -192,6 +193,44 @@ def _members(block: pa.StructArray) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return {k: block.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "grp", "n", "m")}, sig.reshape(-1, POSITIONS)
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Of (id, text): the set as a bitmap of 8 to 16 bits per shingle, a power of two; a larger one folds onto a smaller one by halves."""
+    for batch in batches:
+        for block in tb.blocks(batch.column(1)):
+            owner, h = shingles(block, words)
+            bits = 1 << np.ceil(np.log2(np.maximum(BITS_EACH * np.bincount(owner, minlength=block.n), 64))).astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(bits)])
+            flag = np.zeros(first[-1], bool)
+            flag[first[owner] + (h & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)] = True
+            packed = np.packbits(flag)
+            maps = [packed[a:b].tobytes() for a, b in zip(first[:-1] // 8, first[1:] // 8)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.n), pa.array(maps, pa.binary())], names=["id", "bits"])
+
+
+def _folded(maps: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps, one per line, folded to ``size`` words."""
+    while maps.shape[1] > size:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
+
+
+def _shareable(one: bytes, n: int, bits: list, many: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """An upper bound of the intersection of a set of ``n`` with each of those at ``at``: a bit that only one of them sets is a shingle that the other lacks."""
+    most = np.minimum(n, many[at])
+    if one is None:
+        return most
+    length = np.array([len(bits[i] or b"") for i in at])
+    for size in set(length.tolist()) - {0}:
+        some = np.flatnonzero(length == size)
+        words = min(size, len(one)) // 8
+        a = _folded(np.frombuffer(one, np.uint64)[None, :], words)
+        b = _folded(np.frombuffer(b"".join(bits[i] for i in at[some]), np.uint64).reshape(len(some), -1), words)
+        lacks_b, lacks_a = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (a & ~b, b & ~a))
+        most[some] = np.minimum(n - lacks_b, many[at[some]] - lacks_a)
+    return most
+
+
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows with two blocks of members: the pairs of different groups that the bound and the signatures allow to link."""
     for batch in batches:
@@ -199,6 +238,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(batch.num_rows):
             # one row of two blocks at a time, as arrays: a batch holds many
             (a, sa), (b, sb) = (_members(batch.column(side)[at].values) for side in (0, 1))
+            bits_a, bits_b = (batch.column(side)[at].values.field("bits").to_pylist() for side in (0, 1))
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(len(sa)):
                 ok = (b["grp"] != a["grp"][k]) & ((100 + PERCENT) * np.minimum(a["m"][k], b["m"]) >= PERCENT * (a["n"][k] + b["n"]))
@@ -206,6 +246,8 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ok &= b["rep"] > a["rep"][k]
                 near = np.flatnonzero(ok)
                 near = near[(sb[near] == sa[k]).sum(axis=1) >= AGREE]
+                if len(near):
+                    near = near[(100 + PERCENT) * _shareable(bits_a[k], a["n"][k], bits_b, b["n"], near) >= PERCENT * (a["n"][k] + b["n"][near])]
                 us.append(np.minimum(a["rep"][k], b["rep"][near]))
                 vs.append(np.maximum(a["rep"][k], b["rep"][near]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
@@ -248,19 +290,22 @@ def _mixed(bands: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _may_link(mixed: DataFrame, reps: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(rep, sig, n, m) of the members that the bound doesn't exclude on their own."""
+    """(rep, sig, n, m, bits) of the members that the bound doesn't exclude on their own; bits, the set's bitmap, is null for a document of several sets."""
     members = stored(mixed.select("rep").distinct(), "members")
     own = _own_shingles(members, texts, size)
     known = reps.join(members, "rep", "left_semi").select("rep", "sig", F.col("n_shingles").alias("n"), "sets")
     known = known.join(own, F.col("rep") == F.col("holder"), "left")
     # rows of one doc_id with several sets aren't bounded
     known = known.withColumn("m", F.when(F.col("sets") == 1, F.col("n") - F.coalesce("own", F.lit(0))).otherwise(F.col("n")))
-    return known.filter(f"100 * m >= {PERCENT} * n").select("rep", "sig", "n", "m")
+    known = stored(known.filter(f"100 * m >= {PERCENT} * n").select("rep", "sig", "n", "m", "sets"), "bounded")
+    some = texts.join(known.filter("sets = 1").select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text")
+    maps = some.mapInArrow(partial(_bitmaps, words=size), "id bigint, bits binary").groupBy("id").agg(F.max_by("bits", F.length("bits")).alias("bits"))
+    return known.join(maps, F.col("rep") == F.col("id"), "left").select("rep", "sig", "n", "m", "bits")
 
 
 def _typical_stars(mixed: DataFrame, known: DataFrame) -> DataFrame:
     """(u, v): members of a mixed bucket with its most typical member, where they are in different groups and the bound allows it."""
-    named = mixed.join(known.drop("sig"), "rep")
+    named = mixed.join(known.drop("sig", "bits"), "rep")
     best = named.groupBy("bucket").agg(F.max(F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("rep")).alias("id"), "grp", "n", "m")).alias("h"))
     pairs = named.join(best, "bucket").filter(f"grp <> h.grp AND {100 + PERCENT} * least(m, h.m) >= {PERCENT} * (n + h.n)")
     return pairs.select(F.least("rep", -F.col("h.id")).alias("u"), F.greatest("rep", -F.col("h.id")).alias("v")).distinct()
@@ -274,7 +319,7 @@ def _open_pairs(mixed: DataFrame, known: DataFrame) -> DataFrame:
     cuts = F.ceil(F.col("size") / BLOCK).cast("int")
     named = mixed.select("bucket", "rep", "grp", cuts.alias("cuts"), F.pmod(F.xxhash64("rep"), cuts.cast("long")).cast("int").alias("cut"))
     named = named.join(known, "rep")
-    box = stored(named.groupBy("bucket", "cut", "cuts").agg(F.collect_list(F.struct("rep", "grp", "sig", "n", "m")).alias("m")), "boxes")
+    box = stored(named.groupBy("bucket", "cut", "cuts").agg(F.collect_list(F.struct("rep", "grp", "sig", "n", "m", "bits")).alias("m")), "boxes")
     left = box.select("bucket", F.col("cut").alias("a"), F.col("m").alias("l"), F.explode(F.sequence(F.col("cut"), F.col("cuts") - 1)).alias("b"))
     right = box.select("bucket", F.col("cut").alias("b"), F.col("m").alias("r"))
     met = left.join(right, ["bucket", "b"]).select("l", "r", (F.col("a") == F.col("b")).alias("same"))
