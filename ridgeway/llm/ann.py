@@ -2,18 +2,21 @@
 
 Nearness is the cosine.  Unit vectors go to the list of their nearest centroid, and the residual is stored as
 ``PARTS`` one-byte codes.  A query probes its nearest lists; within a list a table of distances from the query's
-residual to every codeword makes a stored vector's distance a sum of look-ups; the best of these are reranked by
-the exact cosine of the original vectors, in double precision.
+residual to every codeword makes a stored vector's distance a sum of look-ups.  With the length of what the codes leave
+out, kept beside them, that distance bounds the true one from both sides: a stored vector is passed over only if ``k`` + 1
+others are certainly nearer, and all the rest are reranked by the exact cosine of the original vectors, in double
+precision.  So within the probed lists the answer is exact, however many vectors share their codes.
 
 Training takes about ``SAMPLE`` vectors, chosen by a hash of the id; every vector is indexed.  How many lists a query probes is
 measured on that sample, for a recall of ``RECALL``.  Centroids and codebooks
 are of bounded size (``MOST_LISTS`` lists) and travel in the tasks' closures.  Lists and the queries that probe them are cut into
-blocks, so no task holds a whole list however the vectors cluster.  Equal vectors are one class: only its
-smallest ids, as many as an answer can name, are kept (a limit that is applied before the shuffle), so a vector that
-a third of the rows share costs one entry.
+blocks, so no task holds a whole list however the vectors cluster.  Vectors of one direction (to 12 digits) are one class:
+only its smallest ids, as many as an answer can name, are kept (a limit that is applied before the shuffle), so a vector
+that a third of the rows share costs one entry.
 
 Definitions.  Rows take no part if the id is null or the vector is null, zero, holds a null, a NaN or an infinity, or
-differs in length from the commonest length.  Ties go to the smaller id.  A repeated id counts once for each different
+differs in length from the commonest length.  Scores are compared
+to 12 digits; ties go to the smaller id.  A repeated id counts once for each different
 vector; a query never names its own id.  No queries or no vectors give no rows.
 """
 
@@ -23,7 +26,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +39,9 @@ PARTS = 32
 CODES = 256
 RECALL = 0.97
 TRIALS = 256
-PER_LIST = 12
-RERANK = 80
+DIGITS = 12
+#: What single precision can do to a squared distance of unit vectors, and to a length.
+LOOSE_SQUARE, LOOSE = 2e-5, 1e-5
 LIST_BLOCK = 8192
 QUERY_BLOCK = 2048
 
@@ -49,16 +52,20 @@ def usable(vector: Column) -> Column:
 
 
 def classes(vectors: DataFrame, keep: int) -> DataFrame:
-    """(h1, h2, rep, ids, vec): equal vectors once, with their ``keep`` smallest ids in order."""
+    """(h1, h2, rep, ids, vec): vectors of one direction once, with their ``keep`` smallest ids in order."""
     few = vectors.withColumn("n", F.row_number().over(W.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("n") <= keep)
     return few.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("vec", "id").alias("vec"))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _exact_unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     top = np.abs(x).max(axis=1, keepdims=True)
     x = x / np.where(top > 0, top, 1)
-    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return _exact_unit(x).astype(np.float32)
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -107,10 +114,13 @@ class Index:
     def split(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.parts * self.width - self.dim))).reshape(len(x), self.parts, self.width)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(list, codes, length of what the codes leave out) of each vector."""
         own = _nearest(x, self.centers)
         rest = self.split(x - self.centers[own])
-        return own, np.stack([_nearest(rest[:, p], self.books[p]) for p in range(self.parts)], axis=1).astype(np.uint8)
+        code = np.stack([_nearest(rest[:, p], self.books[p]) for p in range(self.parts)], axis=1).astype(np.uint8)
+        left = sum(((rest[:, p] - self.books[p][code[:, p]]) ** 2).sum(axis=1) for p in range(self.parts))
+        return own, code, np.sqrt(left)
 
     def table(self, queries: np.ndarray, list_: int) -> np.ndarray:
         """(query, part, code): squared distances of the queries' residuals to every codeword."""
@@ -118,10 +128,43 @@ class Index:
         return ((rest[:, :, None, :] - self.books[None]) ** 2).sum(axis=3)
 
 
+def best_of_block(index: Index, list_: int, vecs: np.ndarray, codes: np.ndarray, left: np.ndarray, queries: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place, score) of the ``keep`` stored vectors with the highest cosine to each query; ties go to the smaller place."""
+    stored_, by_part, out = _exact_unit(vecs), codes.T.astype(np.int64), []
+    for i in range(0, len(queries), 64):
+        few = _exact_unit(queries[i : i + 64])
+        tables = index.table(few.astype(np.float32), list_)
+        d = tables[:, 0][:, by_part[0]]
+        for p in range(1, index.parts):
+            d += tables[:, p][:, by_part[p]]
+        near = np.ones(d.shape, bool)
+        if len(stored_) > keep:
+            most = np.partition(np.sqrt(d + LOOSE_SQUARE) + left, keep - 1, axis=1)[:, keep - 1 : keep]
+            near = np.sqrt(np.maximum(d - LOOSE_SQUARE, 0)) - left <= most + LOOSE
+        some = np.nonzero(near.any(axis=0))[0]
+        score = np.where(near[:, some], few @ stored_[some].T, -np.inf)
+        best = np.argsort(-np.round(score, DIGITS), axis=1, kind="stable")[:, :keep]
+        q = np.repeat(np.arange(len(few)), best.shape[1])
+        score, place = score[q, best.ravel()], some[best.ravel()]
+        out.append((q[score > -np.inf] + i, place[score > -np.inf], score[score > -np.inf]))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
+def directed(rows: DataFrame, dim: int) -> DataFrame:
+    """(id, vec, h1, h2): ``rows`` with hashes of their direction, the unit vector to ``DIGITS`` digits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                to = np.rint(_exact_unit(_matrix(batch.column(1), dim)) * 10.0**DIGITS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in to], pa.binary())], names=["id", "vec", "to"])
+
+    return rows.select("id", "vec").mapInArrow(run, "id bigint, vec array<double>, to binary").select("id", "vec", F.xxhash64("to").alias("h1"), F.xxhash64(F.lit(11), "to").alias("h2"))
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with ``is_query`` (on column ``id``) its ``k`` nearest others."""
     spark = vectors.sparkSession
@@ -132,8 +175,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     if mode is None:
         return spark.createDataFrame([], empty)
     dim = mode["dim"]
-    rows = rows.filter(F.size("vec") == dim).select("id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(11), "vec").alias("h2"))
-    known = stored(classes(rows, k + 1), "ann-classes")
+    rows = rows.filter(F.size("vec") == dim)
+    known = stored(classes(directed(rows, dim), k + 1), "ann-classes")
     n = known.count()
 
     share = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, SAMPLE / n))
@@ -145,16 +188,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own, code = index.encode(_unit(_matrix(batch.column(1), dim)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary())], names=["rep", "list", "code"])
+                own, code, rest = index.encode(_unit(_matrix(batch.column(1), dim)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(rest, pa.float32()), batch.column(1)], names=["rep", "list", "code", "rest", "vec"])
 
-    coded = stored(known.select("rep", "vec").mapInArrow(assign, "rep bigint, list int, code binary"), "ann-codes")
+    coded = stored(known.select("rep", "vec").mapInArrow(assign, "rep bigint, list int, code binary, rest float, vec array<double>"), "ann-codes")
     sizes = np.zeros(len(index.centers), np.int64)
     for r in coded.groupBy("list").count().collect():  # at most MOST_LISTS rows
         sizes[r["list"]] = r["count"]
     probes = index.probes
 
-    asked = rows.filter(is_query).select("id", "h1", "h2")
+    asked = directed(rows.filter(is_query), dim).select("id", "h1", "h2")
     who = asked.select("h1", "h2").distinct()
     who = known.join(who, ["h1", "h2"]).select(F.col("rep").alias("q"), F.col("vec").alias("qvec"))
     asked = asked.join(known.select("h1", "h2", F.col("rep").alias("q")), ["h1", "h2"]).select("id", "q")
@@ -180,37 +223,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     left = coded.withColumn("b", part("rep", cuts(sizes, LIST_BLOCK))).withColumn("qb", every(cuts(waiting, QUERY_BLOCK)))
     right = asking.withColumn("qb", part("q", cuts(waiting, QUERY_BLOCK))).withColumn("b", every(cuts(sizes, LIST_BLOCK)))
 
-    def scan(key: tuple, stored_: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(stored_) or not len(queries):
-            return pd.DataFrame({"q": [], "rep": [], "d": []})
-        codes = np.frombuffer(b"".join(stored_["code"]), np.uint8).reshape(len(stored_), index.parts).T.astype(np.int64)
-        reps, out = stored_["rep"].to_numpy(), []
-        for i in range(0, len(queries), 64):
-            few = queries.iloc[i : i + 64]
-            tables = index.table(_unit(np.array(few["qvec"].tolist(), np.float64)), key[0])
-            for q, t in zip(few["q"], tables):
-                d = t[0][codes[0]].copy()
-                for p in range(1, index.parts):
-                    d += t[p][codes[p]]
-                best = np.argpartition(d, PER_LIST)[:PER_LIST] if len(d) > PER_LIST else np.arange(len(d))
-                out.append(pd.DataFrame({"q": q, "rep": reps[best], "d": d[best].astype(np.float64)}))
-        return pd.concat(out)
+    def scan(key: tuple, stored_: pa.Table, queries: pa.Table) -> pa.Table:
+        schema = pa.schema([("q", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
+        if not stored_.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        stored_ = stored_.sort_by("rep")  # ties go to the smaller id
+        column = lambda t, name: t.column(name).combine_chunks()
+        codes = np.frombuffer(b"".join(stored_.column("code").to_pylist()), np.uint8).reshape(-1, index.parts)
+        q, place, score = best_of_block(index, key[0].as_py(), _matrix(column(stored_, "vec"), dim), codes, stored_.column("rest").to_numpy(), _matrix(column(queries, "qvec"), dim), k + 1)
+        return pa.table([queries.column("q").to_numpy()[q], stored_.column("rep").to_numpy()[place], score], schema=schema)
 
     keys = ["list", "b", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "q bigint, rep bigint, d double")
-    found = found.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy("d", "rep"))).filter(F.col("n") <= RERANK).select("q", "rep")
-    found = found.join(known.select("rep", "vec", "ids"), "rep").join(who, "q")
-
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = _matrix(batch.column(2), dim), _matrix(batch.column(3), dim)
-                score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(score)], names=["q", "rep", "ids", "score"])
-
-    scored = found.select("q", "rep", "vec", "qvec", "ids").mapInArrow(rerank, "q bigint, rep bigint, ids array<bigint>, score double")
-    best = W.partitionBy("q").orderBy(F.desc("score"), "rep")
-    scored = scored.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(scan, "q bigint, rep bigint, score double")
+    digits = F.rint(F.col("score") * 10.0**DIGITS)
+    best = W.partitionBy("q").orderBy(F.desc(digits), "rep")
+    scored = scored.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).join(known.select("rep", "ids"), "rep")
     pairs = asked.join(scored, "q").select(F.col("id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("query_id").orderBy(F.desc(digits), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

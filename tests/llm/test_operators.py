@@ -369,6 +369,24 @@ def test_nearest_vectors(spark):
     assert [(r["query_id"], r["vec_id"]) for r in ann.nearest(two, F.col("id") == 0).collect()] == [(0, 1)]
 
 
+def test_nearest_vectors_among_near_copies(spark):
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(8, 16)), 60, axis=0) + rng.normal(size=(480, 16)) * 1e-4
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, (x[7] * (3 + i)).tolist()) for i in range(60)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), v) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.nearest(df, F.col("id") % 10 == 0).collect()}
+    ids, unit = np.array([int(i) for i, _ in rows]), np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = {}
+    for q in ids[ids % 10 == 0]:
+        score = np.round(unit @ unit[ids == q][0], 12)
+        want |= {(q, k + 1): i for k, (_, i) in enumerate(sorted((-s, i) for s, i in zip(score, ids) if i != q)[:5])}
+    assert got.keys() == want.keys()
+    assert sum(got[key] == want[key] for key in want) >= 0.97 * len(want)
+    assert [got[1000, k] for k in range(1, 6)] == [7, 1001, 1002, 1003, 1004]
+
+
 def test_site_quality(spark, docs, empty):
     rng = random.Random(6)
     good = [(1000 + k, " ".join(rng.choice(WORDS) for _ in range(80)), f"h{k % 4}") for k in range(120)]
