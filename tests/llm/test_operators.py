@@ -329,6 +329,42 @@ def test_class_model_is_a_distribution_and_beats_the_unigram(spark):
     assert s[0] > s[1] + 100
 
 
+def test_every_word_has_an_exchange_class_whatever_the_head(spark, monkeypatch):
+    rng = random.Random(6)
+    a, b = [f"a{i}" for i in range(2000)], [f"b{i}" for i in range(2000)]  # far more than are exchanged, most of them rare
+    pick = lambda s: s[min(int(rng.paretovariate(0.5)) - 1, 1999)]
+    df = table(spark, [(k, " ".join(pick(a if j % 2 else b) for j in range(40)), "s") for k in range(300)])
+    monkeypatch.setattr(brown, "CLUSTERED", 64)
+    tally = brown.counts(df)
+    m = brown.train(df, tally)
+    h = {w: int(brown._tokens(next(tb.blocks(pa.array([w]))))[1][0]) for w in a + b}
+    cls = dict(zip(m.word.tolist(), m.cls.tolist()))
+    side = lambda ws: {cls[h[w]] for w in ws if h[w] in cls}
+    assert set(m.cls.tolist()) <= set(range(brown.CLASSES + 1)) and len(cls) > 200
+    assert not side(a) & side(b)
+    got = [sorted(map(tuple, brown.scores(df).select("doc_id", "n_known", F.round("score", 6)).collect()))]
+    monkeypatch.setattr(brown, "HEAD", 100)
+    got.append(sorted(map(tuple, brown.scores(df).select("doc_id", "n_known", F.round("score", 6)).collect())))
+    assert got[0] == got[1]
+
+
+def test_exchange_ends_where_no_move_raises_the_likelihood():
+    rng = np.random.default_rng(4)
+    big = rng.poisson(rng.gamma(0.2, 4, (24, 24))).astype(float)
+
+    def likelihood(own, k):
+        n = np.eye(k)[own].T @ big @ np.eye(k)[own]
+        h = lambda x: (x[x > 0] * np.log(x[x > 0])).sum()
+        return h(n) - h(n.sum(axis=0)) - h(n.sum(axis=1))
+
+    own = brown.exchange(big, 22, 4, np.array([4, 5]))
+    for w in range(22):
+        for c in range(4):
+            moved = own.copy()
+            moved[w] = c
+            assert likelihood(moved, 6) <= likelihood(own, 6) + 1e-6
+
+
 def test_exchange_only_raises_the_likelihood():
     rng = np.random.default_rng(2)
     big = rng.poisson(np.where(np.add.outer(np.arange(20), np.arange(20)) % 2 == 0, 8, 1)).astype(float)
