@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo
-from ..sources.fixtures import surface_code
+from ..sources import pyramid as store
+from ..sources.fixtures import surface_code, surface_codes
+from . import rays
 
 GRID = geo.Grid()
 
@@ -19,68 +25,176 @@ def pixel(x: Column, y: Column, level: Column) -> tuple[Column, Column]:
 
 
 class AnalyticSurface:
-    """A surface given by a formula: sampling is an expression, nothing is joined or shuffled."""
-
-    complete = True  # it has data everywhere
+    """A surface given by a formula, with data everywhere: sampling is arithmetic, nothing is joined or shuffled."""
 
     def code(self, level: Column, px: Column, py: Column) -> Column:
         up = F.pow(geo.num(2), 13 - level)
         full = lambda p: F.when(level >= 14, p).otherwise(((2 * p + 1) * up).cast("long"))
         return surface_code(full(px), full(py))
 
-    def with_height(self, df: DataFrame, level: Column, x: Column, y: Column, name: str = "h") -> DataFrame:
+    def with_height(self, df: DataFrame, key: list[str], level: Column, x: Column, y: Column, name: str = "h") -> DataFrame:
         # pixel columns of their own: inlined, the formula would repeat all that leads to them
         px, py = pixel(x, y, level)
         df = df.withColumns({"__px": px, "__py": py}).withColumn("__code", self.code(level, F.col("__px"), F.col("__py")))
         return df.withColumn(name, geo.elevation(F.col("__code"))).drop("__px", "__py", "__code")
 
+    def along(self, sectors: DataFrame, cast: rays.Cast, emit: Callable, schema: str) -> DataFrame:
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in rays.sectors_of(cast, batch):
+                    px, py = (np.floor(p).astype(np.int64) for p in rays.pixel_of(*s.places(), s.level))
+                    up = np.exp2(13 - s.level)
+                    px, py = (np.where(s.level >= 14, p, ((2 * p + 1) * up).astype(np.int64)) for p in (px, py))
+                    yield emit(s, surface_codes(px, py) * 0.1 - 500.0)
 
-class BlockSurface:
-    """A surface stored as blocks (level, bx, by, cells): sampling is one equi-join on the block key.
+        return sectors.mapInArrow(one, schema)
 
-    Blocks are broadcast by Spark when they are small enough to be, else both sides are shuffled on the key.
-    """
 
-    complete = False
+class Pyramid:
+    """A stored pyramid as a surface: bilinear between cell centres, from the finest level with data not finer than asked.
 
-    def __init__(self, blocks: DataFrame, grid: geo.Grid = GRID):
-        self.blocks, self.px = blocks, grid.block_px
+    Where one of the four cells around a point is missing the nearest of them by position (the first) stands.
+    """
 
-    def with_code(self, df: DataFrame, level: Column, px: Column, py: Column, name: str) -> DataFrame:
-        side = self.px
-        df = df.withColumns({"__l": level.cast("int"), "__bx": F.floor(px / side).cast("int"), "__by": F.floor(py / side).cast("int"), "__i": (F.pmod(py, F.lit(side)) * side + F.pmod(px, F.lit(side)) + 1).cast("int")})
+    def __init__(self, blocks: DataFrame, hidden: DataFrame, levels: list[int], side: int = GRID.block_px):
+        self.blocks, self.hidden, self.levels, self.side = blocks, hidden, sorted(levels, reverse=True), side
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, side: int = GRID.block_px) -> Pyramid:
+        """The pyramid that ``pyramid.write`` stored; without any level it raises."""
+        blocks = spark.read.schema(store.BLOCK).parquet(f"{path}/blocks")
+        levels = store.levels(blocks)
+        if not levels:
+            raise ValueError(f"no blocks under {path}")
+        return cls(blocks, spark.read.schema("level int, bx int, by int").parquet(f"{path}/hidden"), levels, side)
+
+    def level(self, z: int) -> DataFrame:
+        """One level's blocks: a partition filter."""
+        return self.blocks.filter(F.col("level") == z)
+
+    def candidates(self, want: int) -> list[int]:
+        """The levels tried in turn; if all are finer than asked, the coarsest."""
+        return [z for z in self.levels if z <= want] or self.levels[-1:]
+
+    def _joined(self, df: DataFrame, level: Column, px: Column, py: Column) -> DataFrame:
+        """Rows with their block's cells and the place in it; Spark broadcasts blocks only when they are small enough."""
+        side = self.side
+        df = df.withColumns({"__l": level.cast("int"), "__bx": F.floor(px / side).cast("int"), "__by": F.floor(py / side).cast("int"), "__i": (F.pmod(py, F.lit(side)) * (side + 1) + F.pmod(px, F.lit(side))).cast("int")})
         b = self.blocks.select(F.col("level").alias("__l"), F.col("bx").alias("__bx"), F.col("by").alias("__by"), F.col("cells").alias("__cells"))
-        return df.join(b, ["__l", "__bx", "__by"], "left").withColumn(name, F.element_at("__cells", F.col("__i"))).drop("__l", "__bx", "__by", "__i", "__cells")
-
-    def with_height(self, df: DataFrame, level: Column, x: Column, y: Column, name: str = "h") -> DataFrame:
-        px, py = pixel(x, y, level)
-        return self.with_code(df, level, px, py, "__code").withColumn(name, geo.elevation(F.coalesce("__code", F.lit(0)))).drop("__code")
-
-
-def bilinear(df: DataFrame, surface: BlockSurface, key: str, level: Column, x: Column, y: Column, name: str = "h") -> DataFrame:
-    """Bilinear height: the four pixel centres around a point, one row each, one join, one aggregation.
-
-    Where one of the four is missing the nearest of them by position (the first) stands; a point off the grid is null.
-    """
-    res = geo.level_res(level)
-    fx, fy = F.round((x + geo.ORIGIN) / res - 0.5, 6), F.round((geo.num(geo.ORIGIN) - y) / res - 0.5, 6)
-    corners = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)))).alias("c")
-    at = df.select(key, level.cast("int").alias("level"), fx.alias("fx"), fy.alias("fy")).select("*", corners)
-    at = surface.with_code(at, F.col("level"), F.floor("fx") + F.col("c.i"), F.floor("fy") + F.col("c.j"), "code")
-    tx, ty = F.col("fx") - F.floor("fx"), F.col("fy") - F.floor("fy")
-    w = F.when(F.col("c.i") == 1, tx).otherwise(1 - tx) * F.when(F.col("c.j") == 1, ty).otherwise(1 - ty)
-    v = geo.elevation(F.coalesce("code", F.lit(0)))
-    sums = at.withColumns({"w": w, "v": v}).groupBy(key).agg(F.count("v").alias("n"), F.sum(F.col("w") * F.col("v")).alias("s"), F.max(F.when((F.col("c.i") == 0) & (F.col("c.j") == 0), F.col("v"))).alias("v00"), F.min(F.least("fx", "fy")).alias("low"))
-    sums = sums.select(F.col(key).alias("__k"), F.when(F.col("low") < 0, None).when(F.col("n") == 4, F.col("s")).otherwise(F.col("v00")).alias(name))
-    return df.join(sums, F.col(key) == F.col("__k"), "left").drop("__k")
-
-
-def with_fallback(df: DataFrame, surface: BlockSurface, key: str, want: Column, x: Column, y: Column, grid: geo.Grid = GRID) -> DataFrame:
-    """Height from the finest level not finer than wanted that has data: all candidate levels in one join, nulls out, ``max_by``."""
-    tries = df.select(key, x.alias("x"), y.alias("y"), F.explode(F.sequence(F.lit(grid.coarsest), want)).alias("z"))
-    found = surface.with_height(tries, F.col("z"), F.col("x"), F.col("y")).filter("h IS NOT NULL")
-    best = found.groupBy(F.col(key).alias("__k")).agg(F.max_by("h", "z").alias("h"), F.max("z").alias("z"))
-    return df.join(best, F.col(key) == F.col("__k"), "left").drop("__k")
+        return df.join(b, ["__l", "__bx", "__by"], "left").drop("__l", "__bx", "__by")
+
+    def nearest(self, df: DataFrame, level: Column, x: Column, y: Column, name: str = "h") -> DataFrame:
+        """The height of the cell a point lies in, at one level."""
+        joined = self._joined(df, level, *pixel(x, y, level))
+        return joined.withColumn(name, geo.elevation(F.coalesce(store.code_at(F.col("__cells"), F.col("__i")), F.lit(0)))).drop("__i", "__cells")
+
+    def bilinear(self, df: DataFrame, level: Column, x: Column, y: Column, name: str = "h") -> DataFrame:
+        """Bilinear height at one level: one join, since a block repeats its neighbours' first line; null off the grid."""
+        res = geo.level_res(level)
+        df = df.withColumns({"__fx": F.round((x + geo.ORIGIN) / res - 0.5, 6), "__fy": F.round((geo.num(geo.ORIGIN) - y) / res - 0.5, 6)})
+        df = self._joined(df, level, F.floor("__fx"), F.floor("__fy"))
+        corner = {f"__v{j}{i}": geo.elevation(F.coalesce(store.code_at(F.col("__cells"), F.col("__i") + j * (self.side + 1) + i), F.lit(0))) for j in (0, 1) for i in (0, 1)}
+        df = df.withColumns({**corner, "__tx": F.col("__fx") - F.floor("__fx"), "__ty": F.col("__fy") - F.floor("__fy")})
+        a, b, c, d = (F.col(k) for k in corner)
+        mean = geo.lerp(geo.lerp(a, b, F.col("__tx")), geo.lerp(c, d, F.col("__tx")), F.col("__ty"))
+        df = df.withColumn(name, F.when(F.least("__fx", "__fy") >= 0, F.coalesce(mean, a)))
+        return df.drop(*corner, "__fx", "__fy", "__tx", "__ty", "__i", "__cells")
+
+    def with_height(self, df: DataFrame, key: list[str], level: Column, x: Column, y: Column, name: str = "h", found: str = "__z") -> DataFrame:
+        """Rows, unique by ``key``, with the height and the level it was found at: all candidate levels in one join."""
+        tries = F.filter(F.array(*map(F.lit, self.levels)), lambda z: z <= level)
+        out = df.withColumn(found, F.explode(F.when(F.size(tries) > 0, tries).otherwise(F.array(F.lit(self.levels[-1])))))
+        out = self.bilinear(out, F.col(found), x, y, name)
+        best = out.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key))).agg(F.max_by(F.struct(*out.columns), F.when(F.col(name).isNotNull(), F.col(found)).otherwise(-1)).alias("__s"))
+        best = best.select("__s.*").withColumn(found, F.when(F.col(name).isNotNull(), F.col(found)))
+        return best.drop("__z")
+
+    def along(self, sectors: DataFrame, cast: rays.Cast, emit: Callable, schema: str) -> DataFrame:
+        """Rays meet blocks as pieces (consecutive steps of a ray in one block): what is shuffled towards the blocks is a row
+        per sector and block, and back come the heights, packed: a sample is exchanged once.
+
+        Pieces at coarser levels than the finest asked for are only read where finer blocks leave something open.
+        """
+        run, side, where = self, self.side, "view bigint, lon double, lat double, eye double, low int, high int"
+        pieces = f"{where}, first boolean, level int, bx int, by int, ray binary, at binary, n binary"
+
+        def crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row, s in zip(batch.to_pylist(), rays.sectors_of(cast, batch)):
+                    x, y = s.places()
+                    found = []
+                    for z in levels:
+                        rank = np.array([candidates[w].index(z) if z in candidates[w] else -1 for w in s.level])
+                        for first in (True, False):
+                            steps = np.flatnonzero(rank == 0 if first else rank > 0)
+                            found += [row | {"first": first, "level": z, **piece} for piece in _pieces(*rays.pixel_of(x[:, steps], y[:, steps], z, 0.5), steps, side)]
+                    yield from pa.Table.from_pylist(found, piece_schema).to_batches(256)
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for row, s in zip(batch.to_pylist(), rays.sectors_of(cast, batch)):
+                    i, j = _unpacked(row)
+                    fx, fy = rays.pixel_of(*s.places(i, j), row["level"], 0.5)
+                    h = _bilinear(store.read_cells(row["cells"], side), fx - row["bx"] * side, fy - row["by"] * side)
+                    out.append({"view": row["view"], "low": row["low"], "level": row["level"], **{k: row[k] for k in ("ray", "at", "n")}, "h": h.tobytes()})
+                yield from pa.Table.from_pylist(out, height_schema).to_batches()
+
+        def combine(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            out = []
+            for s in rays.sectors_of(cast, left.combine_chunks().to_batches()[0]):
+                h = np.full((len(s.ray), len(s.d)), np.nan)
+                for row in right.sort_by("level").to_pylist():  # finer levels overwrite
+                    (i, j), v = _unpacked(row), np.frombuffer(row["h"])
+                    good = ~np.isnan(v)
+                    h[i[good], j[good]] = v[good]
+                out.append(emit(s, h))
+            return pa.Table.from_batches(out)
+
+        levels, candidates = run.levels, {w: run.candidates(w) for w in range(cast.grid.coarsest, cast.grid.finest + 1)}
+        piece_schema = pa.schema([("view", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()), ("eye", pa.float64()), ("low", pa.int32()), ("high", pa.int32()), ("first", pa.bool_()), ("level", pa.int32()), ("bx", pa.int32()), ("by", pa.int32()), ("ray", pa.binary()), ("at", pa.binary()), ("n", pa.binary())])
+        height_schema = pa.schema([("view", pa.int64()), ("low", pa.int32()), ("level", pa.int32()), ("ray", pa.binary()), ("at", pa.binary()), ("n", pa.binary()), ("h", pa.binary())])
+        asked = sectors.mapInArrow(crossings, pieces)
+        key = ["level", "bx", "by"]
+        if len(levels) > 1:
+            asked = asked.join(self.hidden.withColumn("__hidden", F.lit(True)), key, "left").filter(F.col("first") | F.col("__hidden").isNull()).drop("__hidden")
+        met = asked.join(self.blocks.select(*key, "cells"), key)
+        heights = met.mapInArrow(read, "view bigint, low int, level int, ray binary, at binary, n binary, h binary")
+        return sectors.groupBy("view", "low").cogroup(heights.groupBy("view", "low")).applyInArrow(combine, schema)
+
+
+def _pieces(fx: np.ndarray, fy: np.ndarray, steps: np.ndarray, side: int) -> Iterator[dict]:
+    """Per block the pieces (ray, first step, steps) of rays in it; points off the grid are in none."""
+    if not fx.size:
+        return
+    bx, by = np.floor(fx / side).astype(np.int64), np.floor(fy / side).astype(np.int64)
+    block = np.where((fx >= 0) & (fy >= 0), by * (1 << 32) + bx, -1)
+    new = np.ones(block.shape, bool)
+    new[:, 1:] = (block[:, 1:] != block[:, :-1]) | (np.diff(steps) != 1)
+    ray, start = np.nonzero(new)
+    flat = np.flatnonzero(new.ravel())
+    n = np.diff(np.append(flat, block.size))
+    owner = block[ray, start]
+    order = np.argsort(owner, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
+        if owner[group[0]] >= 0:
+            yield {"bx": int(owner[group[0]] & 0xFFFFFFFF), "by": int(owner[group[0]] >> 32), **{k: v[group].astype(np.int32).tobytes() for k, v in (("ray", ray), ("at", steps[start]), ("n", n))}}
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(ray, step) of every sample of a row's pieces."""
+    ray, at, n = (np.frombuffer(row[k], np.int32) for k in ("ray", "at", "n"))
+    return np.repeat(ray, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
+
+
+def _bilinear(v: np.ndarray, fx: np.ndarray, fy: np.ndarray) -> np.ndarray:
+    """Heights between the cells of one block; without all four around a point, its first."""
+    i, j = np.floor(fx).astype(np.int64), np.floor(fy).astype(np.int64)
+    tx, ty = fx - i, fy - j
+    a, b, c, d = v[j, i], v[j, i + 1], v[j + 1, i], v[j + 1, i + 1]
+    top, low = a + (b - a) * tx, c + (d - c) * tx
+    mean = top + (low - top) * ty
+    return np.where(np.isnan(mean), a, mean)
 
 
 def mosaic(samples: DataFrame, *pixel_key: str) -> DataFrame:
@@ -95,7 +209,7 @@ def overview(cells: DataFrame) -> DataFrame:
     return half.agg(F.round(F.sum("v") / F.count("v")).cast("int").alias("v"))
 
 
-def pyramid(cells: DataFrame, coarsest: int) -> DataFrame:
+def overviews(cells: DataFrame, coarsest: int) -> DataFrame:
     """A level and all its overviews down to ``coarsest``."""
     out, level = cells, cells
     for _ in range(GRID.finest - coarsest):
@@ -124,11 +238,11 @@ def fill_speckles(cells: DataFrame, radius: int) -> DataFrame:
 
 
 def eye_ground(views: DataFrame, surface, radius: float, key: str = "view") -> DataFrame:
-    """Views with ``ground``: the highest of the point and eight on a circle, at the finest level; null without data at the point."""
+    """Views with ``ground``: the highest of the point and eight on a circle, from the finest data there is; null without data at the point."""
     offsets = [(0.0, 0.0)] + ([(F.cos(geo.num(k * 0.7853981633974483)), F.sin(geo.num(k * 0.7853981633974483))) for k in range(8)] if radius > 0 else [])
     r = geo.num(radius) / F.cos(F.radians("lat"))
     ring = F.posexplode(F.array(*(F.struct((geo.merc_x(F.col("lon")) + r * a).alias("x"), (geo.merc_y(F.col("lat")) + r * b).alias("y")) for a, b in offsets))).alias("k", "p")
-    at = surface.with_height(views.select(key, "lon", "lat", ring), F.lit(GRID.finest), F.col("p.x"), F.col("p.y"))
+    at = surface.with_height(views.select(key, "lon", "lat", ring), [key, "k"], F.lit(GRID.finest), F.col("p.x"), F.col("p.y"))
     best = at.groupBy(F.col(key).alias("__k")).agg(F.max("h").alias("top"), F.count(F.when(F.col("k") == 0, F.col("h"))).alias("n"))
     return views.join(best, F.col(key) == F.col("__k"), "left").withColumn("ground", F.when(F.col("n") > 0, F.col("top"))).drop("__k", "top", "n")
 

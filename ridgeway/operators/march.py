@@ -1,12 +1,13 @@
-"""Line of sight as set-based operators: distance ladder, rays, horizon, column fill, probes, profiles, viewshed.
+"""Line of sight as set-based operators: rays, horizon, column fill, probes, profiles, viewshed, peaks.
 
-One row per (view, ray, ladder step).  Rays are shuffled by (view, ray) *before* the steps are exploded, and explode keeps
-a partitioning, so the windows below need no exchange of samples: what moves over the network is a row per ray.
-Many viewpoints run in one job.
+A row per sector of rays is dealt to tasks, where ``rays`` makes its samples with the horizon before each of them; so no
+window sorts samples and over a formula none is shuffled.  Over a stored pyramid each sample is exchanged once, packed, on
+its way from its block to its ray.  Many viewpoints run in one job.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -14,17 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo
+from . import rays
 from .dem import GRID
+from .rays import Cast, Frame
 
-
-def ray():
-    """A ray's samples by distance."""
-    return W.partitionBy("view", "ray").orderBy("d")
-
-
-def before():
-    """All earlier samples of a ray."""
-    return ray().rowsBetween(W.unboundedPreceding, -1)
+__all__ = ["Cast", "Frame"]
 
 
 def ladder(lat: Column, limit: float, inclusive: bool, grid: geo.Grid = GRID) -> Column:
@@ -47,53 +42,46 @@ def ladder(lat: Column, limit: float, inclusive: bool, grid: geo.Grid = GRID) ->
     return F.filter(F.aggregate(levels, first, take)["runs"], lambda r: r["n"] > 0)
 
 
-def cast_rays(views: DataFrame, rays: int | Column, limit: float, inclusive: bool, first: float = 0.0, step: float | None = None) -> DataFrame:
-    """(view columns, ray, azimuth, level, step, d): every ladder step of every ray.
+def sectors(views: DataFrame, cast: Cast) -> DataFrame:
+    """(view, lon, lat, eye, low, high): the rays [low, high) of a view.  Views without an eye (no ground under them) have none.
 
-    Without ``step`` rays go all around from north; with it, ray k looks along the middle of the k-th step from ``first``.
+    Rows are few and each is much work, so they are dealt to a fixed number of tasks that adaptive merging leaves alone.
     """
-    n = F.lit(rays) if isinstance(rays, int) else rays
-    out = views.withColumn("__runs", ladder(F.col("lat"), limit, inclusive)).withColumn("ray", F.explode(F.sequence(F.lit(0), n - 1)))
-    az = (360.0 * F.col("ray") / n) if step is None else (F.lit(float(first)) + (F.col("ray") + 0.5) * float(step))
-    out = out.withColumn("azimuth", az).repartition("view", "ray")
-    out = out.withColumn("__run", F.explode("__runs")).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__run.n") - 1)))
-    return out.withColumns({"level": F.col("__run.level"), "step": F.col("__run.step"), "d": F.col("__run.start") + F.col("__k") * F.col("__run.step")}).drop("__runs", "__run", "__k")
+    spark, per = views.sparkSession, cast.sector_rays()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    low = F.explode(F.sequence(F.lit(0), F.lit(cast.rays - 1), F.lit(per))).alias("low")
+    out = views.filter("eye IS NOT NULL").select(F.col("view").cast("bigint").alias("view"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col("eye").cast("double").alias("eye"), low)
+    return out.withColumn("high", F.least(F.col("low") + per, F.lit(cast.rays))).repartition(tasks, "view", "low")
 
 
-def sampled(steps: DataFrame, surface) -> DataFrame:
-    """Steps with data: plus sx, sy (projected), h, and the tangent and angle to the eye."""
-    lon, lat = geo.destination(F.col("lon"), F.col("lat"), F.col("azimuth"), F.col("d"))
-    steps = steps.withColumns({"__lon": lon, "__lat": lat})
-    steps = steps.withColumns({"sx": geo.merc_x(F.col("__lon")), "sy": geo.merc_y(F.col("__lat"))}).drop("__lon", "__lat")
-    found = surface.with_height(steps, F.col("level"), F.col("sx"), F.col("sy"))
-    if not surface.complete:  # pushed down, the filter would repeat the whole formula
-        found = found.filter("h IS NOT NULL")
-    tangent = F.round((F.col("h") - F.col("eye") - geo.curvature_drop(F.col("d"))) / F.col("d"), 12)
-    return found.withColumn("tangent", tangent).withColumn("alpha", F.round(F.degrees(F.atan("tangent")), 9))
+def samples(views: DataFrame, surface, cast: Cast, *columns: str) -> DataFrame:
+    """The samples with data of all rays of all views: the wanted columns of those that ``rays.samples`` makes.
+
+    ``views`` has view, lon, lat, eye.  With a frame, samples after the one that fills the column are left out.
+    """
+    return surface.along(sectors(views, cast), cast, functools.partial(rays.samples, columns=list(columns)), rays.schema(list(columns)))
 
 
-def visible(samples: DataFrame) -> DataFrame:
-    """Samples with ``horizon`` (strictly earlier maximum angle) and ``visible``."""
-    return samples.withColumn("horizon", F.max("alpha").over(before())).withColumn("visible", F.col("horizon").isNull() | (F.col("alpha") > F.col("horizon")))
+def traces(views: DataFrame, surface, cast: Cast) -> DataFrame:
+    """(view, ray, at, rise, bin, top): per ray the rises of its horizon and its profile, all that peaks need."""
+    return surface.along(sectors(views, cast), cast, rays.traces, rays.TRACE)
 
 
-def kept(samples: DataFrame, alt_max: float, alt_step: float) -> DataFrame:
-    """Samples up to the one that fills the column, with ``f``, the fractional row of their angle."""
-    f = F.greatest(geo.num(0), F.round((F.lit(float(alt_max)) - F.col("alpha")) / float(alt_step), 9))
-    samples = samples.withColumn("f", f)
-    stop = F.min(F.when(F.col("f") < 1, F.col("d"))).over(ray().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return samples.withColumn("__stop", stop).filter(F.col("__stop").isNull() | (F.col("d") <= F.col("__stop"))).drop("__stop")
+def visible(seen: DataFrame) -> DataFrame:
+    """Samples with ``visible``: their angle exceeds that of all before."""
+    return seen.withColumn("visible", F.col("horizon").isNull() | (F.col("alpha") > F.col("horizon")))
 
 
-def fillers(samples: DataFrame, height: int) -> DataFrame:
-    """Of kept samples those that write rows: with ``prev``, the first row already written, and ``lv``, the filler before."""
-    samples = samples.withColumn("prev", F.least(F.lit(height), F.coalesce(F.min(F.floor("f")).over(before()), F.lit(height))).cast("int")).filter(F.floor("f") < F.col("prev"))
-    return samples.withColumn("lv", F.coalesce(F.lag("d").over(ray()), geo.ground_res(F.lit(GRID.finest), F.col("lat"))))
+FILLING = ("view", "ray", "d", "f", "prev", "lv")
 
 
-def filled(samples: DataFrame, height: int) -> DataFrame:
-    """(view, ray, row, dist, cover): the written rows of every column; rows without a row here are sky."""
-    rows = fillers(samples, height).withColumn("row", F.explode(F.sequence(F.floor("f").cast("int"), F.col("prev") - 1)))
+def filled(fillers: DataFrame) -> DataFrame:
+    """(view, ray, row, dist, cover): the written rows of every column; rows without a row here are sky.
+
+    ``fillers`` has the columns FILLING of samples in a frame.  Between two samples that follow each other closely the
+    distance runs evenly over the rows; the top row is covered by the share of it that the angle reaches.
+    """
+    rows = fillers.filter(F.floor("f") < F.col("prev")).withColumn("row", F.explode(F.sequence(F.floor("f").cast("int"), F.col("prev") - 1)))
     top = F.ceil("f")
     ramp = F.col("d") + (F.col("lv") - F.col("d")) * (F.col("row") - top) / F.greatest(F.col("prev") - top, F.lit(1))
     partial = F.col("row") < F.col("f")
@@ -106,15 +94,15 @@ def profile(samples: DataFrame, per_column: int = 1) -> DataFrame:
     return samples.groupBy("view", F.floor(F.col("ray") / per_column).cast("int").alias("col"), geo.profile_bin(F.col("d")).alias("bin")).agg(F.max(F.col("h").cast("float")).alias("max_h"))
 
 
-def probe(samples: DataFrame, questions: DataFrame, key: str) -> DataFrame:
-    """For each question (view, ray, distance): the highest angle of samples with d + step < distance.
+def asked(questions: DataFrame, trace: DataFrame) -> DataFrame:
+    """Questions (view, ray, distance) with ``answer``: the highest angle of samples with d + step < distance.
 
-    An as-of join by one window over the union of both, instead of a pairing of every question with every sample.
+    An as-of join by ray: a trace holds the few places where the horizon rises, so the answer is a search in an array.
     """
-    s = samples.select("view", "ray", (F.col("d") + F.col("step")).alias("at"), F.lit(1).alias("kind"), "alpha", F.lit(None).cast("bigint").alias(key))
-    q = questions.select("view", "ray", F.col("distance").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("alpha"), F.col(key).cast("bigint"))
-    order = W.partitionBy("view", "ray").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
-    return s.unionByName(q).withColumn("answer", F.max("alpha").over(order)).filter("kind = 0").select("view", "ray", key, "answer")
+    t = trace.select(F.col("view").alias("__v"), F.col("ray").alias("__r"), "at", "rise")
+    met = questions.join(t, (F.col("view") == F.col("__v")) & (F.col("ray") == F.col("__r")), "left")
+    before = F.size(F.filter("at", lambda a: a < F.col("distance")))
+    return met.withColumn("answer", F.when(before > 0, F.element_at("rise", F.nullif(before, F.lit(0))))).drop("__v", "__r", "at", "rise")
 
 
 # --- viewshed ------------------------------------------------------------------------------------------------------------
@@ -135,10 +123,8 @@ def viewshed(views: DataFrame, surface, radius: float, scale: float, target_heig
     """
     px = extent(radius, scale)
     proj = F.lit(float(scale)) / F.cos(F.radians("lat"))
-    s = sampled(cast_rays(views, ray_count(radius, scale), radius, True), surface)
-    s = s.withColumns({"horizon": F.max("tangent").over(before()), "d0": F.lag("d").over(ray()), "h0": F.lag("h").over(ray())})
-    target = F.round((F.col("h") + target_height - F.col("eye") - geo.curvature_drop(F.col("d"))) / F.col("d"), 12)
-    s = s.filter(F.col("horizon").isNull() | (target > F.col("horizon")))
+    cast = Cast(ray_count(radius, scale), radius, True, target=target_height)
+    s = samples(views, surface, cast, "view", "lon", "lat", "sx", "sy", "tangent", "d", "h", "d0", "h0")
     half = proj * (px / 2.0)
     ix = F.floor(F.round((F.col("sx") - (geo.merc_x(F.col("lon")) - half)) / proj, 6))
     iy = F.floor(F.round((geo.merc_y(F.col("lat")) + half - F.col("sy")) / proj, 6))
@@ -170,13 +156,15 @@ def peak_candidates(views: DataFrame, peaks: DataFrame, limit: float) -> DataFra
     there = peaks.withColumns({"__x": F.floor(F.col("plon") / cell), "__y": F.floor(F.col("plat") / cell)})
     pairs = near.join(there, ["__x", "__y"]).drop("__x", "__y")
     pairs = pairs.filter((F.abs(F.col("plat") - F.col("lat")) <= cell) & (F.abs(F.col("plon") - F.col("lon")) <= cell / F.greatest(F.cos(F.radians("lat")), geo.num(0.05))))
-    pairs = pairs.withColumn("distance", F.round(geo.great_circle(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat")), 6)).filter(F.col("distance") <= limit)
-    return pairs.withColumn("azimuth", F.round(geo.initial_bearing(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat")), 6))
+    way = (F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
+    # a generator: what is computed in it is computed once, where an expression would be repeated in all that uses it
+    pairs = pairs.withColumn("__way", F.explode(F.array(F.struct(F.round(geo.great_circle(*way), 6).alias("distance"), F.round(geo.initial_bearing(*way), 6).alias("azimuth")))))
+    return pairs.withColumns({"distance": F.col("__way.distance"), "azimuth": F.col("__way.azimuth")}).drop("__way").filter(F.col("distance") <= limit)
 
 
 def project_peaks(pairs: DataFrame, surface, az_start: float, az_step: float, alt_max: float, step: float, columns: int) -> DataFrame:
     """Candidates with ele, altitude, image x and y, and the sub-column they fall in (null: outside, or no elevation)."""
-    pairs = surface.with_height(pairs, geo.level_for(F.col("distance"), F.col("lat"), GRID), geo.merc_x(F.col("plon")), geo.merc_y(F.col("plat")), "ele")
+    pairs = surface.with_height(pairs, ["view", "osm_id"], geo.level_for(F.col("distance"), F.col("lat"), GRID), geo.merc_x(F.col("plon")), geo.merc_y(F.col("plat")), "ele")
     rise = F.col("ele") - F.col("eye") - geo.curvature_drop(F.col("distance"))
     angle = F.when(F.col("distance") > 0, F.atan(F.try_divide(rise, "distance"))).otherwise(F.signum(rise) * F.lit(math.pi / 2))
     pairs = pairs.withColumn("altitude", F.round(F.degrees(angle), 9))
@@ -185,24 +173,27 @@ def project_peaks(pairs: DataFrame, surface, az_start: float, az_step: float, al
     return pairs.withColumns({"x": off / float(step), "y": (F.lit(float(alt_max)) - F.col("altitude")) / float(step), "column": F.when(sub.between(0, columns - 1) & F.col("ele").isNotNull(), sub)})
 
 
-def peak_visibility(pairs: DataFrame, samples: DataFrame, columns: int, per_column: int, wraps: bool) -> DataFrame:
+def peak_visibility(pairs: DataFrame, trace: DataFrame, columns: int, per_column: int, wraps: bool) -> DataFrame:
     """(view, osm_id, visible): the peak's angle against the horizon interpolated between the two rays beside it.
 
     A ray without ground before the peak has no horizon and lets the other decide; if both have none the peak is seen;
     a peak that no ray answers for isn't.
     """
     position = F.round(F.col("x") * per_column, 6)
-    asked = pairs.filter("column IS NOT NULL").withColumn("t", geo.bracket_weight(position)).withColumn("__s", F.explode(geo.bracket(position, F.lit(columns), F.lit(wraps))))
-    asked = asked.select("view", "osm_id", "altitude", "distance", "t", F.col("__s.slot").alias("slot"), F.col("__s.ray").alias("ray"))
-    asked = asked.withColumn("q", F.col("osm_id") * 2 + F.col("slot"))
-    answers = probe(samples, asked, "q").withColumnsRenamed({"view": "v2", "ray": "r2"})
-    both = asked.join(answers, (F.col("view") == F.col("v2")) & (F.col("ray") == F.col("r2")) & (asked.q == answers.q))
+    q = pairs.filter("column IS NOT NULL").withColumn("t", geo.bracket_weight(position)).withColumn("__s", F.explode(geo.bracket(position, F.lit(columns), F.lit(wraps))))
+    q = q.select("view", "osm_id", "altitude", "distance", "t", F.col("__s.slot").alias("slot"), F.col("__s.ray").alias("ray"))
     side = lambda k: F.max(F.when(F.col("slot") == k, F.col("answer")))
-    both = both.groupBy("view", "osm_id").agg(F.max("altitude").alias("altitude"), F.max("t").alias("t"), side(0).alias("h0"), side(1).alias("h1"))
+    both = asked(q, trace).groupBy("view", "osm_id").agg(F.max("altitude").alias("altitude"), F.max("t").alias("t"), side(0).alias("h0"), side(1).alias("h1"))
     level = F.when(F.col("h0").isNotNull() & F.col("h1").isNotNull(), F.round(geo.lerp(F.col("h0"), F.col("h1"), F.col("t")), 9)).otherwise(F.coalesce("h0", "h1"))
     return both.select("view", "osm_id", F.when(level.isNull(), True).otherwise(F.col("altitude") >= level).alias("visible"))
 
 
+def profile_of(trace: DataFrame, per_column: int = 1) -> DataFrame:
+    """(view, col, bin, max_h) of traces."""
+    rows = trace.select("view", F.floor(F.col("ray") / per_column).cast("int").alias("col"), F.explode(F.arrays_zip("bin", "top")).alias("b"))
+    return rows.groupBy("view", "col", F.col("b.bin").alias("bin")).agg(F.max("b.top").alias("max_h"))
+
+
 def dominance(seen: DataFrame, profiles: DataFrame, columns: int, per_column: int, step: float, radius: float = 3000.0) -> DataFrame:
     """(view, osm_id, dominance) of visible peaks: how far a summit stands above the lower of the cols at its sides.
 

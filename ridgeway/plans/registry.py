@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import geo
 from ..operators import dem, march, qa, requests, shade
-from ..sources import catalogue, fixtures
+from ..sources import catalogue, fixtures, stage
 from ..streaming import queue
 
 RAYS, LIMIT = 24, 1200.0
@@ -38,20 +38,21 @@ def r6(*names: str) -> list:
 
 
 def eyes(spark: SparkSession, d: str) -> DataFrame:
-    v = SURFACE.with_height(fixtures.views(spark, d), F.lit(14), geo.merc_x(F.col("lon")), geo.merc_y(F.col("lat")), "ground")
+    v = SURFACE.with_height(fixtures.views(spark, d), ["view"], F.lit(14), geo.merc_x(F.col("lon")), geo.merc_y(F.col("lat")), "ground")
     return v.withColumn("eye", F.col("ground") + 1.7)
 
 
-def samples(spark: SparkSession, d: str) -> DataFrame:
-    return march.sampled(march.cast_rays(eyes(spark, d), RAYS, LIMIT, False, 0.0, STEP_DEG), SURFACE)
+FRAME = march.Frame(ALT_MAX, ALT_STEP, HEIGHT)
+AROUND = march.Cast(RAYS, LIMIT, first=0.0, step=STEP_DEG)
+PICTURE = march.Cast(RAYS, LIMIT, first=0.0, step=STEP_DEG, frame=FRAME)
 
 
-def kept(spark: SparkSession, d: str) -> DataFrame:
-    return march.kept(samples(spark, d), ALT_MAX, ALT_STEP)
+def kept(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return march.samples(eyes(spark, d), SURFACE, PICTURE, *columns)
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:
-    return march.filled(kept(spark, d), HEIGHT)
+    return march.filled(kept(spark, d, *march.FILLING))
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
@@ -219,27 +220,32 @@ def overview_avg(spark, d):
 
 
 def _points(spark, d):
-    p = fixtures.peaks(spark, d).filter("plon < 20.07 AND plat < 49.01")
-    return p.select("osm_id", geo.merc_x(F.col("plon")).alias("x"), geo.merc_y(F.col("plat")).alias("y"))
+    return fixtures.peaks(spark, d).select("osm_id", geo.merc_x(F.col("plon")).alias("x"), geo.merc_y(F.col("plat")).alias("y"))
+
+
+def stored(spark, levels=(14,), sparse=False):
+    return dem.Pyramid.open(spark, fixtures.stored_pyramid(spark, levels, sparse))
 
 
 @query
 def sample_blocks(spark, d):
-    s = dem.BlockSurface(fixtures.blocks(spark))
-    return s.with_height(_points(spark, d), F.lit(14), F.col("x"), F.col("y")).select("osm_id", *r6("h"))
+    return stored(spark).nearest(_points(spark, d), F.lit(14), F.col("x"), F.col("y")).select("osm_id", *r6("h"))
 
 
 @query
 def sample_bilinear(spark, d):
-    s = dem.BlockSurface(fixtures.blocks(spark))
-    return dem.bilinear(_points(spark, d), s, "osm_id", F.lit(14), F.col("x"), F.col("y")).select("osm_id", F.round("h", 4).alias("h"))
+    return stored(spark).bilinear(_points(spark, d), F.lit(14), F.col("x"), F.col("y")).select("osm_id", F.round("h", 4).alias("h"))
 
 
 @query
 def level_fallback(spark, d):
-    b = fixtures.blocks(spark, (14, 12))
-    gaps = b.withColumn("cells", F.when(F.col("level") == 14, F.transform("cells", lambda v, i: F.when(F.pmod(i, F.lit(3)) == 0, 0).otherwise(v))).otherwise(F.col("cells")))
-    return dem.with_fallback(_points(spark, d), dem.BlockSurface(gaps), "osm_id", F.lit(14), F.col("x"), F.col("y")).select("osm_id", *r6("h"), "z")
+    found = stored(spark, (14, 12), True).with_height(_points(spark, d), ["osm_id"], F.lit(14), F.col("x"), F.col("y"), found="z")
+    return found.select("osm_id", F.round("h", 4).alias("h"), "z")
+
+
+@query
+def eye_fallback(spark, d):
+    return dem.eye_ground(fixtures.views(spark, d), stored(spark, (14, 12), True), 10.0).select("view", F.round("ground", 4).alias("ground"))
 
 
 @query
@@ -274,18 +280,21 @@ def viewshed_bounds(spark, d):
 
 @query
 def ray_horizon(spark, d):
-    s = march.visible(samples(spark, d))
-    return s.groupBy("view", "ray").agg(F.count(F.lit(1)).alias("samples"), F.count_if("visible").alias("visible"), F.round(F.max("alpha"), 6).alias("horizon"))
+    return _horizon(march.samples(eyes(spark, d), SURFACE, AROUND, "view", "ray", "alpha", "horizon"))
+
+
+def _horizon(samples):
+    return march.visible(samples).groupBy("view", "ray").agg(F.count(F.lit(1)).alias("samples"), F.count_if("visible").alias("visible"), F.round(F.max("alpha"), 6).alias("horizon"))
 
 
 @query
 def ray_stats(spark, d):
-    return kept(spark, d).groupBy("view").agg(F.count(F.lit(1)).alias("samples"), F.count_distinct(F.struct("level", F.floor(F.round((F.col("sx") + geo.ORIGIN) / geo.level_res(F.col("level")), 6) / 512), F.floor(F.round((geo.num(geo.ORIGIN) - F.col("sy")) / geo.level_res(F.col("level")), 6) / 512))).alias("blocks"))
+    return kept(spark, d, "view", "level", "sx", "sy").groupBy("view").agg(F.count(F.lit(1)).alias("samples"), F.count_distinct(F.struct("level", F.floor(F.round((F.col("sx") + geo.ORIGIN) / geo.level_res(F.col("level")), 6) / 512), F.floor(F.round((geo.num(geo.ORIGIN) - F.col("sy")) / geo.level_res(F.col("level")), 6) / 512))).alias("blocks"))
 
 
 @query
 def column_stop(spark, d):
-    return kept(spark, d).groupBy("view", "ray").agg(F.count(F.lit(1)).alias("kept"), F.round(F.max("d"), 4).alias("last"))
+    return kept(spark, d, "view", "ray", "d").groupBy("view", "ray").agg(F.count(F.lit(1)).alias("kept"), F.round(F.max("d"), 4).alias("last"))
 
 
 @query
@@ -301,13 +310,13 @@ def sky_fraction(spark, d):
 
 @query
 def profile_bins(spark, d):
-    return march.profile(kept(spark, d)).select("view", "col", "bin", F.round(F.col("max_h").cast("double"), 3).alias("max_h"))
+    return march.profile(kept(spark, d, "view", "ray", "d", "h")).select("view", "col", "bin", F.round(F.col("max_h").cast("double"), 3).alias("max_h"))
 
 
 @query
 def profile_band_max(spark, d):
     lo, hi = geo.profile_bin(geo.num(250)), geo.profile_bin(geo.num(1000))
-    return march.profile(kept(spark, d)).filter(F.col("bin").between(lo, hi)).groupBy("view", "col").agg(F.round(F.max("max_h").cast("double"), 3).alias("top"))
+    return march.profile(kept(spark, d, "view", "ray", "d", "h")).filter(F.col("bin").between(lo, hi)).groupBy("view", "col").agg(F.round(F.max("max_h").cast("double"), 3).alias("top"))
 
 
 # --- peaks ---------------------------------------------------------------------------------------------------------------
@@ -319,14 +328,16 @@ def projected(spark, d):
 
 
 def _seen(spark, d):
-    p, k = projected(spark, d), kept(spark, d)
-    v = march.peak_visibility(p, k, RAYS, 1, True)
-    return p.join(v, ["view", "osm_id"]), march.profile(k)
+    """The peaks with visibility, and the traces: both are written once, because several joins read them."""
+    trace = stage.stored(march.traces(eyes(spark, d), SURFACE, PICTURE), "traces")
+    p = stage.stored(projected(spark, d), "peaks")
+    return p.join(march.peak_visibility(p, trace, RAYS, 1, True), ["view", "osm_id"]), trace
 
 
 def _dominant(spark, d):
-    seen, profiles = _seen(spark, d)
-    dom = march.dominance(seen.filter("visible"), profiles, RAYS, 1, STEP_DEG)
+    seen, trace = _seen(spark, d)
+    seen = stage.stored(seen, "seen")
+    dom = march.dominance(seen.filter("visible"), march.profile_of(trace), RAYS, 1, STEP_DEG)
     return seen.join(dom, ["view", "osm_id"], "left").withColumn("dominance", F.round(F.coalesce("dominance", geo.num(0)), 3))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import pyramid, stage
 
 WINDOW_X, WINDOW_Y, WINDOW = 2329600, 1439232, 1536
 
@@ -20,6 +22,12 @@ def surface_code(x: Column, y: Column) -> Column:
     return (F.lit(7000) + 2 * tri(3 * x + y, 2700) + 3 * tri(x - 2 * y, 1100) + 4 * tri(x + 5 * y, 257)).cast("int")
 
 
+def surface_codes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same for arrays inside a task."""
+    wave = lambda n, period: np.abs(n % (2 * period) - period)
+    return 7000 + 2 * wave(3 * x + y, 2700) + 3 * wave(x - 2 * y, 1100) + 4 * wave(x + 5 * y, 257)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,18 +72,39 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("user_id") % 16).alias("queue_id"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival"), p.alias("priority"), (F.lit(5.0) + F.coalesce("value", F.lit(0.0)) / 20).alias("service"), (F.col("event_type") == "error").alias("abandoned"))
 
 
-def blocks(spark: SparkSession, levels: tuple[int, ...] = (14,)) -> DataFrame:
-    """(level, bx, by, cells) of the window, 512 x 512 codes a block, as a Layer-A build would store them."""
+def window_levels(spark: SparkSession, levels: tuple[int, ...] = (14,), sparse: bool = False) -> DataFrame:
+    """(level, x, y, v): the window at some levels, point-sampled at cell centres; v is 0 where there is no data.
+
+    ``sparse``: level 14 lacks its south-western block and squares of 32 cells, other levels squares of 16 cells.
+    """
     out = None
     for level in levels:
-        cut = 14 - level
-        x0, y0, x1, y1 = WINDOW_X >> cut, WINDOW_Y >> cut, (WINDOW_X + WINDOW) >> cut, (WINDOW_Y + WINDOW) >> cut
-        bx0, by0, nx, ny = x0 // 512, y0 // 512, (x1 - 1) // 512 - x0 // 512 + 1, (y1 - 1) // 512 - y0 // 512 + 1
-        i, half = F.col("id"), (1 << cut) // 2
-        cell = spark.range(nx * ny * 512 * 512).select((F.lit(bx0) + F.floor(i / (512 * 512)) % nx).cast("int").alias("bx"), (F.lit(by0) + F.floor(i / (512 * 512 * nx))).cast("int").alias("by"), (i % (512 * 512)).alias("i"))
-        cell = cell.withColumns({"px": F.col("bx") * 512 + F.col("i") % 512, "py": F.col("by") * 512 + F.floor(F.col("i") / 512)})
-        inside = F.col("px").between(x0, x1 - 1) & F.col("py").between(y0, y1 - 1)
-        v = F.when(inside, surface_code(F.col("px") * (1 << cut) + half, F.col("py") * (1 << cut) + half)).otherwise(0)
-        rows = cell.groupBy(F.lit(level).alias("level"), "bx", "by").agg(F.sort_array(F.collect_list(F.struct("i", v.alias("v")))).alias("c")).select("level", "bx", "by", F.col("c.v").alias("cells"))
+        cut, half = 14 - level, (1 << (14 - level)) // 2
+        n = WINDOW >> cut
+        cell = spark.range(n * n).select(F.lit(level).alias("level"), (F.lit(WINDOW_X >> cut) + F.col("id") % n).alias("x"), (F.lit(WINDOW_Y >> cut) + F.floor(F.col("id") / n)).alias("y"))
+        v = surface_code(F.col("x") * (1 << cut) + half, F.col("y") * (1 << cut) + half)
+        if sparse:
+            v = F.when(hole(level, F.col("x"), F.col("y")), 0).otherwise(v)
+        rows = cell.withColumn("v", v)
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def hole(level: int, x: Column, y: Column) -> Column:
+    """Where the sparse window has no data."""
+    if level == 14:
+        return ((x < WINDOW_X + 512) & (y >= WINDOW_Y + 1024)) | (F.pmod(F.floor(x / 32) + 2 * F.floor(y / 32), F.lit(5)) == 0)
+    return F.pmod(F.floor(x / 16) + F.floor(y / 16), F.lit(7)) == 0
+
+
+def stored_pyramid(spark: SparkSession, levels: tuple[int, ...] = (14,), sparse: bool = False) -> str:
+    """The path of the window's pyramid, built and written once per session."""
+    made = _PYRAMIDS.setdefault(spark.sparkContext.applicationId, {})
+    if (levels, sparse) not in made:
+        path = stage.new_path(spark, "pyramid")
+        pyramid.write(window_levels(spark, levels, sparse), path)
+        made[levels, sparse] = path
+    return made[levels, sparse]
+
+
+_PYRAMIDS: dict[str, dict] = {}
