@@ -21,7 +21,7 @@ GRID = geo.Grid()
 def pixel(x: Column, y: Column, level: Column) -> tuple[Column, Column]:
     """World pixel of a projected point (rounded at a millionth, so that engines agree at edges)."""
     res = geo.level_res(level)
-    return F.floor(F.round((x + geo.ORIGIN) / res, 6)), F.floor(F.round((geo.num(geo.ORIGIN) - y) / res, 6))
+    return F.floor(geo.snap((x + geo.ORIGIN) / res, 6)), F.floor(geo.snap((geo.num(geo.ORIGIN) - y) / res, 6))
 
 
 class AnalyticSurface:
@@ -91,7 +91,7 @@ class Pyramid:
     def bilinear(self, df: DataFrame, level: Column, x: Column, y: Column, name: str = "h") -> DataFrame:
         """Bilinear height at one level: one join, since a block repeats its neighbours' first line; null off the grid."""
         res = geo.level_res(level)
-        df = df.withColumns({"__fx": F.round((x + geo.ORIGIN) / res - 0.5, 6), "__fy": F.round((geo.num(geo.ORIGIN) - y) / res - 0.5, 6)})
+        df = df.withColumns({"__fx": geo.snap((x + geo.ORIGIN) / res - 0.5, 6), "__fy": geo.snap((geo.num(geo.ORIGIN) - y) / res - 0.5, 6)})
         df = self._joined(df, level, F.floor("__fx"), F.floor("__fy"))
         corner = {f"__v{j}{i}": geo.elevation(F.coalesce(store.code_at(F.col("__cells"), F.col("__i") + j * (self.side + 1) + i), F.lit(0))) for j in (0, 1) for i in (0, 1)}
         df = df.withColumns({**corner, "__tx": F.col("__fx") - F.floor("__fx"), "__ty": F.col("__fy") - F.floor("__fy")})
@@ -117,6 +117,7 @@ class Pyramid:
         """
         run, side, where = self, self.side, "view bigint, lon double, lat double, eye double, low int, high int"
         pieces = f"{where}, first boolean, level int, bx int, by int, ray binary, at binary, n binary"
+        heights = f"{where}, level int, ray binary, at binary, n binary, h binary"
 
         def crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -136,31 +137,28 @@ class Pyramid:
                 for row, s in zip(batch.to_pylist(), rays.sectors_of(cast, batch)):
                     i, j = _unpacked(row)
                     fx, fy = rays.pixel_of(*s.places(i, j), row["level"], 0.5)
-                    h = _bilinear(store.read_cells(row["cells"], side), fx - row["bx"] * side, fy - row["by"] * side)
-                    out.append({"view": row["view"], "low": row["low"], "level": row["level"], **{k: row[k] for k in ("ray", "at", "n")}, "h": h.tobytes()})
+                    h = _bilinear(np.frombuffer(row["cells"], ">u2").reshape(side + 1, side + 1), fx - row["bx"] * side, fy - row["by"] * side)
+                    out.append({k: row[k] for k in height_schema.names[:-1]} | {"h": h.tobytes()})
                 yield from pa.Table.from_pylist(out, height_schema).to_batches()
 
-        def combine(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            out = []
-            for s in rays.sectors_of(cast, left.combine_chunks().to_batches()[0]):
-                h = np.full((len(s.ray), len(s.d)), np.nan)
-                for row in right.sort_by("level").to_pylist():  # finer levels overwrite
-                    (i, j), v = _unpacked(row), np.frombuffer(row["h"])
-                    good = ~np.isnan(v)
-                    h[i[good], j[good]] = v[good]
-                out.append(emit(s, h))
-            return pa.Table.from_batches(out)
+        def combine(rows: pa.Table) -> pa.Table:
+            s = next(rays.sectors_of(cast, rows.slice(0, 1).combine_chunks().to_batches()[0]))
+            h = np.full((len(s.ray), len(s.d)), np.nan)
+            for row in rows.sort_by("level").to_pylist():  # finer levels overwrite
+                (i, j), v = _unpacked(row), np.frombuffer(row["h"])
+                good = ~np.isnan(v)
+                h[i[good], j[good]] = v[good]
+            return pa.Table.from_batches([emit(s, h)])
 
         levels, candidates = run.levels, {w: run.candidates(w) for w in range(cast.grid.coarsest, cast.grid.finest + 1)}
-        piece_schema = pa.schema([("view", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()), ("eye", pa.float64()), ("low", pa.int32()), ("high", pa.int32()), ("first", pa.bool_()), ("level", pa.int32()), ("bx", pa.int32()), ("by", pa.int32()), ("ray", pa.binary()), ("at", pa.binary()), ("n", pa.binary())])
-        height_schema = pa.schema([("view", pa.int64()), ("low", pa.int32()), ("level", pa.int32()), ("ray", pa.binary()), ("at", pa.binary()), ("n", pa.binary()), ("h", pa.binary())])
+        arrow = {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+        piece_schema, height_schema = (pa.schema([(f.split()[0], arrow[f.split()[1]]) for f in text.split(", ")]) for text in (pieces, heights))
         asked = sectors.mapInArrow(crossings, pieces)
         key = ["level", "bx", "by"]
         if len(levels) > 1:
             asked = asked.join(self.hidden.withColumn("__hidden", F.lit(True)), key, "left").filter(F.col("first") | F.col("__hidden").isNull()).drop("__hidden")
         met = asked.join(self.blocks.select(*key, "cells"), key)
-        heights = met.mapInArrow(read, "view bigint, low int, level int, ray binary, at binary, n binary, h binary")
-        return sectors.groupBy("view", "low").cogroup(heights.groupBy("view", "low")).applyInArrow(combine, schema)
+        return met.mapInArrow(read, heights).groupBy("view", "low").applyInArrow(combine, schema)
 
 
 def _pieces(fx: np.ndarray, fy: np.ndarray, steps: np.ndarray, side: int) -> Iterator[dict]:
@@ -188,10 +186,11 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bilinear(v: np.ndarray, fx: np.ndarray, fy: np.ndarray) -> np.ndarray:
-    """Heights between the cells of one block; without all four around a point, its first."""
+    """Heights between the codes of one block; without all four around a point, its first."""
     i, j = np.floor(fx).astype(np.int64), np.floor(fy).astype(np.int64)
     tx, ty = fx - i, fy - j
-    a, b, c, d = v[j, i], v[j, i + 1], v[j + 1, i], v[j + 1, i + 1]
+    corners = (v[j, i], v[j, i + 1], v[j + 1, i], v[j + 1, i + 1])
+    a, b, c, d = (np.where(k == 0, np.nan, k * 0.1 - 500.0) for k in corners)
     top, low = a + (b - a) * tx, c + (d - c) * tx
     mean = top + (low - top) * ty
     return np.where(np.isnan(mean), a, mean)

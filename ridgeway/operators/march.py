@@ -34,7 +34,7 @@ def ladder(lat: Column, limit: float, inclusive: bool, grid: geo.Grid = GRID) ->
     def take(state: Column, l: Column) -> Column:
         last = l["until"] > limit
         span = F.least(l["until"], geo.num(limit)) - state["at"]
-        steps = F.round(span / l["step"], 9)
+        steps = geo.snap(span / l["step"], 9)
         n = F.greatest(F.lit(0), F.when(last & F.lit(inclusive), F.floor(steps) + 1).otherwise(F.ceil(steps)).cast("bigint"))
         run = F.array(F.struct(l["z"].alias("level"), l["step"].alias("step"), state["at"].alias("start"), n.alias("n")))
         return F.struct((state["at"] + n * l["step"]).alias("at"), F.concat(state["runs"], run).alias("runs"))
@@ -63,7 +63,7 @@ def samples(views: DataFrame, surface, cast: Cast, *columns: str) -> DataFrame:
 
 
 def traces(views: DataFrame, surface, cast: Cast) -> DataFrame:
-    """(view, ray, at, rise, bin, top): per ray the rises of its horizon and its profile, all that peaks need."""
+    """(view, ray, at, rise, top): per ray the rises of its horizon and its profile, all that peaks need."""
     return surface.along(sectors(views, cast), cast, rays.traces, rays.TRACE)
 
 
@@ -95,14 +95,15 @@ def profile(samples: DataFrame, per_column: int = 1) -> DataFrame:
 
 
 def asked(questions: DataFrame, trace: DataFrame) -> DataFrame:
-    """Questions (view, ray, distance) with ``answer``: the highest angle of samples with d + step < distance.
+    """Questions (view, ray, distance, ...) with ``answer``: the highest angle of samples with d + step < distance.
 
-    An as-of join by ray: a trace holds the few places where the horizon rises, so the answer is a search in an array.
+    An as-of join by one window over the union of questions and the few places where a ray's horizon rises, instead of a
+    pairing of every question with every sample.  Of equal places the question comes first.
     """
-    t = trace.select(F.col("view").alias("__v"), F.col("ray").alias("__r"), "at", "rise")
-    met = questions.join(t, (F.col("view") == F.col("__v")) & (F.col("ray") == F.col("__r")), "left")
-    before = F.size(F.filter("at", lambda a: a < F.col("distance")))
-    return met.withColumn("answer", F.when(before > 0, F.element_at("rise", F.nullif(before, F.lit(0))))).drop("__v", "__r", "at", "rise")
+    rises = trace.select("view", "ray", F.explode(F.arrays_zip("at", "rise")).alias("__p")).select("view", "ray", F.col("__p.at").alias("distance"), F.col("__p.rise").alias("__rise"))
+    both = questions.withColumn("__asks", F.lit(0)).unionByName(rises.withColumn("__asks", F.lit(1)), allowMissingColumns=True)
+    order = W.partitionBy("view", "ray").orderBy("distance", "__asks").rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn("answer", F.max("__rise").over(order)).filter("__asks = 0").drop("__rise", "__asks")
 
 
 # --- viewshed ------------------------------------------------------------------------------------------------------------
@@ -126,8 +127,8 @@ def viewshed(views: DataFrame, surface, radius: float, scale: float, target_heig
     cast = Cast(ray_count(radius, scale), radius, True, target=target_height)
     s = samples(views, surface, cast, "view", "lon", "lat", "sx", "sy", "tangent", "d", "h", "d0", "h0")
     half = proj * (px / 2.0)
-    ix = F.floor(F.round((F.col("sx") - (geo.merc_x(F.col("lon")) - half)) / proj, 6))
-    iy = F.floor(F.round((geo.merc_y(F.col("lat")) + half - F.col("sy")) / proj, 6))
+    ix = F.floor(geo.snap((F.col("sx") - (geo.merc_x(F.col("lon")) - half)) / proj, 6))
+    iy = F.floor(geo.snap((geo.merc_y(F.col("lat")) + half - F.col("sy")) / proj, 6))
     s = s.select("view", ix.cast("int").alias("ix"), iy.cast("int").alias("iy"), geo.opacity(F.col("tangent"), F.col("d"), F.col("h"), F.col("d0"), F.col("h0")).alias("a"))
     return s.filter(F.col("ix").between(0, px - 1) & F.col("iy").between(0, px - 1)).groupBy("view", "ix", "iy").agg(F.max("a").cast("int").alias("alpha"))
 
@@ -158,7 +159,7 @@ def peak_candidates(views: DataFrame, peaks: DataFrame, limit: float) -> DataFra
     pairs = pairs.filter((F.abs(F.col("plat") - F.col("lat")) <= cell) & (F.abs(F.col("plon") - F.col("lon")) <= cell / F.greatest(F.cos(F.radians("lat")), geo.num(0.05))))
     way = (F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
     # a generator: what is computed in it is computed once, where an expression would be repeated in all that uses it
-    pairs = pairs.withColumn("__way", F.explode(F.array(F.struct(F.round(geo.great_circle(*way), 6).alias("distance"), F.round(geo.initial_bearing(*way), 6).alias("azimuth")))))
+    pairs = pairs.withColumn("__way", F.explode(F.array(F.struct(geo.snap(geo.great_circle(*way), 6).alias("distance"), geo.snap(geo.initial_bearing(*way), 6).alias("azimuth")))))
     return pairs.withColumns({"distance": F.col("__way.distance"), "azimuth": F.col("__way.azimuth")}).drop("__way").filter(F.col("distance") <= limit)
 
 
@@ -167,9 +168,9 @@ def project_peaks(pairs: DataFrame, surface, az_start: float, az_step: float, al
     pairs = surface.with_height(pairs, ["view", "osm_id"], geo.level_for(F.col("distance"), F.col("lat"), GRID), geo.merc_x(F.col("plon")), geo.merc_y(F.col("plat")), "ele")
     rise = F.col("ele") - F.col("eye") - geo.curvature_drop(F.col("distance"))
     angle = F.when(F.col("distance") > 0, F.atan(F.try_divide(rise, "distance"))).otherwise(F.signum(rise) * F.lit(math.pi / 2))
-    pairs = pairs.withColumn("altitude", F.round(F.degrees(angle), 9))
+    pairs = pairs.withColumn("altitude", geo.snap(F.degrees(angle), 9))
     off = F.pmod(F.col("azimuth") - float(az_start), geo.num(360))
-    sub = F.floor(F.round(off / float(az_step), 6)).cast("int")
+    sub = F.floor(geo.snap(off / float(az_step), 6)).cast("int")
     return pairs.withColumns({"x": off / float(step), "y": (F.lit(float(alt_max)) - F.col("altitude")) / float(step), "column": F.when(sub.between(0, columns - 1) & F.col("ele").isNotNull(), sub)})
 
 
@@ -179,22 +180,25 @@ def peak_visibility(pairs: DataFrame, trace: DataFrame, columns: int, per_column
     A ray without ground before the peak has no horizon and lets the other decide; if both have none the peak is seen;
     a peak that no ray answers for isn't.
     """
-    position = F.round(F.col("x") * per_column, 6)
-    q = pairs.filter("column IS NOT NULL").withColumn("t", geo.bracket_weight(position)).withColumn("__s", F.explode(geo.bracket(position, F.lit(columns), F.lit(wraps))))
+    position = geo.snap(F.col("x") * per_column, 6)
+    q = pairs.filter("column IS NOT NULL").withColumn("t", geo.bracket_weight(position)).withColumn("__s", F.explode(geo.bracket(position, F.lit(columns), F.lit(wraps)))).filter("__s.ray IS NOT NULL")
     q = q.select("view", "osm_id", "altitude", "distance", "t", F.col("__s.slot").alias("slot"), F.col("__s.ray").alias("ray"))
     side = lambda k: F.max(F.when(F.col("slot") == k, F.col("answer")))
     both = asked(q, trace).groupBy("view", "osm_id").agg(F.max("altitude").alias("altitude"), F.max("t").alias("t"), side(0).alias("h0"), side(1).alias("h1"))
-    level = F.when(F.col("h0").isNotNull() & F.col("h1").isNotNull(), F.round(geo.lerp(F.col("h0"), F.col("h1"), F.col("t")), 9)).otherwise(F.coalesce("h0", "h1"))
+    level = F.when(F.col("h0").isNotNull() & F.col("h1").isNotNull(), geo.snap(geo.lerp(F.col("h0"), F.col("h1"), F.col("t")), 9)).otherwise(F.coalesce("h0", "h1"))
     return both.select("view", "osm_id", F.when(level.isNull(), True).otherwise(F.col("altitude") >= level).alias("visible"))
 
 
-def profile_of(trace: DataFrame, per_column: int = 1) -> DataFrame:
-    """(view, col, bin, max_h) of traces."""
-    rows = trace.select("view", F.floor(F.col("ray") / per_column).cast("int").alias("col"), F.explode(F.arrays_zip("bin", "top")).alias("b"))
-    return rows.groupBy("view", "col", F.col("b.bin").alias("bin")).agg(F.max("b.top").alias("max_h"))
+def skylines(trace: DataFrame, per_column: int = 1) -> DataFrame:
+    """(view, col, top): the highest ground of each distance bin over the rays of an output column."""
+    if per_column == 1:
+        return trace.select("view", F.col("ray").alias("col"), "top")
+    rows = trace.groupBy("view", F.floor(F.col("ray") / per_column).cast("int").alias("col")).agg(F.collect_list("top").alias("tops"))  # per_column arrays
+    best = F.transform(F.sequence(F.lit(0), F.lit(geo.PROFILE_BINS - 1)), lambda i: F.array_max(F.transform("tops", lambda t: t[i])))
+    return rows.select("view", "col", best.alias("top"))
 
 
-def dominance(seen: DataFrame, profiles: DataFrame, columns: int, per_column: int, step: float, radius: float = 3000.0) -> DataFrame:
+def dominance(seen: DataFrame, skyline: DataFrame, columns: int, per_column: int, step: float, radius: float = 3000.0) -> DataFrame:
     """(view, osm_id, dominance) of visible peaks: how far a summit stands above the lower of the cols at its sides.
 
     A side is walked outwards until higher ground at the peak's depth, that ground included; columns without ground at
@@ -205,8 +209,9 @@ def dominance(seen: DataFrame, profiles: DataFrame, columns: int, per_column: in
     far = F.least(F.col("distance") + radius, F.col("distance") * 2.0)
     p = p.withColumns({"lo": geo.profile_bin(near), "hi": geo.profile_bin(far)})
     walk = p.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest("window", F.lit(1))))).filter("k <= window").withColumn("dir", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("col", F.col("c0") + F.col("dir") * F.col("k"))
-    walk = walk.filter(F.col("col").between(0, columns - 1)).join(profiles.withColumnRenamed("view", "v"), (F.col("view") == F.col("v")) & (walk.col == profiles.col) & F.col("bin").between(F.col("lo"), F.col("hi")))
-    s = walk.groupBy("view", "osm_id", "ele", "dir", "k").agg(F.max("max_h").cast("double").alias("s"))
+    ground = skyline.select(F.col("view").alias("__v"), F.col("col").alias("__c"), "top")
+    met = walk.filter(F.col("col").between(0, columns - 1)).join(ground, (F.col("view") == F.col("__v")) & (F.col("col") == F.col("__c")))
+    s = met.select("view", "osm_id", "ele", "dir", "k", F.array_max(F.slice("top", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)).cast("double").alias("s")).filter("s IS NOT NULL")
     outwards = W.partitionBy("view", "osm_id", "dir").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
     s = s.withColumn("over", F.max((F.col("s") > F.col("ele")).cast("int")).over(outwards)).filter(F.coalesce("over", F.lit(0)) == 0)
     sides = s.groupBy("view", "osm_id", "ele", "dir").agg(F.min("s").alias("low"))

@@ -175,24 +175,25 @@ def samples(sector: Sector, h: np.ndarray, columns: list[str]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(arrays, columns)
 
 
-TRACE = "view bigint, ray int, at array<double>, rise array<double>, bin array<int>, top array<float>"
+TRACE = "view bigint, ray int, at array<double>, rise array<double>, top array<float>"
 
 
 def traces(sector: Sector, h: np.ndarray) -> pa.RecordBatch:
-    """One row a ray of what peaks ask of it: the horizon's rises (d + step, angle) and the highest ground by distance bin."""
+    """One row a ray of what peaks ask of it: the horizon's rises (d + step, angle), and the highest ground of each distance bin (null: none)."""
     s = samples(sector, h, ["ray", "d", "step", "alpha", "horizon", "h"])
-    ray, d, step, alpha, high = (s[c].to_numpy(zero_copy_only=False) for c in ("ray", "d", "step", "alpha", "h"))
-    up = s["horizon"].to_numpy(zero_copy_only=False)
-    up = np.isnan(up) | (alpha > up)
+    ray, d, step, alpha, horizon, high = (s[c].to_numpy(zero_copy_only=False) for c in ("ray", "d", "step", "alpha", "horizon", "h"))
+    up = np.isnan(horizon) | (alpha > horizon)
     share = np.clip(np.log(np.maximum(d, geo.DEPTH_NEAR) / geo.DEPTH_NEAR) / geo.DEPTH_SPAN, 0, 1)
-    key = ray.astype(np.int64) * geo.PROFILE_BINS + np.floor(share * (geo.PROFILE_BINS - 1)).astype(np.int64)
+    key = (ray - sector.ray[0]).astype(np.int64) * geo.PROFILE_BINS + np.floor(share * (geo.PROFILE_BINS - 1)).astype(np.int64)
     first = np.flatnonzero(np.diff(key, prepend=-1))  # samples come by ray and distance, so bins come in order
-    top = np.maximum.reduceat(high.astype(np.float32), first) if len(first) else np.empty(0, np.float32)
-    cuts = lambda owner: pa.array(np.searchsorted(owner, np.append(sector.ray, sector.ray[-1] + 1)), pa.int32())
-    rises, bins = cuts(ray[up]), cuts(key[first] // geo.PROFILE_BINS)
-    lists = [(rises, (d + step)[up], pa.float64()), (rises, alpha[up], pa.float64()), (bins, key[first] % geo.PROFILE_BINS, pa.int32()), (bins, top, pa.float32())]
-    arrays = [pa.array(np.full(len(sector.ray), sector.view), pa.int64()), pa.array(sector.ray, pa.int32())] + [pa.ListArray.from_arrays(o, pa.array(v, t)) for o, v, t in lists]
-    return pa.RecordBatch.from_arrays(arrays, ["view", "ray", "at", "rise", "bin", "top"])
+    top = np.full(len(sector.ray) * geo.PROFILE_BINS, np.nan, np.float32)
+    if len(first):
+        top[key[first]] = np.maximum.reduceat(high.astype(np.float32), first)
+    rises = pa.array(np.searchsorted(ray[up], np.append(sector.ray, sector.ray[-1] + 1)), pa.int32())
+    bins = pa.array(np.arange(len(sector.ray) + 1) * geo.PROFILE_BINS, pa.int32())
+    lists = [(rises, pa.array((d + step)[up])), (rises, pa.array(alpha[up])), (bins, pa.array(top, mask=np.isnan(top)))]
+    arrays = [pa.array(np.full(len(sector.ray), sector.view), pa.int64()), pa.array(sector.ray, pa.int32())] + [pa.ListArray.from_arrays(o, v) for o, v in lists]
+    return pa.RecordBatch.from_arrays(arrays, ["view", "ray", "at", "rise", "top"])
 
 
 def sectors_of(cast: Cast, batch: pa.RecordBatch) -> Iterator[Sector]:

@@ -193,7 +193,7 @@ built AS (SELECT *, CASE WHEN tx % 2 = 0 THEN 14 ELSE 11 END AS level FROM plann
 SOURCES = """sources AS (SELECT CASE WHEN n_nationkey = 5 THEN 'ALGERIA' ELSE n_name END AS id, n_name, n_nationkey AS k, CAST(CASE WHEN n_nationkey = 4 THEN 30 ELSE 10 * n_nationkey END AS BIGINT) AS priority,
   CASE WHEN n_nationkey = 3 THEN 20e0 ELSE 1e0 END AS native_res, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 14 ELSE 12 END AS INT) AS finest_level, 10e0 + n_nationkey AS lon0, 45e0 AS lat0, CASE WHEN n_nationkey = 2 THEN 12e0 ELSE 12e0 + n_nationkey END AS lon1, 47.5e0 AS lat1 FROM nation WHERE n_nationkey < 6)"""
 WX, WY = 2329600, 1439232
-POINTS = f"{PEAKS}, points AS (SELECT osm_id, {mx('plon')} AS x, {my('plat')} AS y FROM peaks WHERE plon < 20.07e0 AND plat < 49.01e0)"
+POINTS = f"{PEAKS}, points AS (SELECT osm_id, {mx('plon')} AS x, {my('plat')} AS y FROM peaks)"
 
 
 def inside(x: str, y: str, cut: int = 0) -> str:
@@ -210,9 +210,73 @@ def dither(x: str, y: str) -> str:
     return f"({noise(x, y)} - {noise(f'({y} * 1.7e0 + 11e0)', f'({x} * 0.9e0 + 23e0)')})"
 
 
-BIL = f"""{POINTS}, pos AS (SELECT osm_id, round((x + {O}) / {RES14} - 0.5e0, 6) AS fx, round(({O} - y) / {RES14} - 0.5e0, 6) AS fy FROM points),
-corners AS (SELECT *, CAST(floor(fx) AS BIGINT) + i AS cx, CAST(floor(fy) AS BIGINT) + j AS cy, (CASE WHEN i = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) * (CASE WHEN j = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) AS w FROM (SELECT *, unnest([0, 1]) AS j FROM (SELECT *, unnest([0, 1]) AS i FROM pos))),
-valued AS (SELECT *, CASE WHEN {inside('cx', 'cy')} THEN {code('cx', 'cy')} * 0.1e0 - 500e0 END AS v FROM corners)"""
+def cell(z: int, x: str, y: str, sparse: bool) -> str:
+    """A cell's height in the window's pyramid."""
+    cut = 14 - z
+    gone = f"(({x} < {WX + 512} AND {y} >= {WY + 1024}) OR {pmod(f'{x} // 32 + 2 * ({y} // 32)', '5')} = 0)" if z == 14 else f"({pmod(f'{x} // 16 + {y} // 16', '7')} = 0)"
+    at = [f"({c} * {1 << cut} + {(1 << cut) // 2})" for c in (x, y)]
+    return f"CASE WHEN {inside(x, y, cut)}{f' AND NOT {gone}' if sparse else ''} THEN {code(*at)} * 0.1e0 - 500e0 END"
+
+
+def sampled(src: str, out: str, x: str, y: str, levels: tuple[int, ...], sparse: bool) -> str:
+    """Rows of ``src`` with h, bilinear from the first level that has it, and that level."""
+    text, have = "", src
+    for z in levels:
+        res = f"({RES14} * {1 << (14 - z)})"
+        text += f"""{out}_p{z} AS (SELECT *, round(({x} + {O}) / {res} - 0.5e0, 6) AS fx{z}, round(({O} - {y}) / {res} - 0.5e0, 6) AS fy{z} FROM {have}),
+{out}_i{z} AS (SELECT *, CAST(floor(fx{z}) AS BIGINT) AS i{z}, CAST(floor(fy{z}) AS BIGINT) AS j{z}, fx{z} - floor(fx{z}) AS s{z}, fy{z} - floor(fy{z}) AS t{z} FROM {out}_p{z}),
+{out}_c{z} AS (SELECT *, {', '.join(f"{cell(z, f'(i{z} + {i})', f'(j{z} + {j})', sparse)} AS v{z}{j}{i}" for j in (0, 1) for i in (0, 1))} FROM {out}_i{z}),
+{out}_h{z} AS (SELECT *, coalesce((v{z}00 + (v{z}01 - v{z}00) * s{z}) + ((v{z}10 + (v{z}11 - v{z}10) * s{z}) - (v{z}00 + (v{z}01 - v{z}00) * s{z})) * t{z}, v{z}00) AS h{z} FROM {out}_c{z}),
+"""
+        have = f"{out}_h{z}"
+    whens = " ".join(f"WHEN h{z} IS NOT NULL THEN {z}" for z in levels)
+    return text + f"{out} AS (SELECT *, coalesce({', '.join(f'h{z}' for z in levels)}) AS h, CAST(CASE {whens} END AS INT) AS z FROM {have})"
+
+
+RING = f"""ring AS (SELECT *, unnest(range(-1, 8)) AS k FROM views),
+spots AS (SELECT view, k, {mx('lon')} + CASE WHEN k < 0 THEN 0e0 ELSE 10e0 / cos(radians(lat)) * cos(k * 0.7853981633974483e0) END AS x, {my('lat')} + CASE WHEN k < 0 THEN 0e0 ELSE 10e0 / cos(radians(lat)) * sin(k * 0.7853981633974483e0) END AS y FROM ring),
+{sampled('spots', 'ground_spots', 'x', 'y', (14, 12), True)},
+grounds AS (SELECT view, CASE WHEN count(h) FILTER (WHERE k < 0) > 0 THEN max(h) END AS ground FROM ground_spots GROUP BY view)"""
+
+
+def over_blocks(text: str) -> str:
+    """A march's SQL with eyes and heights from the window's sparse pyramid."""
+    text = text.replace(EYES, f"{VIEWS}, {RING}, eyes AS (SELECT v.*, ground + 1.7e0 AS eye FROM views v JOIN grounds USING (view) WHERE ground IS NOT NULL)")
+    high = text[text.index("high AS ("):text.index("angled AS (")]
+    return text.replace(high, f"{sampled('placed', 'found', 'sx', 'sy', (14, 12), True)}, high AS (SELECT * FROM found WHERE h IS NOT NULL),\n")
+
+
+BLOCK_MARCH = over_blocks(march(24, "0e0 + (ray + 0.5e0) * 15e0", "ceil(round((2000e0 - step) / step, 9))"))
+
+
+def level_height(z: str, x: str, y: str) -> str:
+    """The formula surface at a level from 12 to 14."""
+    at = lambda c, n, k: f"(CAST(floor(round(({c}) / ({RES14} * {n}), 6)) AS BIGINT) * {n} + {k})"
+    return "(CASE " + " ".join(f"WHEN {z} = {v} THEN {code(at(f'{x} + {O}', n, n // 2), at(f'{O} - {y}', n, n // 2))} * 0.1e0 - 500e0" for v, n in ((14, 1), (13, 2), (12, 4))) + " END)"
+
+
+def far(text: str, limit: float, inclusive: bool) -> str:
+    """A march's SQL with a ladder over the levels 14, 13 and 12."""
+    last = lambda c: f"floor({c}) + 1" if inclusive else f"ceil({c})"
+    n = lambda start, step, until, end: f"CAST(greatest(0, {last(f'round(({limit}e0 - {start}) / {step}, 9)') if end else f'ceil(round((least({until}, {limit}e0) - {start}) / {step}, 9))'}) AS BIGINT)"
+    end = 12 if limit > 29000 else 13
+    runs = f"""l0 AS (SELECT *, step AS g14, {ground('13', 'lat')} AS g13, {ground('12', 'lat')} AS g12 FROM rays),
+l1 AS (SELECT *, {n('g14', 'g14', 'g13 / 0.00087e0', False)} AS n14 FROM l0),
+l2 AS (SELECT *, g14 + n14 * g14 AS s13, {n('(g14 + n14 * g14)', 'g13', 'g12 / 0.00087e0', end == 13)} AS n13 FROM l1),
+l3 AS (SELECT *, s13 + n13 * g13 AS s12, {n('(s13 + n13 * g13)', 'g12', '1e300', True) if end == 12 else '0'} AS n12 FROM l2),
+l4 AS (SELECT *, unnest(range(n14 + n13 + n12)) AS k FROM l3),
+steps AS (SELECT * EXCLUDE (step), CASE WHEN k < n14 THEN 14 WHEN k < n14 + n13 THEN 13 ELSE 12 END AS z, CASE WHEN k < n14 THEN g14 WHEN k < n14 + n13 THEN g13 ELSE g12 END AS step,
+  CASE WHEN k < n14 THEN g14 + k * g14 WHEN k < n14 + n13 THEN s13 + (k - n14) * g13 ELSE s12 + (k - n14 - n13) * g12 END AS d, g14 AS first_step FROM l4),
+"""
+    old = text[text.index("steps AS ("):text.index("placed AS (")]
+    high = text[text.index("high AS ("):text.index("angled AS (")]
+    return text.replace(old, runs).replace(high, f"high AS (SELECT *, {level_height('z', 'sx', 'sy')} AS h FROM placed),\n")
+
+
+FAR_MARCH = far(MARCH, 40000.0, False)
+FAR_SHED = far(march(32, "360e0 * ray / 32", "0"), 40000.0, True)
+FAR_PEAKS = DOMINANT.replace(MARCH, far(MARCH, 25000.0, False)).replace("800e0", "25000e0").replace(f"{code(px(mx('plon')), py(my('plat')))} * 0.1e0 - 500e0", level_height(level("distance", "lat"), mx("plon"), my("plat")))
+FAR_PEAKS = FAR_PEAKS.replace("answers AS (", f"rises AS (SELECT * FROM (SELECT *, max(alpha) {BEFORE} AS up FROM kept) WHERE up IS NULL OR alpha > up),\nanswers AS (").replace("LEFT JOIN kept k", "LEFT JOIN rises k")
 ASKED = """asked AS (SELECT event_id AS id, event_id AS k, CASE WHEN event_id % 13 = 0 THEN 'nan'::DOUBLE ELSE 49e0 END AS lat, coalesce(CASE WHEN event_id % 5 <> 0 THEN event_id % 7 / 20e0 END, 0.05e0) AS step, event_id % 500 - 20e0 AS fov,
   CASE WHEN event_id % 11 = 0 THEN 95e0 ELSE event_id % 60 * 1e0 END AS alt_max, event_id % 30 * 2000e0 - 4000e0 AS radius, event_id % 9 * 3e0 AS scale, CASE WHEN event_id % 17 = 0 THEN -1e0 ELSE 1e0 END AS ridge FROM events)"""
 
@@ -238,12 +302,18 @@ ORACLES: dict[str, str] = {
     "mosaic_priority": f"WITH c AS (SELECT {WX} + 16 * (i % 96) AS x, {WY} + 16 * (i // 96) AS y FROM range(9216) t(i)), s AS (SELECT x, y, {code('x', 'y')} + n_nationkey AS value, CAST(10 * n_nationkey AS BIGINT) AS priority FROM c, nation WHERE n_nationkey < 6 AND {pmod('x // 64 + 3 * (y // 64) + n_nationkey', '11')} < 3) SELECT x, y, CAST(arg_max(value, priority) AS BIGINT) AS value, max(priority) AS priority FROM s GROUP BY x, y",
     "overview_avg": f"WITH c AS (SELECT {WX} + i % 256 AS x, {WY} + i // 256 AS y FROM range(65536) t(i)), a AS (SELECT x // 2 AS x, y // 2 AS y, CAST(round(sum({code('x', 'y')}) / count(*)) AS BIGINT) AS v FROM c WHERE (x + y) % 7 <> 0 GROUP BY ALL), b AS (SELECT x // 2 AS x, y // 2 AS y, CAST(round(sum(v) / count(*)) AS BIGINT) AS v FROM a WHERE v <> 0 GROUP BY ALL) SELECT CAST(13 AS INT) AS level, x, y, v FROM a UNION ALL SELECT CAST(12 AS INT), x, y, v FROM b",
     "sample_blocks": f"WITH {POINTS}, q AS (SELECT osm_id, {px('x')} AS cx, {py('y')} AS cy FROM points) SELECT osm_id, CASE WHEN {inside('cx', 'cy')} THEN round({code('cx', 'cy')} * 0.1e0 - 500e0, 6) END AS h FROM q",
-    "sample_bilinear": f"WITH {BIL} SELECT osm_id, round(CASE WHEN count(v) = 4 THEN sum(w * v) ELSE max(v) FILTER (WHERE i = 0 AND j = 0) END, 4) AS h FROM valued GROUP BY osm_id",
-    "level_fallback": f"WITH {POINTS}, q AS (SELECT osm_id, {px('x')} AS cx, {py('y')} AS cy, {px('x', f'({RES14} * 4)')} AS bx, {py('y', f'({RES14} * 4)')} AS by_ FROM points), w AS (SELECT *, {inside('cx', 'cy')} AND ((cy % 512) * 512 + cx % 512) % 3 <> 0 AS fine, {inside('bx', 'by_', 2)} AS coarse FROM q) SELECT osm_id, CASE WHEN fine THEN round({code('cx', 'cy')} * 0.1e0 - 500e0, 6) WHEN coarse THEN round({code('(bx * 4 + 2)', '(by_ * 4 + 2)')} * 0.1e0 - 500e0, 6) END AS h, CAST(CASE WHEN fine THEN 14 WHEN coarse THEN 12 END AS INT) AS z FROM w",
+    "sample_bilinear": f"WITH {POINTS}, {sampled('points', 'got', 'x', 'y', (14,), False)} SELECT osm_id, round(h, 4) AS h FROM got",
+    "level_fallback": f"WITH {POINTS}, {sampled('points', 'got', 'x', 'y', (14, 12), True)} SELECT osm_id, round(h, 4) AS h, coalesce(z, -1) AS z FROM got",
     "eye_elevation": f"WITH {VIEWS}, ring AS (SELECT *, unnest(range(-1, 8)) AS k FROM views), spots AS (SELECT view, {mx('lon')} + CASE WHEN k < 0 THEN 0e0 ELSE 10e0 / cos(radians(lat)) * cos(k * 0.7853981633974483e0) END AS x, {my('lat')} + CASE WHEN k < 0 THEN 0e0 ELSE 10e0 / cos(radians(lat)) * sin(k * 0.7853981633974483e0) END AS y FROM ring) SELECT view, round(max({code(px('x'), py('y'))} * 0.1e0 - 500e0), 6) AS ground FROM spots GROUP BY view",
     "speckle_fill": f"WITH c AS (SELECT x, y, CASE WHEN (x * 7 + y * 3) % 11 = 0 THEN 0 ELSE {code('x', 'y')} END AS v FROM (SELECT {WX} + i % 64 AS x, {WY} + i // 64 AS y FROM range(4096) t(i))), f AS (SELECT a.x, a.y, sum(b.v * pow((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), -0.5e0)) / sum(pow((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), -0.5e0)) AS f FROM c a JOIN c b ON a.v = 0 AND b.v <> 0 AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4 GROUP BY a.x, a.y) SELECT c.x, c.y, CAST(coalesce(round(f.f), c.v) AS BIGINT) AS v FROM c LEFT JOIN f USING (x, y)",
     "viewshed_cells": f"WITH {SHED_CELLS} SELECT view, ix, iy, CAST(alpha AS INT) AS alpha FROM shed",
     "viewshed_stats": f"WITH {SHED_CELLS} SELECT view, count(*) AS pixels, CAST(sum(alpha) AS BIGINT) AS opacity FROM shed GROUP BY view",
+    "eye_fallback": f"WITH {VIEWS}, {RING} SELECT view, round(ground, 4) AS ground FROM grounds",
+    "ray_horizon_blocks": f"WITH {BLOCK_MARCH}, v AS (SELECT view, ray, alpha, max(alpha) {BEFORE} AS horizon FROM samples) SELECT view, ray, count(*) AS samples, count(*) FILTER (WHERE horizon IS NULL OR alpha > horizon) AS visible, round(max(alpha), 6) AS horizon FROM v GROUP BY view, ray",
+    "ray_horizon_far": f"WITH {FAR_MARCH}, v AS (SELECT view, ray, alpha, max(alpha) {BEFORE} AS horizon FROM samples) SELECT view, ray, count(*) AS samples, count(*) FILTER (WHERE horizon IS NULL OR alpha > horizon) AS visible, round(max(alpha), 6) AS horizon FROM v GROUP BY view, ray",
+    "viewshed_blocks": f"WITH {SHED_CELLS.replace(SHED, over_blocks(SHED))} SELECT view, ix, iy, CAST(alpha AS INT) AS alpha FROM shed",
+    "viewshed_far": f"WITH {SHED_CELLS.replace(SHED, FAR_SHED).replace('20e0 / cos(radians(lat)) AS proj', '8000e0 / cos(radians(lat)) AS proj').replace('proj * 20e0', 'proj * 5e0').replace('BETWEEN 0 AND 39', 'BETWEEN 0 AND 9')} SELECT view, ix, iy, CAST(alpha AS INT) AS alpha FROM shed",
+    "peak_far": f"WITH {FAR_PEAKS}, top AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY dominance DESC, osm_id) AS rank FROM ranked WHERE dominance >= -1000 AND y BETWEEN 0 AND 40) SELECT view, osm_id, dominance, rank FROM top WHERE rank <= 5",
     "viewshed_bounds": f"WITH {VIEWS}, p AS (SELECT view, {mx('lon')} AS x, {my('lat')} AS y, 400e0 / cos(radians(lat)) AS half FROM views) SELECT view, round((x - half) / {O} * 180e0, 6) AS west, round(degrees(2 * atan(exp((y - half) / {R})) - {math.pi / 2!r}e0), 6) AS south, round((x + half) / {O} * 180e0, 6) AS east, round(degrees(2 * atan(exp((y + half) / {R})) - {math.pi / 2!r}e0), 6) AS north, CAST(40 AS INT) AS px, CAST(126 AS INT) AS rays FROM p",
     "ray_horizon": f"WITH {MARCH}, v AS (SELECT view, ray, alpha, max(alpha) {BEFORE} AS horizon FROM samples) SELECT view, ray, count(*) AS samples, count(*) FILTER (WHERE horizon IS NULL OR alpha > horizon) AS visible, round(max(alpha), 6) AS horizon FROM v GROUP BY view, ray",
     "ray_stats": f"WITH {KEPT} SELECT view, count(*) AS samples, count(DISTINCT ({px('sx')} // 512, {py('sy')} // 512)) AS blocks FROM kept GROUP BY view",

@@ -18,6 +18,7 @@ STEP_DEG = 15.0
 ALT_MAX, ALT_STEP, HEIGHT = 20.0, 1.0, 40
 RADIUS, SCALE, TARGET = 400.0, 20.0, 2.0
 PEAK_LIMIT = 800.0
+BLOCK_LIMIT, FAR, FAR_PEAKS = 2000.0, 40000.0, 25000.0
 GRID = dem.GRID
 SURFACE = dem.AnalyticSurface()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +35,7 @@ def queries() -> dict[str, Query]:
 
 
 def r6(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    return [geo.snap(F.col(n), 6).alias(n) for n in names]
 
 
 def eyes(spark: SparkSession, d: str) -> DataFrame:
@@ -65,39 +66,39 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def geo_project(spark, d):
     v = fixtures.views(spark, d).withColumns({"x": geo.merc_x(F.col("lon")), "y": geo.merc_y(F.col("lat"))})
-    return v.select("view", *r6("x", "y"), F.round(geo.lon_of(F.col("x")), 6).alias("lon"), F.round(geo.lat_of(F.col("y")), 6).alias("lat"))
+    return v.select("view", *r6("x", "y"), geo.snap(geo.lon_of(F.col("x")), 6).alias("lon"), geo.snap(geo.lat_of(F.col("y")), 6).alias("lat"))
 
 
 @query
 def geo_distance_bearing(spark, d):
     p = fixtures.peaks(spark, d)
     at = (geo.num(20.01), geo.num(49.01), F.col("plon"), F.col("plat"))
-    return p.select("osm_id", F.round(geo.great_circle(*at), 4).alias("distance"), F.round(geo.initial_bearing(*at), 4).alias("azimuth"))
+    return p.select("osm_id", geo.snap(geo.great_circle(*at), 4).alias("distance"), geo.snap(geo.initial_bearing(*at), 4).alias("azimuth"))
 
 
 @query
 def geo_destination(spark, d):
     v = fixtures.views(spark, d)
     lon, lat = geo.destination(F.col("lon"), F.col("lat"), (F.col("view") * 37 % 360).cast("double"), (1000 + F.col("view") * 10).cast("double"))
-    return v.select("view", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+    return v.select("view", geo.snap(lon, 6).alias("lon"), geo.snap(lat, 6).alias("lat"))
 
 
 @query
 def curvature_levels(spark, d):
     dist = (F.col("k") * 7919 % 500000 + 10).cast("double")
-    return parts(spark, d).select("k", F.round(geo.curvature_drop(dist), 6).alias("drop"), geo.level_for(dist, geo.num(49), GRID).alias("level"), F.round(geo.ground_res(geo.level_for(dist, geo.num(49), GRID), geo.num(49)), 6).alias("res"))
+    return parts(spark, d).select("k", geo.snap(geo.curvature_drop(dist), 6).alias("drop"), geo.level_for(dist, geo.num(49), GRID).alias("level"), geo.snap(geo.ground_res(geo.level_for(dist, geo.num(49), GRID), geo.num(49)), 6).alias("res"))
 
 
 @query
 def grid_constants(spark, d):
     z = F.col("level")
-    return spark.range(8, 15).select(F.col("id").cast("int").alias("level")).select("level", geo.tile_px_at(GRID, z).alias("px"), F.round(geo.level_res(z), 6).alias("res"), F.round(geo.ground_res(z, geo.num(49)), 6).alias("ground"), F.lit(GRID.across).alias("across"))
+    return spark.range(8, 15).select(F.col("id").cast("int").alias("level")).select("level", geo.tile_px_at(GRID, z).alias("px"), geo.snap(geo.level_res(z), 6).alias("res"), geo.snap(geo.ground_res(z, geo.num(49)), 6).alias("ground"), F.lit(GRID.across).alias("across"))
 
 
 @query
 def tile_extents(spark, d):
     t = fixtures.table(spark, d, "nation").select(F.col("n_nationkey").alias("tx"), (F.col("n_nationkey") * 3 + 20).alias("ty"))
-    return t.select("tx", "ty", *(F.round(c, 4).alias(k) for k, c in geo.tile_extent(GRID, F.col("tx"), F.col("ty")).items()))
+    return t.select("tx", "ty", *(geo.snap(c, 4).alias(k) for k, c in geo.tile_extent(GRID, F.col("tx"), F.col("ty")).items()))
 
 
 def _boxes(spark, d):
@@ -113,13 +114,13 @@ def bbox_cover(spark, d):
 @query
 def bbox_area(spark, d):
     b = [F.col(c) for c in ("lon0", "lat0", "lon1", "lat1")]
-    return _boxes(spark, d).select("id", F.round(geo.bbox_area_km2(*b), 3).alias("area_km2"), geo.bbox_wkt(*b).alias("wkt"))
+    return _boxes(spark, d).select("id", geo.snap(geo.bbox_area_km2(*b), 3).alias("area_km2"), geo.bbox_wkt(*b).alias("wkt"))
 
 
 @query
 def ladder_steps(spark, d):
     v = fixtures.views(spark, d).withColumn("r", F.explode(march.ladder(F.col("lat"), 60000.0, True)))
-    return v.groupBy("view").agg(F.sum("r.n").alias("steps"), F.round(F.max(F.col("r.start") + (F.col("r.n") - 1) * F.col("r.step")), 4).alias("last"))
+    return v.groupBy("view").agg(F.sum("r.n").alias("steps"), geo.snap(F.max(F.col("r.start") + (F.col("r.n") - 1) * F.col("r.step")), 4).alias("last"))
 
 
 # --- catalogue -----------------------------------------------------------------------------------------------------------
@@ -199,7 +200,7 @@ def build_progress(spark, d):
 def elev_codec(spark, d):
     h = (F.col("k") % 7000 - 600) * 1.0 + F.col("p_size") / 7.0
     p = parts(spark, d).withColumn("code", geo.elevation_code(h))
-    return p.select("k", "code", F.round(geo.elevation(F.col("code")), 4).alias("metres"))
+    return p.select("k", "code", geo.snap(geo.elevation(F.col("code")), 4).alias("metres"))
 
 
 def _mosaic_samples(spark, d):
@@ -234,18 +235,18 @@ def sample_blocks(spark, d):
 
 @query
 def sample_bilinear(spark, d):
-    return stored(spark).bilinear(_points(spark, d), F.lit(14), F.col("x"), F.col("y")).select("osm_id", F.round("h", 4).alias("h"))
+    return stored(spark).bilinear(_points(spark, d), F.lit(14), F.col("x"), F.col("y")).select("osm_id", geo.snap("h", 4).alias("h"))
 
 
 @query
 def level_fallback(spark, d):
     found = stored(spark, (14, 12), True).with_height(_points(spark, d), ["osm_id"], F.lit(14), F.col("x"), F.col("y"), found="z")
-    return found.select("osm_id", F.round("h", 4).alias("h"), "z")
+    return found.select("osm_id", geo.snap("h", 4).alias("h"), F.coalesce("z", F.lit(-1)).alias("z"))
 
 
 @query
 def eye_fallback(spark, d):
-    return dem.eye_ground(fixtures.views(spark, d), stored(spark, (14, 12), True), 10.0).select("view", F.round("ground", 4).alias("ground"))
+    return dem.eye_ground(fixtures.views(spark, d), stored(spark, (14, 12), True), 10.0).select("view", geo.snap("ground", 4).alias("ground"))
 
 
 @query
@@ -284,61 +285,89 @@ def ray_horizon(spark, d):
 
 
 def _horizon(samples):
-    return march.visible(samples).groupBy("view", "ray").agg(F.count(F.lit(1)).alias("samples"), F.count_if("visible").alias("visible"), F.round(F.max("alpha"), 6).alias("horizon"))
+    return march.visible(samples).groupBy("view", "ray").agg(F.count(F.lit(1)).alias("samples"), F.count_if("visible").alias("visible"), geo.snap(F.max("alpha"), 6).alias("horizon"))
+
+
+def _over_blocks(spark, d):
+    """Viewpoints on the stored sparse pyramid, with their ground from it, and the pyramid."""
+    pyramid = stored(spark, (14, 12), True)
+    return dem.eye_ground(fixtures.views(spark, d), pyramid, 10.0).withColumn("eye", F.col("ground") + 1.7), pyramid
+
+
+@query
+def ray_horizon_blocks(spark, d):
+    cast = march.Cast(RAYS, BLOCK_LIMIT, first=0.0, step=STEP_DEG)
+    return _horizon(march.samples(*_over_blocks(spark, d), cast, "view", "ray", "alpha", "horizon"))
+
+
+@query
+def viewshed_blocks(spark, d):
+    return march.viewshed(*_over_blocks(spark, d), RADIUS, SCALE, TARGET).select("view", "ix", "iy", "alpha")
+
+
+@query
+def ray_horizon_far(spark, d):
+    """Over three levels of the ladder."""
+    return _horizon(march.samples(eyes(spark, d), SURFACE, march.Cast(RAYS, FAR, first=0.0, step=STEP_DEG), "view", "ray", "alpha", "horizon"))
+
+
+@query
+def viewshed_far(spark, d):
+    return march.viewshed(eyes(spark, d), SURFACE, FAR, FAR / 5, TARGET).select("view", "ix", "iy", "alpha")
 
 
 @query
 def ray_stats(spark, d):
-    return kept(spark, d, "view", "level", "sx", "sy").groupBy("view").agg(F.count(F.lit(1)).alias("samples"), F.count_distinct(F.struct("level", F.floor(F.round((F.col("sx") + geo.ORIGIN) / geo.level_res(F.col("level")), 6) / 512), F.floor(F.round((geo.num(geo.ORIGIN) - F.col("sy")) / geo.level_res(F.col("level")), 6) / 512))).alias("blocks"))
+    return kept(spark, d, "view", "level", "sx", "sy").groupBy("view").agg(F.count(F.lit(1)).alias("samples"), F.count_distinct(F.struct("level", F.floor(geo.snap((F.col("sx") + geo.ORIGIN) / geo.level_res(F.col("level")), 6) / 512), F.floor(geo.snap((geo.num(geo.ORIGIN) - F.col("sy")) / geo.level_res(F.col("level")), 6) / 512))).alias("blocks"))
 
 
 @query
 def column_stop(spark, d):
-    return kept(spark, d, "view", "ray", "d").groupBy("view", "ray").agg(F.count(F.lit(1)).alias("kept"), F.round(F.max("d"), 4).alias("last"))
+    return kept(spark, d, "view", "ray", "d").groupBy("view", "ray").agg(F.count(F.lit(1)).alias("kept"), geo.snap(F.max("d"), 4).alias("last"))
 
 
 @query
 def column_fill(spark, d):
-    return cells(spark, d).select("view", "ray", "row", F.round("dist", 4).alias("dist"), F.round(F.col("cover").cast("double"), 5).alias("cover"))
+    return cells(spark, d).select("view", "ray", "row", geo.snap("dist", 4).alias("dist"), geo.snap(F.col("cover").cast("double"), 5).alias("cover"))
 
 
 @query
 def sky_fraction(spark, d):
     n = cells(spark, d).groupBy("view").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("view", F.round(1 - F.col("n") / float(RAYS * HEIGHT), 6).alias("sky"))
+    return n.select("view", geo.snap(1 - F.col("n") / float(RAYS * HEIGHT), 6).alias("sky"))
 
 
 @query
 def profile_bins(spark, d):
-    return march.profile(kept(spark, d, "view", "ray", "d", "h")).select("view", "col", "bin", F.round(F.col("max_h").cast("double"), 3).alias("max_h"))
+    return march.profile(kept(spark, d, "view", "ray", "d", "h")).select("view", "col", "bin", geo.snap(F.col("max_h").cast("double"), 3).alias("max_h"))
 
 
 @query
 def profile_band_max(spark, d):
     lo, hi = geo.profile_bin(geo.num(250)), geo.profile_bin(geo.num(1000))
-    return march.profile(kept(spark, d, "view", "ray", "d", "h")).filter(F.col("bin").between(lo, hi)).groupBy("view", "col").agg(F.round(F.max("max_h").cast("double"), 3).alias("top"))
+    return march.profile(kept(spark, d, "view", "ray", "d", "h")).filter(F.col("bin").between(lo, hi)).groupBy("view", "col").agg(geo.snap(F.max("max_h").cast("double"), 3).alias("top"))
 
 
 # --- peaks ---------------------------------------------------------------------------------------------------------------
 
 
-def projected(spark, d):
-    pairs = march.peak_candidates(eyes(spark, d), fixtures.peaks(spark, d), PEAK_LIMIT)
+def projected(spark, d, limit=PEAK_LIMIT):
+    pairs = march.peak_candidates(eyes(spark, d), fixtures.peaks(spark, d), limit)
     return march.project_peaks(pairs, SURFACE, 0.0, STEP_DEG, ALT_MAX, STEP_DEG, RAYS)
 
 
-def _seen(spark, d):
+def _seen(spark, d, cast=PICTURE, limit=PEAK_LIMIT):
     """The peaks with visibility, and the traces: both are written once, because several joins read them."""
-    trace = stage.stored(march.traces(eyes(spark, d), SURFACE, PICTURE), "traces")
-    p = stage.stored(projected(spark, d), "peaks")
+    trace = stage.stored(march.traces(eyes(spark, d), SURFACE, cast), "traces")
+    p = stage.stored(projected(spark, d, limit), "peaks")
     return p.join(march.peak_visibility(p, trace, RAYS, 1, True), ["view", "osm_id"]), trace
 
 
-def _dominant(spark, d):
-    seen, trace = _seen(spark, d)
+def _dominant(spark, d, cast=PICTURE, limit=PEAK_LIMIT):
+    seen, trace = _seen(spark, d, cast, limit)
     seen = stage.stored(seen, "seen")
-    dom = march.dominance(seen.filter("visible"), march.profile_of(trace), RAYS, 1, STEP_DEG)
-    return seen.join(dom, ["view", "osm_id"], "left").withColumn("dominance", F.round(F.coalesce("dominance", geo.num(0)), 3))
+    dom = march.dominance(seen.filter("visible"), march.skylines(trace), RAYS, 1, STEP_DEG)
+    return seen.join(dom, ["view", "osm_id"], "left").withColumn("dominance", geo.snap(F.coalesce("dominance", geo.num(0)), 3))
 
 
 @query
@@ -348,13 +377,13 @@ def peak_candidates(spark, d):
 
 @query
 def peak_projection(spark, d):
-    return projected(spark, d).select("view", "osm_id", F.round("ele", 3).alias("ele"), F.round("altitude", 5).alias("altitude"), F.round("x", 7).alias("x"), F.round("y", 10).alias("y"), F.coalesce("column", F.lit(-1)).alias("column"))
+    return projected(spark, d).select("view", "osm_id", geo.snap("ele", 3).alias("ele"), geo.snap("altitude", 5).alias("altitude"), geo.snap("x", 7).alias("x"), geo.snap("y", 10).alias("y"), F.coalesce("column", F.lit(-1)).alias("column"))
 
 
 @query
 def peak_bracketing(spark, d):
-    p = projected(spark, d).filter("column IS NOT NULL").withColumn("b", F.explode(geo.bracket(F.round("x", 6), F.lit(RAYS), F.lit(True))))
-    return p.select("view", "osm_id", F.col("b.slot").alias("slot"), F.col("b.ray").alias("ray"), F.round(geo.bracket_weight(F.round("x", 6)), 6).alias("t"))
+    p = projected(spark, d).filter("column IS NOT NULL").withColumn("b", F.explode(geo.bracket(geo.snap("x", 6), F.lit(RAYS), F.lit(True)))).filter("b.ray IS NOT NULL")
+    return p.select("view", "osm_id", F.col("b.slot").alias("slot"), F.col("b.ray").alias("ray"), geo.snap(geo.bracket_weight(geo.snap("x", 6)), 6).alias("t"))
 
 
 @query
@@ -373,6 +402,14 @@ def peak_topk(spark, d):
     return top.select("view", "osm_id", "dominance", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query
+def peak_far(spark, d):
+    """The same with peaks as far as a chain of mountains shows."""
+    cast = march.Cast(RAYS, FAR_PEAKS, first=0.0, step=STEP_DEG, frame=FRAME)
+    top = march.select_peaks(_dominant(spark, d, cast, FAR_PEAKS), -1000.0, 5, HEIGHT)
+    return top.select("view", "osm_id", "dominance", F.col("rank").cast("bigint").alias("rank"))
+
+
 # --- depth and shading ---------------------------------------------------------------------------------------------------
 
 
@@ -380,13 +417,13 @@ def peak_topk(spark, d):
 def depth_encode(spark, d):
     dist = F.when(F.col("k") % 50 == 0, None).otherwise(F.col("k") * 211 % 450000 + 0.5)
     p = parts(spark, d).withColumn("code", geo.encode_depth(dist))
-    return p.select("k", "code", F.round(geo.decode_depth(F.col("code")), 3).alias("back"))
+    return p.select("k", "code", geo.snap(geo.decode_depth(F.col("code")), 3).alias("back"))
 
 
 @query
 def depth_quantise(spark, d):
     p = parts(spark, d).withColumns({"code": (F.col("k") * 7919 % 65536).cast("int"), "step": (F.col("p_size") % 17).cast("int")})
-    return p.select("k", geo.quantise_depth(F.col("code"), F.col("step")).cast("bigint").alias("q"), F.round(geo.depth_error_percent(F.col("step")), 6).alias("error"))
+    return p.select("k", geo.quantise_depth(F.col("code"), F.col("step")).cast("bigint").alias("q"), geo.snap(geo.depth_error_percent(F.col("step")), 6).alias("error"))
 
 
 def _depth(spark, d):
@@ -422,28 +459,28 @@ def _shaded(spark, d):
 
 @query
 def edge_strength(spark, d):
-    return edged(spark, d).filter("edge > 0").select("view", "ray", "row", F.round("edge", 5).alias("edge"))
+    return edged(spark, d).filter("edge > 0").select("view", "ray", "row", geo.snap("edge", 5).alias("edge"))
 
 
 @query
 def ink_spread(spark, d):
-    return shade.ink(edged(spark, d), 1.0, 0.5, HEIGHT).select("view", "ray", "row", F.round("ink", 5).alias("ink"))
+    return shade.ink(edged(spark, d), 1.0, 0.5, HEIGHT).select("view", "ray", "row", geo.snap("ink", 5).alias("ink"))
 
 
 @query
 def shaded_column(spark, d):
-    return _shaded(spark, d).select("view", "ray", "row", *(F.round(c, 3).alias(c) for c in "rgb"))
+    return _shaded(spark, d).select("view", "ray", "row", *(geo.snap(c, 3).alias(c) for c in "rgb"))
 
 
 @query
 def supersample_avg(spark, d):
-    return shade.box_average(_shaded(spark, d), 2, 2).select("view", "col", "row", *(F.round(c, 3).alias(c) for c in "rgb"))
+    return shade.box_average(_shaded(spark, d), 2, 2).select("view", "col", "row", *(geo.snap(c, 3).alias(c) for c in "rgb"))
 
 
 @query
 def dither_levels(spark, d):
     p = parts(spark, d).select((F.col("k") % 317).alias("x"), F.floor(F.col("k") / 317).alias("y"), F.col("p_size"))
-    return p.select("x", "y", F.round(geo.dither(F.col("x"), F.col("y")), 6).alias("noise"), geo.channel(F.round(100 + F.col("p_size") / 3.0, 6), F.col("x"), F.col("y"), 1.0).cast("bigint").alias("level"))
+    return p.select("x", "y", geo.snap(geo.dither(F.col("x"), F.col("y")), 6).alias("noise"), geo.channel(geo.snap(100 + F.col("p_size") / 3.0, 6), F.col("x"), F.col("y"), 1.0).cast("bigint").alias("level"))
 
 
 # --- requests, texts, checks -----------------------------------------------------------------------------------------------

@@ -65,7 +65,7 @@ def cover(boxes: DataFrame, grid: geo.Grid = GRID) -> DataFrame:
     """Boxes (lon0, lat0, lon1, lat1) with one row for every tile (tx, ty) they touch; latitudes end at the projection's."""
     lo, hi = F.greatest("lat0", geo.num(-geo.LIMIT_LATITUDE)), F.least("lat1", geo.num(geo.LIMIT_LATITUDE))
     n, span = grid.across, grid.span
-    at = lambda v: F.round(v / span, 9)
+    at = lambda v: geo.snap(v / span, 9)
     first = lambda v: F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor(at(v)))).cast("int")
     last = lambda v: F.least(F.lit(n), F.greatest(F.lit(1), F.ceil(at(v)))).cast("int")
     out = boxes.filter(lo < hi)

@@ -44,8 +44,9 @@ def hidden(blocks: DataFrame, levels: list[int]) -> DataFrame:
     full = blocks.filter("complete").select("level", "bx", "by")
     for coarse, fine in zip(sorted(levels), sorted(levels)[1:]):
         n = 1 << (fine - coarse)
-        over = lambda c: F.when(c % n == 0, F.array(F.floor(c / n), F.floor(c / n) - 1)).otherwise(F.array(F.floor(c / n)))
-        under = full.filter(F.col("level") == fine).select(F.explode(over(F.col("bx"))).cast("int").alias("bx"), "by").select("bx", F.explode(over(F.col("by"))).cast("int").alias("by"))
+        own = lambda c: F.floor(c / n).cast("int")
+        over = lambda c: F.when(c % n == 0, F.array(own(c), own(c) - 1)).otherwise(F.array(own(c)))
+        under = full.filter(F.col("level") == fine).select(F.explode(over(F.col("bx"))).alias("bx"), "by").select("bx", F.explode(over(F.col("by"))).alias("by"))
         found = under.groupBy("bx", "by").count().filter(F.col("count") == (n + 1) ** 2).select(F.lit(coarse).alias("level"), "bx", "by")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else full.limit(0)
@@ -64,12 +65,6 @@ def levels(blocks: DataFrame) -> list[int]:
     return sorted((r["level"] for r in blocks.select("level").distinct().collect()), reverse=True)
 
 
-def read_cells(cells: bytes, side: int) -> np.ndarray:
-    """The heights of a block's cells, NaN where there is no data."""
-    codes = np.frombuffer(cells, ">u2").reshape(side + 1, side + 1)
-    return np.where(codes == 0, np.nan, codes * 0.1 - 500.0)
-
-
 def code_at(cells: Column, i: Column) -> Column:
     """The i-th code of a block, in plain expressions."""
     return F.conv(F.hex(F.substring(cells, (2 * i + 1).cast("int"), F.lit(2))), 16, 10).cast("int")
