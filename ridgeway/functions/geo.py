@@ -167,6 +167,7 @@ def delta16(q: Column, before: Column) -> Column:
     return (q - before + 32768).bitwiseAND(F.lit(65535)) - 32768
 
 
+# fixed values: sky, haze and dither
 # --- colours -------------------------------------------------------------------------------------------------------------
 
 SKY_LOW, SKY_HIGH = (196.0, 216.0, 238.0), (110.0, 156.0, 214.0)
@@ -276,7 +277,11 @@ def crs_matches(epsg_a: Column, epsg_b: Column, proj_a: Column, proj_b: Column)
 
 
 def nodata_text(v: Column) -> Column:
-    return F.when(v.isNull(), "none").when(F.abs(v) >= 1e6, F.format_string("%e", v)).otherwise(F.regexp_replace(v.cast("string"), r"\.0$", ""))
+    """A value's shortest decimal form, with an exponent from a million up; null is ``none``."""
+    plain = F.regexp_replace(v.cast("string"), r"\.0$", "")
+    digits = F.regexp_replace(F.regexp_replace(v.cast("string"), r"\.0E", "E"), "E", "e")  # doubles turn to exponents from 1e7 up
+    million = F.concat(F.regexp_replace(F.regexp_replace((v / 1e6).cast("string"), r"\.0$", ""), "E.*", ""), F.lit("e6"))
+    return F.when(v.isNull(), "none").when(F.abs(v) >= 1e7, digits).when(F.abs(v) >= 1e6, million).otherwise(plain)
 
 
 # --- visibility --------------------------------------------------------------------------------------------------------------
