@@ -101,12 +101,12 @@ BEFORE = "OVER (PARTITION BY view, ray ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDI
 KEPT = f"""{MARCH},
 rowed AS (SELECT *, greatest(0e0, round((20e0 - alpha) / 1e0, 9)) AS f FROM samples),
 stopped AS (SELECT *, min(CASE WHEN f < 1 THEN d END) OVER (PARTITION BY view, ray) AS stop FROM rowed),
-kept AS (SELECT * FROM stopped WHERE stop IS NULL OR d <= stop)"""
+kept AS MATERIALIZED (SELECT * FROM stopped WHERE stop IS NULL OR d <= stop)"""
 FILL = f"""{KEPT},
 bounds AS (SELECT *, CAST(least(40, coalesce(min(floor(f)) {BEFORE}, 40)) AS INT) AS prev FROM kept),
 fillers AS (SELECT *, coalesce(lag(d) OVER (PARTITION BY view, ray ORDER BY d), step) AS lv FROM bounds WHERE floor(f) < prev),
 written AS (SELECT *, CAST(unnest(range(CAST(floor(f) AS BIGINT), CAST(prev AS BIGINT))) AS INT) AS row_ FROM fillers),
-cells AS (SELECT view, ray, row_ AS row, CASE WHEN row_ < f THEN d WHEN d <= lv * 1.05e0 THEN d + (lv - d) * (row_ - ceil(f)) / greatest(prev - ceil(f), 1) ELSE d END AS dist,
+cells AS MATERIALIZED (SELECT view, ray, row_ AS row, CASE WHEN row_ < f THEN d WHEN d <= lv * 1.05e0 THEN d + (lv - d) * (row_ - ceil(f)) / greatest(prev - ceil(f), 1) ELSE d END AS dist,
   CAST(CASE WHEN row_ < f THEN row_ + 1 - f ELSE 1e0 END AS FLOAT) AS cover FROM written)"""
 PROFILE = f"{KEPT}, profile AS (SELECT view, ray AS col, {bin_('d')} AS bin, max(CAST(h AS FLOAT)) AS max_h FROM kept GROUP BY ALL)"
 SHED = march(math.ceil(2 * math.pi * 400 / 20), f"360e0 * ray / {math.ceil(2 * math.pi * 400 / 20)}", "floor(round((400e0 - step) / step, 9)) + 1")
@@ -150,12 +150,12 @@ FULL = f"""{FILL},
 frame AS (SELECT view, CAST(ray AS INT) AS ray, CAST(row AS INT) AS row FROM views, range(24) a(ray), range(40) b(row)),
 complete AS (SELECT f.view, f.ray, f.row, c.dist, CAST(coalesce(c.cover, 0) AS DOUBLE) AS cover FROM frame f LEFT JOIN cells c USING (view, ray, row)),
 logs AS (SELECT *, ln(dist) AS here, ln(lag(dist) OVER w) AS above, ln(lead(dist) OVER w) AS below, lag(dist) OVER w AS back FROM complete WINDOW w AS (PARTITION BY view, ray ORDER BY row)),
-edges AS (SELECT *, CASE WHEN dist IS NULL THEN 0e0 WHEN row = 0 OR above IS NULL THEN 1e0 WHEN above - here <= 0 THEN 0e0
+edges AS MATERIALIZED (SELECT *, CASE WHEN dist IS NULL THEN 0e0 WHEN row = 0 OR above IS NULL THEN 1e0 WHEN above - here <= 0 THEN 0e0
   ELSE greatest(0e0, least(1e0, (above - here - greatest(0e0, coalesce(here - below, 0e0))) / {math.log(1.15)!r}e0)) * sqrt(greatest(0e0, least(1e0, dist * (exp(above - here) - 1e0) / 500e0))) END AS edge FROM logs)"""
 INK = f"""{FULL},
 strokes AS (SELECT view, ray, edge * (1 - (0.45e0 + 0.4e0 * (1 - exp(-dist / 45000e0)))) AS amount, row + (1 - cover) - 0.5e0 AS lo, row + (1 - cover) + 0.5e0 AS hi FROM edges WHERE edge > 0),
 drops AS (SELECT view, ray, amount, lo, hi, unnest(range(CAST(greatest(0, floor(lo)) AS BIGINT), CAST(least(ceil(hi), 40) AS BIGINT))) AS y FROM strokes),
-inks AS (SELECT view, ray, CAST(y AS INT) AS row, sum(amount * (least(hi, y + 1e0) - greatest(lo, CAST(y AS DOUBLE)))) AS ink FROM drops WHERE least(hi, y + 1e0) - greatest(lo, CAST(y AS DOUBLE)) > 0 GROUP BY ALL)"""
+inks AS MATERIALIZED (SELECT view, ray, CAST(y AS INT) AS row, sum(amount * (least(hi, y + 1e0) - greatest(lo, CAST(y AS DOUBLE)))) AS ink FROM drops WHERE least(hi, y + 1e0) - greatest(lo, CAST(y AS DOUBLE)) > 0 GROUP BY ALL)"""
 
 
 def _shades() -> str:
@@ -191,7 +191,7 @@ prints AS (SELECT s_suppkey % 5 AS source_id, -24e0 + s_suppkey % 60 AS lon0, 31
 hits AS (SELECT DISTINCT * FROM ({cover('prints', 'source_id')})),
 built AS (SELECT *, CASE WHEN tx % 2 = 0 THEN 14 ELSE 11 END AS level FROM planned WHERE (tx + ty) % 4 = 0)"""
 SOURCES = """sources AS (SELECT CASE WHEN n_nationkey = 5 THEN 'ALGERIA' ELSE n_name END AS id, n_name, n_nationkey AS k, CAST(CASE WHEN n_nationkey = 4 THEN 30 ELSE 10 * n_nationkey END AS BIGINT) AS priority,
-  CASE WHEN n_nationkey = 3 THEN 20e0 ELSE 1e0 END AS native_res, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 14 ELSE 12 END AS INT) AS finest_level, 10e0 + n_nationkey AS lon0, 45e0 AS lat0, CASE WHEN n_nationkey = 2 THEN 12e0 ELSE 12e0 + n_nationkey END AS lon1, 47.5e0 AS lat1 FROM nation WHERE n_nationkey < 6)"""
+  CASE WHEN n_nationkey = 3 THEN 20e0 ELSE 1e0 END AS native_res, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 14 ELSE 12 END AS INT) AS finest_level, 10e0 + n_nationkey AS lon0, 45e0 AS lat0, CASE WHEN n_nationkey = 2 THEN 12e0 ELSE 12e0 + n_nationkey END AS lon1, 47.5e0 AS lat1 FROM nation)"""
 WX, WY = 2329600, 1439232
 POINTS = f"{PEAKS}, points AS (SELECT osm_id, {mx('plon')} AS x, {my('plat')} AS y FROM peaks)"
 
@@ -276,10 +276,36 @@ steps AS (SELECT * EXCLUDE (step), CASE WHEN k < n14 THEN 14 WHEN k < n14 + n13
 FAR_MARCH = far(MARCH, 40000.0, False)
 FAR_SHED = far(march(32, "360e0 * ray / 32", "0"), 40000.0, True)
 FAR_PEAKS = DOMINANT.replace(MARCH, far(MARCH, 25000.0, False)).replace("800e0", "25000e0").replace(f"{code(px(mx('plon')), py(my('plat')))} * 0.1e0 - 500e0", level_height(level("distance", "lat"), mx("plon"), my("plat")))
-FAR_PEAKS = FAR_PEAKS.replace("answers AS (", f"rises AS (SELECT * FROM (SELECT *, max(alpha) {BEFORE} AS up FROM kept) WHERE up IS NULL OR alpha > up),\nanswers AS (").replace("LEFT JOIN kept k", "LEFT JOIN rises k")
+FAR_PEAKS = FAR_PEAKS.replace("answers AS (", f"rises AS MATERIALIZED (SELECT * FROM (SELECT *, max(alpha) {BEFORE} AS up FROM kept) WHERE up IS NULL OR alpha > up),\nanswers AS (").replace("LEFT JOIN kept k", "LEFT JOIN rises k")
 ASKED = """asked AS (SELECT event_id AS id, event_id AS k, CASE WHEN event_id % 13 = 0 THEN 'nan'::DOUBLE ELSE 49e0 END AS lat, coalesce(CASE WHEN event_id % 5 <> 0 THEN event_id % 7 / 20e0 END, 0.05e0) AS step, event_id % 500 - 20e0 AS fov,
   CASE WHEN event_id % 11 = 0 THEN 95e0 ELSE event_id % 60 * 1e0 END AS alt_max, event_id % 30 * 2000e0 - 4000e0 AS radius, event_id % 9 * 3e0 AS scale, CASE WHEN event_id % 17 = 0 THEN -1e0 ELSE 1e0 END AS ridge FROM events)"""
 
+def _overviews() -> str:
+    text = f"WITH l14 AS (SELECT * FROM (SELECT {WX} + i % 1536 AS x, {WY} + i // 1536 AS y FROM range(2359296) t(i))), c14 AS (SELECT x, y, CASE WHEN (x + y) % 7 = 0 THEN 0 ELSE {code('x', 'y')} END AS v FROM l14)"
+    for z in range(13, 7, -1):
+        text += f", c{z} AS MATERIALIZED (SELECT x // 2 AS x, y // 2 AS y, CAST(round(sum(v) / count(*)) AS BIGINT) AS v FROM c{z + 1} WHERE v <> 0 GROUP BY ALL)"
+    return text + " " + " UNION ALL ".join(f"SELECT CAST({z} AS INT) AS level, x, y, v FROM c{z}" for z in range(13, 7, -1))
+
+
+OVERVIEWS = _overviews()
+RECT_WKT = """WITH r AS (SELECT '/vrt/' || n_name || '.vrt' AS file, n_nationkey * 1000e0 + off_ * 25e0 AS x0, n_nationkey * 1000e0 + off_ * 25e0 + (100 + n_nationkey) * 25e0 AS x1, 500000e0 AS y0, 498750e0 AS y1 FROM nation, (SELECT unnest([1, 2]) AS m) CROSS JOIN LATERAL (SELECT n_nationkey * m AS off_))
+SELECT file, 'POLYGON ((' || printf('%.4f %.4f,%.4f %.4f,%.4f %.4f,%.4f %.4f,%.4f %.4f', x0, y0, x1, y0, x1, y1, x0, y1, x0, y0) || '))' AS wkt FROM r"""
+EVENTS = """ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY t, seq) AS n FROM (SELECT user_id % 16 AS queue_id, event_id AS seq, epoch_us(ts) / 1e6 AS t, CASE event_type WHEN 'purchase' THEN 10 WHEN 'signup' THEN 5 ELSE 0 END AS priority, 5e0 + coalesce(value, 0e0) / 20 AS service, event_type = 'error' AS gone FROM events))"""
+QUEUE = f"""WITH RECURSIVE {EVENTS},
+sim AS (SELECT queue_id, CAST(1 AS BIGINT) AS n, -1e300 AS busy, CAST([] AS STRUCT(k DOUBLE, seq BIGINT, service DOUBLE, depth INT)[]) AS w, CAST(NULL AS STRUCT(seq BIGINT, outcome VARCHAR, start DOUBLE, finish DOUBLE, depth INT)) AS o FROM (SELECT DISTINCT queue_id FROM ev)
+UNION ALL SELECT queue_id, CASE WHEN pop THEN n ELSE n + 1 END, CASE WHEN pop THEN busy + w[1].service WHEN free THEN t + service ELSE busy END,
+  CASE WHEN pop THEN w[2:] WHEN free OR gone OR len(w) >= 10 THEN w ELSE list_sort(list_append(w, {{'k': -(priority - 0.2e0 * t), 'seq': seq, 'service': service, 'depth': CAST(len(w) + 1 AS INT)}})) END,
+  CASE WHEN pop THEN {{'seq': w[1].seq, 'outcome': 'served', 'start': busy, 'finish': busy + w[1].service, 'depth': w[1].depth}}
+    WHEN free THEN {{'seq': seq, 'outcome': 'served', 'start': t, 'finish': t + service, 'depth': 0}}
+    WHEN len(w) >= 10 THEN {{'seq': seq, 'outcome': 'rejected', 'start': t, 'finish': t, 'depth': CAST(len(w) + 1 AS INT)}}
+    WHEN gone THEN {{'seq': seq, 'outcome': 'abandoned', 'start': t, 'finish': t, 'depth': CAST(len(w) + 1 AS INT)}} END
+  FROM (SELECT s.queue_id, s.n, busy, w, e.t, e.seq, e.priority, e.service, e.gone, len(w) > 0 AND (e.n IS NULL OR busy <= e.t) AS pop, len(w) = 0 AND e.t >= busy AS free FROM sim s LEFT JOIN ev e ON e.queue_id = s.queue_id AND e.n = s.n WHERE e.n IS NOT NULL OR len(w) > 0))
+SELECT queue_id, o.seq AS seq, o.outcome AS outcome, o.start AS start, o.finish AS finish, o.depth AS depth FROM sim WHERE o IS NOT NULL"""
+ADMISSION = f"""WITH RECURSIVE {EVENTS},
+sim AS (SELECT queue_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, 0e0 AS level, CAST(NULL AS DOUBLE) AS before, false AS admitted FROM (SELECT DISTINCT queue_id FROM ev)
+UNION ALL SELECT queue_id, n, seq, CASE WHEN now_ <= 10 THEN now_ + 1 ELSE level END, CASE WHEN now_ <= 10 THEN t ELSE before END, now_ <= 10 FROM (SELECT e.queue_id, e.n, e.seq, e.t, s.level, s.before, greatest(0e0, s.level - coalesce((e.t - s.before) * 20e0 / 60e0, 0e0)) AS now_ FROM sim s JOIN ev e ON e.queue_id = s.queue_id AND e.n = s.n + 1))
+SELECT queue_id AS client, seq, admitted FROM sim WHERE n > 0"""
+
 ORACLES: dict[str, str] = {
     "geo_project": f"WITH {VIEWS}, p AS (SELECT *, {mx('lon')} AS x, {my('lat')} AS y FROM views) SELECT view, round(x, 6) AS x, round(y, 6) AS y, round(x / {O} * 180e0, 6) AS lon, round(degrees(2 * atan(exp(y / {R})) - {math.pi / 2!r}e0), 6) AS lat FROM p",
     "geo_distance_bearing": f"WITH {PEAKS} SELECT osm_id, round({gc('20.01e0', '49.01e0', 'plon', 'plat')}, 4) AS distance, round({bearing('20.01e0', '49.01e0', 'plon', 'plat')}, 4) AS azimuth FROM peaks",
@@ -292,20 +318,20 @@ ORACLES: dict[str, str] = {
     "ladder_steps": f"WITH RECURSIVE {VIEWS}, l AS (SELECT view, lat, {ground('14', 'lat')} AS d, 1 AS n FROM views UNION ALL SELECT view, lat, d + {ground(level('d', 'lat'), 'lat')}, n + 1 FROM l WHERE d + {ground(level('d', 'lat'), 'lat')} <= 60000e0) SELECT view, CAST(max(n) AS BIGINT) AS steps, round(max(d), 4) AS last FROM l GROUP BY view",
     "catalog_resolved": f"WITH {SOURCES} SELECT id, priority, finest_level, 'average' AS resampling, 'tiles' AS footprint, CASE WHEN k = 1 THEN -9999e0 END AS nodata_value, k <> 1 AS nodata_declared, lon0, lat0, lon1, lat1 FROM sources",
     "catalog_violations": f"WITH {SOURCES} SELECT id, priority, rule FROM (SELECT *, unnest(list_filter([CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id' END, CASE WHEN count(*) OVER (PARTITION BY priority) > 1 THEN 'duplicate priority' END, CASE WHEN lon0 >= lon1 OR lat0 >= lat1 THEN 'degenerate bbox' END, CASE WHEN {ground('finest_level', '49e0')} < native_res * 0.75e0 THEN 'upsampling' END], lambda x: x IS NOT NULL)) AS rule FROM sources)",
-    "index_plan": "SELECT CAST(z AS INT) AS level, n_name AS source_id, 10 * n_nationkey AS priority, CAST(f - z - 1 AS INT) AS ovr, '/dem/norm/' || n_name || '/' || f AS dir FROM (SELECT *, CASE WHEN n_nationkey % 3 = 0 THEN 14 ELSE 12 END AS f FROM nation WHERE n_nationkey < 6) s, range(8, 15) t(z) WHERE z <= f",
+    "index_plan": "SELECT CAST(z AS INT) AS level, n_name AS source_id, 10 * n_nationkey AS priority, CAST(f - z - 1 AS INT) AS ovr, '/dem/norm/' || n_name || '/' || f AS dir FROM (SELECT *, CASE WHEN n_nationkey % 3 = 0 THEN 14 ELSE 12 END AS f FROM nation) s, range(8, 15) t(z) WHERE z <= f",
     "elevation_sources": f"WITH {SOURCES}, n AS (SELECT *, regexp_replace(CAST(lon0 AS VARCHAR), '\\.0$', '') AS a, regexp_replace(CAST(lon1 AS VARCHAR), '\\.0$', '') AS b FROM sources) SELECT string_agg(lower(n_name) || ':/data/' || n_name || '.tif:' || a || ',45,' || b || ',47.5', ';' || chr(10) ORDER BY priority DESC, lower(n_name)) AS elevation_sources FROM n",
-    "source_order": "SELECT n_name AS source_id, 10 * n_nationkey AS priority, row_number() OVER (ORDER BY n_nationkey DESC) AS rank FROM nation WHERE n_nationkey < 6",
+    "source_order": "SELECT n_name AS source_id, 10 * n_nationkey AS priority, row_number() OVER (ORDER BY n_nationkey DESC) AS rank FROM nation",
     "build_environment": f"WITH {SOURCES}, t AS (SELECT * FROM ({cover('(SELECT * FROM sources WHERE finest_level = 14)', 'id')})) SELECT id, tx, ty, printf('TE=\"%.6f %.6f %.6f %.6f\"', -{O} + tx * {SPAN}, {O} - (ty + 1) * {SPAN}, -{O} + (tx + 1) * {SPAN}, {O} - ty * {SPAN}) AS extent, 'DST=/dem/norm/' || id || '/14/' || tx || '_' || ty || '.tif' AS dst FROM t",
     "tile_plan_semi_anti": f"WITH {PLAN} SELECT source_id, tx, ty FROM planned p WHERE (source_id NOT IN (SELECT source_id FROM prints) OR EXISTS (SELECT 1 FROM hits h WHERE h.source_id = p.source_id AND h.tx = p.tx AND h.ty = p.ty)) AND NOT EXISTS (SELECT 1 FROM built b WHERE b.source_id = p.source_id AND b.tx = p.tx AND b.ty = p.ty AND b.level IN (14, 12))",
     "build_progress": f"WITH {PLAN} SELECT CAST(coalesce(source_id, -1) AS BIGINT) AS source_id, count(*) AS planned, CAST(sum(CASE WHEN (tx + ty) % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS built FROM planned GROUP BY ROLLUP (source_id)",
     "elev_codec": "WITH p AS (SELECT p_partkey AS k, CAST(greatest(0, least(65535, round(((p_partkey % 7000 - 600) * 1e0 + p_size / 7e0 + 500e0) * 10e0))) AS INT) AS code FROM part) SELECT k, code, CASE WHEN code <> 0 THEN round(code * 0.1e0 - 500e0, 4) END AS metres FROM p",
-    "mosaic_priority": f"WITH c AS (SELECT {WX} + 16 * (i % 96) AS x, {WY} + 16 * (i // 96) AS y FROM range(9216) t(i)), s AS (SELECT x, y, {code('x', 'y')} + n_nationkey AS value, CAST(10 * n_nationkey AS BIGINT) AS priority FROM c, nation WHERE n_nationkey < 6 AND {pmod('x // 64 + 3 * (y // 64) + n_nationkey', '11')} < 3) SELECT x, y, CAST(arg_max(value, priority) AS BIGINT) AS value, max(priority) AS priority FROM s GROUP BY x, y",
-    "overview_avg": f"WITH c AS (SELECT {WX} + i % 256 AS x, {WY} + i // 256 AS y FROM range(65536) t(i)), a AS (SELECT x // 2 AS x, y // 2 AS y, CAST(round(sum({code('x', 'y')}) / count(*)) AS BIGINT) AS v FROM c WHERE (x + y) % 7 <> 0 GROUP BY ALL), b AS (SELECT x // 2 AS x, y // 2 AS y, CAST(round(sum(v) / count(*)) AS BIGINT) AS v FROM a WHERE v <> 0 GROUP BY ALL) SELECT CAST(13 AS INT) AS level, x, y, v FROM a UNION ALL SELECT CAST(12 AS INT), x, y, v FROM b",
+    "mosaic_priority": f"WITH c AS (SELECT {WX} + i % 1536 AS x, {WY} + i // 1536 AS y FROM range(2359296) t(i)), s AS (SELECT x, y, {code('x', 'y')} + n_nationkey AS value, CAST(10 * n_nationkey AS BIGINT) AS priority FROM c, nation WHERE {pmod('x // 64 + 3 * (y // 64) + n_nationkey', '67')} < 3) SELECT x, y, CAST(arg_max(value, priority) AS BIGINT) AS value, max(priority) AS priority FROM s GROUP BY x, y",
+    "overview_avg": OVERVIEWS,
     "sample_blocks": f"WITH {POINTS}, q AS (SELECT osm_id, {px('x')} AS cx, {py('y')} AS cy FROM points) SELECT osm_id, CASE WHEN {inside('cx', 'cy')} THEN round({code('cx', 'cy')} * 0.1e0 - 500e0, 6) END AS h FROM q",
     "sample_bilinear": f"WITH {POINTS}, {sampled('points', 'got', 'x', 'y', (14,), False)} SELECT osm_id, round(h, 4) AS h FROM got",
     "level_fallback": f"WITH {POINTS}, {sampled('points', 'got', 'x', 'y', (14, 12), True)} SELECT osm_id, round(h, 4) AS h, coalesce(z, -1) AS z FROM got",
     "eye_elevation": f"WITH {VIEWS}, ring AS (SELECT *, unnest(range(-1, 8)) AS k FROM views), spots AS (SELECT view, {mx('lon')} + CASE WHEN k < 0 THEN 0e0 ELSE 10e0 / cos(radians(lat)) * cos(k * 0.7853981633974483e0) END AS x, {my('lat')} + CASE WHEN k < 0 THEN 0e0 ELSE 10e0 / cos(radians(lat)) * sin(k * 0.7853981633974483e0) END AS y FROM ring) SELECT view, round(max({code(px('x'), py('y'))} * 0.1e0 - 500e0), 6) AS ground FROM spots GROUP BY view",
-    "speckle_fill": f"WITH c AS (SELECT x, y, CASE WHEN (x * 7 + y * 3) % 11 = 0 THEN 0 ELSE {code('x', 'y')} END AS v FROM (SELECT {WX} + i % 64 AS x, {WY} + i // 64 AS y FROM range(4096) t(i))), f AS (SELECT a.x, a.y, sum(b.v * pow((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), -0.5e0)) / sum(pow((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), -0.5e0)) AS f FROM c a JOIN c b ON a.v = 0 AND b.v <> 0 AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4 GROUP BY a.x, a.y) SELECT c.x, c.y, CAST(coalesce(round(f.f), c.v) AS BIGINT) AS v FROM c LEFT JOIN f USING (x, y)",
+    "speckle_fill": f"WITH c AS MATERIALIZED (SELECT x, y, CASE WHEN (x * 7 + y * 3) % 11 = 0 THEN 0 ELSE {code('x', 'y')} END AS v FROM (SELECT {WX} + i % 1536 AS x, {WY} + i // 1536 AS y FROM range(2359296) t(i))), o AS (SELECT dx, dy, pow(dx * dx + dy * dy, -0.5e0) AS w FROM range(-5, 6) a(dx), range(-5, 6) b(dy) WHERE dx * dx + dy * dy BETWEEN 1 AND 25), h AS (SELECT x, y, x + dx AS nx, y + dy AS ny, w FROM c, o WHERE v = 0), f AS (SELECT h.x, h.y, sum(n.v * w) / sum(w) AS f FROM h JOIN c n ON n.x = h.nx AND n.y = h.ny WHERE n.v <> 0 GROUP BY h.x, h.y) SELECT c.x, c.y, CAST(coalesce(round(f.f), c.v) AS BIGINT) AS v FROM c LEFT JOIN f ON c.v = 0 AND f.x = c.x AND f.y = c.y",
     "viewshed_cells": f"WITH {SHED_CELLS} SELECT view, ix, iy, CAST(alpha AS INT) AS alpha FROM shed",
     "viewshed_stats": f"WITH {SHED_CELLS} SELECT view, count(*) AS pixels, CAST(sum(alpha) AS BIGINT) AS opacity FROM shed GROUP BY view",
     "eye_fallback": f"WITH {VIEWS}, {RING} SELECT view, round(ground, 4) AS ground FROM grounds",
@@ -314,6 +340,9 @@ ORACLES: dict[str, str] = {
     "viewshed_blocks": f"WITH {SHED_CELLS.replace(SHED, over_blocks(SHED))} SELECT view, ix, iy, CAST(alpha AS INT) AS alpha FROM shed",
     "viewshed_far": f"WITH {SHED_CELLS.replace(SHED, FAR_SHED).replace('20e0 / cos(radians(lat)) AS proj', '8000e0 / cos(radians(lat)) AS proj').replace('proj * 20e0', 'proj * 5e0').replace('BETWEEN 0 AND 39', 'BETWEEN 0 AND 9')} SELECT view, ix, iy, CAST(alpha AS INT) AS alpha FROM shed",
     "peak_far": f"WITH {FAR_PEAKS}, top AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY dominance DESC, osm_id) AS rank FROM ranked WHERE dominance >= -1000 AND y BETWEEN 0 AND 40) SELECT view, osm_id, dominance, rank FROM top WHERE rank <= 5",
+    "rect_wkt": RECT_WKT,
+    "queue_schedule": QUEUE,
+    "client_admission": ADMISSION,
     "viewshed_bounds": f"WITH {VIEWS}, p AS (SELECT view, {mx('lon')} AS x, {my('lat')} AS y, 400e0 / cos(radians(lat)) AS half FROM views) SELECT view, round((x - half) / {O} * 180e0, 6) AS west, round(degrees(2 * atan(exp((y - half) / {R})) - {math.pi / 2!r}e0), 6) AS south, round((x + half) / {O} * 180e0, 6) AS east, round(degrees(2 * atan(exp((y + half) / {R})) - {math.pi / 2!r}e0), 6) AS north, CAST(40 AS INT) AS px, CAST(126 AS INT) AS rays FROM p",
     "ray_horizon": f"WITH {MARCH}, v AS (SELECT view, ray, alpha, max(alpha) {BEFORE} AS horizon FROM samples) SELECT view, ray, count(*) AS samples, count(*) FILTER (WHERE horizon IS NULL OR alpha > horizon) AS visible, round(max(alpha), 6) AS horizon FROM v GROUP BY view, ray",
     "ray_stats": f"WITH {KEPT} SELECT view, count(*) AS samples, count(DISTINCT ({px('sx')} // 512, {py('sy')} // 512)) AS blocks FROM kept GROUP BY view",

@@ -127,10 +127,10 @@ def ladder_steps(spark, d):
 
 
 def _raw_sources(spark, d):
-    """Six sources, among them a repeated priority, a flat box and one that would be upsampled."""
+    """Sources, among them a repeated priority, a flat box and one that would be upsampled."""
     k, n = F.col("n_nationkey"), F.col("n_name")
     lon = (10 + k).cast("double")
-    return fixtures.table(spark, d, "nation").filter(k < 6).select(
+    return fixtures.table(spark, d, "nation").select(
         F.when(k == 5, "ALGERIA").otherwise(n).alias("id"), F.lower(n).alias("api_name"), F.concat(F.lit("/data/"), n, F.lit(".tif")).alias("path"), F.when(k == 4, 30).otherwise(10 * k).cast("bigint").alias("priority"),
         F.when(k == 3, 20.0).otherwise(1.0).alias("native_res"), F.lit("EPSG:4326").alias("crs"), F.array(lon, geo.num(45), F.when(k == 2, lon).otherwise(lon + 2), geo.num(47.5)).alias("bbox"), F.when(k == 1, "-9999").when(k == 0, "declared").alias("nodata"),
         F.when(k % 3 == 0, 14).alias("finest_level"), F.lit(None).cast("string").alias("resampling"), F.lit(None).cast("string").alias("footprint"), F.when(k == 4, 5).alias("fill_nodata_md"), F.lit(None).cast("boolean").alias("rebuild_vrt"),
@@ -204,9 +204,8 @@ def elev_codec(spark, d):
 
 
 def _mosaic_samples(spark, d):
-    c = fixtures.window_cells(spark, 16).crossJoin(F.broadcast(fixtures.layers(spark, d)))  # six sources at every pixel is the question itself
-    v = F.when(fixtures.covers(F.col("key"), F.col("x"), F.col("y")), fixtures.surface_code(F.col("x"), F.col("y")) + F.col("key"))
-    return c.withColumn("value", v)
+    c = fixtures.window_cells(spark).withColumn("key", F.explode(fixtures.covering(F.col("x"), F.col("y"))))
+    return c.join(fixtures.layers(spark, d), "key").withColumn("value", fixtures.surface_code(F.col("x"), F.col("y")) + F.col("key"))
 
 
 @query
@@ -216,8 +215,8 @@ def mosaic_priority(spark, d):
 
 @query
 def overview_avg(spark, d):
-    c = fixtures.window_cells(spark, 1).filter((F.col("x") < fixtures.WINDOW_X + 256) & (F.col("y") < fixtures.WINDOW_Y + 256)).select(F.lit(14).alias("level"), "x", "y", F.when((F.col("x") + F.col("y")) % 7 == 0, 0).otherwise(fixtures.surface_code(F.col("x"), F.col("y"))).alias("v"))
-    return dem.overview(c).unionByName(dem.overview(dem.overview(c))).select("level", "x", "y", F.col("v").cast("bigint").alias("v"))
+    c = fixtures.window_cells(spark).select(F.lit(14).alias("level"), "x", "y", F.when((F.col("x") + F.col("y")) % 7 == 0, 0).otherwise(fixtures.surface_code(F.col("x"), F.col("y"))).alias("v"))
+    return dem.overviews(c, GRID.coarsest).filter("level < 14").select("level", "x", "y", F.col("v").cast("bigint").alias("v"))
 
 
 def _points(spark, d):
@@ -256,8 +255,8 @@ def eye_elevation(spark, d):
 
 @query
 def speckle_fill(spark, d):
-    c = fixtures.window_cells(spark, 1).filter((F.col("x") < fixtures.WINDOW_X + 64) & (F.col("y") < fixtures.WINDOW_Y + 64)).withColumn("v", F.when((F.col("x") * 7 + F.col("y") * 3) % 11 == 0, 0).otherwise(fixtures.surface_code(F.col("x"), F.col("y"))))
-    return dem.fill_speckles(c, 2).select("x", "y", F.col("v").cast("bigint").alias("v"))
+    c = fixtures.window_cells(spark).withColumn("v", F.when((F.col("x") * 7 + F.col("y") * 3) % 11 == 0, 0).otherwise(fixtures.surface_code(F.col("x"), F.col("y"))))
+    return dem.fill_speckles(c, 5).select("x", "y", F.col("v").cast("bigint").alias("v"))
 
 
 # --- line of sight -------------------------------------------------------------------------------------------------------

@@ -48,9 +48,9 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_id, key, priority, finest_level): six elevation sources from nation."""
+    """(source_id, key, priority, finest_level): elevation sources from nation."""
     k = F.col("n_nationkey")
-    return table(spark, sf_dir, "nation").filter(k < 6).select(F.col("n_name").alias("source_id"), k.alias("key"), (10 * k).alias("priority"), F.when(k % 3 == 0, 14).otherwise(12).alias("finest_level"))
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("source_id"), k.alias("key"), (10 * k).alias("priority"), F.when(k % 3 == 0, 14).otherwise(12).alias("finest_level"))
 
 
 def window_cells(spark: SparkSession, step: int = 1) -> DataFrame:
@@ -60,9 +60,9 @@ def window_cells(spark: SparkSession, step: int = 1) -> DataFrame:
     return spark.range(n * n).select((F.lit(WINDOW_X) + step * (i % n)).alias("x"), (F.lit(WINDOW_Y) + step * F.floor(i / n)).alias("y"))
 
 
-def covers(key: Column, x: Column, y: Column) -> Column:
-    """Whether a source has data at a pixel."""
-    return F.pmod(F.floor(x / 64) + 3 * F.floor(y / 64) + key, F.lit(11)) < 3
+def covering(x: Column, y: Column) -> Column:
+    """The keys, below 67, of the sources with data at a pixel."""
+    return F.transform(F.array(*map(F.lit, range(3))), lambda r: F.pmod(r - F.floor(x / 64) - 3 * F.floor(y / 64), F.lit(67)).cast("int"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,13 +50,14 @@ class Slot:
 
 
 def _replay(slot: Slot, queue: int, rows: pd.DataFrame, last: bool) -> pd.DataFrame:
+    """Outcomes of a queue's arrivals.  Who hangs up (``abandoned``) gives up at once when it has to wait; a free slot it gets."""
     out = []
     for r in rows.sort_values(["arrival", "seq"]).itertuples():
         now = r.arrival / 1e6
         out += [(queue, s, "served", a, b, d) for s, a, b, d in slot.advance(now)]
-        if r.abandoned:
-            # it hangs up while waiting: it is purged before anything counts it
-            out.append((queue, r.seq, "abandoned", now, now, len(slot.waiting) + (now < slot.busy_until)))
+        waits = now < slot.busy_until or slot.waiting
+        if r.abandoned and waits and len(slot.waiting) < CAPACITY:
+            out.append((queue, r.seq, "abandoned", now, now, len(slot.waiting) + 1))
         elif settled := slot.arrive(now, r.seq, r.priority, r.service):
             out.append((queue, r.seq, *settled))
     if last:
