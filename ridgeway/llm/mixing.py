@@ -10,8 +10,8 @@ of all rows can't be one window: keys fall into buckets of about ``BUCKET_ROWS``
 per source, which settles all buckets but the one where the budget ends, and only that one is sorted.
 
 Definitions.  A null or empty text has size 0 and is taken in whole epochs only, i.e. adds no words.  A null source
-is a source of its own, the last one.  Ties of keys go to the smaller doc_id (nulls first), then to the larger size;
-repeated rows are documents of their own.  A source without words has target 0; an empty table gives an empty result.
+is a source of its own, the last one.  Long texts are counted whole, by built-in functions.  Ties of keys go to the smaller doc_id (nulls first), then to the larger size;
+repeated rows are documents of their own, but at the cut all of them are taken or none, so that reruns agree.  A source without words has target 0; an empty table gives an empty result.
 Only the named columns are read.
 """
 
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
     placed = known.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     cut = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_bucket") > F.col("rest"))
     last = placed.filter(cut)
-    running = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), F.desc("size")).rowsBetween(W.unboundedPreceding, 0))
+    running = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), F.desc("size")).rangeBetween(W.unboundedPreceding, W.currentRow))
     last = last.withColumn("through", F.col("before") + running).withColumn("once", ((F.col("through") - F.col("size") / 2.0) < F.col("rest")).cast("long"))
     rest = placed.filter(~cut).withColumns({"through": F.lit(0).cast("long"), "once": (F.col("before") + F.col("in_bucket") <= F.col("rest")).cast("long")})
     taken = F.col("size") * (F.col("epochs") + F.when(F.col("rest") > 0, F.col("once")).otherwise(0))
@@ -92,6 +92,6 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it, perhaps never; columns unchanged."""
     plan = mix(docs, **options).filter("repeats > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("row_hash").alias("__h"), F.col("repeats").alias("__n"))
-    plan = plan.dropDuplicates(["__d", "__s", "__h"])  # repeated rows share their key, hence their repeats but at the cut
+    plan = plan.dropDuplicates(["__d", "__s", "__h"])  # repeated rows have the same repeats
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.xxhash64("text") == F.col("__h"))
     return docs.join(plan, same).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)

@@ -4,7 +4,8 @@ The base patterns (email, ip, card, phone) are found leftmost and without overla
 check is dropped without another try.  The random field labels every word of a line as one of ``LABELS``; it is trained
 on the small labelled table that ``labelled`` builds and decoded by Viterbi in numpy, many lines at once.  What it finds
 beside the base spans is added: runs of words of one kind, without quotes and punctuation at their ends.
-A run that touches a base match, taken or dropped, adds nothing: the pattern has decided there.
+A run that touches a base match, taken or dropped, adds nothing: the pattern has decided there (runs of fewer than 12
+digits, which no card could be, have not decided).  Runs of fewer than 7 characters add nothing.
 
 Lines without any digit, ``@`` or other mark hold only words of the plain shape.  ``Field.plain_is_other`` proves
 from the weights that their best labelling is all "other", so they are not decoded; if the proof fails they are.

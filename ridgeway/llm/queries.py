@@ -41,9 +41,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{store.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = store.new_path(spark, "warc")
     warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return warc.read_index(spark, path)
 

@@ -10,7 +10,10 @@
 All counts are grouped aggregations over all labelled rows; per document only its id, site and log odds are moved, never text.
 
 Definitions.  A null host or path is a site of its own; a null or empty text has all measures 0.  Labels other than 0 and 1,
-null labels and labels without a document are ignored; several labels of one doc_id all count.  With no labels at all
+null labels and labels without a document are ignored; several labels of one doc_id all count.  A labelled document counts in
+its own host's and path's rate.  A prior counts as at most ``MOST_STRENGTH`` documents, which is also its strength where rates
+show no spread beyond chance.  ``documents`` has no addresses: the registered query takes source for host and lang for path.
+Long texts are measured whole.  With no labels at all
 every rate and score is 0.5.  Repeated rows are judged alike.  Only the named columns are read.
 """
 
@@ -106,7 +109,7 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, label:
     total = known.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate")).first()
     rate = min(max(total["rate"], 1e-3), 1 - 1e-3) if total["n"] else 0.5
     share = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 0.9 * SAMPLE / max(total["n"], 1)) + 1)
-    sample = known.filter(share).select("x", "y").limit(SAMPLE).toPandas()
+    sample = known.filter(share).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "y").select("x", "y").limit(SAMPLE).toPandas()
     mean, scale, w = fit(np.array(sample["x"].tolist(), float).reshape(-1, FEATURES), sample["y"].to_numpy(float))
 
     paths = known.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))

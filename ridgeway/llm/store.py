@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.stage import clean, new_path, shared_dir, stored
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is configured (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ridgeway-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there, a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["clean", "new_path", "shared_dir", "small_batches", "stored"]
 
 
 def small_batches(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataFrame:
-    """``df``, in a session whose Arrow batches hold at most ``rows`` rows and about ``size`` bytes: texts can be very long, and each task holds a batch twice."""
+    """``df``, in a session whose Arrow batches hold at most ``rows`` rows and about ``size`` bytes: texts can be very long, and each task holds a batch twice.
+
+    The settings are the session's and stay, because they are read when the plan runs; smaller ones are left alone.
+    """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         have = df.sparkSession.conf.get(key)
         if not have.rstrip("b").lstrip("-").isdigit() or not 0 < int(have.rstrip("b")) <= most:

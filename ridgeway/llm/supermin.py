@@ -24,7 +24,10 @@ Steps, all distributed:
 
 Definitions.  Rows with one doc_id count as one document that holds both sets.  A row with a null doc_id links
 with nothing; its component is null and it is kept.  An empty table gives an empty result.  Only doc_id and text
-are read.  Sets hold 64-bit shingle hashes.
+are read.  Sets hold 64-bit shingle hashes.  A text is held whole in a task, however long, with some 15 bytes per byte.
+
+A link can be lost where signatures decide: a pair at similarity 0.8 that meets in no band (5e-8) or agrees at fewer than
+72 positions (1e-8).  There is no exact way for those.
 """
 
 from __future__ import annotations
@@ -326,6 +329,15 @@ def _open_pairs(mixed: DataFrame, known: DataFrame) -> DataFrame:
     return met.mapInArrow(_cross, "u bigint, v bigint").distinct()
 
 
+def _of_several_sets(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(several), the ids whose rows hold different sets, and (u, v): the classes that such an id ties together, with the id itself."""
+    each = rows.filter("f1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(*(g(c).alias(f"{k}_{c}") for c in ("f1", "f2") for k, g in (("lo", F.min), ("hi", F.max))))
+    several = stored(each.filter("lo_f1 <> hi_f1 OR lo_f2 <> hi_f2").select(F.col("doc_id").alias("several")), "several-sets")
+    held = rows.join(several, F.col("doc_id") == F.col("several"), "left_semi").select("doc_id", "f1", "f2").distinct()
+    same = held.join(classes, ["f1", "f2"]).select(F.least("doc_id", "rep").alias("u"), F.greatest("doc_id", "rep").alias("v")).filter("u < v").distinct()
+    return several, stored(same, "same-id")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``, compared by shingles of ``size`` words: doc_id, n_shingles, component_id (smallest doc_id of its group), kept."""
     docs = docs.select("doc_id", "text")
@@ -341,9 +353,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     # rows of one doc_id with different sets are one document
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     stars = shared.filter("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct()
-    sets = known.groupBy(F.col("rep").alias("r")).agg(F.count(F.lit(1)).alias("sets"))
-    counted = known.join(sets, F.col("rep") == F.col("r")).select("rep", "n_shingles", "sig", "sets")
-    roots = components(confirmed(stored(_plausible(stars, known), "stars"), texts, size))
+    several, same = _of_several_sets(rows, classes)
+    counted = known.join(several.withColumn("sets", F.lit(2)), known.rep == several.several, "left").select("rep", "n_shingles", "sig", F.coalesce("sets", F.lit(1)).alias("sets"))
+    roots = components(confirmed(stored(_plausible(stars, known), "stars"), texts, size).union(same))
 
     bands = shared.select("bucket", "rep").distinct()
     may = stored(_may_link(_mixed(bands, roots), counted, texts, size), "may-link")
@@ -353,6 +365,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         more = stored(confirmed(some, texts, size), "more-links")
         if not more.isEmpty():
             roots = components(roots.select(F.col("root").alias("u"), "v").union(more))
+    # an id of several sets may be no class's smallest, yet join classes
     named = classes.join(roots, classes.rep == roots.v, "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("root", "rep").alias("component"))
     return rows.join(named, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left").select(
         "doc_id",

@@ -54,30 +54,43 @@ class Block:
     data: np.ndarray  # bytes
     at: np.ndarray  # n + 1 offsets into data
 
-    def __post_init__(self):
-        self._sums = None
-
     def lowered(self) -> "Block":
         return Block(self.first, self.n, _LOWER[self.data], self.at)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        if self._sums is None:
-            self._sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE_VALUES[self.data] * _power("up", len(self.data))[: len(self.data)], out=self._sums[1:])
-        raw = (self._sums[end] - self._sums[start]) * _power("down", len(self.data) + 1)[start]
-        return mix(raw + (end - start).astype(np.uint64))
+        """Hashes of [start, end), which come in order and don't overlap.
+
+        A hash depends on its bytes only, not on where they lie, so long data is taken in pieces of about ``BLOCK_BYTES``
+        that end between two items: the sums of a piece are all that is held at a time.
+        """
+        out = np.empty(len(start), np.uint64)
+        i = 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK_BYTES, side="right")))
+            piece = self.data[start[i] : end[j - 1]]
+            s, e = start[i:j] - start[i], end[i:j] - start[i]
+            sums = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(_BYTE_VALUES[piece] * _power("up", len(piece))[: len(piece)], out=sums[1:])
+            out[i:j] = mix((sums[e] - sums[s]) * _power("down", len(piece) + 1)[s] + (e - s).astype(np.uint64))
+            i = j
+        return out
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row (from 0 in the block), start and end of every maximal run of bytes other than ASCII white space."""
-        word = ~_SPACE[self.data]
-        before = np.zeros(len(word), bool)
-        before[1:] = word[:-1]
-        before[self.at[:-1][self.at[:-1] < len(word)]] = False
-        start = np.flatnonzero(word & ~before)
-        after = np.zeros(len(word), bool)
-        after[:-1] = word[1:]
-        after[self.at[1:][self.at[1:] > 0] - 1] = False
-        end = np.flatnonzero(word & ~after) + 1
+        starts, ends, at = [], [], 0
+        while at < len(self.data):
+            stop = min(len(self.data), at + BLOCK_BYTES)
+            word = ~_SPACE[self.data[max(at - 1, 0) : stop + 1]]  # with the byte before and the one after
+            here = word[at > 0 : (at > 0) + stop - at]
+            before = np.concatenate([word[:1] if at else [False], here[:-1]])
+            after = np.concatenate([here[1:], word[-1:] if stop < len(self.data) else [False]])
+            first, last = (self.at[(self.at >= low) & (self.at < stop + low - at)] - low for low in (at, at + 1))
+            before[first[first < len(here)]] = False  # a row starts here
+            after[last[last < len(here)]] = False  # and one ends here
+            starts.append(np.flatnonzero(here & ~before) + at)
+            ends.append(np.flatnonzero(here & ~after) + at + 1)
+            at = stop
+        start, end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
         return np.searchsorted(self.at, start, side="right") - 1, start, end
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
