@@ -36,6 +36,16 @@ def images(pixels: DataFrame, width: int, height: int) -> DataFrame:
     return pixels.groupBy("view").applyInPandas(one, "view bigint, png binary")
 
 
+def depth_images(depth: DataFrame, width: int, height: int) -> DataFrame:
+    """(view, png): quantised depth codes (view, col, row, q) as a 16-bit grey image."""
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((height, width), np.uint16)
+        out[rows["row"], rows["col"]] = rows["q"].to_numpy()
+        return pd.DataFrame({"view": [key[0]], "png": [png(out)]})
+
+    return depth.groupBy("view").applyInPandas(one, "view bigint, png binary")
+
+
 def packed_depth(deltas: DataFrame, width: int, height: int) -> DataFrame:
     """(view, bytes): row differences as little-endian 16-bit integers, gzipped.  ``deltas``: view, col, row, delta."""
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
