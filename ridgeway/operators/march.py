@@ -224,3 +224,10 @@ def select_peaks(peaks: DataFrame, min_dominance: float, most: int, height: int)
     good = peaks.filter(F.col("visible") & F.col("column").isNotNull() & (F.col("dominance") >= min_dominance) & F.col("y").between(0, height))
     ranked = good.withColumn("rank", F.row_number().over(W.partitionBy("view").orderBy(F.desc("dominance"), "osm_id")))
     return ranked.filter(F.col("rank") <= most) if most else ranked
+
+
+def peak_counts(peaks: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(view, found, seen, labelled): candidates, visible ones and those that get a label."""
+    n = peaks.groupBy("view").agg(F.count(F.lit(1)).alias("found"), F.count_if("visible").alias("seen"))
+    m = labelled.groupBy(F.col("view").alias("__v")).agg(F.count(F.lit(1)).alias("labelled"))
+    return n.join(m, F.col("view") == F.col("__v"), "left").select("view", "found", "seen", F.coalesce("labelled", F.lit(0)).alias("labelled"))

@@ -56,6 +56,20 @@ def footprint_summary(descriptors: DataFrame) -> DataFrame:
     return counts.join(parts, "file", "left").select("file", F.coalesce("parts", F.lit(0)).alias("parts"), "sources", F.coalesce("area_km2", geo.num(0)).alias("area_km2"))
 
 
+def fill(summary: DataFrame, sources: DataFrame) -> DataFrame:
+    """A footprint summary (file, ...) with the area of each source's box (file, lon0, lat0, lon1, lat1) and how much of it, in %, is covered."""
+    box = F.round(geo.bbox_area_km2(*(F.col(c) for c in ("lon0", "lat0", "lon1", "lat1"))), 1)
+    boxes = sources.select(F.col("file").alias("__f"), box.alias("bbox_area_km2"))
+    return summary.join(boxes, F.col("file") == F.col("__f")).drop("__f").withColumn("fill", 100 * F.try_divide("area_km2", "bbox_area_km2"))
+
+
+def write_footprints(parts: DataFrame, summary: DataFrame, to: str) -> None:
+    """``to/parts`` (CSV with a WKT column, a folder a file) and ``to/summary`` (JSON lines, one a file)."""
+    name = F.regexp_replace(F.regexp_extract("file", "([^/]*)$", 1), "[.][^.]*$", "")
+    parts.select(name.alias("id"), "wkt", "area_km2").write.partitionBy("id").option("header", True).csv(f"{to}/parts")
+    summary.coalesce(1).write.json(f"{to}/summary")  # a row per source
+
+
 def read_header(header: Column) -> dict[str, Column]:
     """The fields of a raster's JSON header that the checks use; each may be null."""
     doc = F.try_parse_json(header)

@@ -12,6 +12,17 @@ MOST_PIXELS = 24_000_000
 LEAST_STEP = 0.02
 
 
+#: what the bodies of the two kinds of requests may hold; other fields are ignored
+BODY = {kind: ", ".join(f"{k} {'int' if isinstance(v, int) else 'double'}" for k, v in ({"lon": 0.0, "lat": 0.0} | defaults).items()) for kind, defaults in (("panorama", PANORAMA), ("viewshed", VIEWSHED))}
+
+
+def parsed(bodies: DataFrame, kind: str, body: str = "body") -> DataFrame:
+    """Rows with their JSON ``body`` as columns; ``malformed`` where it is no object of the right types, or lacks lon or lat."""
+    doc = F.from_json(body, BODY[kind] + ", __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    out = bodies.withColumn("__doc", doc).select(*(c for c in bodies.columns if c != body), "__doc.*")
+    return out.withColumn("malformed", F.col("__bad").isNotNull() | F.col("lon").isNull() | F.col("lat").isNull()).drop("__bad")
+
+
 def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 

@@ -280,6 +280,10 @@ FAR_PEAKS = FAR_PEAKS.replace("answers AS (", f"rises AS MATERIALIZED (SELECT *
 ASKED = """asked AS (SELECT event_id AS id, event_id AS k, CASE WHEN event_id % 13 = 0 THEN 'nan'::DOUBLE ELSE 49e0 END AS lat, coalesce(CASE WHEN event_id % 5 <> 0 THEN event_id % 7 / 20e0 END, 0.05e0) AS step, event_id % 500 - 20e0 AS fov,
   CASE WHEN event_id % 11 = 0 THEN 95e0 ELSE event_id % 60 * 1e0 END AS alt_max, event_id % 30 * 2000e0 - 4000e0 AS radius, event_id % 9 * 3e0 AS scale, CASE WHEN event_id % 17 = 0 THEN -1e0 ELSE 1e0 END AS ridge FROM events)"""
 
+FILES = f"""{PLAN}, named AS (SELECT n_name AS source_id, CASE WHEN n_nationkey % 3 = 0 THEN 14 ELSE 12 END AS f, 10 * n_nationkey AS priority, b.tx, b.ty, (b.tx + 2 * b.ty) % 7 = 0 AS half FROM built b JOIN nation ON b.source_id = n_nationkey),
+tiles AS (SELECT source_id, CAST(f AS INT) AS built_level, priority, tx, ty, '/dem/norm/' || source_id || '/' || f || '/' || tx || '_' || ty || '.tif' AS location FROM named WHERE NOT half)"""
+
+
 def _overviews() -> str:
     text = f"WITH l14 AS (SELECT * FROM (SELECT {WX} + i % 1536 AS x, {WY} + i // 1536 AS y FROM range(2359296) t(i))), c14 AS (SELECT x, y, CASE WHEN (x + y) % 7 = 0 THEN 0 ELSE {code('x', 'y')} END AS v FROM l14)"
     for z in range(13, 7, -1):
@@ -343,6 +347,16 @@ ORACLES: dict[str, str] = {
     "rect_wkt": RECT_WKT,
     "queue_schedule": QUEUE,
     "client_admission": ADMISSION,
+    "tile_scan": f"WITH {FILES} SELECT source_id, built_level, tx, ty, location FROM tiles",
+    "tile_priority": f"WITH {FILES} SELECT location, source_id, priority FROM tiles",
+    "level_index": f"WITH {FILES} SELECT CAST(z AS INT) AS level, source_id, priority, CAST(built_level - z - 1 AS INT) AS ovr, tx, ty, location FROM tiles, range(8, 15) t(z) WHERE z <= built_level",
+    "only_sources": f"WITH {SOURCES} SELECT id, priority FROM sources WHERE id IN ('NATION_3', 'NATION_20')",
+    "build_order": f"WITH {SOURCES} SELECT id, row_number() OVER (ORDER BY CASE id WHEN 'NATION_9' THEN 1 WHEN 'NATION_20' THEN 2 WHEN 'NATION_6' THEN 3 ELSE 4 END, priority DESC, id) AS turn FROM sources WHERE priority <> 30",
+    "cheapest_steps": "SELECT 'tile-' || s_suppkey AS step, s_suppkey * 37 % 101 AS seconds FROM supplier ORDER BY seconds, step LIMIT 3",
+    "latest_steps": "SELECT 'tile-' || s_suppkey AS step, s_suppkey * 53 % 211 AS finished FROM supplier ORDER BY finished DESC, step LIMIT 5",
+    "peak_counts": f"WITH {DOMINANT}, good AS (SELECT view, least(count(*), 5) AS labelled FROM ranked WHERE dominance >= -1000 AND y BETWEEN 0 AND 40 GROUP BY view) SELECT view, count(*) AS found, count(*) FILTER (WHERE visible) AS seen, coalesce(any_value(labelled), 0) AS labelled FROM decided LEFT JOIN good USING (view) GROUP BY view",
+    "footprint_fill": f"WITH b AS (SELECT '/vrt/' || n_name || '.vrt' AS file, round(2 * (100 + n_nationkey) * 25e0 * 50 * 25 / 1e6, 1) AS area, round({6371.0**2!r}e0 * radians(n_nationkey / 10e0 + 0.05e0 - n_nationkey / 10e0) * abs(sin(radians(45.05e0)) - sin(radians(45e0))), 1) AS bbox_area_km2 FROM nation) SELECT file, bbox_area_km2, round(100 * area / bbox_area_km2, 4) AS fill FROM b",
+    "json_requests": "SELECT event_id AS id, event_id % 6 = 0 OR (event_id % 11 = 0 AND event_id % 7 <> 0) AS malformed, CASE WHEN event_id % 6 = 0 OR (event_id % 11 = 0 AND event_id % 7 <> 0) THEN -1e0 ELSE event_id % 40 * 1e0 END AS lon, CASE WHEN event_id % 6 = 0 OR (event_id % 11 = 0 AND event_id % 7 <> 0) THEN 0e0 WHEN event_id % 7 = 0 THEN 90e0 ELSE 360e0 END AS fov FROM events",
     "viewshed_bounds": f"WITH {VIEWS}, p AS (SELECT view, {mx('lon')} AS x, {my('lat')} AS y, 400e0 / cos(radians(lat)) AS half FROM views) SELECT view, round((x - half) / {O} * 180e0, 6) AS west, round(degrees(2 * atan(exp((y - half) / {R})) - {math.pi / 2!r}e0), 6) AS south, round((x + half) / {O} * 180e0, 6) AS east, round(degrees(2 * atan(exp((y + half) / {R})) - {math.pi / 2!r}e0), 6) AS north, CAST(40 AS INT) AS px, CAST(126 AS INT) AS rays FROM p",
     "ray_horizon": f"WITH {MARCH}, v AS (SELECT view, ray, alpha, max(alpha) {BEFORE} AS horizon FROM samples) SELECT view, ray, count(*) AS samples, count(*) FILTER (WHERE horizon IS NULL OR alpha > horizon) AS visible, round(max(alpha), 6) AS horizon FROM v GROUP BY view, ray",
     "ray_stats": f"WITH {KEPT} SELECT view, count(*) AS samples, count(DISTINCT ({px('sx')} // 512, {py('sy')} // 512)) AS blocks FROM kept GROUP BY view",

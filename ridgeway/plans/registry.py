@@ -193,6 +193,54 @@ def build_progress(spark, d):
     return n.withColumn("source_id", F.coalesce("source_id", F.lit(-1)).cast("bigint"))  # -1: the total
 
 
+def _files(spark, d):
+    """Paths of built tiles, with half-written ones among them."""
+    tiles, _, built = _planned(spark, d)
+    k = F.col("tx") + 2 * F.col("ty")
+    name = F.concat(F.lit("/dem/norm/"), "n_name", F.when(F.col("n_nationkey") % 3 == 0, "/14/").otherwise("/12/"), F.col("tx").cast("string"), F.lit("_"), F.col("ty").cast("string"), F.when(k % 7 == 0, ".tmp.tif").otherwise(".tif"))
+    return built.join(fixtures.table(spark, d, "nation"), F.col("source_id") == F.col("n_nationkey")).select(name.alias("location"))
+
+
+@query
+def tile_scan(spark, d):
+    return catalogue.tiles_of(_files(spark, d)).select("source_id", "built_level", "tx", "ty", "location")
+
+
+@query
+def tile_priority(spark, d):
+    return catalogue.with_priority(catalogue.tiles_of(_files(spark, d)), fixtures.layers(spark, d)).select("location", "source_id", "priority")
+
+
+@query
+def level_index(spark, d):
+    return catalogue.level_index(catalogue.tiles_of(_files(spark, d)), fixtures.layers(spark, d))
+
+
+@query
+def only_sources(spark, d):
+    return catalogue.only(catalogue.resolved(_raw_sources(spark, d), DEFAULTS), "NATION_3,NATION_20,NOWHERE").select("id", "priority")
+
+
+@query
+def build_order(spark, d):
+    return catalogue.build_order(catalogue.resolved(_raw_sources(spark, d), DEFAULTS).filter("priority <> 30"), ["NATION_9", "NATION_20", "NATION_6"]).select("id", F.col("turn").cast("bigint").alias("turn"))
+
+
+def _steps(spark, d):
+    k = F.col("s_suppkey")
+    return fixtures.table(spark, d, "supplier").select(F.concat(F.lit("tile-"), k.cast("string")).alias("step"), (k * 37 % 101).alias("seconds"), (k * 53 % 211).alias("finished"))
+
+
+@query
+def cheapest_steps(spark, d):
+    return catalogue.cheapest(_steps(spark, d), 3).select("step", "seconds")
+
+
+@query
+def latest_steps(spark, d):
+    return catalogue.latest(_steps(spark, d)).select("step", "finished")
+
+
 # --- raster --------------------------------------------------------------------------------------------------------------
 
 
@@ -401,6 +449,12 @@ def peak_topk(spark, d):
     return top.select("view", "osm_id", "dominance", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query
+def peak_counts(spark, d):
+    ranked = stage.stored(_dominant(spark, d), "ranked")
+    return march.peak_counts(ranked, march.select_peaks(ranked, -1000.0, 5, HEIGHT))
+
+
 @query
 def peak_far(spark, d):
     """The same with peaks as far as a chain of mountains shows."""
@@ -501,6 +555,14 @@ def viewshed_validation(spark, d):
     return requests.viewshed(_asked(spark, d).drop("step", "fov", "alt_max", "ridge_strength")).select("id", "status", "error", F.coalesce("px", F.lit(0)).cast("bigint").alias("px"))
 
 
+@query
+def json_requests(spark, d):
+    k = F.col("event_id")
+    body = F.concat(F.lit('{"lon": '), (k % 40).cast("string"), F.when(k % 6 == 0, ',"lat":"north"').when(k % 7 == 0, ', "lat": 49.5, "fov": 90, "more": [1]').when(k % 11 == 0, ', "lat"').otherwise(', "lat": 49.5'), F.lit("}"))
+    r = requests.parsed(fixtures.table(spark, d, "events").select(k.alias("id"), body.alias("body")), "panorama")
+    return r.select("id", "malformed", F.when(~F.col("malformed"), F.col("lon")).otherwise(-1.0).alias("lon"), F.when(~F.col("malformed"), F.coalesce("fov", F.lit(360.0))).otherwise(0.0).alias("fov"))
+
+
 @query
 def colour_parse(spark, d):
     h = F.lower(F.lpad(F.hex(F.col("k") * 9973 % 16777216), 6, "0"))
@@ -556,6 +618,13 @@ def footprint_area(spark, d):
     return qa.footprint_summary(_descriptors(spark, d)).select("file", "parts", F.col("sources").cast("bigint").alias("sources"), "area_km2")
 
 
+@query
+def footprint_fill(spark, d):
+    k = F.col("n_nationkey")
+    boxes = fixtures.table(spark, d, "nation").select(F.concat(F.lit("/vrt/"), "n_name", F.lit(".vrt")).alias("file"), (k / 10.0).alias("lon0"), geo.num(45).alias("lat0"), (k / 10.0 + 0.05).alias("lon1"), geo.num(45.05).alias("lat1"))
+    return qa.fill(qa.footprint_summary(_descriptors(spark, d)), boxes).select("file", "bbox_area_km2", geo.snap("fill", 4).alias("fill"))
+
+
 @query
 def rect_wkt(spark, d):
     return qa.footprint_parts(_descriptors(spark, d)).select("file", "wkt")

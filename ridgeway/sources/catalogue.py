@@ -45,7 +45,8 @@ def find(sources: DataFrame, source_id: str) -> DataFrame:
     """The source of an id; raises when the row is asked for and there is none."""
     one = sources.filter(F.col("id") == source_id)
     count = one.agg(F.count(F.lit(1)).alias("__n"))
-    return count.join(one, F.lit(True), "left").withColumn("__ok", F.when(F.col("__n") == 0, F.raise_error(F.lit(f"no source {source_id}")))).drop("__n", "__ok")
+    checked = F.when(F.col("__n") > 0, F.col("id")).otherwise(F.raise_error(F.lit(f"no source {source_id}")))
+    return count.join(one, F.lit(True), "left").withColumn("id", checked).select(*sources.columns)
 
 
 def index_plan(layers: DataFrame, root: str, coarsest: int = GRID.coarsest, finest: int = GRID.finest) -> DataFrame:
@@ -116,3 +117,66 @@ def parse_bbox(text: Column) -> Column:
     """Four numbers separated by commas, else null."""
     parts = F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("double"))
     return F.when((F.size(parts) == 4) & ~F.exists(parts, lambda x: x.isNull()), parts)
+
+
+# --- tiles and level indexes ----------------------------------------------------------------------------------------------
+
+
+def tiles_of(paths: DataFrame, path: str = "location") -> DataFrame:
+    """Rows whose ``path`` is .../norm/<source>/<level>/<tx>_<ty>.tif, with source_id, built_level, tx, ty; others, half-written ones too, go."""
+    part = lambda i: F.regexp_extract(path, r"/norm/([^/]+)/([0-9]+)/([0-9]+)_([0-9]+)\.tif$", i)
+    named = paths.select("*", part(1).alias("source_id"), *(part(i).try_cast("int").alias(c) for i, c in ((2, "built_level"), (3, "tx"), (4, "ty"))))
+    return named.filter("source_id <> ''")
+
+
+def scan_tiles(spark: SparkSession, root: str) -> DataFrame:
+    """(location, bytes, source_id, built_level, tx, ty) of the tile files below a root: a listing, no file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tif").load(f"{root}/norm")
+    return tiles_of(files.select(F.col("path").alias("location"), F.col("length").alias("bytes")))
+
+
+def with_priority(tiles: DataFrame, layers: DataFrame) -> DataFrame:
+    """Tiles with the priority of their source; tiles of unknown sources go."""
+    return tiles.join(layers.select("source_id", "priority"), "source_id")
+
+
+def level_index(tiles: DataFrame, layers: DataFrame) -> DataFrame:
+    """(level, source_id, priority, ovr, tx, ty, location): every level's bag of all sources' tiles, each with the overview that serves the level."""
+    plan = index_plan(layers, "").select("level", "source_id", "priority", "ovr")
+    return tiles.join(plan, "source_id").select("level", "source_id", "priority", "ovr", "tx", "ty", "location")
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """One partition a level; levels that ``index`` holds replace what was there, others stay."""
+    index.write.partitionBy("level").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def only(sources: DataFrame, ids: str | None) -> DataFrame:
+    """Sources of a comma-separated list of ids; without a list all."""
+    return sources if ids is None else sources.filter(F.col("id").isin(ids.split(",")))
+
+
+def levels(spark: SparkSession, grid: geo.Grid = GRID) -> DataFrame:
+    """(level, px, res), the finest level first."""
+    z = F.col("level")
+    out = spark.range(grid.coarsest, grid.finest + 1).select(F.col("id").cast("int").alias("level"))
+    return out.select("level", geo.tile_px_at(grid, z).alias("px"), geo.level_res(z).alias("res")).orderBy(F.desc("level"))
+
+
+def build_order(sources: DataFrame, order: list[str]) -> DataFrame:
+    """Sources with ``turn``, from 1: those of the list first, in its order, then the rest by priority (highest first) and id.
+
+    A row per source, so one window over all of them is small.
+    """
+    place = F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("id")), F.lit(0))
+    return sources.withColumn("turn", F.row_number().over(W.orderBy(place.asc_nulls_last(), F.desc("priority"), "id")))
+
+
+def cheapest(steps: DataFrame, most: int) -> DataFrame:
+    """The quickest build steps (step, seconds), ties by name."""
+    return steps.orderBy("seconds", "step").limit(most)
+
+
+def latest(steps: DataFrame, most: int = 5) -> DataFrame:
+    """The build steps (step, finished) that ended last, ties by name."""
+    return steps.orderBy(F.desc("finished"), "step").limit(most)

@@ -83,3 +83,66 @@ def test_index_stream(spark, tmp_path):
     tiles.write.parquet(f"{tmp_path}/in")
     queue.index_new_tiles(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert [r["location"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["x.tif"]
+
+
+def test_tile_files_make_a_level_index(spark, tmp_path):
+    for name in ("a/14/1_2.tif", "a/14/1_3.tmp.tif", "b/12/1_2.tif", "b/12/notes.txt", "c/12/9_9.tif"):
+        f = tmp_path / "norm" / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"xyz")
+    tiles = catalogue.scan_tiles(spark, str(tmp_path))
+    assert {(r["source_id"], r["built_level"], r["tx"], r["ty"], r["bytes"]) for r in tiles.collect()} == {("a", 14, 1, 2, 3), ("b", 12, 1, 2, 3), ("c", 12, 9, 9, 3)}
+    layers = spark.createDataFrame([("a", 20, 14), ("b", 10, 12)], "source_id string, priority int, finest_level int")
+    catalogue.write_index(catalogue.level_index(tiles, layers), f"{tmp_path}/index")
+    catalogue.write_index(catalogue.level_index(tiles, layers).filter("level = 12 AND source_id = 'b'"), f"{tmp_path}/index")
+    got = spark.read.parquet(f"{tmp_path}/index").select("level", "source_id", "ovr").collect()
+    want = {(z, "a", 13 - z) for z in range(8, 15)} | {(z, "b", 11 - z) for z in range(8, 13)}
+    assert {tuple(r) for r in got} == want - {(12, "a", 1)} and len(got) == len(want) - 1
+
+
+def test_levels_come_finest_first(spark):
+    rows = catalogue.levels(spark).collect()
+    assert [r["level"] for r in rows] == list(range(14, 7, -1)) and rows[0]["px"] == 32768 and rows[-1]["px"] == 512
+
+
+def test_lookup_of_an_unknown_source_fails(spark):
+    import pytest
+
+    df = spark.createDataFrame([("a", 1)], "id string, priority long")
+    assert catalogue.find(df, "a").first()["priority"] == 1
+    with pytest.raises(Exception, match="no source z"):
+        catalogue.find(df, "z").collect()
+
+
+def test_footprints_are_written(spark, tmp_path):
+    xml = '<VRTDataset><SRS>EPSG:3857</SRS><GeoTransform>0, 10, 0, 1000, 0, -10</GeoTransform><VRTRasterBand><SimpleSource><SourceFilename relativeToVRT="0">/x</SourceFilename><DstRect xOff="0" yOff="0" xSize="100" ySize="50"/></SimpleSource></VRTRasterBand></VRTDataset>'
+    d = qa.parse_descriptors(spark.createDataFrame([("/v/one.vrt", xml)], "file string, xml string"))
+    qa.write_footprints(qa.footprint_parts(d), qa.footprint_summary(d), f"{tmp_path}/f")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/f/parts").first()["wkt"] == "POLYGON ((0.0000 1000.0000,1000.0000 1000.0000,1000.0000 500.0000,0.0000 500.0000,0.0000 1000.0000))"
+    assert spark.read.json(f"{tmp_path}/f/summary").first()["area_km2"] == 0.5
+
+
+def test_check_tally_and_metadata(spark):
+    t = qa.tally(spark.createDataFrame([("ok",), ("FAIL",), ("ok",)], "status string")).first()
+    assert (t["ok"], t["problems"]) == (2, 1)
+    m = requests.metadata(spark.createDataFrame([(1, 5, 0.5)], "view long, samples int, sky double"), "samples", "sky").first()
+    assert m["meta"] == '{"samples":5,"sky":0.5}'
+
+
+def test_queue_over_a_stream(spark, tmp_path):
+    """Batches through state come out as one replay does, but for those that still wait."""
+    schema = "queue_id long, seq long, arrival long, priority int, service double, abandoned boolean"
+    rows = [(q, 10 * q + k, (3 * k + q) * 1_000_000, k % 3, 7.0, k % 4 == 3) for q in range(2) for k in range(8)]
+    whole = {r["seq"]: tuple(r) for r in queue.schedule(spark.createDataFrame(rows, schema)).collect()}
+    for i, part in enumerate((rows[:4] + rows[8:12], rows[4:8] + rows[12:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    import glob
+    import os
+
+    for k, f in enumerate(sorted(glob.glob(f"{tmp_path}/in/*/*.parquet"))):
+        os.utime(f, (1_000_000 + k, 1_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    queue.schedule_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    got = {r["seq"]: tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got and all(whole[k] == v for k, v in got.items()) and len(got) < len(whole)
