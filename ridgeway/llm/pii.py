@@ -2,7 +2,8 @@ r"""Personal data: fixed patterns, and a linear-chain conditional random field o
 
 The base patterns (email, ip, card, phone) are found leftmost and without overlap per kind; a match that fails its
 check is dropped without another try.  The random field labels every word of a line as one of ``LABELS``; it is trained
-on the small labelled table that ``labelled`` builds and decoded by Viterbi in numpy, many lines at once.  What it finds
+on a small labelled table (lines of real documents in ``pii_lines.txt``, labelled by reading them, and the lines of
+further forms that ``made`` builds) and decoded by Viterbi in numpy, many lines at once.  What it finds
 beside the base spans is added: runs of words of one kind, without quotes and punctuation at their ends.
 A run that touches a base match, taken or dropped, adds nothing: the pattern has decided there (runs of fewer than 12
 digits, which no card could be, have not decided).  Runs of fewer than 7 characters add nothing.
@@ -20,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -129,9 +131,24 @@ def shapes(data: np.ndarray, start: np.ndarray, end: np.ndarray, leads: np.ndarr
 # --- the field ---------------------------------------------------------------------------------------------------------
 
 
+def read_lines(text: str) -> tuple[tuple[tuple[str, int], ...], ...]:
+    """Lines of (word, label) from a text with words as they are, or followed by a slash and their label."""
+    def one(word: str) -> tuple[str, int]:
+        head, _, tail = word.rpartition("/")
+        return (head, LABELS.index(tail)) if head and tail in LABELS else (word, 0)
+
+    return tuple(tuple(map(one, line.split())) for line in text.splitlines() if line.strip())
+
+
+@cache
+def labelled() -> tuple[tuple[tuple[str, int], ...], ...]:
+    """The training table."""
+    return read_lines((Path(__file__).parent / "pii_lines.txt").read_text("utf-8")) + made()
+
+
 @cache
-def labelled(n: int = 600, seed: int = 3) -> tuple[tuple[tuple[str, int], ...], ...]:
-    """The training table: lines of (word, label).  Each form below occurs among plain words, and among look-alikes."""
+def made(n: int = 600, seed: int = 3) -> tuple[tuple[tuple[str, int], ...], ...]:
+    """Lines of (word, label) in which each form below occurs among plain words, and among look-alikes."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[rng.integers(len(xs))]
     run = lambda alphabet, k: "".join(pick(alphabet) for _ in range(k))
