@@ -100,3 +100,32 @@ def test_frames_and_casts():
     p = views.Panorama(step=0.1, ssx=3, ssy=2)
     assert (p.width, p.height, p.cast.rays, p.cast.frame.height) == (3600, 380, 10800, 760)
     assert p.cast.sector_rays() * 8000 <= 2 * march.rays.SECTOR_SAMPLES
+
+
+def test_a_cancelled_request_ends_and_others_go_on(spark):
+    import threading
+    import time
+
+    from pyspark import InheritableThread
+
+    from ridgeway.operators import cancel
+
+    ended = {}
+
+    def ask(name, rows):
+        with cancel.cancellable(spark, name):
+            try:
+                ended[name] = spark.range(rows, numPartitions=2).selectExpr("sum(sin(id) * cos(id) * tan(id)) AS s").first() is not None
+            except Exception as e:
+                ended[name] = "cancel" in str(e).lower()
+
+    slow = InheritableThread(target=ask, args=("slow", 10**12))
+    slow.start()
+    time.sleep(3)
+    quick = InheritableThread(target=ask, args=("quick", 1000))
+    quick.start()
+    quick.join(60)
+    assert slow.is_alive() and ended == {"quick": True}
+    cancel.cancel(spark, "slow")
+    slow.join(60)
+    assert not slow.is_alive() and ended["slow"] and isinstance(slow, threading.Thread)
