@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 
+# fixed values: the elements and attributes of descriptors
 RECT = "STRUCT<_xOff: DOUBLE, _yOff: DOUBLE, _xSize: DOUBLE, _ySize: DOUBLE>"
 SOURCE = f"ARRAY<STRUCT<SourceFilename: STRUCT<_VALUE: STRING, _relativeToVRT: STRING>, DstRect: {RECT}>>"
 DESCRIPTOR = f"SRS STRING, GeoTransform STRING, VRTRasterBand ARRAY<STRUCT<ComplexSource: {SOURCE}, SimpleSource: {SOURCE}, AveragedSource: {SOURCE}>>"

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo
 
+# fixed values: how edges fade with distance, when a row counts as covered, the line at eye level, the least ratio of an edge
+FADE_NEAR, FADE_MORE = 0.45, 0.4
+WHOLE = 0.999
+LINE_SHARE, LINE_ADD = 0.75, 60.0
+LEAST_RATIO = 1.001
+
 
 def column():
     """A column's rows from the top."""
@@ -27,9 +35,7 @@ def edge_strength(full: DataFrame, edge_ratio: float, hidden_ref: float) -> Data
     up = above - here
     down = F.greatest(geo.num(0), F.coalesce(here - below, geo.num(0)))
     clip = lambda c: F.greatest(geo.num(0), F.least(geo.num(1), c))
-    import math
-
-    gate = clip((up - down) / math.log(max(edge_ratio, 1.001)))
+    gate = clip((up - down) / math.log(max(edge_ratio, LEAST_RATIO)))
     extent = F.sqrt(clip(F.col("dist") * F.expm1(up) / hidden_ref))
     edge = F.when(F.col("dist").isNull(), 0.0).when(F.col("row") == 0, 1.0).when(above.isNull(), 1.0).when(up <= 0, 0.0).otherwise(gate * extent)
     return full.withColumn("edge", edge)
@@ -37,7 +43,7 @@ def edge_strength(full: DataFrame, edge_ratio: float, hidden_ref: float) -> Data
 
 def ink(edges: DataFrame, strength: float, half_width: float, height: int) -> DataFrame:
     """(view, ray, row, ink): strokes of a width around each edge's sub-pixel height, spread by overlap."""
-    fade = 0.45 + 0.4 * (1 - F.exp(-F.col("dist") / geo.HAZE))
+    fade = FADE_NEAR + FADE_MORE * (1 - F.exp(-F.col("dist") / geo.HAZE))
     e = edges.filter("edge > 0").withColumns({"amount": F.col("edge") * (1 - fade) * strength, "at": F.col("row") + (1 - F.col("cover").cast("double"))})
     e = e.withColumns({"lo": F.col("at") - half_width, "hi": F.col("at") + half_width})
     first, last = F.greatest(F.lit(0), F.floor("lo")).cast("int"), F.least(F.ceil("hi"), F.lit(height)).cast("int")
@@ -57,14 +63,14 @@ def shaded(edges: DataFrame, inks: DataFrame, alt_max: float, alt_step: float, g
     row, cover = F.col("row"), F.col("cover").cast("double")
     front, back = surface(F.col("dist"), row), surface(F.lag("dist").over(column()), row - 1)
     sky = geo.sky_colour(alt(row))
-    part = F.col("dist").isNotNull() & (cover < 0.999)
+    part = F.col("dist").isNotNull() & (cover < WHOLE)
     mixed = [F.when(part, geo.lerp(F.when(row > 0, b).otherwise(s), f, cover)).otherwise(f) for f, b, s in zip(front, back, sky)]
     named = dict(zip("rgb", mixed))
     out = edges.withColumns(named).join(inks.withColumnsRenamed({"view": "v", "ray": "y", "row": "w"}), (F.col("view") == F.col("v")) & (F.col("ray") == F.col("y")) & (F.col("row") == F.col("w")), "left")
     k = F.greatest(geo.num(0), F.least(geo.num(1), F.coalesce("ink", geo.num(0))))
     inked = {c: geo.lerp(F.col(c), geo.num(x), k) for c, x in zip("rgb", ridge)}
     line = F.lit(eye_level) & (F.abs(alt(row)) < alt_step * 0.5)
-    return out.select("view", "ray", "row", *(F.when(line, inked[c] * 0.75 + 60.0).otherwise(inked[c]).alias(c) for c in "rgb"))
+    return out.select("view", "ray", "row", *(F.when(line, inked[c] * LINE_SHARE + LINE_ADD).otherwise(inked[c]).alias(c) for c in "rgb"))
 
 
 def box_average(sub: DataFrame, ssx: int, ssy: int) -> DataFrame:

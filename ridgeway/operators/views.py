@@ -15,8 +15,9 @@ from . import dem, march, shade
 
 @dataclass(frozen=True)
 class Panorama:
-    """What a panorama shows; the defaults are those of requests."""
+    """What a panorama shows."""
 
+    # fixed values: the defaults of requests
     az: float = 0.0
     fov: float = 360.0
     step: float = 0.05

@@ -1,4 +1,8 @@
-"""The registered terrain queries: name -> (spark, sf_dir) -> DataFrame.  Each runs over its whole tables."""
+"""The registered terrain queries: name -> (spark, sf_dir) -> DataFrame.
+
+Each runs over its whole tables, or over the whole stored window of the test surface (1536 x 1536 cells).  Ranges are a
+parameter of the operators; the names that end in ``far`` reach over several levels of the ladder.
+"""
 
 from __future__ import annotations
 
@@ -496,6 +500,7 @@ def depth_roundtrip(spark, d):
     return r.groupBy("view").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("back") == F.col("q")).alias("equal"))
 
 
+# fixed values: the defaults of requests
 EDGE_RATIO, HIDDEN_REF = 1.15, 500.0
 GROUND, RIDGE = (58.0, 74.0, 52.0), (0.0, 0.0, 0.0)
 

@@ -98,7 +98,7 @@ def build_environment(tiles: DataFrame, root: str, grid: geo.Grid = GRID) -> Dat
     s, q = (lambda c: c.cast("string")), geo.shell_quote
     path = F.when(F.coalesce("rebuild_vrt", F.lit(False)), F.concat(F.lit(f"{root}/vrt/"), "id", F.lit(".vrt"))).otherwise(F.col("path"))
     where = F.concat(F.lit("/norm/"), "id", F.lit("/"), s(F.col("finest_level")))
-    lines = {
+    lines = {  # fixed values: the names of the variables
         "SRC_ID": F.col("id"), "SRC_PATH": q(path), "LEVEL": s(F.col("finest_level")), "TX": s(F.col("tx")), "TY": s(F.col("ty")), "PX": s(geo.tile_px_at(grid, F.col("finest_level"))), "BLOCK": F.lit(str(grid.block_px)),
         "OVERVIEW_COUNT": s(F.col("finest_level") - grid.coarsest), "TE": F.format_string('"%.6f %.6f %.6f %.6f"', e["x0"], e["y0"], e["x1"], e["y1"]), "RESAMPLING": F.col("resampling"),
         "SRCNODATA": F.coalesce(F.when(F.col("nodata_declared"), "").otherwise(geo.nodata_text(F.col("nodata_value"))), F.lit("")), "WARP_NODATA": F.lit("-9999"), "SCALE": F.lit('"-500 6053.5 0 65535"'), "FILL_NODATA_MD": F.coalesce(s(F.col("fill_nodata_md")), F.lit("")),

@@ -98,9 +98,9 @@ def hole(level: int, x: Column, y: Column) -> Column:
 
 
 def stored_pyramid(spark: SparkSession, levels: tuple[int, ...] = (14,), sparse: bool = False) -> str:
-    """The path of the window's pyramid, built and written once per session."""
+    """The path of the window's pyramid, built and written once per session (again, if it was deleted since)."""
     made = _PYRAMIDS.setdefault(spark.sparkContext.applicationId, {})
-    if (levels, sparse) not in made:
+    if (levels, sparse) not in made or not stage.exists(spark, f"{made[levels, sparse]}/hidden"):
         path = stage.new_path(spark, "pyramid")
         pyramid.write(window_levels(spark, levels, sparse), path)
         made[levels, sparse] = path

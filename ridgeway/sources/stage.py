@@ -40,6 +40,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all that this application stored.  Results are lazy and read it, so only their owner knows when to call this."""
     path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
