@@ -4,9 +4,10 @@ A line's key is the line without ASCII white space at both ends, A-Z lower-cased
 points or more that ``MIN_DOCS`` documents hold loses its lines everywhere but in the largest doc_id.
 
 Method.  Every document gives each of its keys once, as a 128-bit hash with the line positions, so only hashes
-are moved.  They are range-partitioned by hash and sorted by (hash, doc_id descending): a window then streams
-every key's first occurrence, which is the one to keep, and counts the documents.  The result is no text but a
-bitmap per document of the lines to drop, as its non-zero 64-bit words.
+are moved.  They are range-partitioned by hash and sorted by (hash, doc_id descending, position): a window then streams
+every key's first occurrence, which is the one to keep, and counts the documents.  The result is no text but a bitmap per
+document.  It is compressed as what it lacks: the non-zero 64-bit words of the lines to drop, nothing for the many documents
+that keep all; ``keep_words`` gives the keep bitmap in full.
 
 Hot keys.  A key in a large share of all rows would be one task's whole load.  Keys that reach ``HOT_SHARE``
 of the keys of a hash-chosen 1/``PROBE`` of documents (at most 1/HOT_SHARE of them, so their broadcast is
@@ -16,6 +17,7 @@ their result, whose rows are as few.  Which route a key takes never alters the r
 Definitions.  A null or empty text is one empty line and never loses it.  Rows of one doc_id count as one
 document, and each keeps or loses its own lines; rows with a null doc_id neither count nor lose lines.  Two
 keys with equal 128-bit hashes count as one.  Only doc_id and text are read, so other columns may have any name.
+A text is split whole in its task, however long; its lines are moved as hashes of fixed size.
 """
 
 from __future__ import annotations
@@ -66,8 +68,8 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     total = tally.agg(F.sum("count").alias("total"))
     hot = F.broadcast(tally.join(F.broadcast(total), F.col("count") >= F.greatest(F.lit(64.0), F.col("total") * HOT_SHARE)).select("h1", "h2"))
 
-    cold = rows.join(hot, ["h1", "h2"], "left_anti").repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", F.desc("doc_id"))
-    stream = W.partitionBy("h1", "h2").orderBy(F.desc("doc_id"))
+    cold = rows.join(hot, ["h1", "h2"], "left_anti").repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
+    stream = W.partitionBy("h1", "h2").orderBy(F.desc("doc_id"), "pos")
     cold = cold.withColumns({"first": F.first("doc_id").over(stream.rowsBetween(W.unboundedPreceding, 0)), "new": F.when(F.lag("doc_id").over(stream) == F.col("doc_id"), 0).otherwise(1)})
     cold = cold.withColumn("n", F.sum("new").over(stream.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     cold = cold.filter((F.col("n") >= min_docs) & (F.col("doc_id") != F.col("first"))).select("doc_id", "row_hash", "pos")
@@ -88,6 +90,17 @@ def is_dropped(drop: Column, pos: Column) -> Column:
     return F.getbit(word, F.pmod(pos, F.lit(64)).cast("int")) == 1
 
 
+def keep_words(text: Column, drop: Column) -> Column:
+    """The keep bitmap of a text as an array of 64-bit words, from its drop map: a set bit at every line that stays."""
+    lines = F.size(split_lines(text))
+
+    def word(i: Column) -> Column:
+        inside = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - F.least(F.lit(64), lines - 64 * i))
+        return inside.bitwiseAND(F.bitwise_not(F.coalesce(F.element_at(drop, i), F.lit(0).cast("long"))))
+
+    return F.transform(F.sequence(F.lit(0), F.ceil(lines / 64).cast("int") - 1), word)
+
+
 def with_bitmaps(docs: DataFrame, **limits: int) -> DataFrame:
     """All rows and columns of ``docs``, with the column ``__drop`` (null where a row loses nothing)."""
     maps = drop_bitmaps(docs, **limits).select(F.col("doc_id").alias("__doc"), F.col("row_hash").alias("__row"), F.col("drop").alias("__drop"))

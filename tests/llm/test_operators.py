@@ -107,6 +107,15 @@ def test_line_dedup_against_brute_force(docs, empty):
     assert linedup.dedup_lines(empty).count() == 0
 
 
+def test_keep_bitmaps_are_what_the_drop_maps_lack(spark):
+    rng = random.Random(2)
+    rows = [(i, "\n".join("x" for _ in range(n)), {w: rng.getrandbits(63) for w in range(n // 64 + 1) if rng.random() < 0.6} or None) for i, n in enumerate((1, 63, 64, 65, 128, 200))]
+    df = spark.createDataFrame(rows, "id int, text string, drop map<int, bigint>")
+    for r in df.select("text", "drop", linedup.keep_words(F.col("text"), F.col("drop")).alias("k"), F.transform(linedup.split_lines(F.col("text")), lambda _, i: F.coalesce(linedup.is_dropped(F.col("drop"), i), F.lit(False))).alias("gone")).collect():
+        keep = [bool(r["k"][i // 64] >> (i % 64) & 1) for i in range(len(r["gone"]))]
+        assert keep == [not x for x in r["gone"]] and all(w >> (len(keep) % 64) == 0 for w in r["k"][-1:] if len(keep) % 64)
+
+
 def test_hot_lines_take_the_other_route(docs, monkeypatch):
     a = sorted(map(str, linedup.dedup_lines(docs).collect()))
     monkeypatch.setattr(linedup, "PROBE", 1)
