@@ -116,7 +116,7 @@ class Pyramid:
         Pieces at coarser levels than the finest asked for are only read where finer blocks leave something open.
         """
         run, side, where = self, self.side, "view bigint, lon double, lat double, eye double, low int, high int"
-        pieces = f"{where}, first boolean, level int, bx int, by int, ray binary, at binary, n binary"
+        pieces = f"{where}, first boolean, level int, bx int, by int, top int, rows int, ray binary, at binary, n binary"
         heights = f"{where}, level int, ray binary, at binary, n binary, h binary"
 
         def crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +137,7 @@ class Pyramid:
                 for row, s in zip(batch.to_pylist(), rays.sectors_of(cast, batch)):
                     i, j = _unpacked(row)
                     fx, fy = rays.pixel_of(*s.places(i, j), row["level"], 0.5)
-                    h = _bilinear(np.frombuffer(row["cells"], ">u2").reshape(side + 1, side + 1), fx - row["bx"] * side, fy - row["by"] * side)
+                    h = _bilinear(np.frombuffer(row["cells"], ">u2").reshape(-1, side + 1), fx - row["bx"] * side, fy - (row["by"] * side + row["top"]))
                     out.append({k: row[k] for k in height_schema.names[:-1]} | {"h": h.tobytes()})
                 yield from pa.Table.from_pylist(out, height_schema).to_batches()
 
@@ -157,12 +157,15 @@ class Pyramid:
         key = ["level", "bx", "by"]
         if len(levels) > 1:
             asked = asked.join(self.hidden.withColumn("__hidden", F.lit(True)), key, "left").filter(F.col("first") | F.col("__hidden").isNull()).drop("__hidden")
-        met = asked.join(self.blocks.select(*key, "cells"), key)
+        # of a block only the lines go to Python that the sector's rays cross
+        line = 2 * (side + 1)
+        met = asked.join(self.blocks.select(*key, F.col("cells").alias("whole")), key)
+        met = met.withColumn("cells", F.substring("whole", F.col("top") * line + 1, F.col("rows") * line)).drop("whole")
         return met.mapInArrow(read, heights).groupBy("view", "low").applyInArrow(combine, schema)
 
 
 def _pieces(fx: np.ndarray, fy: np.ndarray, steps: np.ndarray, side: int) -> Iterator[dict]:
-    """Per block the pieces (ray, first step, steps) of rays in it; points off the grid are in none."""
+    """Per block the pieces (ray, first step, steps) of rays in it, and the lines they cross; points off the grid are in none."""
     if not fx.size:
         return
     bx, by = np.floor(fx / side).astype(np.int64), np.floor(fy / side).astype(np.int64)
@@ -172,11 +175,15 @@ def _pieces(fx: np.ndarray, fy: np.ndarray, steps: np.ndarray, side: int) -> Ite
     ray, start = np.nonzero(new)
     flat = np.flatnonzero(new.ravel())
     n = np.diff(np.append(flat, block.size))
+    lines = np.floor(fy).astype(np.int64).ravel()
+    highest, lowest = np.minimum.reduceat(lines, flat), np.maximum.reduceat(lines, flat)
     owner = block[ray, start]
     order = np.argsort(owner, kind="stable")
     for group in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
         if owner[group[0]] >= 0:
-            yield {"bx": int(owner[group[0]] & 0xFFFFFFFF), "by": int(owner[group[0]] >> 32), **{k: v[group].astype(np.int32).tobytes() for k, v in (("ray", ray), ("at", steps[start]), ("n", n))}}
+            place = {"bx": int(owner[group[0]] & 0xFFFFFFFF), "by": int(owner[group[0]] >> 32)}
+            top, low = int(highest[group].min()) - place["by"] * side, int(lowest[group].max()) - place["by"] * side
+            yield place | {"top": top, "rows": low - top + 2, **{k: v[group].astype(np.int32).tobytes() for k, v in (("ray", ray), ("at", steps[start]), ("n", n))}}
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
