@@ -50,7 +50,7 @@ class Cast:
         return 360.0 * ray / self.rays if self.step is None else self.first + (ray + 0.5) * self.step
 
     def sector_rays(self) -> int:
-        """Rays of a sector; a ladder has the most steps at the equator's opposite, so the bound is taken at 60 degrees."""
+        """Rays of a sector.  Cells shrink towards the poles, so the bound is taken at 60 degrees; at the grid's end a sector has six times as many samples."""
         steps = sum(n for *_, n in ladder(60.0, self.limit, self.inclusive, self.grid))
         return max(1, min(self.rays, SECTOR_SAMPLES // max(steps, 1)))
 
