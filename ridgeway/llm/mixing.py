@@ -26,7 +26,7 @@ from .store import stored
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 CAP = 2
-BUCKET_ROWS = 5000
+BUCKET_ROWS = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
