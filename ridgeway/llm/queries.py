@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, brown, linedup, mixing, pii, rules, site_quality, spm, store, supermin, warc
+from . import ann, brown, linedup, mixing, pii, rules, simhash, site_quality, spm, store, supermin, warc
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,10 +65,15 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.scores(_docs(spark, sf_dir))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(_docs(spark, sf_dir))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    own = [op1_nearest_vectors, op2_mix_sources, op3_sentencepiece, op4_site_quality, op5_quality_rules, op6_warc, op7_line_dedup, op8_near_duplicates, op9_personal_data, op10_language_model]
+    own = [op1_nearest_vectors, op2_mix_sources, op3_sentencepiece, op4_site_quality, op5_quality_rules, op6_warc, op7_line_dedup, op8_near_duplicates, op9_personal_data, op10_language_model, op13_simhash]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
