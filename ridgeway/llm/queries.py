@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, brown, linedup, mixing, pii, rules, simhash, site_quality, spm, store, supermin, warc
+from . import ann, brown, linedup, mixing, pii, rules, simhash, site_quality, spm, store, supermin, trie, warc
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.scores(_docs(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, ids = trie.rebuilt(trie.positions(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return trie.nodes(turns, ids)
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(_docs(spark, sf_dir))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
@@ -73,7 +78,7 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    own = [op1_nearest_vectors, op2_mix_sources, op3_sentencepiece, op4_site_quality, op5_quality_rules, op6_warc, op7_line_dedup, op8_near_duplicates, op9_personal_data, op10_language_model, op13_simhash]
+    own = [op1_nearest_vectors, op2_mix_sources, op3_sentencepiece, op4_site_quality, op5_quality_rules, op6_warc, op7_line_dedup, op8_near_duplicates, op9_personal_data, op10_language_model, op11_prefix_trie, op13_simhash]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -122,7 +127,7 @@ SELECT doc_id, n AS n_shingles, min(t.r) AS component_id, doc_id = min(t.r) AS k
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op6_warc": OP6_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op6_warc": OP6_SQL, "op11_prefix_trie": OP11_SQL}
 
 
 OP6_SQL = r"""
@@ -133,3 +138,27 @@ b AS (SELECT *, list_aggregate(list_transform(range(4), lambda k: list_aggregate
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM b)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM m
 """
+
+# CRC-32 by its bits: the table of a byte, then the digits of an id one after another
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (SELECT b AS byte, CAST(b AS UBIGINT) AS c, 0 AS k FROM range(256) t(b)
+  UNION ALL SELECT byte, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY byte) AS t FROM bits WHERE k = 8),
+t0 AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS UBIGINT) AS c FROM (SELECT DISTINCT conv_id FROM t0)
+  UNION ALL SELECT conv_id, s, i + 1, xor(c >> 8, t[CAST(xor(c & 255, CAST(ord(s[i + 1]) AS UBIGINT)) AS BIGINT) + 1]) FROM crc, tab WHERE i < len(s)),
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS base, CAST(xor(c, CAST(4294967295 AS UBIGINT)) % 6 AS BIGINT) AS h FROM crc WHERE i = len(s)),
+seqs AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY pos) AS s FROM t0 GROUP BY conv_id),
+re AS (SELECT i.conv_id, coalesce(b.s[1:i.h], []) || coalesce(o.s[i.h + 1:], []) AS s FROM ids i JOIN seqs o USING (conv_id) LEFT JOIN seqs b ON b.conv_id = i.base),
+st AS (SELECT conv_id, s[d] AS turn, d, row_number() OVER () AS k FROM (SELECT conv_id, s, unnest(range(1, len(s) + 1)) AS d FROM re)),
+walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS d, '' AS p, CAST(NULL AS VARCHAR) AS q, CAST(0 AS BIGINT) AS n FROM re
+  UNION ALL SELECT w.conv_id, CAST(st.d AS BIGINT), sha256(w.p || sha256(st.turn.r) || sha256(st.turn.t)), w.p, CAST(len(st.turn.t) AS BIGINT) FROM walk w JOIN st ON st.conv_id = w.conv_id AND st.d = w.d + 1),
+node AS (SELECT d, p, min(q) AS q, min(conv_id) AS conv_id, count(*) AS n_convs, min(n) AS n FROM walk GROUP BY d, p),
+kid AS (SELECT d - 1 AS d, q AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children, up.conv_id AS parent_conv_id FROM node LEFT JOIN kid USING (d, p) LEFT JOIN node up ON up.d = node.d - 1 AND up.p = node.q),
+sub AS (SELECT a.d, a.p, sum(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n_convs - 1) * f.n) AS saved FROM full_node f JOIN walk a ON a.conv_id = f.conv_id AND a.d <= f.d GROUP BY a.d, a.p),
+fin AS (SELECT w.d, w.p, string_agg(CAST(w.conv_id AS VARCHAR), ',' ORDER BY w.conv_id) AS ends FROM walk w JOIN re ON re.conv_id = w.conv_id AND len(re.s) = w.d GROUP BY w.d, w.p)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM full_node JOIN sub USING (d, p) LEFT JOIN fin USING (d, p)
+"""
