@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, brown, linedup, mixing, pii, rules, simhash, site_quality, spm, store, supermin, trie, warc
+from . import ann, brown, hardneg, linedup, mixing, pii, rules, simhash, site_quality, spm, store, supermin, trie, warc
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(turns, ids)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter(hardneg.usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select(F.col("vec_id").alias("id"), label.alias("label"), hardneg.whole(F.col("embedding"), 256).alias("vec"))
+    return hardneg.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(_docs(spark, sf_dir))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
@@ -78,7 +85,7 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    own = [op1_nearest_vectors, op2_mix_sources, op3_sentencepiece, op4_site_quality, op5_quality_rules, op6_warc, op7_line_dedup, op8_near_duplicates, op9_personal_data, op10_language_model, op11_prefix_trie, op13_simhash]
+    own = [op1_nearest_vectors, op2_mix_sources, op3_sentencepiece, op4_site_quality, op5_quality_rules, op6_warc, op7_line_dedup, op8_near_duplicates, op9_personal_data, op10_language_model, op11_prefix_trie, op12_hard_negatives, op13_simhash]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -127,7 +134,7 @@ SELECT doc_id, n AS n_shingles, min(t.r) AS component_id, doc_id = min(t.r) AS k
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op6_warc": OP6_SQL, "op11_prefix_trie": OP11_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_near_duplicates": OP8_SQL, "op6_warc": OP6_SQL, "op11_prefix_trie": OP11_SQL, "op12_hard_negatives": OP12_SQL}
 
 
 OP6_SQL = r"""
@@ -162,3 +169,13 @@ fin AS (SELECT w.d, w.p, string_agg(CAST(w.conv_id AS VARCHAR), ',' ORDER BY w.c
 SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
 FROM full_node JOIN sub USING (d, p) LEFT JOIN fin USING (d, p)
 """
+
+OP12_SQL = """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)))),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id AND len(a.v) = len(b.v)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10
+"""
