@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,10 +13,19 @@ from pyspark.sql import Window as W
 
 from ..functions import geo
 from ..sources import pyramid as store
+from ..sources import stage
 from ..sources.fixtures import surface_code, surface_codes
 from . import rays
 
 GRID = geo.Grid()
+BLOCK_OF = ["__level", "__bx", "__by"]
+#: Questions to one copy of a block: points, and pieces of sectors.
+POINT_COPY, PIECE_COPY = 1 << 14, 128
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for rows that are few and much work, which adaptive merging leaves alone."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
 def pixel(x: Column, y: Column, level: Column) -> tuple[Column, Column]:
@@ -54,6 +64,10 @@ class Pyramid:
     """A stored pyramid as a surface: bilinear between cell centres, from the finest level with data not finer than asked.
 
     Where one of the four cells around a point is missing the nearest of them by position (the first) stands.
+
+    Whatever asks for heights first says which blocks it may need; a bounded number of key ranges of them prunes the scan (a small job that
+    runs when the plan is made).  Blocks and questions are then dealt by block; a block that many ask is copied once for so many of
+    its questions, and a task holds one block at a time, however many questions follow it.
     """
 
     def __init__(self, blocks: DataFrame, hidden: DataFrame, levels: list[int], side: int = GRID.block_px):
@@ -63,7 +77,7 @@ class Pyramid:
     def open(cls, spark: SparkSession, path: str, side: int = GRID.block_px) -> Pyramid:
         """The pyramid that ``pyramid.write`` stored; without any level it raises."""
         blocks = spark.read.schema(store.BLOCK).parquet(f"{path}/blocks")
-        levels = store.levels(blocks)
+        levels = store.levels(spark, path)
         if not levels:
             raise ValueError(f"no blocks under {path}")
         return cls(blocks, spark.read.schema("level int, bx int, by int").parquet(f"{path}/hidden"), levels, side)
@@ -76,32 +90,59 @@ class Pyramid:
         """The levels tried in turn; if all are finer than asked, the coarsest."""
         return [z for z in self.levels if z <= want] or self.levels[-1:]
 
-    def _joined(self, df: DataFrame, level: Column, px: Column, py: Column) -> DataFrame:
-        """Rows with their block's cells and the place in it; Spark broadcasts blocks only when they are small enough."""
-        side = self.side
-        df = df.withColumns({"__l": level.cast("int"), "__bx": F.floor(px / side).cast("int"), "__by": F.floor(py / side).cast("int"), "__i": (F.pmod(py, F.lit(side)) * (side + 1) + F.pmod(px, F.lit(side))).cast("int")})
-        b = self.blocks.select(F.col("level").alias("__l"), F.col("bx").alias("__bx"), F.col("by").alias("__by"), F.col("cells").alias("__cells"))
-        return df.join(b, ["__l", "__bx", "__by"], "left").drop("__l", "__bx", "__by")
+    def _read(self, asking: DataFrame, wanted: DataFrame, read: Callable, schema: str, each: int) -> DataFrame:
+        """``read`` over ``asking``, whose rows name a block (BLOCK_OF) and a number ``__mix`` that spreads those of one block.
+
+        ``wanted`` has the blocks that may be asked, each once, and about how often (``n``); questions to others are lost.  ``read`` gets batches with
+        ``__cells`` besides: the codes in a block's own row, which comes before its questions, null in theirs.
+        """
+        spark = asking.sparkSession
+        wanted = stage.stored(wanted.select(*BLOCK_OF, store.morton(*map(F.col, BLOCK_OF)).alias("key"), F.ceil(F.col("n") / each).cast("int").alias("copies")), "wanted-blocks")
+        there = wanted.filter("__bx >= 0 AND __by >= 0")
+        some = store.within(self.blocks, store.ranges(there)).select("key", F.col("cells").alias("__cells"))
+        some = some.join(there, "key").select(*BLOCK_OF, F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("__copy"), "__cells")
+        asks = asking.join(wanted.select(*BLOCK_OF, "copies"), BLOCK_OF).withColumn("__copy", F.pmod("__mix", F.col("copies")).cast("int")).drop("copies")
+        both = asks.unionByName(some, allowMissingColumns=True)
+        dealt = both.repartition(_tasks(spark), *BLOCK_OF, "__copy").sortWithinPartitions(*BLOCK_OF, "__copy", F.col("__cells").isNull())
+        return dealt.mapInArrow(read, schema)
+
+    def _sampled(self, df: DataFrame, level: Column, fx: Column, fy: Column, name: str) -> DataFrame:
+        """Rows with the bilinear height ``name`` at a world pixel of a level, null where there is none."""
+        side, own = self.side, df.columns
+        place = lambda p: F.coalesce(F.floor(F.col(p) / side), F.lit(-1)).cast("int")
+        asking = df.withColumns({"__fx": fx.cast("double"), "__fy": fy.cast("double"), "__level": level.cast("int")}).withColumns({"__bx": place("__fx"), "__by": place("__fy"), "__mix": F.xxhash64("__fx", "__fy")})
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, cells = None, None
+            for batch in batches:
+                block = list(zip(*(batch.column(c).to_pylist() for c in (*BLOCK_OF, "__copy"))))
+                x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__fx", "__fy"))
+                h, blocks = np.full(batch.num_rows, np.nan), batch.column("__cells")
+                cuts = [0, *(i for i in range(1, len(block)) if block[i] != block[i - 1]), len(block)]
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    if i < j and blocks[i].is_valid:
+                        held, cells = block[i], np.frombuffer(blocks[i].as_py(), ">u2").reshape(-1, side + 1)
+                        i += 1
+                    if i < j and block[i] == held:
+                        h[i:j] = _bilinear(cells, x[i:j] - held[1] * side, y[i:j] - held[2] * side)
+                out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(h, mask=np.isnan(h))], names=[*own, name])
+                yield out.filter(blocks.is_null())
+
+        wanted = asking.groupBy(*BLOCK_OF).agg(F.count(F.lit(1)).alias("n"))
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
+        return self._read(asking, wanted, read, ", ".join([*fields, f"`{name}` double"]), POINT_COPY)
 
     def nearest(self, df: DataFrame, level: Column, x: Column, y: Column, name: str = "h") -> DataFrame:
         """The height of the cell a point lies in, at one level."""
-        joined = self._joined(df, level, *pixel(x, y, level))
-        return joined.withColumn(name, geo.elevation(F.coalesce(store.code_at(F.col("__cells"), F.col("__i")), F.lit(0)))).drop("__i", "__cells")
+        return self._sampled(df, level, *pixel(x, y, level), name)
 
     def bilinear(self, df: DataFrame, level: Column, x: Column, y: Column, name: str = "h") -> DataFrame:
-        """Bilinear height at one level: one join, since a block repeats its neighbours' first line; null off the grid."""
+        """Bilinear height at one level: one block a point, since it repeats its neighbours' first line; null off the grid."""
         res = geo.level_res(level)
-        df = df.withColumns({"__fx": geo.snap((x + geo.ORIGIN) / res - 0.5, 6), "__fy": geo.snap((geo.num(geo.ORIGIN) - y) / res - 0.5, 6)})
-        df = self._joined(df, level, F.floor("__fx"), F.floor("__fy"))
-        corner = {f"__v{j}{i}": geo.elevation(F.coalesce(store.code_at(F.col("__cells"), F.col("__i") + j * (self.side + 1) + i), F.lit(0))) for j in (0, 1) for i in (0, 1)}
-        df = df.withColumns({**corner, "__tx": F.col("__fx") - F.floor("__fx"), "__ty": F.col("__fy") - F.floor("__fy")})
-        a, b, c, d = (F.col(k) for k in corner)
-        mean = geo.lerp(geo.lerp(a, b, F.col("__tx")), geo.lerp(c, d, F.col("__tx")), F.col("__ty"))
-        df = df.withColumn(name, F.when(F.least("__fx", "__fy") >= 0, F.coalesce(mean, a)))
-        return df.drop(*corner, "__fx", "__fy", "__tx", "__ty", "__i", "__cells")
+        return self._sampled(df, level, geo.snap((x + geo.ORIGIN) / res - 0.5, 6), geo.snap((geo.num(geo.ORIGIN) - y) / res - 0.5, 6), name)
 
     def with_height(self, df: DataFrame, key: list[str], level: Column, x: Column, y: Column, name: str = "h", found: str = "__z") -> DataFrame:
-        """Rows, unique by ``key``, with the height and the level it was found at: all candidate levels in one join."""
+        """Rows, unique by ``key``, with the height and the level it was found at: all candidate levels in one pass."""
         tries = F.filter(F.array(*map(F.lit, self.levels)), lambda z: z <= level)
         out = df.withColumn(found, F.explode(F.when(F.size(tries) > 0, tries).otherwise(F.array(F.lit(self.levels[-1])))))
         out = self.bilinear(out, F.col(found), x, y, name)
@@ -109,6 +150,25 @@ class Pyramid:
         best = best.select("__s.*").withColumn(found, F.when(F.col(name).isNotNull(), F.col(found)))
         return best.drop("__z")
 
+    def _around(self, sectors: DataFrame, cast: rays.Cast) -> DataFrame:
+        """(BLOCK_OF, n): the blocks of each level that a sector's view may ask, by the box around the disc in which the level is tried."""
+        lat, lon, out = F.col("lat"), F.col("lon"), None
+        views = sectors.groupBy("view", "lon", "lat").agg(F.count(F.lit(1)).alias("k"))
+        edge = geo.LIMIT_LATITUDE
+        for z in self.levels:
+            # the ladder leaves a level where the next is fine enough; cells are largest at the equator
+            reach = cast.limit if z in (cast.grid.coarsest, self.levels[-1]) else min(cast.limit, geo.resolution(z - 1) / geo.CELL_PER_METRE)
+            arc = (reach + geo.resolution(z)) / geo.EARTH_RADIUS
+            wide = F.degrees(F.asin(F.least(geo.num(1), F.try_divide(F.lit(math.sin(min(arc, math.pi / 2))), F.cos(F.radians(lat))))))
+            high = math.degrees(arc)
+            x = [(geo.merc_x(lon + s * wide) + geo.ORIGIN) / geo.resolution(z) for s in (-1, 1)]
+            y = [(geo.num(geo.ORIGIN) - geo.merc_y(F.greatest(geo.num(-edge), F.least(geo.num(edge), lat + s * high)))) / geo.resolution(z) for s in (1, -1)]
+            most = math.ceil(2 * geo.ORIGIN / geo.resolution(z) / self.side)
+            line = lambda p: F.sequence(*(F.greatest(F.lit(-1), F.least(F.lit(most), F.floor((c + d) / self.side))).cast("int") for c, d in zip(p, (-2, 2))))
+            here = views.select("k", F.explode(line(x)).alias("__bx"), F.lit(z).alias("__level"), line(y).alias("l")).select("k", "__level", "__bx", F.explode("l").alias("__by"))
+            out = here if out is None else out.unionByName(here)
+        return out.groupBy(*BLOCK_OF).agg(F.sum("k").alias("n"))
+
     def along(self, sectors: DataFrame, cast: rays.Cast, emit: Callable, schema: str) -> DataFrame:
         """Rays meet blocks as pieces (consecutive steps of a ray in one block): what is shuffled towards the blocks is a row
         per sector and block, and back come the heights, packed: a sample is exchanged once.
@@ -116,8 +176,8 @@ class Pyramid:
         Pieces at coarser levels than the finest asked for are only read where finer blocks leave something open.
         """
         run, side, where = self, self.side, "view bigint, lon double, lat double, eye double, low int, high int"
-        pieces = f"{where}, first boolean, level int, bx int, by int, top int, rows int, ray binary, at binary, n binary"
-        heights = f"{where}, level int, ray binary, at binary, n binary, h binary"
+        pieces = f"{where}, first boolean, __level int, __bx int, __by int, ray binary, at binary, n binary"
+        heights = f"{where}, __level int, ray binary, at binary, n binary, h binary"
 
         def crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -128,23 +188,30 @@ class Pyramid:
                         rank = np.array([candidates[w].index(z) if z in candidates[w] else -1 for w in s.level])
                         for first in (True, False):
                             steps = np.flatnonzero(rank == 0 if first else rank > 0)
-                            found += [row | {"first": first, "level": z, **piece} for piece in _pieces(*rays.pixel_of(x[:, steps], y[:, steps], z, 0.5), steps, side)]
+                            found += [row | {"first": first, "__level": z, **piece} for piece in _pieces(*rays.pixel_of(x[:, steps], y[:, steps], z, 0.5), steps, side)]
                     yield from pa.Table.from_pylist(found, piece_schema).to_batches(256)
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, cells, sectors = None, None, {}
             for batch in batches:
-                out = []
-                for row, s in zip(batch.to_pylist(), rays.sectors_of(cast, batch)):
-                    i, j = _unpacked(row)
-                    fx, fy = rays.pixel_of(*s.places(i, j), row["level"], 0.5)
-                    h = _bilinear(np.frombuffer(row["cells"], ">u2").reshape(-1, side + 1), fx - row["bx"] * side, fy - (row["by"] * side + row["top"]))
-                    out.append({k: row[k] for k in height_schema.names[:-1]} | {"h": h.tobytes()})
+                out, blocks = [], batch.column("__cells")
+                for i, row in enumerate(batch.drop_columns("__cells").to_pylist()):
+                    block = tuple(row[c] for c in (*BLOCK_OF, "__copy"))
+                    if blocks[i].is_valid:
+                        held, cells = block, np.frombuffer(blocks[i].as_py(), ">u2").reshape(-1, side + 1)
+                    elif block == held:
+                        one = tuple(row[c] for c in ("view", "lon", "lat", "eye", "low", "high"))
+                        if one not in sectors:
+                            sectors = {} if len(sectors) > 64 else sectors
+                            sectors[one] = rays.Sector(cast, *one)
+                        fx, fy = rays.pixel_of(*sectors[one].places(*_unpacked(row)), row["__level"], 0.5)
+                        out.append({k: row[k] for k in height_schema.names[:-1]} | {"h": _bilinear(cells, fx - held[1] * side, fy - held[2] * side).tobytes()})
                 yield from pa.Table.from_pylist(out, height_schema).to_batches()
 
         def combine(rows: pa.Table) -> pa.Table:
             s = next(rays.sectors_of(cast, rows.slice(0, 1).combine_chunks().to_batches()[0]))
             h = np.full((len(s.ray), len(s.d)), np.nan)
-            for row in rows.sort_by("level").to_pylist():  # finer levels overwrite
+            for row in rows.sort_by("__level").to_pylist():  # finer levels overwrite
                 (i, j), v = _unpacked(row), np.frombuffer(row["h"])
                 good = ~np.isnan(v)
                 h[i[good], j[good]] = v[good]
@@ -153,19 +220,17 @@ class Pyramid:
         levels, candidates = run.levels, {w: run.candidates(w) for w in range(cast.grid.coarsest, cast.grid.finest + 1)}
         arrow = {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
         piece_schema, height_schema = (pa.schema([(f.split()[0], arrow[f.split()[1]]) for f in text.split(", ")]) for text in (pieces, heights))
-        asked = sectors.mapInArrow(crossings, pieces)
-        key = ["level", "bx", "by"]
+        sectors = stage.stored(sectors, "sectors")  # asked twice
+        asked = sectors.repartition(_tasks(sectors.sparkSession), "view", "low").mapInArrow(crossings, pieces)
         if len(levels) > 1:
-            asked = asked.join(self.hidden.withColumn("__hidden", F.lit(True)), key, "left").filter(F.col("first") | F.col("__hidden").isNull()).drop("__hidden")
-        # of a block only the lines go to Python that the sector's rays cross
-        line = 2 * (side + 1)
-        met = asked.join(self.blocks.select(*key, F.col("cells").alias("whole")), key)
-        met = met.withColumn("cells", F.substring("whole", F.col("top") * line + 1, F.col("rows") * line)).drop("whole")
-        return met.mapInArrow(read, heights).groupBy("view", "low").applyInArrow(combine, schema)
+            under = self.hidden.select(*(F.col(c).alias(f"__{c}") for c in ("level", "bx", "by")), F.lit(True).alias("__hidden"))
+            asked = asked.join(under, BLOCK_OF, "left").filter(F.col("first") | F.col("__hidden").isNull()).drop("__hidden")
+        asked = asked.withColumn("__mix", F.xxhash64("view", "low"))
+        return self._read(asked, self._around(sectors, cast), read, heights, PIECE_COPY).groupBy("view", "low").applyInArrow(combine, schema)
 
 
 def _pieces(fx: np.ndarray, fy: np.ndarray, steps: np.ndarray, side: int) -> Iterator[dict]:
-    """Per block the pieces (ray, first step, steps) of rays in it, and the lines they cross; points off the grid are in none."""
+    """Per block the pieces (ray, first step, steps) of rays in it; points off the grid are in none."""
     if not fx.size:
         return
     bx, by = np.floor(fx / side).astype(np.int64), np.floor(fy / side).astype(np.int64)
@@ -175,15 +240,12 @@ def _pieces(fx: np.ndarray, fy: np.ndarray, steps: np.ndarray, side: int) -> Ite
     ray, start = np.nonzero(new)
     flat = np.flatnonzero(new.ravel())
     n = np.diff(np.append(flat, block.size))
-    lines = np.floor(fy).astype(np.int64).ravel()
-    highest, lowest = np.minimum.reduceat(lines, flat), np.maximum.reduceat(lines, flat)
     owner = block[ray, start]
     order = np.argsort(owner, kind="stable")
     for group in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
         if owner[group[0]] >= 0:
-            place = {"bx": int(owner[group[0]] & 0xFFFFFFFF), "by": int(owner[group[0]] >> 32)}
-            top, low = int(highest[group].min()) - place["by"] * side, int(lowest[group].max()) - place["by"] * side
-            yield place | {"top": top, "rows": low - top + 2, **{k: v[group].astype(np.int32).tobytes() for k, v in (("ray", ray), ("at", steps[start]), ("n", n))}}
+            place = {"__bx": int(owner[group[0]] & 0xFFFFFFFF), "__by": int(owner[group[0]] >> 32)}
+            yield place | {k: v[group].astype(np.int32).tobytes() for k, v in (("ray", ray), ("at", steps[start]), ("n", n))}
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
