@@ -97,11 +97,11 @@ class Pyramid:
         ``__cells`` besides: the codes in a block's own row, which comes before its questions, null in theirs.
         """
         spark = asking.sparkSession
-        wanted = stage.stored(wanted.select(*BLOCK_OF, store.morton(*map(F.col, BLOCK_OF)).alias("key"), F.ceil(F.col("n") / each).cast("int").alias("copies")), "wanted-blocks")
+        wanted = stage.stored(wanted.select(*BLOCK_OF, store.morton(*map(F.col, BLOCK_OF)).alias("key"), F.ceil(F.col("n") / each).cast("int").alias("__copies")), "wanted-blocks")
         there = wanted.filter("__bx >= 0 AND __by >= 0")
         some = store.within(self.blocks, store.ranges(there)).select("key", F.col("cells").alias("__cells"))
-        some = some.join(there, "key").select(*BLOCK_OF, F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("__copy"), "__cells")
-        asks = asking.join(wanted.select(*BLOCK_OF, "copies"), BLOCK_OF).withColumn("__copy", F.pmod("__mix", F.col("copies")).cast("int")).drop("copies")
+        some = some.join(there, "key").select(*BLOCK_OF, F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("__copy"), "__cells")
+        asks = asking.join(wanted.select(*BLOCK_OF, "__copies"), BLOCK_OF).withColumn("__copy", F.pmod("__mix", F.col("__copies")).cast("int")).drop("__copies")
         both = asks.unionByName(some, allowMissingColumns=True)
         dealt = both.repartition(_tasks(spark), *BLOCK_OF, "__copy").sortWithinPartitions(*BLOCK_OF, "__copy", F.col("__cells").isNull())
         return dealt.mapInArrow(read, schema)
