@@ -42,8 +42,8 @@ def ladder(lat: Column, limit: float, inclusive: bool, grid: geo.Grid = GRID) ->
     return F.filter(F.aggregate(levels, first, take)["runs"], lambda r: r["n"] > 0)
 
 
-def sectors(views: DataFrame, cast: Cast) -> DataFrame:
-    """(view, lon, lat, eye, low, high): the rays [low, high) of a view.  Views without an eye (no ground under them) have none.
+def sectors(views: DataFrame, cast: Cast, beyond: int = 0) -> DataFrame:
+    """(view, lon, lat, eye, low, high): the rays [low, high) of a view, and so many ``beyond`` them.  Views without an eye (no ground under them) have none.
 
     Rows are few and each is much work, so they are dealt to a fixed number of tasks that adaptive merging leaves alone.
     """
@@ -51,7 +51,7 @@ def sectors(views: DataFrame, cast: Cast) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     low = F.explode(F.sequence(F.lit(0), F.lit(cast.rays - 1), F.lit(per))).alias("low")
     out = views.filter("eye IS NOT NULL").select(F.col("view").cast("bigint").alias("view"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col("eye").cast("double").alias("eye"), low)
-    return out.withColumn("high", F.least(F.col("low") + per, F.lit(cast.rays))).repartition(tasks, "view", "low")
+    return out.withColumn("high", F.least(F.col("low") + per, F.lit(cast.rays)) + beyond).repartition(tasks, "view", "low")
 
 
 def samples(views: DataFrame, surface, cast: Cast, *columns: str) -> DataFrame:
@@ -62,11 +62,6 @@ def samples(views: DataFrame, surface, cast: Cast, *columns: str) -> DataFrame:
     return surface.along(sectors(views, cast), cast, functools.partial(rays.samples, columns=list(columns)), rays.schema(list(columns)))
 
 
-def traces(views: DataFrame, surface, cast: Cast) -> DataFrame:
-    """(view, ray, at, rise, top): per ray the rises of its horizon and its profile, all that peaks need."""
-    return surface.along(sectors(views, cast), cast, rays.traces, rays.TRACE)
-
-
 def visible(seen: DataFrame) -> DataFrame:
     """Samples with ``visible``: their angle exceeds that of all before."""
     return seen.withColumn("visible", F.col("horizon").isNull() | (F.col("alpha") > F.col("horizon")))
@@ -94,18 +89,6 @@ def profile(samples: DataFrame, per_column: int = 1) -> DataFrame:
     return samples.groupBy("view", F.floor(F.col("ray") / per_column).cast("int").alias("col"), geo.profile_bin(F.col("d")).alias("bin")).agg(F.max(F.col("h").cast("float")).alias("max_h"))
 
 
-def asked(questions: DataFrame, trace: DataFrame) -> DataFrame:
-    """Questions (view, ray, distance, ...) with ``answer``: the highest angle of samples with d + step < distance.
-
-    An as-of join by one window over the union of questions and the few places where a ray's horizon rises, instead of a
-    pairing of every question with every sample.  Of equal places the question comes first.
-    """
-    rises = trace.select("view", "ray", F.explode(F.arrays_zip("at", "rise")).alias("__p")).select("view", "ray", F.col("__p.at").alias("distance"), F.col("__p.rise").alias("__rise"))
-    both = questions.withColumn("__asks", F.lit(0)).unionByName(rises.withColumn("__asks", F.lit(1)), allowMissingColumns=True)
-    order = W.partitionBy("view", "ray").orderBy("distance", "__asks").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("answer", F.max("__rise").over(order)).filter("__asks = 0").drop("__rise", "__asks")
-
-
 # --- viewshed ------------------------------------------------------------------------------------------------------------
 
 
@@ -174,51 +157,6 @@ def project_peaks(pairs: DataFrame, surface, az_start: float, az_step: float, al
     return pairs.withColumns({"x": off / float(step), "y": (F.lit(float(alt_max)) - F.col("altitude")) / float(step), "column": F.when(sub.between(0, columns - 1) & F.col("ele").isNotNull(), sub)})
 
 
-def peak_visibility(pairs: DataFrame, trace: DataFrame, columns: int, per_column: int, wraps: bool) -> DataFrame:
-    """(view, osm_id, visible): the peak's angle against the horizon interpolated between the two rays beside it.
-
-    A ray without ground before the peak has no horizon and lets the other decide; if both have none the peak is seen;
-    a peak that no ray answers for isn't.
-    """
-    position = geo.snap(F.col("x") * per_column, 6)
-    q = pairs.filter("column IS NOT NULL").withColumn("t", geo.bracket_weight(position)).withColumn("__s", F.explode(geo.bracket(position, F.lit(columns), F.lit(wraps)))).filter("__s.ray IS NOT NULL")
-    q = q.select("view", "osm_id", "altitude", "distance", "t", F.col("__s.slot").alias("slot"), F.col("__s.ray").alias("ray"))
-    side = lambda k: F.max(F.when(F.col("slot") == k, F.col("answer")))
-    both = asked(q, trace).groupBy("view", "osm_id").agg(F.max("altitude").alias("altitude"), F.max("t").alias("t"), side(0).alias("h0"), side(1).alias("h1"))
-    level = F.when(F.col("h0").isNotNull() & F.col("h1").isNotNull(), geo.snap(geo.lerp(F.col("h0"), F.col("h1"), F.col("t")), 9)).otherwise(F.coalesce("h0", "h1"))
-    return both.select("view", "osm_id", F.when(level.isNull(), True).otherwise(F.col("altitude") >= level).alias("visible"))
-
-
-def skylines(trace: DataFrame, per_column: int = 1) -> DataFrame:
-    """(view, col, top): the highest ground of each distance bin over the rays of an output column."""
-    if per_column == 1:
-        return trace.select("view", F.col("ray").alias("col"), "top")
-    rows = trace.groupBy("view", F.floor(F.col("ray") / per_column).cast("int").alias("col")).agg(F.collect_list("top").alias("tops"))  # per_column arrays
-    best = F.transform(F.sequence(F.lit(0), F.lit(geo.PROFILE_BINS - 1)), lambda i: F.array_max(F.transform("tops", lambda t: t[i])))
-    return rows.select("view", "col", best.alias("top"))
-
-
-def dominance(seen: DataFrame, skyline: DataFrame, columns: int, per_column: int, step: float, radius: float = 3000.0) -> DataFrame:
-    """(view, osm_id, dominance) of visible peaks: how far a summit stands above the lower of the cols at its sides.
-
-    A side is walked outwards until higher ground at the peak's depth, that ground included; columns without ground at
-    that depth are passed over; the frame's edge ends it.
-    """
-    p = seen.select("view", "osm_id", "ele", "distance", F.least(F.floor(F.col("column") / per_column), F.lit(columns - 1)).cast("int").alias("c0"), geo.dominance_window(F.col("distance"), step, radius).alias("window"))
-    near = F.greatest(F.col("distance") - radius, F.col("distance") * 0.5)
-    far = F.least(F.col("distance") + radius, F.col("distance") * 2.0)
-    p = p.withColumns({"lo": geo.profile_bin(near), "hi": geo.profile_bin(far)})
-    walk = p.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest("window", F.lit(1))))).filter("k <= window").withColumn("dir", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("col", F.col("c0") + F.col("dir") * F.col("k"))
-    ground = skyline.select(F.col("view").alias("__v"), F.col("col").alias("__c"), "top")
-    met = walk.filter(F.col("col").between(0, columns - 1)).join(ground, (F.col("view") == F.col("__v")) & (F.col("col") == F.col("__c")))
-    s = met.select("view", "osm_id", "ele", "dir", "k", F.array_max(F.slice("top", F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)).cast("double").alias("s")).filter("s IS NOT NULL")
-    outwards = W.partitionBy("view", "osm_id", "dir").orderBy("k").rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumn("over", F.max((F.col("s") > F.col("ele")).cast("int")).over(outwards)).filter(F.coalesce("over", F.lit(0)) == 0)
-    sides = s.groupBy("view", "osm_id", "ele", "dir").agg(F.min("s").alias("low"))
-    cols = sides.groupBy(F.col("view").alias("v"), F.col("osm_id").alias("o")).agg(F.max("low").alias("col_height"))
-    return p.join(cols, (F.col("view") == F.col("v")) & (F.col("osm_id") == F.col("o")), "left").select("view", "osm_id", F.coalesce(F.col("ele") - F.col("col_height"), geo.num(0)).alias("dominance"))
-
-
 def select_peaks(peaks: DataFrame, min_dominance: float, most: int, height: int) -> DataFrame:
     """Per view the labelled peaks: visible, in frame, dominant enough; the most dominant first, at most ``most`` (0: all)."""
     good = peaks.filter(F.col("visible") & F.col("column").isNotNull() & (F.col("dominance") >= min_dominance) & F.col("y").between(0, height))

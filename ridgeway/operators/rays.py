@@ -175,11 +175,12 @@ def samples(sector: Sector, h: np.ndarray, columns: list[str]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(arrays, columns)
 
 
-TRACE = "view bigint, ray int, at array<double>, rise array<double>, top array<float>"
+MARKS = "view bigint, __low int, __ends array<int>, __at array<double>, __rise array<double>, __top binary"
 
 
-def traces(sector: Sector, h: np.ndarray) -> pa.RecordBatch:
-    """One row a ray of what peaks ask of it: the horizon's rises (d + step, angle), and the highest ground of each distance bin (null: none)."""
+def marks(sector: Sector, h: np.ndarray) -> pa.RecordBatch:
+    """One row of what peaks ask of a sector: the rises of its rays' horizons (d + step, angle; ray r's from ``__ends[r]`` on), and the highest ground
+    of each ray's distance bins (single precision, NaN: none)."""
     s = samples(sector, h, ["ray", "d", "step", "alpha", "horizon", "h"])
     ray, d, step, alpha, horizon, high = (s[c].to_numpy(zero_copy_only=False) for c in ("ray", "d", "step", "alpha", "horizon", "h"))
     up = np.isnan(horizon) | (alpha > horizon)
@@ -189,11 +190,9 @@ def traces(sector: Sector, h: np.ndarray) -> pa.RecordBatch:
     top = np.full(len(sector.ray) * geo.PROFILE_BINS, np.nan, np.float32)
     if len(first):
         top[key[first]] = np.maximum.reduceat(high.astype(np.float32), first)
-    rises = pa.array(np.searchsorted(ray[up], np.append(sector.ray, sector.ray[-1] + 1)), pa.int32())
-    bins = pa.array(np.arange(len(sector.ray) + 1) * geo.PROFILE_BINS, pa.int32())
-    lists = [(rises, pa.array((d + step)[up])), (rises, pa.array(alpha[up])), (bins, pa.array(top, mask=np.isnan(top)))]
-    arrays = [pa.array(np.full(len(sector.ray), sector.view), pa.int64()), pa.array(sector.ray, pa.int32())] + [pa.ListArray.from_arrays(o, v) for o, v in lists]
-    return pa.RecordBatch.from_arrays(arrays, ["view", "ray", "at", "rise", "top"])
+    ends = np.searchsorted(ray[up], np.append(sector.ray, sector.ray[-1] + 1))
+    lists = [pa.array([v], pa.list_(t)) for v, t in ((ends.astype(np.int32), pa.int32()), ((d + step)[up], pa.float64()), (alpha[up], pa.float64()))]
+    return pa.RecordBatch.from_arrays([pa.array([sector.view], pa.int64()), pa.array([sector.ray[0]], pa.int32()), *lists, pa.array([top.tobytes()], pa.binary())], ["view", "__low", "__ends", "__at", "__rise", "__top"])
 
 
 def sectors_of(cast: Cast, batch: pa.RecordBatch) -> Iterator[Sector]:

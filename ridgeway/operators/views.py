@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..sources import stage
 from . import dem, march, shade
+from .peaks import judged
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,7 @@ def panorama(views: DataFrame, surface, p: Panorama, peaks: DataFrame | None = N
 
     ``pixels`` (view, col, row, r, g, b) and ``depth`` (view, col, row, q, delta) hold every pixel of the viewpoints with
     ground; ``status`` says for each viewpoint whether it has any; ``stats`` counts samples and the share of sky; ``peaks``,
-    if asked for, are the labelled ones by rank.  What several parts share, eyes, columns and traces, is stored once.
+    if asked for, are the labelled ones by rank.  What several parts share, eyes and columns, is stored once.
     """
     cast, frame = p.cast, p.cast.frame
     eyes = stage.stored(with_eyes(views, surface, p.eye, p.eye_search_radius), "eyes")
@@ -84,12 +85,9 @@ def panorama(views: DataFrame, surface, p: Panorama, peaks: DataFrame | None = N
         "stats": seeing.join(shown, F.col("view") == F.col("v"), "left").select("view", (1 - F.coalesce("n", F.lit(0)) / float(cast.rays * frame.height)).alias("sky")),
     }
     if peaks is not None:
-        trace = stage.stored(march.traces(eyes, surface, cast), "traces")
         pairs = march.peak_candidates(seeing, peaks, p.limit)
-        found = stage.stored(march.project_peaks(pairs, surface, p.az, p.step / p.ssx, p.alt_max, p.step, cast.rays), "peaks")
-        seen = found.join(march.peak_visibility(found, trace, cast.rays, p.ssx, p.fov >= 360.0), ["view", "osm_id"])
-        high = march.dominance(seen.filter("visible"), march.skylines(trace, p.ssx), p.width, p.ssx, p.step)
-        ranked = seen.join(high, ["view", "osm_id"], "left").withColumn("dominance", F.coalesce("dominance", geo.num(0)))
+        found = march.project_peaks(pairs, surface, p.az, p.step / p.ssx, p.alt_max, p.step, cast.rays)
+        ranked = judged(found, eyes, surface, cast, p.ssx, p.fov >= 360.0, p.step)
         out["peaks"] = march.select_peaks(ranked, p.min_dominance, p.most_peaks, p.height)
     return out
 

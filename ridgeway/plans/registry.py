@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo
-from ..operators import dem, march, qa, requests, shade
+from ..operators import dem, march, peaks, qa, requests, shade
 from ..sources import catalogue, fixtures, stage
 from ..streaming import queue
 
@@ -407,18 +407,16 @@ def projected(spark, d, limit=PEAK_LIMIT):
     return march.project_peaks(pairs, SURFACE, 0.0, STEP_DEG, ALT_MAX, STEP_DEG, RAYS)
 
 
-def _seen(spark, d, cast=PICTURE, limit=PEAK_LIMIT):
-    """The peaks with visibility, and the traces: both are written once, because several joins read them."""
-    trace = stage.stored(march.traces(eyes(spark, d), SURFACE, cast), "traces")
-    p = stage.stored(projected(spark, d, limit), "peaks")
-    return p.join(march.peak_visibility(p, trace, RAYS, 1, True), ["view", "osm_id"]), trace
+ASKING = ("view", "osm_id", "ele", "distance", "altitude", "x", "y", "column")
+
+
+def _seen(spark, d):
+    return peaks.judged(projected(spark, d).select(*ASKING), eyes(spark, d), SURFACE, PICTURE, 1, True)
 
 
 def _dominant(spark, d, cast=PICTURE, limit=PEAK_LIMIT):
-    seen, trace = _seen(spark, d, cast, limit)
-    seen = stage.stored(seen, "seen")
-    dom = march.dominance(seen.filter("visible"), march.skylines(trace), RAYS, 1, STEP_DEG)
-    return seen.join(dom, ["view", "osm_id"], "left").withColumn("dominance", geo.snap(F.coalesce("dominance", geo.num(0)), 3))
+    seen = peaks.judged(projected(spark, d, limit).select(*ASKING), eyes(spark, d), SURFACE, cast, 1, True, STEP_DEG)
+    return seen.withColumn("dominance", geo.snap("dominance", 3))
 
 
 @query
@@ -439,7 +437,7 @@ def peak_bracketing(spark, d):
 
 @query
 def peak_visibility(spark, d):
-    return _seen(spark, d)[0].select("view", "osm_id", "visible")
+    return _seen(spark, d).select("view", "osm_id", "visible")
 
 
 @query

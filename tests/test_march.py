@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ridgeway.functions import geo
-from ridgeway.operators import dem, march, rays, shade
+from ridgeway.operators import dem, march, peaks, rays, shade
 from ridgeway.sources import pyramid, sinks
 
 FRAME = march.Frame(6.0, 1.0, 12)
@@ -60,17 +60,21 @@ def test_columns_are_filled_by_the_first_sample_to_reach_a_row(spark, seed):
         assert np.allclose(mine.horizon.to_numpy()[1:], np.maximum.accumulate(a)[: len(mine) - 1], atol=1e-8) and np.isnan(mine.horizon.to_numpy()[:1]).all()
 
 
-def test_horizon_questions_are_strict(spark):
-    t = spark.createDataFrame([(0, 0, [15.0, 25.0], [1.0, 3.0])], "view long, ray int, at array<double>, rise array<double>")
-    q = spark.createDataFrame([(0, 0, 15.0, 1), (0, 0, 25.0, 2), (0, 0, 25.1, 3), (0, 1, 99.0, 4)], "view long, ray int, distance double, q long")
-    assert {r["q"]: r["answer"] for r in march.asked(q, t).collect()} == {1: None, 2: 1.0, 3: 3.0, 4: None}
+def test_horizon_questions_are_strict_and_meet_two_rays():
+    at, rise, ends = np.array([15.0, 25.0, 10.0]), np.array([1.0, 3.0, 5.0]), np.array([0, 2, 3, 3])
+    ask = lambda first, d, t, low=0, n=3, wraps=False: peaks._horizon(at, rise, ends, np.array(first), low, np.array(d), np.array(t), n, wraps).tolist()
+    assert ask([0, 0, 0, 1], [15.0, 25.0, 25.1, 99.0], [0.25] * 4) == [5.0, 2.0, 3.5, 5.0]
+    assert np.isnan(ask([0, 2], [9.0, 99.0], [0.5, 0.5])).all()  # no ground before; ray 3 is outside the frame
+    assert ask([-1], [99.0], [0.5]) == [3.0] and ask([5], [99.0], [0.5], 4, 100) == [5.0]
 
 
-def test_traces_hold_all_rises_and_the_highest_ground_of_bins():
+def test_marks_hold_all_rises_and_the_highest_ground_of_bins():
     s = rays.Sector(march.Cast(7, 900.0), 3, 20.0, 49.0, 600.0, 2, 7)
     h = np.random.default_rng(5).uniform(300, 900, (5, len(s.d)))
     h[3] = np.nan
-    t = rays.traces(s, h).to_pylist()
+    made = rays.marks(s, h).to_pylist()[0]
+    top, ends = np.frombuffer(made["__top"], np.float32).reshape(5, -1), made["__ends"]
+    t = [{"ray": 2 + i, "at": made["__at"][ends[i] : ends[i + 1]], "rise": made["__rise"][ends[i] : ends[i + 1]], "top": [None if np.isnan(v) else v for v in top[i]]} for i in range(5)]
     plain = rays.samples(s, h, ["ray", "d", "step", "alpha", "h"]).to_pandas()
     for row in t:
         p = plain[plain.ray == row["ray"]]
@@ -84,16 +88,17 @@ def test_traces_hold_all_rises_and_the_highest_ground_of_bins():
 
 @QUIET
 @given(st.integers(0, 10**6))
-def test_dominance_is_the_drop_to_the_higher_of_the_two_lows(spark, seed):
+def test_dominance_is_the_drop_to_the_higher_of_the_two_lows(seed):
     rng = random.Random(seed)
     columns, step = rng.randint(3, 15), 5.0
     ground = [rng.choice([None, rng.randint(200, 260) * 5]) for _ in range(columns)]
-    peaks = [(k, rng.randrange(columns), rng.randint(200, 260) * 5, rng.choice([4000.0, 20000.0])) for k in range(20)]
-    bins = [None if g is None else [float(g)] * geo.PROFILE_BINS for g in ground]
-    sky = spark.createDataFrame([(0, c, b) for c, b in enumerate(bins) if b], "view long, col int, top array<float>")
-    asked = spark.createDataFrame([(0, k, float(e), d, c) for k, c, e, d in peaks], "view long, osm_id long, ele double, distance double, column int")
-    got = {r["osm_id"]: r["dominance"] for r in march.dominance(asked, sky, columns, 1, step).collect()}
-    for k, c, e, d in peaks:
+    asked = [(k, rng.randrange(columns), rng.randint(200, 260) * 5, rng.choice([4000.0, 20000.0])) for k in range(20)]
+    tops = np.repeat(np.array([[-np.inf if g is None else g] for g in ground], np.float32), geo.PROFILE_BINS, axis=1)
+    e, d, c = (np.array([p[i] for p in asked], float) for i in (2, 3, 1))
+    window = np.array([round(min(20.0, max(1.0, math.degrees(math.atan(3000 / x)))) / step) for x in d])
+    lo = np.array([rng.randrange(200) for _ in asked])
+    got = peaks._walked(peaks._range_maxima(tops), e, c.astype(int), window, lo, lo + np.array([rng.randrange(56) for _ in asked]))
+    for k, c, e, d in asked:
         reach = round(min(20.0, max(1.0, math.degrees(math.atan(3000 / d)))) / step)
         lows = []
         for side in (ground[max(0, c - reach):c][::-1], ground[c + 1:c + 1 + reach]):
@@ -184,6 +189,18 @@ def test_ladder_grows_with_the_cells(spark):
         assert [(r["level"], r["n"]) for r in runs] == [(z, n) for z, _, _, n in mine] and np.allclose([r["start"] for r in runs], [a for _, _, a, _ in mine])
 
 
+def test_range_maxima():
+    rng = np.random.default_rng(9)
+    tops = rng.integers(0, 99, (3, geo.PROFILE_BINS)).astype(np.float32)
+    tops[rng.random(tops.shape) < 0.7] = -np.inf
+    tables = peaks._range_maxima(tops)
+    for _ in range(200):
+        lo = int(rng.integers(0, 256))
+        hi = int(rng.integers(lo, 256))
+        j = int(np.log2(hi - lo + 1))
+        assert (np.maximum(tables[j][:, lo], tables[j][:, hi - (1 << j) + 1]) == tops[:, lo : hi + 1].max(axis=1)).all()
+
+
 @QUIET
 @given(st.lists(st.lists(st.integers(0, 65535), min_size=5, max_size=5), min_size=1, max_size=4), st.sampled_from([1, 3, 50, 1000]))
 def test_depth_rows_round_trip(spark, codes, step):
