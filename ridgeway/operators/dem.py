@@ -23,7 +23,7 @@ BLOCK_OF = ["__level", "__bx", "__by"]
 POINT_COPY, PIECE_COPY = 1 << 14, 128
 
 
-def _tasks(spark: SparkSession) -> int:
+def tasks_for(spark: SparkSession) -> int:
     """Tasks for rows that are few and much work, which adaptive merging leaves alone."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
@@ -103,7 +103,7 @@ class Pyramid:
         some = some.join(there, "key").select(*BLOCK_OF, F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("__copy"), "__cells")
         asks = asking.join(wanted.select(*BLOCK_OF, "__copies"), BLOCK_OF).withColumn("__copy", F.pmod("__mix", F.col("__copies")).cast("int")).drop("__copies")
         both = asks.unionByName(some, allowMissingColumns=True)
-        dealt = both.repartition(_tasks(spark), *BLOCK_OF, "__copy").sortWithinPartitions(*BLOCK_OF, "__copy", F.col("__cells").isNull())
+        dealt = both.repartition(tasks_for(spark), *BLOCK_OF, "__copy").sortWithinPartitions(*BLOCK_OF, "__copy", F.col("__cells").isNull())
         return dealt.mapInArrow(read, schema)
 
     def _sampled(self, df: DataFrame, level: Column, fx: Column, fy: Column, name: str) -> DataFrame:
@@ -221,7 +221,7 @@ class Pyramid:
         arrow = {"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
         piece_schema, height_schema = (pa.schema([(f.split()[0], arrow[f.split()[1]]) for f in text.split(", ")]) for text in (pieces, heights))
         sectors = stage.stored(sectors, "sectors")  # asked twice
-        asked = sectors.repartition(_tasks(sectors.sparkSession), "view", "low").mapInArrow(crossings, pieces)
+        asked = sectors.repartition(tasks_for(sectors.sparkSession), "view", "low").mapInArrow(crossings, pieces)
         if len(levels) > 1:
             under = self.hidden.select(*(F.col(c).alias(f"__{c}") for c in ("level", "bx", "by")), F.lit(True).alias("__hidden"))
             asked = asked.join(under, BLOCK_OF, "left").filter(F.col("first") | F.col("__hidden").isNull()).drop("__hidden")

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from ..functions import geo
 from . import rays
-from .dem import GRID
+from .dem import GRID, tasks_for
 from .rays import Cast, Frame
 
 __all__ = ["Cast", "Frame"]
@@ -47,8 +47,7 @@ def sectors(views: DataFrame, cast: Cast, beyond: int = 0) -> DataFrame:
 
     Rows are few and each is much work, so they are dealt to a fixed number of tasks that adaptive merging leaves alone.
     """
-    spark, per = views.sparkSession, cast.sector_rays()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    per, tasks = cast.sector_rays(), tasks_for(views.sparkSession)
     low = F.explode(F.sequence(F.lit(0), F.lit(cast.rays - 1), F.lit(per))).alias("low")
     out = views.filter("eye IS NOT NULL").select(F.col("view").cast("bigint").alias("view"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col("eye").cast("double").alias("eye"), low)
     return out.withColumn("high", F.least(F.col("low") + per, F.lit(cast.rays)) + beyond).repartition(tasks, "view", "low")
@@ -127,6 +126,12 @@ def viewshed_bounds(views: DataFrame, radius: float, scale: float) -> DataFrame:
 # --- peaks ---------------------------------------------------------------------------------------------------------------
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with some columns computed once, by a generator, where expressions would be repeated in all that uses them."""
+    out = df.withColumn("__once", F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+    return out.withColumns({k: F.col(f"__once.{k}") for k in columns}).drop("__once")
+
+
 def peak_candidates(views: DataFrame, peaks: DataFrame, limit: float) -> DataFrame:
     """View-peak pairs within ``limit`` metres, with distance and azimuth.
 
@@ -136,25 +141,26 @@ def peak_candidates(views: DataFrame, peaks: DataFrame, limit: float) -> DataFra
     cell = limit / 111320.0
     reach = F.ceil(1 / F.greatest(F.cos(F.radians("lat")), geo.num(0.05))).cast("int")
     cx, cy = F.floor(F.col("lon") / cell), F.floor(F.col("lat") / cell)
-    near = views.withColumn("__x", F.explode(F.sequence(cx - reach, cx + reach))).withColumn("__y", F.explode(F.sequence(cy - 1, cy + 1)))
+    # few rows are much work: both sides are dealt out, whichever of them Spark finds small enough to broadcast
+    tasks = tasks_for(views.sparkSession)
+    peaks, near = peaks.repartition(tasks, "osm_id"), views.repartition(tasks, "view")
+    near = near.withColumn("__x", F.explode(F.sequence(cx - reach, cx + reach))).withColumn("__y", F.explode(F.sequence(cy - 1, cy + 1)))
     there = peaks.withColumns({"__x": F.floor(F.col("plon") / cell), "__y": F.floor(F.col("plat") / cell)})
     pairs = near.join(there, ["__x", "__y"]).drop("__x", "__y")
     pairs = pairs.filter((F.abs(F.col("plat") - F.col("lat")) <= cell) & (F.abs(F.col("plon") - F.col("lon")) <= cell / F.greatest(F.cos(F.radians("lat")), geo.num(0.05))))
     way = (F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))
-    # a generator: what is computed in it is computed once, where an expression would be repeated in all that uses it
-    pairs = pairs.withColumn("__way", F.explode(F.array(F.struct(geo.snap(geo.great_circle(*way), 6).alias("distance"), geo.snap(geo.initial_bearing(*way), 6).alias("azimuth")))))
-    return pairs.withColumns({"distance": F.col("__way.distance"), "azimuth": F.col("__way.azimuth")}).drop("__way").filter(F.col("distance") <= limit)
+    return once(pairs, distance=geo.snap(geo.great_circle(*way), 6), azimuth=geo.snap(geo.initial_bearing(*way), 6)).filter(F.col("distance") <= limit)
 
 
 def project_peaks(pairs: DataFrame, surface, az_start: float, az_step: float, alt_max: float, step: float, columns: int) -> DataFrame:
     """Candidates with ele, altitude, image x and y, and the sub-column they fall in (null: outside, or no elevation)."""
-    pairs = surface.with_height(pairs, ["view", "osm_id"], geo.level_for(F.col("distance"), F.col("lat"), GRID), geo.merc_x(F.col("plon")), geo.merc_y(F.col("plat")), "ele")
+    pairs = once(surface.with_height(pairs, ["view", "osm_id"], geo.level_for(F.col("distance"), F.col("lat"), GRID), geo.merc_x(F.col("plon")), geo.merc_y(F.col("plat")), "ele"), ele=F.col("ele"))
     rise = F.col("ele") - F.col("eye") - geo.curvature_drop(F.col("distance"))
     angle = F.when(F.col("distance") > 0, F.atan(F.try_divide(rise, "distance"))).otherwise(F.signum(rise) * F.lit(math.pi / 2))
-    pairs = pairs.withColumn("altitude", geo.snap(F.degrees(angle), 9))
+    pairs = once(pairs, altitude=geo.snap(F.degrees(angle), 9))
     off = F.pmod(F.col("azimuth") - float(az_start), geo.num(360))
     sub = F.floor(geo.snap(off / float(az_step), 6)).cast("int")
-    return pairs.withColumns({"x": off / float(step), "y": (F.lit(float(alt_max)) - F.col("altitude")) / float(step), "column": F.when(sub.between(0, columns - 1) & F.col("ele").isNotNull(), sub)})
+    return once(pairs, x=off / float(step), y=(F.lit(float(alt_max)) - F.col("altitude")) / float(step), column=F.when(sub.between(0, columns - 1) & F.col("ele").isNotNull(), sub))
 
 
 def select_peaks(peaks: DataFrame, min_dominance: float, most: int, height: int) -> DataFrame:

@@ -13,11 +13,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from . import march, rays
+from .dem import tasks_for
 from .rays import Cast
 
 #: Peaks times columns looked at once.
@@ -33,27 +34,35 @@ def judged(pairs: DataFrame, views: DataFrame, surface, cast: Cast, per_column:
     Dominance is how far a summit stands above the lower of the cols at its sides: a side is walked outwards until higher ground at the peak's
     depth, that ground included; columns without ground at that depth are passed over; the frame's edge ends it.
     """
-    spark, own = pairs.sparkSession, pairs.columns
+    own = pairs.columns
     position = geo.snap(F.col("x") * per_column, 6)
     first = F.floor(position - 0.5).cast("int")
     first = F.pmod(first, F.lit(cast.rays)) if wraps else first
     per, inside = cast.sector_rays(), lambda r: F.greatest(F.lit(0), F.least(F.lit(cast.rays - 1), r))
-    asks = pairs.filter("column IS NOT NULL").withColumns({"__first": first, "__t": geo.bracket_weight(position), "__low": (F.floor(inside(first) / per) * per).cast("int")})
+    asks = march.once(pairs.filter("column IS NOT NULL"), __first=first, __t=geo.bracket_weight(position))
+    asks = asks.withColumn("__low", (F.floor(inside(F.col("__first")) / per) * per).cast("int"))
     if step is not None:
         near = F.greatest(F.col("distance") - radius, F.col("distance") * 0.5)
         far = F.least(F.col("distance") + radius, F.col("distance") * 2.0)
         asks = asks.withColumns({"__window": geo.dominance_window(F.col("distance"), step, radius), "__lo": geo.profile_bin(near), "__hi": geo.profile_bin(far)})
     marks = surface.along(march.sectors(views, cast, 1), cast, rays.marks, rays.MARKS)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    met = asks.unionByName(marks, allowMissingColumns=True).repartition(tasks, "view", "__low").sortWithinPartitions("view", "__low", F.col("__ends").isNull())
+    met = _led(asks.unionByName(marks, allowMissingColumns=True), F.col("__ends"), "view", "__low")
     carried = [c for c in asks.columns if c not in ("__first", "__t")]
     fields = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in asks.schema} | {"visible": "visible boolean", "__top": "__top binary", "dominance": "dominance double"}
     schema = lambda names: ", ".join(fields[c] for c in names)
     if step is None:
         return met.mapInArrow(partial(_visible, cast=cast, wraps=wraps, names=[*own, "visible"]), schema([*own, "visible"]))
     seen = met.mapInArrow(partial(_visible, cast=cast, wraps=wraps, names=[*carried, "visible", "__top"]), schema([*carried, "visible", "__top"]))
-    ordered = seen.repartition(tasks, "view").sortWithinPartitions("view", F.col("__top").isNull(), "__low")
-    return ordered.mapInArrow(partial(_dominant, columns=cast.rays // per_column, per_column=per_column, names=[*own, "visible"]), schema([*own, "visible", "dominance"]))
+    return _led(seen, F.col("__top"), "view").mapInArrow(partial(_dominant, columns=cast.rays // per_column, per_column=per_column, names=[*own, "visible"]), schema([*own, "visible", "dominance"]))
+
+
+def _led(rows: DataFrame, leads: Column, *key: str) -> DataFrame:
+    """``rows`` dealt by ``key``; in each task those of one key come together, the leading ones (``leads`` isn't null) first.
+
+    They are sorted by one number, which Spark does by radix: comparing several columns took most of the time.  Keys whose hash is the same come mixed.
+    """
+    order = F.xxhash64(*key).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(leads.isNull(), 1).otherwise(0).cast("bigint"))
+    return rows.repartition(tasks_for(rows.sparkSession), *key).withColumn("__order", order).sortWithinPartitions("__order").drop("__order")
 
 
 def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
@@ -70,20 +79,21 @@ def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def _visible(batches: Iterator[pa.RecordBatch], cast: Cast, wraps: bool, names: list[str]) -> Iterator[pa.RecordBatch]:
-    held = at = rise = ends = None
+    held, asked = {}, False
     for batch in batches:
         view, low = (batch.column(c).to_numpy() for c in ("view", "__low"))
         first, t, distance, altitude = (_numbers(batch, c) for c in ("__first", "__t", "distance", "altitude"))
-        level, marks = np.full(batch.num_rows, np.nan), batch.column("__ends")
-        for a, b in _runs(view, low):
-            while a < b and marks[a].is_valid:
-                held = (view[a], low[a])
-                at, rise, ends = (np.array(batch.column(c)[a].values.to_numpy()) for c in ("__at", "__rise", "__ends"))
-                a += 1
-            if a < b and held == (view[a], low[a]):
-                level[a:b] = _horizon(at, rise, ends, first[a:b].astype(np.int64), int(low[a]), distance[a:b], t[a:b], cast.rays, wraps)
-        seen = pa.array(np.isnan(level) | (altitude >= level))
-        made = {"visible": seen}
+        marks = batch.column("__ends")
+        level, leads = np.full(batch.num_rows, np.nan), marks.is_valid().to_numpy(zero_copy_only=False)
+        for a, b in _runs(view, low, leads):
+            key = (view[a], low[a])
+            if leads[a]:
+                held = {} if asked else held
+                held[key] = [np.array(batch.column(c)[a].values.to_numpy()) for c in ("__at", "__rise", "__ends")]
+            elif key in held:
+                level[a:b] = _horizon(*held[key], first[a:b].astype(np.int64), int(low[a]), distance[a:b], t[a:b], cast.rays, wraps)
+            asked = not leads[a]
+        made = {"visible": pa.array(np.isnan(level) | (altitude >= level))}
         out = pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names=names)
         yield out if "__top" in names else out.filter(marks.is_null())
 
@@ -108,26 +118,26 @@ def _horizon(at: np.ndarray, rise: np.ndarray, ends: np.ndarray, first: np.ndarr
 
 
 def _dominant(batches: Iterator[pa.RecordBatch], columns: int, per_column: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    held = tops = maxima = None
+    tops, maxima, asked = {}, {}, False
     for batch in batches:
         view, low = (batch.column(c).to_numpy() for c in ("view", "__low"))
         marks, seen = batch.column("__top"), batch.column("visible").to_numpy(zero_copy_only=False)
-        ele, distance, column, window, lo, hi = (_numbers(batch, c) for c in ("ele", "distance", "column", "__window", "__lo", "__hi"))
-        out = np.zeros(batch.num_rows)
-        for a, b in _runs(view):
-            while a < b and marks[a].is_valid:
-                if held != view[a]:
-                    held, maxima, tops = view[a], None, np.full((columns * per_column, geo.PROFILE_BINS), -np.inf, np.float32)
-                rows = np.frombuffer(marks[a].as_py(), np.float32).reshape(-1, geo.PROFILE_BINS)[:-1]  # without the ray beyond
-                rows = rows[: len(tops) - low[a]]
-                tops[low[a] : low[a] + len(rows)] = np.where(np.isnan(rows), -np.inf, rows)
-                a += 1
-            if a < b and held == view[a]:
-                if maxima is None:
-                    maxima = _range_maxima(tops.reshape(columns, per_column, -1).max(axis=1))
+        ele, column, window, lo, hi = (_numbers(batch, c) for c in ("ele", "column", "__window", "__lo", "__hi"))
+        out, leads = np.zeros(batch.num_rows), marks.is_valid().to_numpy(zero_copy_only=False)
+        for a, b in _runs(view, leads):
+            if leads[a]:
+                tops, maxima = ({}, {}) if asked else (tops, maxima)
+                whole = tops.setdefault(view[a], np.full((columns * per_column, geo.PROFILE_BINS), -np.inf, np.float32))
+                for i in range(a, b):
+                    rows = np.frombuffer(marks[i].as_py(), np.float32).reshape(-1, geo.PROFILE_BINS)[:-1][: len(whole) - low[i]]  # without the ray beyond
+                    whole[low[i] : low[i] + len(rows)] = np.where(np.isnan(rows), -np.inf, rows)
+            elif view[a] in tops:
+                if view[a] not in maxima:
+                    maxima[view[a]] = _range_maxima(tops[view[a]].reshape(columns, per_column, -1).max(axis=1))
                 ask = a + np.flatnonzero(seen[a:b])
                 c0 = np.minimum(column[ask] // per_column, columns - 1).astype(np.int64)
-                out[ask] = _walked(maxima, ele[ask], c0, window[ask].astype(np.int64), lo[ask].astype(np.int64), hi[ask].astype(np.int64))
+                out[ask] = _walked(maxima[view[a]], ele[ask], c0, window[ask].astype(np.int64), lo[ask].astype(np.int64), hi[ask].astype(np.int64))
+            asked = not leads[a]
         made = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out)], names=[*names, "dominance"])
         yield made.filter(marks.is_null())
 
