@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -211,7 +212,7 @@ class Pyramid:
         def combine(rows: pa.Table) -> pa.Table:
             s = next(rays.sectors_of(cast, rows.slice(0, 1).combine_chunks().to_batches()[0]))
             h = np.full((len(s.ray), len(s.d)), np.nan)
-            for row in rows.sort_by("__level").to_pylist():  # finer levels overwrite
+            for row in rows.filter(pc.greater(pc.binary_length(rows["h"]), 0)).sort_by("__level").to_pylist():  # finer levels overwrite
                 (i, j), v = _unpacked(row), np.frombuffer(row["h"])
                 good = ~np.isnan(v)
                 h[i[good], j[good]] = v[good]
@@ -226,7 +227,9 @@ class Pyramid:
             under = self.hidden.select(*(F.col(c).alias(f"__{c}") for c in ("level", "bx", "by")), F.lit(True).alias("__hidden"))
             asked = asked.join(under, BLOCK_OF, "left").filter(F.col("first") | F.col("__hidden").isNull()).drop("__hidden")
         asked = asked.withColumn("__mix", F.xxhash64("view", "low"))
-        return self._read(asked, self._around(sectors, cast), read, heights, PIECE_COPY).groupBy("view", "low").applyInArrow(combine, schema)
+        none = F.lit(b"")
+        bare = sectors.select(*(f.split()[0] for f in where.split(", ")), F.lit(0).alias("__level"), *(none.alias(c) for c in ("ray", "at", "n", "h")))  # a sector without heights is there, too
+        return self._read(asked, self._around(sectors, cast), read, heights, PIECE_COPY).unionByName(bare).groupBy("view", "low").applyInArrow(combine, schema)
 
 
 def _pieces(fx: np.ndarray, fy: np.ndarray, steps: np.ndarray, side: int) -> Iterator[dict]:

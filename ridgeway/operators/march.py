@@ -42,12 +42,12 @@ def ladder(lat: Column, limit: float, inclusive: bool, grid: geo.Grid = GRID) ->
     return F.filter(F.aggregate(levels, first, take)["runs"], lambda r: r["n"] > 0)
 
 
-def sectors(views: DataFrame, cast: Cast, beyond: int = 0) -> DataFrame:
+def sectors(views: DataFrame, cast: Cast, beyond: int = 0, per: int | None = None) -> DataFrame:
     """(view, lon, lat, eye, low, high): the rays [low, high) of a view, and so many ``beyond`` them.  Views without an eye (no ground under them) have none.
 
     Rows are few and each is much work, so they are dealt to a fixed number of tasks that adaptive merging leaves alone.
     """
-    per, tasks = cast.sector_rays(), tasks_for(views.sparkSession)
+    per, tasks = per or cast.sector_rays(), tasks_for(views.sparkSession)
     low = F.explode(F.sequence(F.lit(0), F.lit(cast.rays - 1), F.lit(per))).alias("low")
     out = views.filter("eye IS NOT NULL").select(F.col("view").cast("bigint").alias("view"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col("eye").cast("double").alias("eye"), low)
     return out.withColumn("high", F.least(F.col("low") + per, F.lit(cast.rays)) + beyond).repartition(tasks, "view", "low")

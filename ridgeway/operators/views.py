@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources import stage
-from . import dem, march, shade
+from . import dem, march, paint, shade
 from .peaks import judged
 
 
@@ -66,23 +66,18 @@ def panorama(views: DataFrame, surface, p: Panorama, peaks: DataFrame | None = N
 
     ``pixels`` (view, col, row, r, g, b) and ``depth`` (view, col, row, q, delta) hold every pixel of the viewpoints with
     ground; ``status`` says for each viewpoint whether it has any; ``stats`` counts samples and the share of sky; ``peaks``,
-    if asked for, are the labelled ones by rank.  What several parts share, eyes and columns, is stored once.
+    if asked for, are the labelled ones by rank.  What several parts share, eyes and pixels, is stored once.
     """
     cast, frame = p.cast, p.cast.frame
     eyes = stage.stored(with_eyes(views, surface, p.eye, p.eye_search_radius), "eyes")
     seeing = eyes.filter("eye IS NOT NULL")
-    columns = stage.stored(march.filled(march.samples(eyes, surface, cast, *march.FILLING)), "columns")
-    edges = shade.edge_strength(shade.full_columns(columns, seeing, cast.rays, frame.height), p.edge_ratio, p.hidden_ref)
-    inks = shade.ink(edges, p.ridge_strength, 0.5 * p.ridge_width * p.ssy, frame.height)
-    fine = shade.shaded(edges, inks, p.alt_max, frame.alt_step, p.ground, p.ridge, p.eye_level)
-    grid = seeing.select("view", F.explode(F.sequence(F.lit(0), F.lit(p.width - 1))).alias("col")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(p.height - 1))))
-    codes = grid.join(shade.nearest_depth(columns, p.ssx, p.ssy), ["view", "col", "row"], "left").withColumn("code", F.coalesce("code", F.lit(0)))
-    shown = columns.groupBy(F.col("view").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    done = stage.stored(paint.painted(eyes, surface, p), "pixels")
+    shown = done.groupBy("view").agg(F.sum("grounds").alias("n"))
     out = {
-        "pixels": shade.pixels(shade.box_average(fine, p.ssx, p.ssy), p.dither),
-        "depth": shade.delta_rows(codes, p.depth_step),
+        "pixels": done.select("view", "col", "row", "r", "g", "b"),
+        "depth": shade.delta_rows(done.select("view", "col", "row", "code"), p.depth_step),
         "status": eyes.select("view", "ground", F.when(F.col("ground").isNull(), "no elevation data").otherwise("ok").alias("status")),
-        "stats": seeing.join(shown, F.col("view") == F.col("v"), "left").select("view", (1 - F.coalesce("n", F.lit(0)) / float(cast.rays * frame.height)).alias("sky")),
+        "stats": shown.select("view", (1 - F.col("n") / float(cast.rays * frame.height)).alias("sky")),
     }
     if peaks is not None:
         pairs = march.peak_candidates(seeing, peaks, p.limit)

@@ -1,5 +1,6 @@
 """Whole panoramas and viewsheds."""
 
+import dataclasses
 import struct
 import zlib
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeway.operators import dem, march, views
+from ridgeway.operators import dem, march, paint, shade, views
 from ridgeway.sources import pyramid, sinks
 
 
@@ -54,6 +55,24 @@ def test_peaks_are_ranked_by_dominance_within_the_frame(shown):
     assert all(g.dominance.is_monotonic_decreasing for _, g in p.groupby("view"))
 
 
+@pytest.mark.parametrize("spec", [SPEC, dataclasses.replace(SPEC, ssx=3, ssy=1, eye_level=True, ridge=(200.0, 10.0, 0.0), ridge_width=3.0, alt_max=2.0, alt_min=-30.0, limit=2500.0)])
+def test_sectors_paint_what_rows_say(spark, spec, monkeypatch):
+    """The pixels of whole sectors against the operators over rows of sub-pixels."""
+    monkeypatch.setattr(paint, "SECTOR_PIXELS", 500)
+    v = spark.createDataFrame([(1, 20.001, 49.001, 1100.0), (2, 20.004, 49.003, 1500.0)], "view long, lon double, lat double, eye double")
+    surface, cast = dem.AnalyticSurface(), spec.cast
+    got = paint.painted(v, surface, spec).toPandas().sort_values(["view", "col", "row"]).reset_index(drop=True)
+    cells = march.filled(march.samples(v, surface, cast, *march.FILLING)).cache()
+    edges = shade.edge_strength(shade.full_columns(cells, v, cast.rays, cast.frame.height), spec.edge_ratio, spec.hidden_ref)
+    inks = shade.ink(edges, spec.ridge_strength, 0.5 * spec.ridge_width * spec.ssy, cast.frame.height)
+    fine = shade.shaded(edges, inks, spec.alt_max, cast.frame.alt_step, spec.ground, spec.ridge, spec.eye_level)
+    want = shade.pixels(shade.box_average(fine, spec.ssx, spec.ssy), spec.dither).join(shade.nearest_depth(cells, spec.ssx, spec.ssy), ["view", "col", "row"], "left")
+    want = want.toPandas().sort_values(["view", "col", "row"]).reset_index(drop=True)
+    assert len(got) == len(want) == 2 * spec.width * spec.height and (got[["view", "col", "row"]] == want[["view", "col", "row"]]).all().all()
+    assert (got[list("rgb")] == want[list("rgb")]).all().all()
+    assert (got.code == want.code.fillna(0).astype(int)).all() and got.grounds.sum() == cells.count() and got.code.nunique() > 2
+
+
 def test_images_hold_the_pixels(spark, shown):
     p = spark.createDataFrame(shown["pixels"])
     got = {r["view"]: unpacked(bytes(r["png"])) for r in sinks.images(p, SPEC.width, SPEC.height).collect()}
