@@ -55,11 +55,11 @@ def test_peaks_are_ranked_by_dominance_within_the_frame(shown):
     assert all(g.dominance.is_monotonic_decreasing for _, g in p.groupby("view"))
 
 
-@pytest.mark.parametrize("spec", [SPEC, dataclasses.replace(SPEC, ssx=3, ssy=1, eye_level=True, ridge=(200.0, 10.0, 0.0), ridge_width=3.0, alt_max=2.0, alt_min=-30.0, limit=2500.0)])
+@pytest.mark.parametrize("spec", [dataclasses.replace(SPEC, alt_min=-70.0), dataclasses.replace(SPEC, ssx=3, ssy=1, eye_level=True, ridge=(200.0, 10.0, 0.0), ridge_width=3.0, alt_max=2.0, alt_min=-48.0, limit=2500.0)])
 def test_sectors_paint_what_rows_say(spark, spec, monkeypatch):
     """The pixels of whole sectors against the operators over rows of sub-pixels."""
     monkeypatch.setattr(paint, "SECTOR_PIXELS", 500)
-    v = spark.createDataFrame([(1, 20.001, 49.001, 1100.0), (2, 20.004, 49.003, 1500.0)], "view long, lon double, lat double, eye double")
+    v = spark.createDataFrame([(1, 20.001, 49.001, 700.0), (2, 20.004, 49.003, 900.0)], "view long, lon double, lat double, eye double")
     surface, cast = dem.AnalyticSurface(), spec.cast
     got = paint.painted(v, surface, spec).toPandas().sort_values(["view", "col", "row"]).reset_index(drop=True)
     cells = march.filled(march.samples(v, surface, cast, *march.FILLING)).cache()
