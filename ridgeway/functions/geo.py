@@ -281,7 +281,9 @@ def nodata_text(v: Column) -> Column:
     plain = F.regexp_replace(v.cast("string"), r"\.0$", "")
     digits = F.regexp_replace(F.regexp_replace(v.cast("string"), r"\.0E", "E"), "E", "e")  # doubles turn to exponents from 1e7 up
     million = F.concat(F.regexp_replace(F.regexp_replace((v / 1e6).cast("string"), r"\.0$", ""), "E.*", ""), F.lit("e6"))
-    return F.when(v.isNull(), "none").when(F.abs(v) >= 1e7, digits).when(F.abs(v) >= 1e6, million).otherwise(plain)
+    small = lambda i: F.regexp_extract(v.cast("string"), r"^(-?)(\d)\.(\d+)E-(\d+)$", i)  # noqa: E731  exponents below a thousandth
+    tiny = F.concat(small(1), F.lit("0."), F.repeat(F.lit("0"), small(4).try_cast("int") - 1), small(2), F.regexp_replace(small(3), "^0$", ""))
+    return F.when(v.isNull(), "none").when((F.abs(v) < 1e-3) & (v != 0), tiny).when(F.abs(v) >= 1e7, digits).when(F.abs(v) >= 1e6, million).otherwise(plain)
 
 
 # --- visibility --------------------------------------------------------------------------------------------------------------

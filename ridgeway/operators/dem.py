@@ -294,6 +294,23 @@ def resample_average(cells: DataFrame, factor: int) -> DataFrame:
     return cells.filter("v <> 0").groupBy(F.floor(F.col("x") / factor).alias("x"), F.floor(F.col("y") / factor).alias("y")).agg((F.sum("v") / F.count("v")).alias("v"))
 
 
+def warp_average(cells: DataFrame, step: tuple[float, float], origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """(x, y, v): area-weighted means of (x, y, v) on a grid whose cells are ``step`` source cells wide and high and begin at ``origin``.
+
+    Any step, finer ones too.  A source cell goes to the target cells it overlaps, with the share they have in common; sums are taken partially before the
+    shuffle.  Missing cells (v = 0 or null) carry no weight; target cells that only they overlap have no row.
+    """
+    def reach(p: Column, wide: float, start: float) -> Column:
+        place = lambda c: (c - start) / wide
+        each = F.sequence(F.floor(geo.snap(place(p), 9)).cast("bigint"), (F.ceil(geo.snap(place(p + 1), 9)) - 1).cast("bigint"))
+        share = lambda i: F.least(p + 1.0, (i + 1) * wide + start) - F.greatest(p.cast("double"), i * wide + start)
+        return F.transform(each, lambda i: F.struct(i.alias("i"), share(i).alias("w")))
+
+    live = cells.filter("v IS NOT NULL AND v <> 0").select("v", F.explode(reach(F.col("x"), step[0], origin[0])).alias("a"), F.col("y"))
+    live = live.select("v", "a", F.explode(reach(F.col("y"), step[1], origin[1])).alias("b")).withColumn("w", F.col("a.w") * F.col("b.w"))
+    return live.groupBy(F.col("a.i").alias("x"), F.col("b.i").alias("y")).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+
+
 def fill_speckles(cells: DataFrame, radius: int) -> DataFrame:
     """Missing cells (v = 0) get the inverse-distance mean of cells within ``radius``; cells without such neighbours stay.
 

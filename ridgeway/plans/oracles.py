@@ -284,8 +284,11 @@ FILES = f"""{PLAN}, named AS (SELECT n_name AS source_id, CASE WHEN n_nationkey
 tiles AS (SELECT source_id, CAST(f AS INT) AS built_level, priority, tx, ty, '/dem/norm/' || source_id || '/' || f || '/' || tx || '_' || ty || '.tif' AS location FROM named WHERE NOT half)"""
 
 
+RASTER = "SELECT x, y, CASE WHEN s % 10 = 0 THEN 0 ELSE 5000 + s % 3000 END AS v FROM (SELECT l_orderkey % 320 AS x, l_partkey % 240 AS y, sum(l_suppkey * 37 + l_linenumber) AS s FROM lineitem GROUP BY ALL)"
+
+
 def _overviews() -> str:
-    text = f"WITH l14 AS (SELECT * FROM (SELECT {WX} + i % 1536 AS x, {WY} + i // 1536 AS y FROM range(2359296) t(i))), c14 AS (SELECT x, y, CASE WHEN (x + y) % 7 = 0 THEN 0 ELSE {code('x', 'y')} END AS v FROM l14)"
+    text = f"WITH c14 AS (SELECT * FROM ({RASTER}))"
     for z in range(13, 7, -1):
         text += f", c{z} AS MATERIALIZED (SELECT x // 2 AS x, y // 2 AS y, CAST(round(sum(v) / count(*)) AS BIGINT) AS v FROM c{z + 1} WHERE v <> 0 GROUP BY ALL)"
     return text + " " + " UNION ALL ".join(f"SELECT CAST({z} AS INT) AS level, x, y, v FROM c{z}" for z in range(13, 7, -1))
@@ -315,7 +318,7 @@ ORACLES: dict[str, str] = {
     "geo_distance_bearing": f"WITH {PEAKS} SELECT osm_id, round({gc('20.01e0', '49.01e0', 'plon', 'plat')}, 4) AS distance, round({bearing('20.01e0', '49.01e0', 'plon', 'plat')}, 4) AS azimuth FROM peaks",
     "geo_destination": f"WITH {VIEWS}, p AS (SELECT *, CAST(view * 37 % 360 AS DOUBLE) AS azimuth, CAST(1000 + view * 10 AS DOUBLE) AS d FROM views) SELECT view, round({LON}, 6) AS lon, round({LAT}, 6) AS lat FROM p",
     "curvature_levels": f"WITH p AS (SELECT p_partkey AS k, CAST(p_partkey * 7919 % 500000 + 10 AS DOUBLE) AS d FROM part), q AS (SELECT *, {level('d', '49e0')} AS level FROM p) SELECT k, round({drop('d')}, 6) AS \"drop\", CAST(level AS INT) AS level, round({ground('level', '49e0')}, 6) AS res FROM q",
-    "grid_constants": f"SELECT CAST(z AS INT) AS level, CAST(32768 >> CAST(14 - z AS INT) AS INT) AS px, round({2 * math.pi * 6378137.0 / 256.0!r}e0 / pow(2e0, z), 6) AS res, round({ground('z', '49e0')}, 6) AS ground, CAST(128 AS INT) AS across FROM range(8, 15) t(z)",
+    "grid_constants": f"SELECT k, CAST(z AS INT) AS level, CAST(32768 >> CAST(14 - z AS INT) AS INT) AS px, round({2 * math.pi * 6378137.0 / 256.0!r}e0 / pow(2e0, z), 6) AS res, round({ground('z', 'lat')}, 6) AS ground, CAST(128 AS INT) AS across FROM (SELECT p_partkey AS k, 8 + p_partkey % 7 AS z, 40e0 + p_size / 4e0 AS lat FROM part)",
     "tile_extents": f"SELECT n_nationkey AS tx, n_nationkey * 3 + 20 AS ty, round(-{O} + n_nationkey * {SPAN}, 4) AS x0, round({O} - (n_nationkey * 3 + 21) * {SPAN}, 4) AS y0, round(-{O} + (n_nationkey + 1) * {SPAN}, 4) AS x1, round({O} - (n_nationkey * 3 + 20) * {SPAN}, 4) AS y1 FROM nation",
     "bbox_cover": f"WITH {BOXES} {cover('boxes', 'id')}",
     "bbox_area": f"WITH {BOXES}, t AS (SELECT *, regexp_replace(CAST(lon0 AS VARCHAR), '\\.0$', '') AS a, regexp_replace(CAST(lat0 AS VARCHAR), '\\.0$', '') AS b, regexp_replace(CAST(lon1 AS VARCHAR), '\\.0$', '') AS c, regexp_replace(CAST(lat1 AS VARCHAR), '\\.0$', '') AS d FROM boxes) SELECT id, round({6371.0**2!r}e0 * radians(lon1 - lon0) * abs(sin(radians(lat1)) - sin(radians(lat0))), 3) AS area_km2, 'POLYGON ((' || a || ' ' || b || ',' || c || ' ' || b || ',' || c || ' ' || d || ',' || a || ' ' || d || ',' || a || ' ' || b || '))' AS wkt FROM t",
@@ -335,7 +338,7 @@ ORACLES: dict[str, str] = {
     "sample_bilinear": f"WITH {POINTS}, {sampled('points', 'got', 'x', 'y', (14,), False)} SELECT osm_id, round(h, 4) AS h FROM got",
     "level_fallback": f"WITH {POINTS}, {sampled('points', 'got', 'x', 'y', (14, 12), True)} SELECT osm_id, round(h, 4) AS h, coalesce(z, -1) AS z FROM got",
     "eye_elevation": f"WITH {VIEWS}, ring AS (SELECT *, unnest(range(-1, 8)) AS k FROM views), spots AS (SELECT view, {mx('lon')} + CASE WHEN k < 0 THEN 0e0 ELSE 10e0 / cos(radians(lat)) * cos(k * 0.7853981633974483e0) END AS x, {my('lat')} + CASE WHEN k < 0 THEN 0e0 ELSE 10e0 / cos(radians(lat)) * sin(k * 0.7853981633974483e0) END AS y FROM ring) SELECT view, round(max({code(px('x'), py('y'))} * 0.1e0 - 500e0), 6) AS ground FROM spots GROUP BY view",
-    "speckle_fill": f"WITH c AS MATERIALIZED (SELECT x, y, CASE WHEN (x * 7 + y * 3) % 11 = 0 THEN 0 ELSE {code('x', 'y')} END AS v FROM (SELECT {WX} + i % 1536 AS x, {WY} + i // 1536 AS y FROM range(2359296) t(i))), o AS (SELECT dx, dy, pow(dx * dx + dy * dy, -0.5e0) AS w FROM range(-5, 6) a(dx), range(-5, 6) b(dy) WHERE dx * dx + dy * dy BETWEEN 1 AND 25), h AS (SELECT x, y, x + dx AS nx, y + dy AS ny, w FROM c, o WHERE v = 0), f AS (SELECT h.x, h.y, sum(n.v * w) / sum(w) AS f FROM h JOIN c n ON n.x = h.nx AND n.y = h.ny WHERE n.v <> 0 GROUP BY h.x, h.y) SELECT c.x, c.y, CAST(coalesce(round(f.f), c.v) AS BIGINT) AS v FROM c LEFT JOIN f ON c.v = 0 AND f.x = c.x AND f.y = c.y",
+    "speckle_fill": f"WITH c AS MATERIALIZED ({RASTER}), o AS (SELECT dx, dy, pow(dx * dx + dy * dy, -0.5e0) AS w FROM range(-5, 6) a(dx), range(-5, 6) b(dy) WHERE dx * dx + dy * dy BETWEEN 1 AND 25), h AS (SELECT x, y, x + dx AS nx, y + dy AS ny, w FROM c, o WHERE v = 0), f AS (SELECT h.x, h.y, sum(n.v * w) / sum(w) AS f FROM h JOIN c n ON n.x = h.nx AND n.y = h.ny WHERE n.v <> 0 GROUP BY h.x, h.y) SELECT c.x, c.y, CAST(coalesce(round(f.f), c.v) AS BIGINT) AS v FROM c LEFT JOIN f ON c.v = 0 AND f.x = c.x AND f.y = c.y",
     "viewshed_cells": f"WITH {SHED_CELLS} SELECT view, ix, iy, CAST(alpha AS INT) AS alpha FROM shed",
     "viewshed_stats": f"WITH {SHED_CELLS} SELECT view, count(*) AS pixels, CAST(sum(alpha) AS BIGINT) AS opacity FROM shed GROUP BY view",
     "eye_fallback": f"WITH {VIEWS}, {RING} SELECT view, round(ground, 4) AS ground FROM grounds",
@@ -377,7 +380,14 @@ ORACLES: dict[str, str] = {
     "depth_roundtrip": "SELECT s_suppkey AS view, CAST(240 AS BIGINT) AS pixels, CAST(240 AS BIGINT) AS equal FROM supplier",
     "edge_strength": f"WITH {FULL} SELECT view, ray, row, round(edge, 5) AS edge FROM edges WHERE edge > 0",
     "ink_spread": f"WITH {INK} SELECT view, ray, row, round(ink, 5) AS ink FROM inks",
-    "shaded_column": f"WITH {SHADED} SELECT view, ray, row, round(r, 3) AS r, round(g, 3) AS g, round(b, 3) AS b FROM shaded",
+    "shaded_column": f"WITH {SHADED} SELECT view, ray, count(*) AS rows, " + ", ".join(f"CAST(sum((row + 1) * CAST(round(round({c}, 3) * 1000) AS BIGINT)) AS BIGINT) AS {c}" for c in "rgb") + " FROM shaded GROUP BY view, ray",
+    "panorama_pixels": f"WITH {SHADED}, m AS (SELECT view, CAST(ray // 2 AS INT) AS col, CAST(row // 2 AS INT) AS row, sum(r) / 4e0 AS r, sum(g) / 4e0 AS g, sum(b) / 4e0 AS b FROM shaded GROUP BY ALL) SELECT view, col, row, " + ", ".join(f"CAST(round(greatest(0e0, least(255e0, round({c}, 6) + {dither('col', 'row')} * 1e0))) AS BIGINT) AS {c}" for c in "rgb") + " FROM m",
+    "panorama_depth": f"WITH {DEPTH_IMG}, q AS (SELECT *, CASE WHEN code = 0 THEN 0 ELSE 1 + (code - 1) // 4 * 4 END AS q FROM codes) SELECT view, col, row, CAST(q AS BIGINT) AS q, CAST(((q - lag(q, 1, 0) OVER (PARTITION BY view, row ORDER BY col) + 32768) & 65535) - 32768 AS BIGINT) AS delta FROM q",
+    "warp_average": f"""WITH c AS (SELECT * FROM ({RASTER}) WHERE v <> 0),
+a AS (SELECT x, y, v, unnest(range(CAST(floor(round((x - 0.7e0) / 2.5e0, 9)) AS BIGINT), CAST(ceil(round((x + 0.3e0) / 2.5e0, 9)) AS BIGINT))) AS i FROM c),
+b AS (SELECT *, unnest(range(CAST(floor(round((y + 3.3e0) / 1.6e0, 9)) AS BIGINT), CAST(ceil(round((y + 4.3e0) / 1.6e0, 9)) AS BIGINT))) AS j FROM a),
+w AS (SELECT i, j, v, (least(x + 1e0, (i + 1) * 2.5e0 + 0.7e0) - greatest(x, i * 2.5e0 + 0.7e0)) * (least(y + 1e0, (j + 1) * 1.6e0 - 3.3e0) - greatest(y, j * 1.6e0 - 3.3e0)) AS w FROM b)
+SELECT i AS x, j AS y, round(sum(v * w) / sum(w), 4) AS v FROM w GROUP BY i, j""",
     "supersample_avg": f"WITH {SHADED} SELECT view, CAST(ray // 2 AS INT) AS col, CAST(row // 2 AS INT) AS row, round(sum(r) / 4e0, 3) AS r, round(sum(g) / 4e0, 3) AS g, round(sum(b) / 4e0, 3) AS b FROM shaded GROUP BY view, ray // 2, shaded.row // 2",
     "dither_levels": f"WITH p AS (SELECT p_partkey % 317 AS x, p_partkey // 317 AS y, p_size FROM part) SELECT x, y, round({dither('x', 'y')}, 6) AS noise, CAST(round(greatest(0e0, least(255e0, round(100 + p_size / 3e0, 6) + {dither('x', 'y')} * 1e0))) AS BIGINT) AS level FROM p",
     "request_validation": f"WITH {ASKED}, e AS (SELECT *, CASE WHEN isnan(lat) THEN 'lat must be a finite number' WHEN ridge < 0 THEN 'ridge_strength must not be negative' WHEN alt_max > 90 THEN 'alt_min and alt_max must lie within -90..90' END AS err FROM asked), w AS (SELECT *, CAST(round(CASE WHEN err IS NULL THEN greatest(0.1e0, least(360e0, fov)) ELSE 360e0 END / CASE WHEN err IS NULL THEN greatest(0.02e0, step) ELSE 1e0 END) AS BIGINT) AS width, CAST(round(CASE WHEN err IS NULL THEN (alt_max + 18e0) / greatest(0.02e0, step) ELSE 1e0 END) AS BIGINT) AS height FROM e), f AS (SELECT *, coalesce(err, CASE WHEN width * height > 24000000 THEN 'too many pixels' END) AS error FROM w) SELECT id, CAST(CASE WHEN error IS NULL THEN 200 ELSE 400 END AS INT) AS status, error, width, height FROM f",

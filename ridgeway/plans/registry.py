@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo
-from ..operators import dem, march, peaks, qa, requests, shade
+from ..operators import dem, march, paint, peaks, qa, requests, shade, views
 from ..sources import catalogue, fixtures, stage
 from ..streaming import queue
 
@@ -95,8 +95,10 @@ def curvature_levels(spark, d):
 
 @query
 def grid_constants(spark, d):
+    """Of the level that a part asks for, at its latitude."""
     z = F.col("level")
-    return spark.range(8, 15).select(F.col("id").cast("int").alias("level")).select("level", geo.tile_px_at(GRID, z).alias("px"), geo.snap(geo.level_res(z), 6).alias("res"), geo.snap(geo.ground_res(z, geo.num(49)), 6).alias("ground"), F.lit(GRID.across).alias("across"))
+    p = parts(spark, d).select("k", (8 + F.col("k") % 7).cast("int").alias("level"), (40.0 + F.col("p_size") / 4.0).alias("lat"))
+    return p.select("k", "level", geo.tile_px_at(GRID, z).alias("px"), geo.snap(geo.level_res(z), 6).alias("res"), geo.snap(geo.ground_res(z, F.col("lat")), 6).alias("ground"), F.lit(GRID.across).alias("across"))
 
 
 @query
@@ -267,7 +269,7 @@ def mosaic_priority(spark, d):
 
 @query
 def overview_avg(spark, d):
-    c = fixtures.window_cells(spark).select(F.lit(14).alias("level"), "x", "y", F.when((F.col("x") + F.col("y")) % 7 == 0, 0).otherwise(fixtures.surface_code(F.col("x"), F.col("y"))).alias("v"))
+    c = fixtures.raster(spark, d).select(F.lit(14).alias("level"), "x", "y", "v")
     return dem.overviews(c, GRID.coarsest).filter("level < 14").select("level", "x", "y", F.col("v").cast("bigint").alias("v"))
 
 
@@ -307,8 +309,14 @@ def eye_elevation(spark, d):
 
 @query
 def speckle_fill(spark, d):
-    c = fixtures.window_cells(spark).withColumn("v", F.when((F.col("x") * 7 + F.col("y") * 3) % 11 == 0, 0).otherwise(fixtures.surface_code(F.col("x"), F.col("y"))))
-    return dem.fill_speckles(c, 5).select("x", "y", F.col("v").cast("bigint").alias("v"))
+    return dem.fill_speckles(fixtures.raster(spark, d), 5).select("x", "y", F.col("v").cast("bigint").alias("v"))
+
+
+@query
+def warp_average(spark, d):
+    """The raster on a grid of 2.5 by 1.6 cells that begins between cells."""
+    w = dem.warp_average(fixtures.raster(spark, d), (2.5, 1.6), (0.7, -3.3))
+    return w.select("x", "y", geo.snap("v", 4).alias("v"))
 
 
 # --- line of sight -------------------------------------------------------------------------------------------------------
@@ -525,7 +533,34 @@ def ink_spread(spark, d):
 
 @query
 def shaded_column(spark, d):
-    return _shaded(spark, d).select("view", "ray", "row", *(geo.snap(c, 3).alias(c) for c in "rgb"))
+    """A column's colours as sums over its rows, each row weighted by its place."""
+    levels = (F.sum((F.col("row") + 1) * F.rint(geo.snap(c, 3) * 1000).cast("bigint")).alias(c) for c in "rgb")
+    return _shaded(spark, d).groupBy("view", "ray").agg(F.count(F.lit(1)).alias("rows"), *levels)
+
+
+class Coarse(views.Panorama):
+    """The picture of PICTURE: pixels of two rays by two rows."""
+
+    width, height, cast = RAYS // 2, HEIGHT // 2, PICTURE
+
+
+PIXELS = Coarse(ssx=2, ssy=2, alt_max=ALT_MAX, ridge_width=0.5, eye_level=True)
+
+
+def _painted(spark, d):
+    return paint.painted(eyes(spark, d), SURFACE, PIXELS)
+
+
+@query
+def panorama_pixels(spark, d):
+    """Whole pictures, painted sector by sector."""
+    return _painted(spark, d).select("view", "col", "row", *(F.col(c).cast("bigint").alias(c) for c in "rgb"))
+
+
+@query
+def panorama_depth(spark, d):
+    rows = shade.delta_rows(_painted(spark, d).select("view", "col", "row", "code"), 4)
+    return rows.select("view", "col", "row", F.col("q").cast("bigint").alias("q"), F.col("delta").cast("bigint").alias("delta"))
 
 
 @query

@@ -60,6 +60,12 @@ def window_cells(spark: SparkSession, step: int = 1) -> DataFrame:
     return spark.range(n * n).select((F.lit(WINDOW_X) + step * (i % n)).alias("x"), (F.lit(WINDOW_Y) + step * F.floor(i / n)).alias("y"))
 
 
+def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(x, y, v): a raster of at most 320 x 240 cells from lineitem; a tenth of its cells is 0, no data, others are absent."""
+    k = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 320).alias("x"), (F.col("l_partkey") % 240).alias("y")).agg(F.sum(F.col("l_suppkey") * 37 + F.col("l_linenumber")).alias("s"))
+    return k.select("x", "y", F.when(F.col("s") % 10 == 0, 0).otherwise(5000 + F.col("s") % 3000).cast("int").alias("v"))
+
+
 def covering(x: Column, y: Column) -> Column:
     """The keys, below 67, of the sources with data at a pixel."""
     return F.transform(F.array(*map(F.lit, range(3))), lambda r: F.pmod(r - F.floor(x / 64) - 3 * F.floor(y / 64), F.lit(67)).cast("int"))

@@ -1,4 +1,4 @@
-"""The single-slot priority queue: batch replay, streaming state, and a client admission bucket.
+"""The single-slot priority queue: batch replay, streaming state, and a client admission bucket; the re-index stream.
 
 Effective priority is priority + 0.2 * seconds waited; as all waiters age alike their order is that of the static key
 priority - 0.2 * arrival.  One request is served at a time, without preemption; ties go to the smaller sequence number.
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources import catalogue, stage
+
 AGEING = 0.2
 CAPACITY = 10
 RESULT = "queue_id bigint, seq bigint, outcome string, start double, finish double, depth int"
@@ -114,8 +116,24 @@ def admission(requests: DataFrame, per_minute: float = 20.0, burst: int = 10) ->
     return requests.groupBy("client").applyInPandas(one, "client bigint, seq bigint, admitted boolean")
 
 
-def index_new_tiles(spark, folder: str, table: str, checkpoint: str):
-    """Periodic re-index as a stream: tile rows that appear as Parquet in ``folder`` are appended to the level index, then it stops."""
-    tiles = spark.readStream.schema("level int, source_id string, priority bigint, tx int, ty int, location string").parquet(folder)
-    tiles = tiles.filter(~F.col("location").like("%.tmp.tif"))
-    return tiles.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).partitionBy("level").trigger(availableNow=True).start()
+def reindex(spark, folder: str, layers: DataFrame, table: str, checkpoint: str, every: str | None = None):
+    """Keeps the level index current while tiles are built: paths (``location``) that appear as Parquet in ``folder`` replace what ``table`` held of the same tile.
+
+    Each batch rewrites the levels it touches and no other, so a batch that runs again after a crash changes nothing.  With ``every`` ("30 minutes")
+    it goes on at that interval; without, it takes all there is and stops, which is the last pass after a build.
+    """
+    tile = ["level", "source_id", "tx", "ty"]
+
+    def replace(batch: DataFrame, _: int) -> None:
+        fresh = catalogue.level_index(catalogue.tiles_of(batch), layers)
+        fresh = stage.stored(fresh.groupBy(*tile).agg(F.max_by(F.struct(*fresh.columns), "location").alias("row")).select("row.*"), "fresh-tiles")
+        if fresh.isEmpty():
+            return
+        new = fresh
+        if stage.exists(spark, table):
+            old = spark.read.schema(fresh.schema).parquet(table).join(fresh.select("level").distinct(), "level", "left_semi")
+            new = old.join(fresh.select(*tile), tile, "left_anti").unionByName(fresh)
+        catalogue.write_index(stage.stored(new, "level-index"), table)  # stored: what is read is overwritten
+
+    stream = spark.readStream.schema("location string").parquet(folder).writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
+    return (stream.trigger(processingTime=every) if every else stream.trigger(availableNow=True)).start()

@@ -78,11 +78,21 @@ def test_admission_bucket(spark):
     assert [r["admitted"] for r in got] == [True] * 11 + [False] * 9
 
 
-def test_index_stream(spark, tmp_path):
-    tiles = spark.createDataFrame([(14, "a", 10, 1, 2, "x.tif"), (14, "a", 10, 1, 3, "y.tmp.tif")], "level int, source_id string, priority bigint, tx int, ty int, location string")
-    tiles.write.parquet(f"{tmp_path}/in")
-    queue.index_new_tiles(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    assert [r["location"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["x.tif"]
+def test_index_follows_tiles_that_are_built_again(spark, tmp_path):
+    layers = spark.createDataFrame([("a", 20, 14), ("b", 10, 12)], "source_id string, priority int, finest_level int")
+    paths = lambda *names: spark.createDataFrame([(f"{n}.tif",) for n in names], "location string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda ck="ck": queue.reindex(spark, f"{tmp_path}/in", layers, f"{tmp_path}/out", f"{tmp_path}/{ck}").awaitTermination()
+    have = lambda: {(r["level"], r["source_id"], r["tx"], r["ty"], r["location"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    paths("/v1/norm/a/14/1_2", "/v1/norm/a/14/1_3.tmp", "/v1/norm/b/12/7_7")
+    run()
+    first = have()
+    assert first == {(z, "a", 1, 2, "/v1/norm/a/14/1_2.tif") for z in range(8, 15)} | {(z, "b", 7, 7, "/v1/norm/b/12/7_7.tif") for z in range(8, 13)}
+    paths("/v2/norm/a/14/1_2", "/v2/norm/a/14/5_5", "/v2/norm/x/14/5_5")
+    run()  # the stream goes on where it was
+    second = {r for r in first if r[1] == "b"} | {(z, "a", *t) for z in range(8, 15) for t in ((1, 2, "/v2/norm/a/14/1_2.tif"), (5, 5, "/v2/norm/a/14/5_5.tif"))}
+    assert have() == second and spark.read.parquet(f"{tmp_path}/out").count() == len(second)
+    run("lost")  # all batches once more, from a lost checkpoint
+    assert have() == second and spark.read.parquet(f"{tmp_path}/out").count() == len(second)
 
 
 def test_tile_files_make_a_level_index(spark, tmp_path):

@@ -101,6 +101,8 @@ def test_texts(spark):
 def test_nodata_is_shown_in_its_shortest_form(spark):
     cases = {None: "none", -9999.0: "-9999", 0.5: "0.5", 1e6: "1e6", -32768.0: "-32768", 1234567.0: "1.234567e6", -3.4028234663852886e38: "-3.4028234663852886e38"}
     assert column(spark, list(cases), geo.nodata_text) == list(cases.values())
+    small = {0.0001: "0.0001", -0.000125: "-0.000125", 3e-7: "0.0000003", 0.00099: "0.00099", 0.001: "0.001", 0.0: "0", 1.5e-10: "0.00000000015"}
+    assert column(spark, list(small), geo.nodata_text) == list(small.values())
 
 
 def test_snap_rounds_halves_away_from_zero(spark):
