@@ -9,13 +9,13 @@ precision.  So within the probed lists the answer is exact, however many vectors
 
 Training takes about ``SAMPLE`` vectors, chosen by a hash of the id; every vector is indexed.  How many lists a query probes is
 measured on that sample, for a recall of ``RECALL``.  Centroids and codebooks
-are of bounded size (``MOST_LISTS`` lists) and travel in the tasks' closures.  Lists and the queries that probe them are cut into
+are of bounded size (``most_lists`` lists) and travel in the tasks' closures.  Lists and the queries that probe them are cut into
 blocks, so no task holds a whole list however the vectors cluster.  Vectors of one direction (to 12 digits) are one class:
 only its smallest ids, as many as an answer can name, are kept (a limit that is applied before the shuffle), so a vector
 that a third of the rows share costs one entry.
 
-Definitions.  Rows take no part if the id is null or the vector is null, zero, holds a null, a NaN or an infinity, or
-differs in length from the commonest length.  Scores are compared
+Definitions.  Rows take no part if the id is null or the vector is null, zero, or holds a null, a NaN or an infinity.  Vectors of
+different lengths have no angle: each length is searched by itself.  Scores are compared
 to 12 digits; ties go to the smaller id.  A repeated id counts once for each different
 vector; a query never names its own id.  No queries or no vectors give no rows.
 """
@@ -35,6 +35,8 @@ from .store import stored
 
 SAMPLE = 20_000
 MOST_LISTS = 1024
+#: Lengths of vectors, each searched by itself; more are an error.
+MOST_LENGTHS = 64
 PARTS = 32
 CODES = 256
 RECALL = 0.97
@@ -85,7 +87,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
 class Index:
     """Coarse centroids (lists x dim) and codebooks (parts x codes x width)."""
 
-    def __init__(self, sample: np.ndarray, lists: int):
+    def __init__(self, sample: np.ndarray, lists: int, k: int = 5):
         rng = np.random.default_rng(5)
         x = _unit(sample)
         self.dim = x.shape[1]
@@ -93,10 +95,10 @@ class Index:
         self.width = math.ceil(self.dim / self.parts)
         self.centers = kmeans(x, lists, 8, rng)
         rest = self.split(x - self.centers[_nearest(x, self.centers)])
-        self.probes = self.calibrate(x, rng)
+        self.probes = self.calibrate(x, rng, k)
         self.books = np.stack([kmeans(rest[:, p], min(CODES, max(1, len(x))), 6, rng) for p in range(self.parts)])
 
-    def calibrate(self, x: np.ndarray, rng: np.random.Generator, k: int = 5) -> int:
+    def calibrate(self, x: np.ndarray, rng: np.random.Generator, k: int) -> int:
         """The fewest probes that find ``RECALL`` of the sample's own nearest neighbours, by brute force over it.
 
         The full table is denser, so its neighbours are nearer and found with no more probes.
@@ -165,17 +167,24 @@ def directed(rows: DataFrame, dim: int) -> DataFrame:
     return rows.select("id", "vec").mapInArrow(run, "id bigint, vec array<double>, to binary").select("id", "vec", F.xxhash64("to").alias("h1"), F.xxhash64(F.lit(11), "to").alias("h2"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row with ``is_query`` (on column ``id``) its ``k`` nearest others."""
-    spark = vectors.sparkSession
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", exact: bool = False, most_lists: int = MOST_LISTS) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row with ``is_query`` (on column ``id``) its ``k`` nearest others of its length.
+
+    With ``exact`` every list is probed, and nothing is missed.
+    """
     vec = F.col(vec_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).filter(F.col("id").isNotNull() & usable(F.col("vec")))
-    mode = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    empty = "query_id bigint, rank int, vec_id bigint, score double"
-    if mode is None:
-        return spark.createDataFrame([], empty)
-    dim = mode["dim"]
-    rows = rows.filter(F.size("vec") == dim)
+    lengths = sorted(r["dim"] for r in rows.select(F.size("vec").alias("dim")).distinct().limit(MOST_LENGTHS + 1).collect())
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    out = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for n, dim in enumerate(lengths):
+        some = _nearest_of_length(rows.filter(F.size("vec") == dim), dim, is_query, k, exact, most_lists)
+        out = out.unionByName(some) if n else some
+    return out
+
+
+def _nearest_of_length(rows: DataFrame, dim: int, is_query: Column, k: int, exact: bool, most_lists: int) -> DataFrame:
     known = stored(classes(directed(rows, dim), k + 1), "ann-classes")
     n = known.count()
 
@@ -183,7 +192,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     sample = known.filter(share).select("rep", "vec").orderBy("rep").limit(2 * SAMPLE).toPandas()
     if not len(sample):
         sample = known.select("vec").limit(1).toPandas()
-    index = Index(np.array(sample["vec"].tolist(), np.float64), max(1, min(MOST_LISTS, round(4 * n ** (1 / 3)), len(sample))))
+    index = Index(np.array(sample["vec"].tolist(), np.float64), max(1, min(most_lists, round(4 * n ** (1 / 3)), len(sample))), k)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +204,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     sizes = np.zeros(len(index.centers), np.int64)
     for r in coded.groupBy("list").count().collect():  # at most MOST_LISTS rows
         sizes[r["list"]] = r["count"]
-    probes = index.probes
+    probes = len(sizes) if exact else index.probes
 
     asked = directed(rows.filter(is_query), dim).select("id", "h1", "h2")
     who = asked.select("h1", "h2").distinct()

@@ -283,10 +283,15 @@ class PieceModel:
 
 def decode_bytes(run: bytes) -> str:
     """UTF-8, with one replacement character for each byte that starts no valid sequence."""
-    try:
-        return run.decode("utf-8")
-    except UnicodeDecodeError as e:
-        return run[: e.start].decode("utf-8") + "�" + decode_bytes(run[e.start + 1 :])
+    out, at = [], 0
+    while at < len(run):
+        try:
+            out.append(run[at:].decode("utf-8"))
+            break
+        except UnicodeDecodeError as e:
+            out += [run[at : at + e.start].decode("utf-8"), "�"]
+            at += e.start + 1
+    return "".join(out)
 
 
 _models: dict[str, PieceModel] = {}
