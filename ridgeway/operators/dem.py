@@ -53,13 +53,18 @@ class AnalyticSurface:
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for s in rays.sectors_of(cast, batch):
-                    px, py = (np.floor(p).astype(np.int64) for p in rays.pixel_of(*s.places(), s.level))
-                    up = np.exp2(13 - s.level)
-                    px, py = (np.where(s.level >= 14, p, ((2 * p + 1) * up).astype(np.int64)) for p in (px, py))
-                    yield emit(s, surface_codes(px, py) * 0.1 - 500.0)
+                    yield emit(s, rays.outwards(s, self.sampled))
 
         return sectors.mapInArrow(one, schema)
 
+    @staticmethod
+    def sampled(s: rays.Sector, ray: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """Heights of some rays of a sector at some steps."""
+        px, py = (np.floor(p).astype(np.int64) for p in rays.pixel_of(*s.crossing(ray, step), s.level[step]))
+        up = np.exp2(13 - s.level[step])
+        px, py = (np.where(s.level[step] >= 14, p, ((2 * p + 1) * up).astype(np.int64)) for p in (px, py))
+        return surface_codes(px, py) * 0.1 - 500.0
+
 
 class Pyramid:
     """A stored pyramid as a surface: bilinear between cell centres, from the finest level with data not finer than asked.

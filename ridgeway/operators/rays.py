@@ -7,7 +7,7 @@ a helper here turns one sector into its samples.  Nothing in this module knows w
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,6 +16,8 @@ import pyarrow as pa
 from ..functions import geo
 
 SECTOR_SAMPLES = 1 << 18
+#: Steps sampled before full columns are looked for.
+STRETCH = 512
 GRID = geo.Grid()
 
 
@@ -89,7 +91,13 @@ class Sector:
     def places(self, rays: np.ndarray | None = None, steps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Projected x and y: of all samples, or of single ones (position among the rays, position on the ladder)."""
         t, r = np.radians(self.azimuth), self.d / geo.EARTH_RADIUS
-        t, r = (t[:, None], r[None, :]) if rays is None else (t[rays], r[steps])
+        return self._projected(*((t[:, None], r[None, :]) if rays is None else (t[rays], r[steps])))
+
+    def crossing(self, rays: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Projected x and y of all samples that some rays have at some steps."""
+        return self._projected(np.radians(self.azimuth)[rays][:, None], (self.d / geo.EARTH_RADIUS)[steps][None, :])
+
+    def _projected(self, t: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p, east = math.radians(self.lat), np.sin(r)
         sine = math.sin(p) * np.cos(r) + math.cos(p) * east * np.cos(t)
         turn = np.arctan2(np.sin(t) * east * math.cos(p), np.cos(r) - math.sin(p) * sine)
@@ -103,6 +111,23 @@ def pixel_of(x: np.ndarray, y: np.ndarray, level: np.ndarray | int, shift: float
     return np.round((x + geo.ORIGIN) / res - shift, 6), np.round((geo.ORIGIN - y) / res - shift, 6)
 
 
+def outwards(sector: Sector, sampled: Callable) -> np.ndarray:
+    """Heights by (ray, step), asked of ``sampled(sector, rays, steps)`` stretch by stretch: a ray whose column is full isn't asked again (NaN)."""
+    n, frame = len(sector.d), sector.cast.frame
+    if frame is None:
+        return sampled(sector, np.arange(len(sector.ray)), np.arange(n))
+    h, open_, best = np.full((len(sector.ray), n), np.nan), np.arange(len(sector.ray)), np.full(len(sector.ray), -np.inf)
+    for a in range(0, n, STRETCH):
+        steps = np.arange(a, min(n, a + STRETCH))
+        h[np.ix_(open_, steps)] = sampled(sector, open_, steps)
+        tangent = angles(sector, h[open_][:, steps], at=steps)
+        best[open_] = np.fmax(best[open_], np.fmax.reduce(np.round(np.degrees(np.arctan(tangent)), 9), axis=1))
+        open_ = open_[row_of(best[open_], frame) >= 1]
+        if not len(open_):
+            break
+    return h
+
+
 def earlier(best: np.ndarray) -> np.ndarray:
     """The running maximum of strictly earlier samples, -inf where there are none."""
     out = np.full_like(best, -np.inf)
@@ -123,10 +148,11 @@ def row_of(alpha: np.ndarray, frame: Frame) -> np.ndarray:
     return np.maximum(0.0, np.round((frame.alt_max - alpha) / frame.alt_step, 9))
 
 
-def angles(sector: Sector, h: np.ndarray, extra: float = 0.0) -> np.ndarray:
-    """Tangents to the eye of ground raised by ``extra``; rounded at 12 digits, so that engines agree where tangents tie."""
-    drop = sector.d * sector.d * (1 - geo.REFRACTION) / (2 * geo.EARTH_RADIUS)
-    return np.round((h + extra - sector.eye - drop) / sector.d, 12)
+def angles(sector: Sector, h: np.ndarray, extra: float = 0.0, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Tangents to the eye of ground (of the steps ``at``) raised by ``extra``; rounded at 12 digits, so that engines agree where tangents tie."""
+    d = sector.d[at]
+    drop = d * d * (1 - geo.REFRACTION) / (2 * geo.EARTH_RADIUS)
+    return np.round((h + extra - sector.eye - drop) / d, 12)
 
 
 TYPES = {"view": pa.int64(), "ray": pa.int32(), "level": pa.int32(), "prev": pa.int32()}  # all others are doubles

@@ -60,6 +60,26 @@ def test_columns_are_filled_by_the_first_sample_to_reach_a_row(spark, seed):
         assert np.allclose(mine.horizon.to_numpy()[1:], np.maximum.accumulate(a)[: len(mine) - 1], atol=1e-8) and np.isnan(mine.horizon.to_numpy()[:1]).all()
 
 
+def test_full_columns_are_not_sampled_on(monkeypatch):
+    """A wall near the eye: rays into it ask no ground behind it, and the samples are those of whole rays."""
+    monkeypatch.setattr(rays, "STRETCH", 16)
+    cast, asked = march.Cast(24, 3000.0, frame=march.Frame(20.0, 1.0, 40)), []
+
+    def ground(s, ray, step):
+        asked.append(len(ray) * len(step))
+        x, y = np.meshgrid(ray, step, indexing="ij")
+        return np.where((x < 18) & (y == 20), 4000.0, 300.0 + x + y % 7)
+
+    s = rays.Sector(cast, 1, 20.0, 49.0, 400.0, 0, 24)
+    part = rays.outwards(s, ground)
+    n, asked[:] = sum(asked), []
+    whole = ground(s, np.arange(24), np.arange(len(s.d)))
+    assert n < 0.4 * whole.size and np.isnan(part[:18, 32:]).all() and not np.isnan(part[18:]).any()
+    names = ["ray", "d", "h", "alpha", "horizon", "f", "prev", "lv", "d0", "h0"]
+    assert rays.samples(s, part, names).equals(rays.samples(s, whole, names))
+    assert rays.marks(s, part).equals(rays.marks(s, whole))
+
+
 def test_horizon_questions_are_strict_and_meet_two_rays():
     at, rise, ends = np.array([15.0, 25.0, 10.0]), np.array([1.0, 3.0, 5.0]), np.array([0, 2, 3, 3])
     ask = lambda first, d, t, low=0, n=3, wraps=False: peaks._horizon(at, rise, ends, np.array(first), low, np.array(d), np.array(t), n, wraps).tolist()
