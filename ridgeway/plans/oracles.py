@@ -328,7 +328,11 @@ ORACLES: dict[str, str] = {
     "index_plan": "SELECT CAST(z AS INT) AS level, n_name AS source_id, 10 * n_nationkey AS priority, CAST(f - z - 1 AS INT) AS ovr, '/dem/norm/' || n_name || '/' || f AS dir FROM (SELECT *, CASE WHEN n_nationkey % 3 = 0 THEN 14 ELSE 12 END AS f FROM nation) s, range(8, 15) t(z) WHERE z <= f",
     "elevation_sources": f"WITH {SOURCES}, n AS (SELECT *, regexp_replace(CAST(lon0 AS VARCHAR), '\\.0$', '') AS a, regexp_replace(CAST(lon1 AS VARCHAR), '\\.0$', '') AS b FROM sources) SELECT string_agg(lower(n_name) || ':/data/' || n_name || '.tif:' || a || ',45,' || b || ',47.5', ';' || chr(10) ORDER BY priority DESC, lower(n_name)) AS elevation_sources FROM n",
     "source_order": "SELECT n_name AS source_id, 10 * n_nationkey AS priority, row_number() OVER (ORDER BY n_nationkey DESC) AS rank FROM nation",
-    "build_environment": f"WITH {SOURCES}, t AS (SELECT * FROM ({cover('(SELECT * FROM sources WHERE finest_level = 14)', 'id')})) SELECT id, tx, ty, printf('TE=\"%.6f %.6f %.6f %.6f\"', -{O} + tx * {SPAN}, {O} - (ty + 1) * {SPAN}, -{O} + (tx + 1) * {SPAN}, {O} - ty * {SPAN}) AS extent, 'DST=/dem/norm/' || id || '/14/' || tx || '_' || ty || '.tif' AS dst FROM t",
+    "build_environment": f"WITH {SOURCES}, t AS ({cover('sources', 'id, n_name, k, finest_level AS z')}) SELECT id, tx, ty, " + " || ".join(f"'{name}=' || {value} || chr(10)" for name, value in {
+        "SRC_ID": "id", "SRC_PATH": "'/data/' || n_name || '.tif'", "LEVEL": "z", "TX": "tx", "TY": "ty", "PX": "(32768 >> CAST(14 - z AS INT))", "BLOCK": "'512'", "OVERVIEW_COUNT": "(z - 8)",
+        "TE": f"printf('\"%.6f %.6f %.6f %.6f\"', -{O} + tx * {SPAN}, {O} - (ty + 1) * {SPAN}, -{O} + (tx + 1) * {SPAN}, {O} - ty * {SPAN})", "RESAMPLING": "'average'", "SRCNODATA": "CASE WHEN k = 1 THEN '-9999' ELSE '' END", "WARP_NODATA": "'-9999'", "SCALE": "'\"-500 6053.5 0 65535\"'",
+        "FILL_NODATA_MD": "CASE WHEN k = 4 THEN '5' ELSE '' END", "DST_DIR": "'/dem/norm/' || id || '/' || z", "DST": "'/dem/norm/' || id || '/' || z || '/' || tx || '_' || ty || '.tif'",
+    }.items()) + " AS env FROM t",
     "tile_plan_semi_anti": f"WITH {PLAN} SELECT source_id, tx, ty FROM planned p WHERE (source_id NOT IN (SELECT source_id FROM prints) OR EXISTS (SELECT 1 FROM hits h WHERE h.source_id = p.source_id AND h.tx = p.tx AND h.ty = p.ty)) AND NOT EXISTS (SELECT 1 FROM built b WHERE b.source_id = p.source_id AND b.tx = p.tx AND b.ty = p.ty AND b.level IN (14, 12))",
     "build_progress": f"WITH {PLAN} SELECT CAST(coalesce(source_id, -1) AS BIGINT) AS source_id, count(*) AS planned, CAST(sum(CASE WHEN (tx + ty) % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS built FROM planned GROUP BY ROLLUP (source_id)",
     "elev_codec": "WITH p AS (SELECT p_partkey AS k, CAST(greatest(0, least(65535, round(((p_partkey % 7000 - 600) * 1e0 + p_size / 7e0 + 500e0) * 10e0))) AS INT) AS code FROM part) SELECT k, code, CASE WHEN code <> 0 THEN round(code * 0.1e0 - 500e0, 4) END AS metres FROM p",

@@ -173,8 +173,7 @@ def source_order(spark, d):
 
 @query
 def build_environment(spark, d):
-    s = catalogue.resolved(_raw_sources(spark, d), DEFAULTS).filter("finest_level = 14")
-    return catalogue.build_environment(catalogue.cover(s), "/dem").select("id", "tx", "ty", F.split("env", "\n")[8].alias("extent"), F.split("env", "\n")[15].alias("dst"))
+    return catalogue.build_environment(catalogue.cover(catalogue.resolved(_raw_sources(spark, d), DEFAULTS)), "/dem")
 
 
 def _planned(spark, d):
