@@ -295,6 +295,40 @@ def _overviews() -> str:
 
 
 OVERVIEWS = _overviews()
+
+
+def _layer_tiles() -> str:
+    def corner(crs: int, left: str, top: str, cell: str, res: str, i: str) -> tuple[str, str]:
+        a, b = f"({left} + (x + {i}) * {cell})", f"({top} - (y + {i}) * {cell})"
+        if crs == 4326:
+            a, b = mx(a), my(b)
+        return f"round(({a} + {O}) / {res}, 6)", f"round(({O} - {b}) / {res}, 6)"
+
+    res13 = f"{2 * math.pi * 6378137.0 / 256.0 / 2.0**13!r}e0"
+    east = [corner(3857, "2226400e0", "6274900e0", "16.3e0", RES14, i) for i in ("0", "1")]
+    west = [corner(4326, "20.03e0", "49e0", "0.0002e0", res13, i) for i in ("0", "1")]
+    whole = [corner(4326, "20.01e0", "49.02e0", "0.00021e0", res13, i) for i in ("-0.5e0", "0.5e0", "1.5e0")]
+    ends = lambda some: ", ".join(f"{c} AS {axis}{k}" for k, both in enumerate(some) for axis, c in zip("xy", both))
+    hat = lambda p, c: f"CASE WHEN {p} < {c}1 THEN ({p} - {c}0) / ({c}1 - {c}0) ELSE ({c}2 - {p}) / ({c}2 - {c}1) END"
+    text = f"""WITH r AS MATERIALIZED (SELECT x, y, v * 0.5e0 AS v FROM ({RASTER}) WHERE v <> 0),
+e AS (SELECT 'east' AS source_id, 14 AS level, v, {ends(east)} FROM r WHERE x < 160 UNION ALL SELECT 'west', 13, v, {ends(west)} FROM (SELECT x - 160 AS x, y, v FROM r WHERE x >= 160)),
+a AS (SELECT *, unnest(range(CAST(floor(x0) AS BIGINT), CAST(ceil(x1) AS BIGINT))) AS x FROM e),
+b AS (SELECT *, unnest(range(CAST(floor(y0) AS BIGINT), CAST(ceil(y1) AS BIGINT))) AS y FROM a),
+h AS (SELECT *, unnest(range(CAST(ceil(x0 - 0.5e0) AS BIGINT), CAST(floor(x2 - 0.5e0) AS BIGINT) + 1)) AS x FROM (SELECT v, {ends(whole)} FROM r)),
+k AS (SELECT *, unnest(range(CAST(ceil(y0 - 0.5e0) AS BIGINT), CAST(floor(y2 - 0.5e0) AS BIGINT) + 1)) AS y FROM h),
+w AS (SELECT source_id, level, x, y, v, (least(x1, x + 1e0) - greatest(x0, x)) * (least(y1, y + 1e0) - greatest(y0, y)) AS w FROM b
+  UNION ALL SELECT 'whole', 13, x, y, v, ({hat('(x + 0.5e0)', 'x')}) * ({hat('(y + 0.5e0)', 'y')}) FROM k),
+g AS MATERIALIZED (SELECT source_id, level, x, y, sum(v * w) / sum(w) AS v FROM w WHERE w > 1e-9 GROUP BY ALL),
+o AS (SELECT i, j, pow(i * i + j * j, -0.5e0) AS w FROM range(-2, 3) p(i), range(-2, 3) q(j) WHERE i * i + j * j BETWEEN 1 AND 4),
+f AS (SELECT x + i AS x, y + j AS y, sum(v * w) / sum(w) AS v FROM g, o WHERE source_id = 'east' AND x // 512 = (x + i) // 512 AND y // 512 = (y + j) // 512 GROUP BY ALL),
+u AS (SELECT * FROM g UNION ALL SELECT 'east', 14, x, y, v FROM f WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.source_id = 'east' AND g.x = f.x AND g.y = f.y)),
+c14 AS MATERIALIZED (SELECT source_id, level, x, y, CAST(round(round((v + 500e0) * 10e0, 4)) AS BIGINT) AS v FROM u)"""
+    for z in range(13, 9, -1):
+        text += f", c{z} AS MATERIALIZED (SELECT source_id, {z} AS level, x // 2 AS x, y // 2 AS y, CAST(round(sum(v) / count(*)) AS BIGINT) AS v FROM {'c14' if z == 13 else f'(FROM c{z + 1} UNION ALL FROM c14)'} WHERE level = {z + 1} GROUP BY ALL)"
+    return text + " " + " UNION ALL ".join(f"SELECT source_id, CAST(level AS INT) AS level, x, y, v FROM c{z}" for z in range(14, 9, -1))
+
+
+LAYER_TILES = _layer_tiles()
 RECT_WKT = """WITH r AS (SELECT '/vrt/' || n_name || '.vrt' AS file, n_nationkey * 1000e0 + off_ * 25e0 AS x0, n_nationkey * 1000e0 + off_ * 25e0 + (100 + n_nationkey) * 25e0 AS x1, 500000e0 AS y0, 498750e0 AS y1 FROM nation, (SELECT unnest([1, 2]) AS m) CROSS JOIN LATERAL (SELECT n_nationkey * m AS off_))
 SELECT file, 'POLYGON ((' || printf('%.4f %.4f,%.4f %.4f,%.4f %.4f,%.4f %.4f,%.4f %.4f', x0, y0, x1, y0, x1, y1, x0, y1, x0, y0) || '))' AS wkt FROM r"""
 EVENTS = """ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY queue_id ORDER BY t, seq) AS n FROM (SELECT user_id % 16 AS queue_id, event_id AS seq, epoch_us(ts) / 1e6 AS t, CASE event_type WHEN 'purchase' THEN 10 WHEN 'signup' THEN 5 ELSE 0 END AS priority, 5e0 + coalesce(value, 0e0) / 20 AS service, event_type = 'error' AS gone FROM events))"""
@@ -338,6 +372,7 @@ ORACLES: dict[str, str] = {
     "elev_codec": "WITH p AS (SELECT p_partkey AS k, CAST(greatest(0, least(65535, round(((p_partkey % 7000 - 600) * 1e0 + p_size / 7e0 + 500e0) * 10e0))) AS INT) AS code FROM part) SELECT k, code, CASE WHEN code <> 0 THEN round(code * 0.1e0 - 500e0, 4) END AS metres FROM p",
     "mosaic_priority": f"WITH c AS (SELECT {WX} + i % 1536 AS x, {WY} + i // 1536 AS y FROM range(2359296) t(i)), s AS (SELECT x, y, {code('x', 'y')} + n_nationkey AS value, CAST(10 * n_nationkey AS BIGINT) AS priority FROM c, nation WHERE {pmod('x // 64 + 3 * (y // 64) + n_nationkey', '67')} < 3) SELECT x, y, CAST(arg_max(value, priority) AS BIGINT) AS value, max(priority) AS priority FROM s GROUP BY x, y",
     "overview_avg": OVERVIEWS,
+    "layer_tiles": LAYER_TILES,
     "sample_blocks": f"WITH {POINTS}, q AS (SELECT osm_id, {px('x')} AS cx, {py('y')} AS cy FROM points) SELECT osm_id, CASE WHEN {inside('cx', 'cy')} THEN round({code('cx', 'cy')} * 0.1e0 - 500e0, 6) END AS h FROM q",
     "sample_bilinear": f"WITH {POINTS}, {sampled('points', 'got', 'x', 'y', (14,), False)} SELECT osm_id, round(h, 4) AS h FROM got",
     "level_fallback": f"WITH {POINTS}, {sampled('points', 'got', 'x', 'y', (14, 12), True)} SELECT osm_id, round(h, 4) AS h, coalesce(z, -1) AS z FROM got",

@@ -7,13 +7,14 @@ parameter of the operators; the names that end in ``far`` reach over several lev
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo
-from ..operators import dem, march, paint, peaks, qa, requests, shade, views
+from ..operators import build, dem, march, paint, peaks, qa, requests, shade, views
 from ..sources import catalogue, fixtures, stage
 from ..streaming import queue
 
@@ -318,6 +319,26 @@ def warp_average(spark, d):
     return w.select("x", "y", geo.snap("v", 4).alias("v"))
 
 
+TILES = geo.Grid(tile_px=512, block_px=32, finest=14, coarsest=10)
+LAYERS = (
+    build.Source("east", "EPSG:3857", 2226400.0, 6274900.0, 16.3, 14, nodata=0.0, fill=2),
+    build.Source("west", "EPSG:4326", 20.03, 49.0, 0.0002, 13, nodata=0.0),
+    build.Source("whole", "EPSG:4326", 20.01, 49.02, 0.00021, 13, nodata=0.0, resampling="bilinear"),
+)
+
+
+@query
+def layer_tiles(spark, d):
+    """Halves of the raster and the whole of it as three sources, built in two goes and read back: every code at every level."""
+    r = fixtures.raster(spark, d).select("x", "y", (F.col("v") * 0.5).alias("v"))
+    given = [r.filter("x < 160"), r.filter("x >= 160").withColumn("x", F.col("x") - 160), r]
+    cells = stage.stored(reduce(DataFrame.unionByName, (c.select(F.lit(s.source_id).alias("source_id"), "x", "y", "v") for s, c in zip(LAYERS, given))), "layers")
+    root = stage.new_path(spark, "layer-a")
+    build.build(cells, LAYERS[:2], catalogue.cover(spark.sql("SELECT explode(array('east', 'west')) AS source_id, 19.9D AS lon0, 48.8D AS lat0, 20.2D AS lon1, 49.1D AS lat1"), TILES), root, TILES, 16)
+    build.region(cells, LAYERS[2], (19.9, 48.8, 20.2, 49.1), root, TILES, 16)
+    return build.cells_of(build.read(spark, root), TILES.block_px).withColumn("v", F.col("v").cast("bigint"))
+
+
 # --- line of sight -------------------------------------------------------------------------------------------------------
 
 
