@@ -334,8 +334,8 @@ def layer_tiles(spark, d):
     given = [r.filter("x < 160"), r.filter("x >= 160").withColumn("x", F.col("x") - 160), r]
     cells = stage.stored(reduce(DataFrame.unionByName, (c.select(F.lit(s.source_id).alias("source_id"), "x", "y", "v") for s, c in zip(LAYERS, given))), "layers")
     root = stage.new_path(spark, "layer-a")
-    build.build(cells, LAYERS[:2], catalogue.cover(spark.sql("SELECT explode(array('east', 'west')) AS source_id, 19.9D AS lon0, 48.8D AS lat0, 20.2D AS lon1, 49.1D AS lat1"), TILES), root, TILES, 16)
-    build.region(cells, LAYERS[2], (19.9, 48.8, 20.2, 49.1), root, TILES, 16)
+    build.build(cells, LAYERS[:2], catalogue.cover(spark.sql("SELECT explode(array('east', 'west')) AS source_id, 19.99D AS lon0, 48.94D AS lat0, 20.09D AS lon1, 49.03D AS lat1"), TILES), root, TILES, 16)
+    build.region(cells, LAYERS[2], (19.99, 48.94, 20.09, 49.03), root, TILES, 16)
     return build.cells_of(build.read(spark, root), TILES.block_px).withColumn("v", F.col("v").cast("bigint"))
 
 
