@@ -10,11 +10,11 @@ from ..functions import geo
 # fixed values: the elements and attributes of descriptors
 RECT = "STRUCT<_xOff: DOUBLE, _yOff: DOUBLE, _xSize: DOUBLE, _ySize: DOUBLE>"
 SOURCE = f"ARRAY<STRUCT<SourceFilename: STRUCT<_VALUE: STRING, _relativeToVRT: STRING>, DstRect: {RECT}>>"
-DESCRIPTOR = f"SRS STRING, GeoTransform STRING, VRTRasterBand ARRAY<STRUCT<ComplexSource: {SOURCE}, SimpleSource: {SOURCE}, AveragedSource: {SOURCE}>>"
+DESCRIPTOR = f"SRS STRING, GeoTransform STRING, VRTRasterBand ARRAY<STRUCT<NoDataValue: STRING, ComplexSource: {SOURCE}, SimpleSource: {SOURCE}, AveragedSource: {SOURCE}>>"
 
 
 def read_descriptors(spark: SparkSession, path: str) -> DataFrame:
-    """(file, srs, gt, sources): one row per descriptor, by Spark's XML reader."""
+    """(file, srs, nodata, gt, sources): one row per descriptor, by Spark's XML reader."""
     rows = spark.read.format("xml").option("rowTag", "VRTDataset").schema(DESCRIPTOR).load(path).withColumn("file", F.col("_metadata.file_path"))
     return described(rows)
 
@@ -30,7 +30,8 @@ def described(rows: DataFrame) -> DataFrame:
     none = F.array().cast(SOURCE)
     sources = F.flatten(F.transform("VRTRasterBand", lambda b: F.concat(*(F.coalesce(b[k], none) for k in kinds))))
     good = (F.size(gt) == 6) & ~F.exists(gt, lambda x: x.isNull())
-    return rows.select("file", F.col("SRS").alias("srs"), F.when(good, gt).otherwise(F.raise_error(F.lit("no GeoTransform")).cast("array<double>")).alias("gt"), F.coalesce(sources, none).alias("sources"))
+    nodata = F.get("VRTRasterBand", F.lit(0))["NoDataValue"].try_cast("double")
+    return rows.select("file", F.col("SRS").alias("srs"), nodata.alias("nodata"), F.when(good, gt).otherwise(F.raise_error(F.lit("no GeoTransform")).cast("array<double>")).alias("gt"), F.coalesce(sources, none).alias("sources"))
 
 
 def leaf_files(descriptors: DataFrame) -> DataFrame:
@@ -41,6 +42,40 @@ def leaf_files(descriptors: DataFrame) -> DataFrame:
     return d.select("file", F.when(F.col("s.SourceFilename._relativeToVRT") == "1", F.concat(folder, name)).otherwise(name).alias("leaf"))
 
 
+def _escaped(text: Column) -> Column:
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
+def rebuilt(descriptors: DataFrame, nodata: float = -9999.0) -> DataFrame:
+    """(file, xml): descriptors over the same leaf files, in the same places, that declare ``nodata``, so that uncovered canvas isn't 0.
+
+    Leaf files are named by their whole paths; sources of all bands and kinds become complex sources of one band; the canvas reaches as far as they do.
+    """
+    folder, s = F.regexp_replace("file", "[^/]*$", ""), lambda c: F.coalesce(c.cast("string"), F.lit(""))
+
+    def element(one: Column) -> Column:
+        name, rect = F.trim(one["SourceFilename"]["_VALUE"]), one["DstRect"]
+        leaf = F.when(one["SourceFilename"]["_relativeToVRT"] == "1", F.concat(folder, name)).otherwise(name)
+        place = F.concat(F.lit("<DstRect"), *(F.concat(F.lit(f' {k}="'), s(rect[f"_{k}"]), F.lit('"')) for k in ("xOff", "yOff", "xSize", "ySize")), F.lit("/>"))
+        return F.concat(F.lit('<ComplexSource><SourceFilename relativeToVRT="0">'), _escaped(s(leaf)), F.lit("</SourceFilename><SourceBand>1</SourceBand>"), F.when(rect.isNull(), "").otherwise(place), F.lit("</ComplexSource>"))
+
+    far = lambda off, size: s(F.coalesce(F.ceil(F.array_max(F.transform("sources", lambda x: x["DstRect"][off] + x["DstRect"][size]))), F.lit(0)))
+    xml = F.concat(
+        F.lit('<VRTDataset rasterXSize="'), far("_xOff", "_xSize"), F.lit('" rasterYSize="'), far("_yOff", "_ySize"), F.lit('">'), F.coalesce(F.concat(F.lit("<SRS>"), _escaped(F.col("srs")), F.lit("</SRS>")), F.lit("")),
+        F.lit("<GeoTransform>"), F.array_join(F.col("gt").cast("array<string>"), ", "), F.lit('</GeoTransform><VRTRasterBand band="1"><NoDataValue>'), geo.nodata_text(geo.num(nodata)), F.lit("</NoDataValue>"),
+        F.array_join(F.transform("sources", element), ""), F.lit("</VRTRasterBand></VRTDataset>"),
+    )
+    return descriptors.select("file", xml.alias("xml"))
+
+
+def write_descriptors(texts: DataFrame, to: str) -> None:
+    """Descriptors (file, xml) as one text each in ``to/id=...``, by the file's name without its ending; what is there of the same name is replaced, the rest stays."""
+    name = F.regexp_replace(F.regexp_extract("file", "([^/]*)$", 1), "[.][^.]*$", "")
+    texts.select(name.alias("id"), "xml").write.partitionBy("id").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(to)
+
+
 def footprint_parts(descriptors: DataFrame) -> DataFrame:
     """(file, wkt, area_km2) of every referenced rectangle; long sides are cut where the pixel size says metres."""
     d = descriptors.select("file", "gt", F.explode("sources").alias("s")).filter("s.DstRect IS NOT NULL")

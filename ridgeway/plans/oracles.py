@@ -436,6 +436,13 @@ SELECT i AS x, j AS y, round(sum(v * w) / sum(w), 4) AS v FROM w GROUP BY i, j""
     "crs_match": "WITH n AS (SELECT n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN '+datum=WGS84 +proj=longlat' WHEN 1 THEN '+datum=WGS84 +proj=utm +units=m +zone=34' ELSE '+a=6378137 +proj=merc' END AS norm, CASE n_nationkey % 2 WHEN 0 THEN '+datum=WGS84 +proj=longlat' ELSE '+datum=WGS84 +proj=utm +units=m +zone=34' END AS b FROM nation) SELECT k, norm, k % 5 = 0 OR norm = b AS same FROM n",
     "csv_split": "SELECT p_partkey AS k, CAST(4 AS BIGINT) AS n, replace(p_name, ' ', ', \"') AS name, CAST(p_size AS VARCHAR) AS last FROM part",
     "mime_types": "SELECT p_partkey AS k, (['image/avif', 'image/png', 'application/gzip', 'application/octet-stream', 'image/png'])[p_partkey % 5 + 1] AS mime, CASE WHEN regexp_full_match(p_name, '[A-Za-z0-9_@%+=:,./-]+') THEN p_name ELSE '''' || replace(p_name, '''', '''\\''''') || '''' END AS quoted, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 0 END AS BIGINT) AS priority FROM part",
+    "descriptor_rebuild": """WITH d AS (SELECT n_name, CAST(n_nationkey AS DOUBLE) AS k FROM nation),
+r AS (SELECT *, ' yOff="0.0" xSize="' || (100 + k) || '" ySize="50.0"/></ComplexSource>' AS tail, '</SourceFilename><SourceBand>1</SourceBand><DstRect xOff="' AS mid, '<ComplexSource><SourceFilename relativeToVRT="0">' AS head FROM d)
+SELECT '/vrt/' || n_name || '.vrt' AS file, unnest(['/vrt/' || n_name || '.tif', '/abs/' || n_name || '.tif']) AS leaf, -9999e0 AS nodata,
+'<VRTDataset rasterXSize="' || CAST(3 * k + 100 AS BIGINT) || '" rasterYSize="50"><SRS>EPSG:3857</SRS><GeoTransform>' || (k * 1000) || ', 25.0, 0.0, 500000.0, 0.0, -25.0</GeoTransform><VRTRasterBand band="1"><NoDataValue>-9999</NoDataValue>'
+|| head || '/vrt/' || n_name || '.tif' || mid || k || '"' || tail || head || '/abs/' || n_name || '.tif' || mid || (2 * k) || '"' || tail || '</VRTRasterBand></VRTDataset>' AS xml FROM r""",
+    "peak_lines": """SELECT CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_partkey END AS osm_id, CASE WHEN p_partkey % 2 = 0 THEN p_name || ', the "old"' ELSE 'xa,b' || p_name END AS name, p_type AS type,
+CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_partkey % 3000 AS VARCHAR) END AS ele_osm, round(20e0 + (p_partkey * 7919 % 6000) / 100000e0, 6) AS plon, round(49e0 + (p_partkey * 104729 % 4000) / 100000e0, 6) AS plat FROM part WHERE p_partkey % 7 <> 0""",
     "vrt_leaf_files": "SELECT '/vrt/' || n_name || '.vrt' AS file, unnest(['/vrt/' || n_name || '.tif', '/abs/' || n_name || '.tif']) AS leaf FROM nation",
     "footprint_area": "SELECT '/vrt/' || n_name || '.vrt' AS file, CAST(2 AS BIGINT) AS parts, CAST(2 AS BIGINT) AS sources, round(2 * (100 + n_nationkey) * 25e0 * 50 * 25 / 1e6, 1) AS area_km2 FROM nation",
     "drift_check": "WITH n AS (SELECT n_name AS id, n_nationkey AS k FROM nation), m AS (SELECT id, k, list_filter([CASE WHEN k % 4 = 1 THEN 'resolution 10.6000' END, CASE WHEN k % 6 = 0 THEN 'crs Web' END, CASE WHEN k % 3 <> 0 AND k % 5 = 0 THEN 'nodata declared nowhere' WHEN k % 3 = 0 AND k % 5 <> 0 AND k % 2 <> 0 THEN 'nodata differs' END], lambda x: x IS NOT NULL) AS notes FROM n), r AS (SELECT id, CASE WHEN k % 7 = 6 THEN ['missing'] ELSE notes END AS notes FROM m) SELECT id, CASE WHEN len(notes) = 0 THEN 'ok' ELSE 'FAIL' END AS status, array_to_string(notes, '; ') AS notes FROM r",

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from ..functions import geo
 from ..operators import build, dem, march, paint, peaks, qa, requests, shade, views
-from ..sources import catalogue, fixtures, stage
+from ..sources import catalogue, fixtures, peakstore, stage
 from ..streaming import queue
 
 RAYS, LIMIT = 24, 1200.0
@@ -649,6 +649,17 @@ def csv_split(spark, d):
     return p.withColumn("f", catalogue.split_csv(F.col("line"))).select("k", F.size("f").cast("bigint").alias("n"), F.element_at("f", 2).alias("name"), F.element_at("f", -1).alias("last"))
 
 
+@query
+def peak_lines(spark, d):
+    """Peaks as lines of text, every third without an elevation, every fifth with a bad id, every seventh cut short; read again."""
+    p = fixtures.peaks(spark, d)
+    k, s = F.col("osm_id"), (lambda c: F.col(c).cast("string"))
+    name = F.when(k % 2 == 0, F.concat(F.lit('"'), "name", F.lit(', the ""old"""'))).otherwise(F.concat(F.lit('x"a,b"'), "name"))
+    rest = F.concat(F.lit(","), F.when(k % 3 == 0, "").otherwise((k % 3000).cast("string")), F.when(k % 4 == 0, ',"open, end').otherwise(""))
+    line = F.concat(s("plon"), F.lit(","), s("plat"), F.lit(","), F.when(k % 5 == 0, "n/a").otherwise(s("osm_id")), F.lit(","), name, F.lit(","), "type", F.when(k % 7 == 0, "").otherwise(rest))
+    return peakstore.parsed(p.select(line.alias("value")).unionAll(spark.sql("SELECT 'X,Y,osm_id,name,type,ele' AS value"))).withColumns({c: geo.snap(c, 6) for c in ("plon", "plat")})
+
+
 @query
 def mime_types(spark, d):
     ext = F.element_at(F.array(*map(F.lit, ("avif", "png", "gz", "json", "x.png"))), (F.col("k") % 5 + 1).cast("int"))
@@ -671,6 +682,14 @@ def vrt_leaf_files(spark, d):
     return qa.leaf_files(_descriptors(spark, d))
 
 
+@query
+def descriptor_rebuild(spark, d):
+    """Descriptors with a value for uncovered canvas, and the leaf files that they name when read again."""
+    texts = qa.rebuilt(_descriptors(spark, d))
+    again = qa.parse_descriptors(texts)
+    return qa.leaf_files(again).join(texts, "file").join(again.select("file", "nodata"), "file")
+
+
 @query
 def footprint_area(spark, d):
     return qa.footprint_summary(_descriptors(spark, d)).select("file", "parts", F.col("sources").cast("bigint").alias("sources"), "area_km2")

@@ -108,9 +108,16 @@ def build_environment(tiles: DataFrame, root: str, grid: geo.Grid = GRID) -> Dat
 
 
 def split_csv(line: Column) -> Column:
-    """Fields of one CSV line: quotes, doubled quotes, commas."""
-    fields = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'(\"(?:[^\"]|\"\")*\"|[^,]*),'), F.lit(1))
-    return F.transform(fields, lambda f: F.when(f.startswith('"') & f.endswith('"') & (F.length(f) > 1), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+    """Fields of one CSV line: commas outside quotes part them; quotes may begin and end anywhere in a field, a doubled one inside is a quote, an open one ends
+    with the line."""
+    closed = F.when((F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1, F.concat(line, F.lit('"'))).otherwise(line)
+    fields = F.regexp_extract_all(F.concat(closed, F.lit(",")), F.lit(r'((?:[^",]++|"[^"]*+")*+),'), F.lit(1))
+
+    def bare(field: Column) -> Column:  # between quotes, every other part is inside; an empty one between two of these was a doubled quote
+        parts = F.split(field, '"')
+        return F.array_join(F.transform(parts, lambda p, i: F.when((i % 2 == 0) & (p == "") & (i > 0) & (i < F.size(parts) - 1), F.lit('"')).otherwise(p)), "")
+
+    return F.transform(fields, bare)
 
 
 def parse_bbox(text: Column) -> Column:

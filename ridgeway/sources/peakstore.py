@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from . import pyramid
+from . import catalogue, pyramid
 
 SIZE = 0.1
 GROUP_ROWS = 20_000
@@ -19,6 +19,21 @@ def _square(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.floor((lon + 180.0) / SIZE).cast("int"), F.floor((lat + 90.0) / SIZE).cast("int")
 
 
+def parsed(lines: DataFrame, line: str = "value") -> DataFrame:
+    """(osm_id, name, type, ele_osm, plon, plat) of CSV lines: longitude, latitude, id, name, kind, elevation, whatever follows.
+
+    Lines with fewer fields or without two numbers in front, headers among them, go; an id that isn't a whole number is 0, an empty elevation null.
+    """
+    f = lines.select(catalogue.split_csv(F.col(line)).alias("f"))
+    f = f.select("f", *(F.trim(F.get("f", F.lit(i))).try_cast("double").alias(c) for i, c in enumerate(("plon", "plat")))).filter("size(f) >= 6 AND plon IS NOT NULL AND plat IS NOT NULL")
+    return f.select(F.coalesce(F.get("f", F.lit(2)).try_cast("bigint"), F.lit(0).cast("bigint")).alias("osm_id"), *(F.get("f", F.lit(i)).alias(c) for i, c in ((3, "name"), (4, "type"))), F.nullif(F.get("f", F.lit(5)), F.lit("")).alias("ele_osm"), "plon", "plat")
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The peaks of CSV files, a line each."""
+    return parsed(spark.read.text(path))
+
+
 def write(peaks: DataFrame, path: str) -> None:
     """Store peaks that have a place (plon, plat); all their columns stay."""
     placed = peaks.filter("plon BETWEEN -180 AND 180 AND plat BETWEEN -90 AND 90")

@@ -1,10 +1,12 @@
 """Catalogue, checks, requests, queue."""
 
+import random
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from ridgeway.operators import qa, requests
-from ridgeway.sources import catalogue
+from ridgeway.sources import catalogue, peakstore
 from ridgeway.streaming import queue
 
 
@@ -30,6 +32,54 @@ def test_csv_fields(spark):
     assert [r[0] for r in df.select(catalogue.split_csv(F.col("line"))).collect()] == [["a", "b", "c"], ["1", 'x, "y"', ""], ["", "", "z"]]
 
 
+def test_csv_quotes_anywhere(spark):
+    def plain(line):
+        out, cur, quoted, i = [], "", False, 0
+        while i < len(line):
+            c = line[i]
+            if c == '"' and quoted and line[i + 1 : i + 2] == '"':
+                cur, i = cur + c, i + 1
+            elif c == '"':
+                quoted = not quoted
+            elif c == "," and not quoted:
+                out, cur = [*out, cur], ""
+            else:
+                cur += c
+            i += 1
+        return [*out, cur]
+
+    rng = random.Random(4)
+    lines = ["", '"', '""', '"""', '""""', 'a"b,c"d', 'a""b', '"a,b', "x" * 50_000 + ',"' + "y,," * 20_000, *("".join(rng.choice('a",') for _ in range(rng.randrange(12))) for _ in range(500))]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").orderBy("i")
+    assert [r[0] for r in df.select(catalogue.split_csv(F.col("line"))).collect()] == [plain(x) for x in lines]
+
+
+def test_peaks_from_files(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('X,Y,osm_id,name,type,ele\n20.5,49.1,7,"Kozi, ""old""",peak,2291\n20.6,49.2,x,Bad id,peak,\nnan?,1,2,3,4,5\n20,49,1,short,peak\n25,49.1,9,Far,peak,1\n\n')
+    got = [tuple(r) for r in peakstore.read_csv(spark, f"{tmp_path}/p.csv").orderBy("plon").collect()]
+    assert got == [(7, 'Kozi, "old"', "peak", "2291", 20.5, 49.1), (0, "Bad id", "peak", None, 20.6, 49.2), (9, "Far", "peak", "1", 25.0, 49.1)]
+    peakstore.write(peakstore.read_csv(spark, f"{tmp_path}/p.csv"), f"{tmp_path}/store")
+    view = spark.createDataFrame([(20.5, 49.1)], "lon double, lat double")
+    assert {r["osm_id"] for r in peakstore.near(spark, f"{tmp_path}/store", view, 1000.0).collect()} == {7, 0}  # and what lies in the next square
+
+
+def test_rebuilt_descriptors_read_back(spark, tmp_path):
+    one = '<VRTDataset><SRS>LOCAL["a &amp; b"]</SRS><GeoTransform>0.1, 1e-7, 0, -3.25, 0, -1e-7</GeoTransform><VRTRasterBand><SimpleSource><SourceFilename relativeToVRT="1">a&amp;b.tif</SourceFilename><DstRect xOff="0.5" yOff="2" xSize="3" ySize="4.25"/></SimpleSource><SimpleSource><SourceFilename relativeToVRT="0">/far/c.tif</SourceFilename></SimpleSource></VRTRasterBand></VRTDataset>'
+    none = "<VRTDataset><GeoTransform>0, 1, 0, 0, 0, -1</GeoTransform><VRTRasterBand></VRTRasterBand></VRTDataset>"
+    old = qa.parse_descriptors(spark.createDataFrame([("/v/one.vrt", one), ("/v/none.vrt", none)], "file string, xml string"))
+    for _ in range(2):  # a second time replaces
+        qa.write_descriptors(qa.rebuilt(old), f"{tmp_path}/vrt")
+    new = qa.read_descriptors(spark, f"{tmp_path}/vrt/*")
+    got = {r["file"].split("id=")[1].split("/")[0]: r for r in new.collect()}
+    was = {r["file"].split("/")[-1].split(".")[0]: r for r in old.collect()}
+    assert got.keys() == was.keys() == {"one", "none"}
+    for k in was:
+        assert got[k]["nodata"] == -9999 and was[k]["nodata"] is None and got[k]["gt"] == was[k]["gt"] and got[k]["srs"] == was[k]["srs"]
+        assert [s["DstRect"] for s in got[k]["sources"]] == [s["DstRect"] for s in was[k]["sources"]]
+    assert [s["SourceFilename"]["_VALUE"] for s in got["one"]["sources"]] == ["/v/a&b.tif", "/far/c.tif"]
+    assert [r["leaf"] for r in qa.leaf_files(new).orderBy("leaf").collect()] == ["/far/c.tif", "/v/a&b.tif"]
+
+
 def test_bbox_text(spark):
     df = spark.createDataFrame([("1, 2,3 ,4",), ("1,2,3",), ("1,2,x,4",)], "s string")
     assert [r[0] for r in df.select(catalogue.parse_bbox(F.col("s"))).collect()] == [[1.0, 2.0, 3.0, 4.0], None, None]
