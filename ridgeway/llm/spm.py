@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .store import small_batches
 
 BLANK = "▁"
-KEPT_PARTS = 250_000
+#: in each of two tables: parts lately used, and those used before them
+KEPT_PARTS = 180_000
 KEPT_PAIRS = 400_000
 #: longer parts have a prefix table of their own, which is not kept for the next part
 KEPT_LENGTH = 64
@@ -119,15 +120,17 @@ class PieceModel:
         #: of each right piece: left ones -> whether the two stay apart; the outputs of a state, longest first, with these answers
         self.pairs: dict[int, dict[int, bool]] = {self.ids[p]: {} for p in self.stable - self.tied}
         self.asked = 0
-        self.outputs = [tuple((i, n, self.pairs[i]) for i, n in found) for found in self.automaton.outputs]
+        self.outputs = [tuple([(i, n, self.pairs[i]) for i, n in found]) for found in self.automaton.outputs]
+        self.automaton.outputs.clear()
         #: the prefix table: the part before -> the entries of its prefixes, by length
         self.last: dict[str, list[Last | None]] = {}
         self.loose = re.compile(f"[{loose.replace(re.escape(chr(10)), '')}{BLANK}]")
         self.by_lines = not crossing and chr(10) not in joined
         self.surface = [p.replace(BLANK, " ") if k == self.normal else None for p, k in zip(self.pieces, self.kinds)]
         self.texts = [str(i) for i in range(len(self.pieces))]
-        self.parts: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        #: part -> ids as text; with the ids decoded, where that isn't the part again
+        self.parts: dict[str, str | tuple[str, str]] = {}
+        self.older: dict[str, str | tuple[str, str]] = {}
 
     def merge(self, text: str, least: int = 1) -> list[str]:
         """Carry the merges out, while there are more than ``least`` pieces: best score first, then leftmost."""
@@ -259,15 +262,17 @@ class PieceModel:
         out.pop()
         return out
 
-    def _part(self, part: str) -> tuple[str, str]:
-        """Of a part: ids as text, the ids decoded (with the prefix)."""
+    def _part(self, part: str) -> str | tuple[str, str]:
+        """The entry of a part."""
         if (entry := self.older.get(part)) is None:
             found = self.part_ids(part)
             try:
                 back = "".join([self.surface[i] for i in found])
             except TypeError:  # byte pieces
                 back = self.decode(found, False)
-            entry = (",".join([self.texts[i] for i in found]), back)
+            entry = ",".join([self.texts[i] for i in found])
+            if back != part.replace(BLANK, " "):
+                entry = (entry, back)
         if len(part) < 100:
             if len(self.parts) >= KEPT_PARTS:
                 self.older, self.parts = self.parts, {}
@@ -287,16 +292,22 @@ class PieceModel:
         for part in sorted(new):
             self._part(part)
 
-    def entries(self, texts: list[str]) -> Iterator[list[tuple[str, str]]]:
-        """Of each text, its parts' ids and texts."""
+    def entries(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """Of each text: ids as text, the ids decoded (with the prefix); no part splits a character, so the parts' join to the whole."""
         split = [self.parts_of(t) for t in texts]
+        del texts
         self._enter(split)
-        for parts in split:
-            known = self.parts
+        for k, parts in enumerate(split):
+            split[k], known = [], self.parts
             try:
-                yield [known[p] for p in parts]
+                found = [known[p] for p in parts]
             except KeyError:
-                yield [self.parts.get(p) or self._part(p) for p in parts]
+                found = [self.parts.get(p) or self._part(p) for p in parts]
+            try:
+                yield ",".join(found), "".join(parts).replace(BLANK, " ")
+            except TypeError:
+                both = [(e, p.replace(BLANK, " ")) if isinstance(e, str) else e for e, p in zip(found, parts)]
+                yield ",".join([e[0] for e in both]), "".join([e[1] for e in both])
 
     def encode(self, text: str) -> list[int]:
         return _ids(self, next(self.entries([text])))
@@ -385,8 +396,8 @@ def _over_texts(docs: DataFrame, model_path: str, id_col: str, schema: str, kind
     return small_batches(docs.select(id_col, F.col("text").alias("__text"))).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {schema}")
 
 
-def _ids(model: PieceModel, found: list[tuple[str, str]]) -> list[int]:
-    return [int(i) for ids, _ in found for i in ids.split(",")]
+def _ids(model: PieceModel, found: tuple[str, str]) -> list[int]:
+    return [int(i) for i in found[0].split(",")] if found[0] else []
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
@@ -406,12 +417,11 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id") -> DataF
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, text string")
 
 
-def _digests(model: PieceModel, found: list[tuple[str, str]]) -> tuple[int, str, str]:
-    # no part splits a character, so the parts' decoded ids join to the decoded whole; the prefix goes once
-    ids, back = ",".join([e[0] for e in found]), "".join([e[1] for e in found])
-    if model.prefix and found and model.pieces[int(found[0][0].split(",", 1)[0])].startswith(BLANK):
+def _digests(model: PieceModel, found: tuple[str, str]) -> tuple[int, str, str]:
+    ids, back = found
+    if model.prefix and ids and model.pieces[int(ids.split(",", 1)[0])].startswith(BLANK):  # the prefix goes once
         back = back[1:]
-    return ids.count(",") + 1 if found else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+    return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id") -> DataFrame:
