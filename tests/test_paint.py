@@ -31,7 +31,11 @@ def test_edge_strength_where_steps_are_even(spark, even):
     equal(spark, even, "edge_strength")
 
 
-@pytest.mark.parametrize("name", ["edge_strength"])
+def test_ink_spread_where_steps_are_even(spark, even):
+    equal(spark, even, "ink_spread")
+
+
+@pytest.mark.parametrize("name", ["edge_strength", "ink_spread"])
 def test_no_picture_is_broadcast(spark, name):
     plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Join" not in plan
