@@ -35,7 +35,7 @@ def test_ink_spread_where_steps_are_even(spark, even):
     equal(spark, even, "ink_spread")
 
 
-@pytest.mark.parametrize("name", ["edge_strength", "ink_spread", "shaded_column", "supersample_avg"])
+@pytest.mark.parametrize("name", ["edge_strength", "ink_spread", "shaded_column", "supersample_avg", "depth_delta", "depth_roundtrip"])
 def test_no_picture_is_broadcast(spark, name):
     plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Join" not in plan
