@@ -4,14 +4,15 @@ Components are whole numbers, a row's score is its inner product with an anchor.
 each positive, its negatives are the best rows of other labels whose score lies between two shares of the positive's.
 
 Vectors are dealt to shards of about ``SHARD_ROWS``, anchors to blocks of about ``BLOCK_ROWS``; each block of the stated anchors meets each shard once a
-round.  There, the dimensions are ordered by energy.  A row posts only those dimensions that follow the longest prefix whose norm
+round.  Up to ``GROUP_SHARDS`` shards stay together: a block is sent to each group once and meets its shards one after the other, where a full window's worst score is
+the threshold for what follows.  There, the dimensions are ordered by energy.  A row posts only those dimensions that follow the longest prefix whose norm
 keeps it below every anchor's threshold; a row without postings can't reach any.  Posting lists are walked from the most
 energetic dimension down; partial scores accumulate, and after each step a row goes once the norms of what remains can't lift it to the
 threshold of any anchor.  What is left is bounded once more by the prefix that was not posted, then scored exactly.
 
-Thresholds start high and are lowered until windows fill: an anchor with enough rows above its threshold has its exact best ones
-and leaves; the last round's threshold is the window's lower end (for positives: none), so nothing is missed.
-A shard returns its best few for each window, and a ranking that Spark limits before its shuffle merges them.
+A window's threshold starts at its lower end (for positives: none) and rises to its worst score once it is full, so nothing is missed.  Further rounds may
+start higher: an anchor with enough rows above its threshold has its exact best ones and leaves; the last round's threshold is the lower end.
+A group returns its best few for each window, and a ranking that Spark limits before its shuffle merges them.
 
 Definitions.  Rows take no part if id, label or vector is null, the vector is empty, or a component is null, NaN or infinite.  Of several rows of one id the
 least by (label, vector) counts.  Vectors of different lengths have no product: each length is mined by itself.  Ties go to the smaller id.  No
@@ -34,10 +35,12 @@ from .store import small_batches, stored
 
 SHARD_ROWS = 2048
 BLOCK_ROWS = 256
+GROUP_SHARDS = 16
 STEP = 16
 #: Thresholds by round: of positives, as shares of the largest possible score; of negatives, as shares of the window, from its top.
-POSITIVE_ROUNDS = (0.5, 0.25, None)
-NEGATIVE_ROUNDS = (0.25, 0.6, 1.0)
+#: One round each: thresholds rise from shard to shard within a group, and a round costs about as much whatever it starts from.
+POSITIVE_ROUNDS = (None,)
+NEGATIVE_ROUNDS = (1.0,)
 _LEAST, _MOST = -(2**63), 2**63 - 1
 #: What rounding can add to a bound, as a share of the product of norms.
 SLACK = 1e-9
@@ -87,34 +90,67 @@ def _unposted(head_q: np.ndarray, head_v: np.ndarray, rows: np.ndarray, skip: np
     return most
 
 
-def _best(q_ids: np.ndarray, q_labels: np.ndarray, q: np.ndarray, windows: list, ids: np.ndarray, labels: np.ndarray, v: np.ndarray, same: bool, k: int) -> Iterator[tuple]:
-    """(anchor, window, id, score): each window's ``k`` best rows of a shard."""
-    low = np.array([min(w["lo"] for w in ws) for ws in windows], np.float64)
-    a, x = reaching(q, v, np.where(low <= _LEAST, -np.inf, low))
-    fits = (q_labels[a] == labels[x]) == same
-    fits &= q_ids[a] != ids[x]
-    a, x = a[fits], x[fits]
-    score = np.concatenate([np.zeros(0, np.int64), *((q[a[i : i + 65536]] * v[x[i : i + 65536]]).sum(axis=1) for i in range(0, len(a), 65536))])
-    order = np.lexsort((ids[x], -score, a))
-    a, x, score = a[order], x[order], score[order]
-    first = np.searchsorted(a, np.arange(len(q) + 1))
-    for i, ws in enumerate(windows):
-        down, own = -score[first[i] : first[i + 1]], ids[x[first[i] : first[i + 1]]]
-        for w in ws:
-            s, e = np.searchsorted(down, -w["hi"]) if w["hi"] < _MOST else 0, np.searchsorted(down, -w["lo"], side="right") if w["lo"] > _LEAST else len(down)
-            for j in range(s, min(e, s + k)):
-                yield int(q_ids[i]), w["w"], int(own[j]), -int(down[j])
+class _Windows:
+    """The windows of a block's anchors, each with the ``k`` best rows of the shards met so far."""
+
+    def __init__(self, ids: np.ndarray, windows: list, k: int):
+        flat = [(i, w["w"], w["lo"], w["hi"]) for i, ws in enumerate(windows) for w in ws]
+        self.ids, self.k = ids, k
+        self.own, self.w, self.lo, self.hi = (np.array(c, np.int64) for c in zip(*flat))
+        self.first = np.searchsorted(self.own, np.arange(len(ids)))
+        self.last = np.searchsorted(self.own, np.arange(len(ids)), side="right")
+        self.score, self.row = [np.zeros(0, np.int64)] * len(flat), [np.zeros(0, np.int64)] * len(flat)
+
+    def low(self) -> np.ndarray:
+        """Each anchor's threshold."""
+        low = np.minimum.reduceat(self.lo, self.first)
+        return np.where(low <= _LEAST, -np.inf, low.astype(np.float64))
+
+    def meet(self, q_labels: np.ndarray, q: np.ndarray, ids: np.ndarray, labels: np.ndarray, v: np.ndarray, same: bool) -> None:
+        a, x = reaching(q, v, self.low())
+        fits = (q_labels[a] == labels[x]) == same
+        fits &= self.ids[a] != ids[x]
+        a, x = a[fits], x[fits]
+        score = np.concatenate([np.zeros(0, np.int64), *((q[a[i : i + 65536]] * v[x[i : i + 65536]]).sum(axis=1) for i in range(0, len(a), 65536))])
+        order = np.lexsort((ids[x], -score, a))
+        a, x, score = a[order], x[order], score[order]
+        first = np.searchsorted(a, np.arange(len(self.ids) + 1))
+        for i in np.flatnonzero(np.diff(first)):
+            down, own = -score[first[i] : first[i + 1]], ids[x[first[i] : first[i + 1]]]
+            for j in range(self.first[i], self.last[i]):
+                s = np.searchsorted(down, -self.hi[j]) if self.hi[j] < _MOST else 0
+                e = min(np.searchsorted(down, -self.lo[j], side="right") if self.lo[j] > _LEAST else len(down), s + self.k)
+                if s < e:
+                    self._add(j, -down[s:e], own[s:e])
+
+    def _add(self, j: int, score: np.ndarray, row: np.ndarray) -> None:
+        score, row = np.append(self.score[j], score), np.append(self.row[j], row)
+        best = np.lexsort((row, -score))[: self.k]
+        self.score[j], self.row[j] = score[best], row[best]
+        if len(best) == self.k:
+            self.lo[j] = self.score[j][-1]  # what ties may still have a smaller id
+
+    def found(self) -> pa.RecordBatch:
+        n = [len(s) for s in self.score]
+        columns = (np.repeat(self.ids[self.own], n), np.repeat(self.w, n).astype(np.int32), np.concatenate(self.row), np.concatenate(self.score))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor_id", "w", "id", "score"])
 
 
 def _mine(batches: Iterator[pa.RecordBatch], same: bool, k: int) -> Iterator[pa.RecordBatch]:
+    """The best rows of each window; a block's shards follow one another."""
     matrix = lambda x: x.field("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
-    schema = pa.schema([("anchor_id", pa.int64()), ("w", pa.int32()), ("id", pa.int64()), ("score", pa.int64())])
+    held, at_hand = None, None
     for batch in batches:
         for at in range(batch.num_rows):
             block, shard = (batch.column(c)[at].values for c in ("block", "shard"))
-            names = [x.field(c).to_numpy(zero_copy_only=False) for x in (block, shard) for c in ("id", "label")]
-            found = list(_best(*names[:2], matrix(block), block.field("windows").to_pylist(), *names[2:], matrix(shard), same, k))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 4, schema.types)], schema=schema)
+            (q_ids, q_labels), (ids, labels) = ([x.field(c).to_numpy(zero_copy_only=False) for c in ("id", "label")] for x in (block, shard))
+            if at_hand is None or not np.array_equal(at_hand, q_ids):
+                if held is not None:
+                    yield held.found()
+                held, at_hand = _Windows(q_ids.copy(), block.field("windows").to_pylist(), k), q_ids.copy()
+            held.meet(q_labels, matrix(block), ids, labels, matrix(shard), same)
+    if held is not None:
+        yield held.found()
 
 
 def _dealt(n: int, each: int) -> Column:
@@ -126,7 +162,11 @@ def _round(anchors: DataFrame, asked: DataFrame, shards: DataFrame, n_shards: in
     windows = asked.groupBy("anchor_id").agg(F.collect_list(F.struct("w", "lo", "hi")).alias("windows"))
     some = stored(anchors.join(windows, anchors.id == windows.anchor_id).drop("anchor_id"), "asking")
     blocks = some.groupBy("dim", _dealt(some.count(), BLOCK_ROWS).alias("b")).agg(F.collect_list(F.struct("id", "label", "vec", "windows")).alias("block"))
-    met = blocks.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("s")).join(shards, ["dim", "s"]).select("block", "shard")
+    # a group has few shards for all tasks to have one, its shards are what a task holds
+    each = max(1, min(GROUP_SHARDS, n_shards // (4 * asked.sparkSession.sparkContext.defaultParallelism)))
+    groups = shards.withColumn("g", F.floor(F.col("s") / each).cast("int"))
+    # sorted by group, each block meets all shards of its group in turn
+    met = blocks.select("dim", "block", F.explode(F.sequence(F.lit(0), F.lit((n_shards - 1) // each))).alias("g")).join(groups.hint("merge"), ["dim", "g"]).select("block", "shard")
     found = small_batches(met).mapInArrow(partial(_mine, same=same, k=k), "anchor_id bigint, w int, id bigint, score bigint")
     rank = F.row_number().over(W.partitionBy("anchor_id", "w").orderBy(F.desc("score"), "id"))
     return stored(found.withColumn("rank", rank).filter(F.col("rank") <= k), "mined")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,23 @@ def test_sql(spark):
     got = {tuple(r) for r in queries.op12_hard_negatives(spark, folder).collect()}
     duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
     assert got == set(duckdb.sql(queries.OP12_SQL).fetchall()) and got
+
+
+def test_shards_that_follow_give_one_window(monkeypatch):
+    """A block that meets several shards in a task returns each window's best few of all of them, not of each."""
+    rng = np.random.default_rng(5)
+    item = lambda i, n: [{"id": int(j), "label": int(j) % 2, "vec": rng.integers(-99, 99, 8).tolist()} for j in range(i, i + n)]
+    block = [x | {"windows": [{"w": 0, "lo": hardneg._LEAST, "hi": hardneg._MOST}, {"w": 1, "lo": -20000, "hi": 5000}]} for x in item(0, 4)]
+    shards = [item(100 * s, 60) for s in range(1, 6)]
+    vector = pa.list_(pa.int64())
+    one = [("id", pa.int64()), ("label", pa.int64()), ("vec", vector)]
+    windows = pa.list_(pa.struct([("w", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())]))
+    columns = [pa.array([block] * 5, pa.list_(pa.struct([*one, ("windows", windows)]))), pa.array(shards, pa.list_(pa.struct(one)))]
+    batches = [pa.RecordBatch.from_arrays([c.slice(i, 1) for c in columns], names=["block", "shard"]) for i in range(5)]
+    got = [r for b in hardneg._mine(iter(batches), False, 3) for r in zip(*(c.to_pylist() for c in b.columns))]
+    want = []
+    for a in block:
+        rows = sorted((-int(np.dot(a["vec"], x["vec"])), x["id"]) for s in shards for x in s if x["label"] != a["label"])
+        for w in a["windows"]:
+            want += [(a["id"], w["w"], i, -s) for s, i in [r for r in rows if w["lo"] <= -r[0] <= w["hi"]][:3]]
+    assert sorted(got) == sorted(want)
